@@ -87,6 +87,8 @@ FROM events""")
 
 _view("v_knowledge", (), """
 SELECT d.doc_id AS id, d.text AS content, d.source AS category, d.lang AS tenant, e.embedding,
+  '{"ip":"10.0.' || (d.doc_id % 3 + 1) || '.' || (d.doc_id % 30 + 10) || '","source":"' || d.source || '"}'
+    AS metadata,
   TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 MINUTE AS created_at,
   CASE WHEN d.doc_id % 4 = 0
        THEN TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 MINUTE + INTERVAL 1 DAY END AS expires_at

@@ -155,6 +155,8 @@ def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("category"),
         F.col("lang").alias("tenant"),
         "embedding",
+        F.concat(F.lit('{"ip":"10.0.'), _s(F.col("doc_id") % 3 + 1), F.lit("."), _s(F.col("doc_id") % 30 + 10),
+                 F.lit('","source":"'), F.col("source"), F.lit('"}')).alias("metadata"),
         created.alias("created_at"),
         F.when(F.col("doc_id") % 4 == 0, F.expr("timestampadd(DAY, 1, timestampadd(MINUTE, doc_id, "
                                                   "TIMESTAMP_NTZ'2024-01-01 00:00:00'))"))
