@@ -1 +1,131 @@
-"""Registered queries."""
+"""§2.7 stateful processing, upserts, dead letters and counters over the fixture views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import state as ST
+from tidewatch.operators import windows as W
+from tidewatch.sources import events as E
+from tidewatch.plans import views as V
+from tidewatch.plans.catalog import register
+from tidewatch.plans.oracle_views import sql
+from tidewatch.plans.q_sources import flow_messages
+from tidewatch.plans.q_windows import RATE_SQL, _rate
+
+
+@register("udf_process_event", sql("""
+SELECT 'new_destination' AS alert_type, src_ip, dst_ip, event_id, event_time FROM (
+  SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY event_time, event_id) AS rn FROM v_flows)
+WHERE rn = 1""", "v_flows"))
+def udf_process_event(spark, sf_dir):
+    """A user ``process_event`` (first contact of a source with a destination) run per key in event order."""
+    fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip", "dst_ip")
+    return ST.process_events(fl, ["src_ip"], ["event_time", "event_id"], ST.first_contact(),
+                             ST.FIRST_CONTACT_SCHEMA)
+
+
+# Order-dependent rule with reset: no SQL oracle; a plain-Python model test covers it.
+@register("win_rate_reset")
+def win_rate_reset(spark, sf_dir, window_s=6 * 3600, threshold=5):
+    fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip")
+    return ST.process_events(fl, ["src_ip"], ["event_time", "event_id"],
+                             ST.rate_with_reset(window_s, threshold), ST.RATE_RESET_SCHEMA)
+
+
+@register("state_kv_upsert", sql("""
+SELECT key, value, updated_at FROM (
+  SELECT 'device:' || device_id AS key, status || '/' || CAST(memory_percent AS BIGINT) AS value,
+         event_time AS updated_at,
+         row_number() OVER (PARTITION BY device_id ORDER BY event_time DESC, event_id DESC) AS rn
+  FROM v_device_status) WHERE rn = 1""", "v_device_status"))
+def state_kv_upsert(spark, sf_dir):
+    ds = V.v_device_status(spark, sf_dir)
+    writes = ds.select(F.concat(F.lit("device:"), F.col("device_id").cast("string")).alias("key"),
+                       F.concat_ws("/", "status", F.col("memory_percent").cast("bigint").cast("string")).alias("value"),
+                       F.col("event_time").alias("updated_at"), "event_id")
+    return ST.kv_latest(writes, "key", "value", "updated_at", "event_id")
+
+
+@register("upsert_accumulate", sql("""
+SELECT src_ip AS ip, count(*) AS score,
+       max_by(rate, CAST(epoch_us(event_time) AS HUGEINT) * 100000 + event_id) AS event_count
+FROM rate WHERE rate >= 8 GROUP BY src_ip""", "v_flows", ctes=(("rate", RATE_SQL),)))
+def upsert_accumulate(spark, sf_dir):
+    """``score = score + 1`` per alert, ``event_count`` = latest count: a snapshot
+    (alerts before Jan 16) merged with the next batch (the rest)."""
+    alerts = _rate(spark, sf_dir).filter(F.col("rate") >= 8)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+
+    def agg(df):
+        return df.groupBy(F.col("src_ip").alias("ip")).agg(
+            F.count("*").alias("score"),
+            F.max_by("rate", F.struct("event_time", "event_id")).alias("event_count"))
+    return ST.accumulate_upsert(agg(alerts.filter(F.col("event_time") < cut)),
+                                agg(alerts.filter(F.col("event_time") >= cut)),
+                                ["ip"], add=["score"], replace=["event_count"])
+
+
+def route_flows(spark, sf_dir):
+    msgs = flow_messages(spark, sf_dir)
+    decoded = E.decode(msgs, E.FLOW_SCHEMA, with_errors=True)
+    per_packet = F.try_divide(F.col("bytes_sent"), F.col("packets") - 1)
+    return ST.dlq_split(decoded, [
+        (F.col("_parse_error"), "parse", F.lit("undecodable JSON")),
+        (per_packet.isNull(), "ZeroDivisionError", F.lit("division by zero")),
+    ])
+
+
+@register("dlq_route", sql("""
+SELECT event_id AS "offset", CASE WHEN packets - 1 = 0 THEN 'dlq' ELSE 'ok' END AS status,
+       CASE WHEN packets - 1 = 0 THEN 'ZeroDivisionError' END AS error_type
+FROM v_flows
+UNION ALL SELECT doc_id + 1000000000, 'dlq', 'parse' FROM documents""", "v_flows"))
+def dlq_route(spark, sf_dir):
+    good, bad = route_flows(spark, sf_dir)
+    return good.select("offset", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_type")) \
+        .unionByName(bad.select("offset", F.lit("dlq").alias("status"), "error_type"))
+
+
+@register("dlq_tail", sql("""
+SELECT consumer_id, "timestamp", error_type, error, rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY consumer_id ORDER BY "timestamp" DESC, event_id DESC) AS rn
+  FROM v_dlq) WHERE rn <= 5""", "v_dlq"))
+def dlq_tail(spark, sf_dir, n=5):
+    d = V.v_dlq(spark, sf_dir).select("consumer_id", "timestamp", "event_id", "error_type", "error")
+    return W.ranked_tail(d, ["consumer_id"], ["timestamp", "event_id"], n).drop("event_id")
+
+
+@register("dlq_summary", sql("""
+SELECT consumer_id, count(*) AS errors, max_by(error, CAST(epoch_us("timestamp") AS HUGEINT) * 100000 + event_id) AS latest_error,
+       max("timestamp") AS last_error_time
+FROM v_dlq GROUP BY consumer_id""", "v_dlq"))
+def dlq_summary(spark, sf_dir):
+    d = V.v_dlq(spark, sf_dir)
+    return d.groupBy("consumer_id").agg(F.count("*").alias("errors"),
+                                        F.max_by("error", F.struct("timestamp", "event_id")).alias("latest_error"),
+                                        F.max("timestamp").alias("last_error_time"))
+
+
+def consumer_counters(events, alerts_flag, errors, key):
+    """Events in, alerts out, last event time per consumer, plus its DLQ errors."""
+    c = events.groupBy(key).agg(F.count("*").alias("events_in"),
+                                F.count(F.when(alerts_flag, 1)).alias("alerts_out"),
+                                F.max("event_time").alias("last_event_time"))
+    e = errors.groupBy(key).agg(F.count("*").alias("errors"))
+    return c.join(e, key, "left").select(key, "events_in", "alerts_out",
+                                         F.coalesce("errors", F.lit(0).cast("bigint")).alias("errors"),
+                                         "last_event_time")
+
+
+@register("counters_observe", sql("""
+SELECT f.application AS consumer, count(*) AS events_in,
+       count(CASE WHEN bytes_sent >= 150000 THEN 1 END) AS alerts_out,
+       coalesce(max(e.errors), 0) AS errors, max(event_time) AS last_event_time
+FROM v_flows f LEFT JOIN (SELECT error_type, count(*) AS errors FROM v_dlq GROUP BY error_type) e
+  ON e.error_type = f.application
+GROUP BY f.application""", "v_flows", "v_dlq"))
+def counters_observe(spark, sf_dir):
+    fl = V.v_flows(spark, sf_dir).select(F.col("application").alias("consumer"), "bytes_sent", "event_time")
+    errs = V.v_dlq(spark, sf_dir).select(F.col("error_type").alias("consumer"))
+    return consumer_counters(fl, F.col("bytes_sent") >= 150_000, errs, "consumer")
