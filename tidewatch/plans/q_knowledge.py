@@ -1 +1,282 @@
-"""Registered queries."""
+"""§2.9 knowledge base over v_knowledge (corpus) and v_queries (a batch of 5 queries)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.functions import text as TX
+from tidewatch.operators import search as S
+from tidewatch.operators import vector as VEC
+from tidewatch.session import scratch_path
+from tidewatch.sources.tables import load, TABLES
+from tidewatch.plans import views as V
+from tidewatch.plans.catalog import register
+from tidewatch.plans.oracle_views import sql, tokens_sql
+from tidewatch.plans.q_joins import IP_SCORES_SQL, ip_scores
+
+COS = "list_cosine_similarity(CAST(k.embedding AS DOUBLE[]), CAST(q.query_vec AS DOUBLE[]))"
+
+
+def sem_sql(n: int, where: str = "TRUE") -> str:
+    return f"""
+SELECT qid, id, content, sim AS similarity, rank FROM (
+  SELECT q.qid, k.id, k.content, {COS} AS sim,
+         row_number() OVER (PARTITION BY q.qid ORDER BY {COS} DESC, k.id) - 1 AS rank
+  FROM v_queries q CROSS JOIN (SELECT * FROM v_knowledge WHERE {where}) k) WHERE rank < {n}"""
+
+
+def fts_sql(n: int) -> str:
+    return f"""
+SELECT qid, id, content, score, rank FROM (
+  SELECT per.qid, per.id, k.content, CAST(per.tf_sum AS DOUBLE) / per.n_tokens AS score,
+         row_number() OVER (PARTITION BY per.qid ORDER BY CAST(per.tf_sum AS DOUBLE) / per.n_tokens DESC, per.id) - 1
+           AS rank
+  FROM (SELECT qid, id, count(*) AS matched, sum(tf) AS tf_sum, max(n_tokens) AS n_tokens FROM (
+          SELECT qt.qid, dt.id, dt.token, count(*) AS tf, max(dt.n_tokens) AS n_tokens
+          FROM (SELECT id, unnest(toks) AS token, len(toks) AS n_tokens
+                FROM (SELECT id, {tokens_sql('content')} AS toks FROM v_knowledge)) dt
+          JOIN (SELECT qid, unnest(list_distinct({tokens_sql('query_text')})) AS token FROM v_queries) qt
+            ON qt.token = dt.token
+          GROUP BY ALL) GROUP BY qid, id) per
+  JOIN (SELECT qid, len(list_distinct({tokens_sql('query_text')})) AS n_terms FROM v_queries) nt
+    ON nt.qid = per.qid AND nt.n_terms = per.matched AND nt.n_terms > 0
+  JOIN v_knowledge k ON k.id = per.id) WHERE rank < {n}"""
+
+
+FUSED_SQL = """
+SELECT coalesce(v.qid, f.qid) AS qid, coalesce(v.content, f.content) AS content, coalesce(v.vid, f.fid) AS id,
+       v.vector_rank, f.fts_rank, v.similarity, f.fts_score,
+       coalesce(1.0::DOUBLE / (60 + v.vector_rank), 0.0) + coalesce(1.0::DOUBLE / (60 + f.fts_rank), 0.0) AS rrf_score
+FROM (SELECT qid, content, max(rank) AS vector_rank, arg_min(id, rank) AS vid, arg_min(similarity, rank) AS similarity
+      FROM sem GROUP BY qid, content) v
+FULL OUTER JOIN (SELECT qid, content, max(rank) AS fts_rank, arg_min(id, rank) AS fid, arg_min(score, rank) AS fts_score
+                 FROM fts GROUP BY qid, content) f
+  ON v.qid = f.qid AND v.content = f.content"""
+
+
+def hybrid_ctes(k: int):
+    n = S.candidates(k)
+    top = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, id) - 1 AS rank
+              FROM fused) WHERE rank < {k}"""
+    return (("sem", sem_sql(n)), ("fts", fts_sql(n)), ("fused", FUSED_SQL), ("hybrid", top))
+
+
+def _kb(spark, sf_dir):
+    return V.v_knowledge(spark, sf_dir)
+
+
+def _q(spark, sf_dir):
+    return V.v_queries(spark, sf_dir)
+
+
+@register("kb_semantic_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
+                                    "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
+def kb_semantic_search(spark, sf_dir):
+    r = S.semantic_topk(_kb(spark, sf_dir), _q(spark, sf_dir), 5, carry=())
+    return r.select("qid", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@register("kb_fts_search", sql("SELECT qid, id, score, rank FROM fts", "v_knowledge", "v_queries",
+                               ctes=(("fts", fts_sql(5)),)))
+def kb_fts_search(spark, sf_dir):
+    return S.fts_topk(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+
+
+@register("kb_inverted_index", sql(f"""
+SELECT token, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS coll_freq FROM (
+  SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('content')}) AS token FROM v_knowledge)
+  GROUP BY ALL) GROUP BY token""", "v_knowledge"))
+def kb_inverted_index(spark, sf_dir):
+    p = S.postings(_kb(spark, sf_dir))
+    return p.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
+
+
+@register("join_fuse_full", sql("""
+SELECT qid, id, vector_rank, fts_rank, round(similarity, 6) AS similarity FROM fused""",
+    "v_knowledge", "v_queries", ctes=hybrid_ctes(5)[:3]))
+def join_fuse_full(spark, sf_dir):
+    kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
+    n = S.candidates(5)
+    fts = S.fts_topk(kb, q, n).join(kb.select("id", "content"), "id")
+    fused = S.fuse_full(S.semantic_topk(kb, q, n), fts)
+    return fused.select("qid", "id", "vector_rank", "fts_rank", F.round("similarity", 6).alias("similarity"))
+
+
+@register("kb_hybrid_rrf", sql("""
+SELECT qid, id, round(rrf_score, 10) AS rrf_score, round(similarity, 6) AS similarity, rank FROM hybrid""",
+    "v_knowledge", "v_queries", ctes=hybrid_ctes(5)))
+def kb_hybrid_rrf(spark, sf_dir):
+    h = S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    return h.select("qid", "id", F.round("rrf_score", 10).alias("rrf_score"),
+                    F.round("similarity", 6).alias("similarity"), "rank")
+
+
+JACCARD = (f"CAST(len(list_intersect(list_distinct({tokens_sql('q.query_text')}), list_distinct({tokens_sql('h.content')})))"
+           f" AS DOUBLE) / nullif(len(list_distinct(list_concat(list_distinct({tokens_sql('q.query_text')}),"
+           f" list_distinct({tokens_sql('h.content')})))), 0)")
+
+
+@register("kb_rerank", sql(f"""
+SELECT qid, id, round(relevance_score, 6) AS relevance_score, rerank FROM (
+  SELECT h.qid, h.id, coalesce({JACCARD}, 0.0) AS relevance_score,
+         row_number() OVER (PARTITION BY h.qid ORDER BY coalesce({JACCARD}, 0.0) DESC, h.rank) - 1 AS rerank
+  FROM hybrid h JOIN v_queries q ON q.qid = h.qid) WHERE rerank < 5""",
+    "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
+def kb_rerank(spark, sf_dir):
+    kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
+    cands = S.hybrid(kb, q, 20)
+    r = S.rerank(cands, q, 5)
+    return r.select("qid", "id", F.round("relevance_score", 6).alias("relevance_score"), "rerank")
+
+
+@register("kb_search_pipeline", sql(f"""
+SELECT qid, id, round(relevance_score, 4) AS relevance_score, rerank FROM (
+  SELECT h.qid, h.id, coalesce({JACCARD}, 0.0) AS relevance_score,
+         row_number() OVER (PARTITION BY h.qid ORDER BY coalesce({JACCARD}, 0.0) DESC, h.key_order) - 1 AS rerank
+  FROM (SELECT * FROM (
+          SELECT hy.*, kk.created_at,
+                 row_number() OVER (PARTITION BY hy.qid, substr(hy.content, 1, 100)
+                                    ORDER BY kk.created_at DESC, hy.rank) AS rn,
+                 min(hy.rank) OVER (PARTITION BY hy.qid, substr(hy.content, 1, 100)) AS key_order
+          FROM hybrid hy JOIN v_knowledge kk ON kk.id = hy.id) WHERE rn = 1) h
+  JOIN v_queries q ON q.qid = h.qid) WHERE rerank < 5""",
+    "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
+def kb_search_pipeline(spark, sf_dir):
+    r = S.search_pipeline(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    return r.select("qid", "id", F.round("relevance_score", 4).alias("relevance_score"), "rerank")
+
+
+@register("kb_relevance_gate", sql("""
+SELECT qid, id, round(similarity, 6) AS similarity, round(rrf_score, 10) AS rrf_score FROM hybrid
+WHERE coalesce(similarity, 0.0) > 0.25 OR rrf_score > 0.015""", "v_knowledge", "v_queries", ctes=hybrid_ctes(3)))
+def kb_relevance_gate(spark, sf_dir):
+    h = S.relevance_gate(S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 3))
+    return h.select("qid", "id", F.round("similarity", 6).alias("similarity"),
+                    F.round("rrf_score", 10).alias("rrf_score"))
+
+
+FILTER_WHERE = (f"list_contains({tokens_sql('content')}, 'the') AND json_extract_string(metadata, '$.ip') IN "
+                f"(SELECT src_ip FROM ip_scores WHERE threat_score > 20)")
+
+
+@register("kb_filtered_vector", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
+    "v_knowledge", "v_queries", "v_flows", ctes=(("ip_scores", IP_SCORES_SQL), ("sem", sem_sql(10, FILTER_WHERE)))))
+def kb_filtered_vector(spark, sf_dir):
+    """Vector order + FTS predicate + join on a JSON field + numeric filter, filters before scoring."""
+    kb = _kb(spark, sf_dir)
+    hot = ip_scores(spark, sf_dir).filter(F.col("threat_score") > 20).select(F.col("src_ip").alias("_ip"))
+    cand = kb.filter(F.array_contains(TX.tokens("content"), "the")) \
+             .join(hot, F.get_json_object("metadata", "$.ip") == F.col("_ip"), "left_semi")
+    r = VEC.cosine_topk(cand, _q(spark, sf_dir), 10)
+    return r.select("qid", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@register("kb_cross_tenant", sql("""
+SELECT qid, id, 'fr' AS tenant, round(similarity, 6) AS similarity, rank FROM sem""",
+    "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5, "tenant = 'fr'")),)))
+def kb_cross_tenant(spark, sf_dir, tenant="fr"):
+    """Read-only search in another cell's knowledge: the same search with a tenant predicate."""
+    kb = _kb(spark, sf_dir).filter(F.col("tenant") == tenant)
+    r = VEC.cosine_topk(kb, _q(spark, sf_dir), 5, carry=("tenant",))
+    return r.select("qid", "id", "tenant", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@register("join_pattern_match", sql(f"""
+SELECT id, pattern_id, round(similarity, 6) AS similarity FROM (
+  SELECT k.id, q.qid AS pattern_id, {COS} AS similarity,
+         row_number() OVER (PARTITION BY k.id ORDER BY {COS} DESC, q.qid) AS rn
+  FROM v_knowledge k CROSS JOIN v_queries q) WHERE rn = 1 AND similarity > 0.3""", "v_knowledge", "v_queries"))
+def join_pattern_match(spark, sf_dir):
+    m = VEC.best_match(_kb(spark, sf_dir), _q(spark, sf_dir), 0.3)
+    return m.select("id", "pattern_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("kb_ttl", sql("""
+SELECT id, expires_at FROM v_knowledge WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-02 04:00:00'""",
+    "v_knowledge"))
+def kb_ttl(spark, sf_dir):
+    kb = _kb(spark, sf_dir)
+    return S.not_expired(kb, F.lit("2024-01-02 04:00:00").cast("timestamp_ntz")).select("id", "expires_at")
+
+
+# ---- rows-only keys (Python model tests cover the rules) ----
+
+@register("kb_chunk")
+def kb_chunk(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(TX.chunk_udf()("text")).alias("chunk_no", "chunk")) \
+               .select("doc_id", "chunk_no", F.length("chunk").alias("chunk_chars"), "chunk")
+
+
+@register("kb_embed")
+def kb_embed(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", TX.embed_udf()("text").alias("embedding"))
+
+
+def ingest(chunks_df, path: str, tenant_col: str = "tenant"):
+    """``store()``: chunk -> embed -> append, partitioned by tenant."""
+    chunks_df.write.mode("append").partitionBy(tenant_col).parquet(path)
+
+
+@register("kb_ingest")
+def kb_ingest(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id"), F.col("source").alias("category"), F.col("lang").alias("tenant"),
+                         F.posexplode(TX.chunk_udf()("text")).alias("chunk_no", "content"))
+    rows = chunks.select("doc_id", "chunk_no", "content", "category", "tenant",
+                         TX.embed_udf()("content").alias("embedding"),
+                         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
+    path = scratch_path(spark, "kb/knowledge_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    rows.write.mode("overwrite").partitionBy("tenant").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("kb_ann_search")
+def kb_ann_search(spark, sf_dir):
+    return VEC.lsh_candidates(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+
+
+def table_stats(spark, sf_dir, names=TABLES):
+    """Rows, bytes on disk and index kinds per table, as one union of small aggregates."""
+    out = None
+    for name in names:
+        df = load(spark, sf_dir, name)
+        kinds = []
+        if any(str(f.dataType).startswith("ArrayType(FloatType") for f in df.schema.fields):
+            kinds.append("vector")
+        if any(str(f.dataType) == "StringType()" and f.name in ("text", "content", "html") for f in df.schema.fields):
+            kinds.append("fts")
+        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
+        size = files.distinct().agg(F.sum("s").alias("size_bytes"))
+        rows = df.agg(F.count("*").alias("rows"))
+        one = rows.join(size, how="left").select(   # two one-row aggregates
+            F.lit(name).alias("table"), "rows", "size_bytes",
+            F.lit(",".join(kinds)).alias("indexes"))
+        out = one if out is None else out.unionByName(one)
+    human = F.when(F.col("size_bytes") < 1024, F.format_string("%.1f B", F.col("size_bytes").cast("double"))) \
+        .when(F.col("size_bytes") < 1024 ** 2, F.format_string("%.1f KB", F.col("size_bytes") / 1024)) \
+        .when(F.col("size_bytes") < 1024 ** 3, F.format_string("%.1f MB", F.col("size_bytes") / 1024 ** 2)) \
+        .otherwise(F.format_string("%.1f GB", F.col("size_bytes") / 1024 ** 3))
+    return out.select("*", human.alias("size"))
+
+
+@register("kb_stats")
+def kb_stats(spark, sf_dir):
+    return table_stats(spark, sf_dir, ("documents", "embeddings", "labels"))
+
+
+@register("kb_describe_schema")
+def kb_describe_schema(spark, sf_dir):
+    """Tables, columns, types and nullability from the catalog, with row counts."""
+    rows = []
+    counts = None
+    for name in ("documents", "embeddings", "events"):
+        df = load(spark, sf_dir, name)
+        df.createOrReplaceTempView(f"kb_{name}")
+        for c in spark.catalog.listColumns(f"kb_{name}"):
+            rows.append((name, c.name, c.dataType, bool(c.nullable)))
+        n = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        counts = n if counts is None else counts.unionByName(n)
+    cols = spark.createDataFrame(rows, "table string, column string, type string, nullable boolean")
+    return cols.join(counts, "table")
