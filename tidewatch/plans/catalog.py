@@ -23,5 +23,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the plan modules fills the registry.
     from tidewatch.plans import (q_sources, q_exprs, q_joins, q_aggs, q_windows,  # noqa: F401
-                                 q_sets, q_state, q_detect, q_knowledge, q_audit)
+                                 q_sets, q_state, q_detect, q_knowledge, q_audit, q_streaming)
     return REGISTRY
