@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import scratch_path
 from tidewatch.sources import events as E
@@ -110,8 +111,9 @@ def sink_table(spark, sf_dir):
     summary = flow_summary(spark, sf_dir)
     for _ in range(2):
         S.write_batch_idempotent(summary, path, 0)
-    return spark.read.parquet(path).select("window_start", "window_end", "src_ip", "total_bytes",
-                                           "flow_count", F.col("batch_id").cast("int"))
+    schema = T.StructType([*summary.schema.fields, T.StructField("batch_id", T.IntegerType())])  # empty batch reads back
+    return spark.read.schema(schema).parquet(path).select("window_start", "window_end", "src_ip", "total_bytes",
+                                                          "flow_count", "batch_id")
 
 
 def _alerts(spark, sf_dir):
