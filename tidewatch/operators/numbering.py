@@ -29,9 +29,11 @@ def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
     tcol = order_cols[0]
     chunk = [*group_cols, "_tb"]
     based = df.select("*", time_bucket(tcol, bucket_seconds).alias("_tb"))
+    # One shuffle of the data: hash by chunk.  Counting and the join back
+    # reuse that partitioning; only the small per-chunk table moves again.
     local = based.select("*", (F.row_number().over(
         Window.partitionBy(*chunk).orderBy(*order_cols)) - 1).alias("_local"))
-    counts = based.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
+    counts = local.groupBy(*chunk).agg((F.max("_local") + 1).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     out = local.join(bases, chunk)

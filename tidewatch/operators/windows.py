@@ -34,12 +34,48 @@ def hop(df: DataFrame, time_col: str, size: str, slide: str, keys: list[str],
 
 
 def session(df: DataFrame, time_col: str, gap: str, keys: list[str], aggs: list[Column],
-            having: Column | None = None) -> DataFrame:
-    """``SESSION`` windows: rows at most ``gap`` apart share a session."""
-    out = _flatten(df.groupBy(F.session_window(time_col, gap).alias("window"), *keys).agg(*aggs))
+            having: Column | None = None, order_cols: list[str] | None = None) -> DataFrame:
+    """``SESSION`` windows: rows at most ``gap`` apart share a session
+    (window_start = first row, window_end = last row + gap).
+
+    Streams use ``session_window`` (state per key is incremental).  In batch,
+    ``session_window`` would cluster each key into one task, so sessions are
+    built as gaps-and-islands on range-safe sequence numbers instead
+    (``sessionize``), then aggregated with partial aggregation.
+    """
+    if df.isStreaming:
+        out = _flatten(df.groupBy(F.session_window(time_col, gap).alias("window"), *keys).agg(*aggs))
+    else:
+        s = sessionize(df, keys, time_col, gap, order_cols)
+        out = s.groupBy(*keys, "_session").agg(F.min(time_col).alias("window_start"),
+                                               F.max(time_col).alias("_last"), *aggs)
+        out = out.select("window_start", (F.col("_last") + F.expr(f"INTERVAL {gap}")).alias("window_end"),
+                         *keys, *[c for c in out.columns if c not in ("window_start", "_last", "_session", *keys)])
     return out.filter(having) if having is not None else out
 
 
+def sessionize(df: DataFrame, keys: list[str], time_col: str, gap: str,
+               order_cols: list[str] | None = None) -> DataFrame:
+    """Adds ``_session``: the 0-based session index of each row within its key.
+
+    A row starts a session when the key's previous row is more than ``gap``
+    earlier.  The index is (number of starts up to the row) - 1: for a start
+    its number among starts, otherwise (row number) - (number among
+    non-starts) - 1.  Three range-safe numberings, no per-key task.
+    """
+    order = order_cols or [time_col]
+    gap_us = F.expr(f"INTERVAL {gap}")
+    num = sequence_number(df, keys, order, "_all")
+    prev = num.select(*keys, (F.col("_all") + 1).alias("_all"), F.col(time_col).alias("_prev_t"))
+    flagged = num.join(prev, [*keys, "_all"], "left").select(
+        "*", (F.col("_prev_t").isNull() | (F.col(time_col) > F.col("_prev_t") + gap_us)).alias("_start"))
+    starts = sequence_number(flagged.filter("_start"), keys, order, "_s") \
+        .select("*", F.col("_s").alias("_session")).drop("_s")
+    rest = sequence_number(flagged.filter(~F.col("_start")), keys, order, "_n") \
+        .select("*", (F.col("_all") - F.col("_n") - 1).alias("_session")).drop("_n")
+    return starts.unionByName(rest).drop("_all", "_prev_t", "_start")
+
+
 def with_watermark(df: DataFrame, time_col: str, delay: str) -> DataFrame:
     """Bounded disorder.  Streams need a TIMESTAMP (not NTZ) event time."""
     if df.isStreaming:

@@ -53,7 +53,8 @@ FROM (SELECT *, sum(CASE WHEN prev IS NULL OR event_time - prev > INTERVAL 6 HOU
 GROUP BY user_id, sid""", "v_flows"))
 def win_session(spark, sf_dir):
     return W.session(V.v_flows(spark, sf_dir), "event_time", "6 hours", ["user_id"],
-                     [F.count("*").alias("events"), F.sum("bytes_sent").alias("total_bytes")])
+                     [F.count("*").alias("events"), F.sum("bytes_sent").alias("total_bytes")],
+                     order_cols=["event_time", "event_id"])
 
 
 def _rate(spark, sf_dir, hours=6):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.tables import load
+from tidewatch.functions.text import tokens
 from tidewatch.operators.numbering import sequence_number
 
 
@@ -139,12 +140,6 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_number(base, ["topic", "partition"], ["timestamp", "event_id"], "offset")
 
 
-def tokens(c) -> Column:
-    """Lower-cased letter/digit runs; the same rule in the DuckDB oracles."""
-    parts = F.split(F.lower(c if isinstance(c, Column) else F.col(c)), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda x: F.length(x) > 0)
-
-
 def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     emb = load(spark, sf_dir, "embeddings")

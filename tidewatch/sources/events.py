@@ -91,10 +91,12 @@ def decode(messages: DataFrame, schema: T.StructType, keep_envelope=("topic", "p
     text timestamp when ``time_field`` is given.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = messages.select(*keep_envelope, "value", F.from_json(
-        "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_e"))
-    ok = (F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()
-          & F.coalesce(F.col("value").rlike(r"^\s*\{"), F.lit(False)))
+    # Only values that open a JSON object are parsed; any other line is
+    # undecodable without running the parser over it.
+    is_object = F.substring(F.ltrim("value", F.lit(" \t\r\n")), 1, 1) == "{"
+    parsed = messages.select(*keep_envelope, "value", F.when(is_object, F.from_json(
+        "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).alias("_e"))
+    ok = F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()
     cols = [*keep_envelope, *[F.col("_e." + f.name).alias(f.name) for f in schema.fields]]
     if with_errors:
         out = parsed.select(*cols, "value", (~ok).alias("_parse_error"))
