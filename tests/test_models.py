@@ -187,3 +187,19 @@ def test_hybrid_topk_within_candidates(spark):
     content = {r.id: r.content for r in kb.select("id", "content").collect()}
     by_content = {(qid, content[i]) for qid, i in cands}
     assert all((qid, content[i]) in by_content for qid, i in top)
+
+
+def test_lsh_recall_against_exact(spark):
+    from tidewatch.operators.vector import lsh_candidates
+    kb, q = V.v_knowledge(spark, "/root/testdata/sf0.01"), V.v_queries(spark, "/root/testdata/sf0.01")
+    exact = {(r.qid, r.id) for r in cosine_topk(kb, q, 5).collect()}
+    approx = {(r.qid, r.id) for r in lsh_candidates(kb, q, 5, max_distance=1.3, num_tables=12).collect()}
+    assert len(exact & approx) / len(exact) >= 0.6
+
+
+def test_approx_distinct_error_bound(spark):
+    from tidewatch.operators.aggregates import distinct_count
+    fl = V.v_flows(spark, "/root/testdata/sf0.01")
+    got = fl.groupBy("dst_ip").agg(distinct_count("event_id", approx=True).alias("a"),
+                                   distinct_count("event_id").alias("e")).collect()
+    assert all(abs(r.a - r.e) <= 0.1 * r.e for r in got)
