@@ -112,3 +112,56 @@ def test_snapshot_upsert_is_idempotent(spark):
     fn(b1, 1)                                          # replayed batch
     snap = U.latest_snapshot(spark, base, schema)
     assert sorted(tuple(r) for r in snap.collect()) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_interval_join_stream_equals_batch(spark):
+    from tidewatch.operators import joins as J
+    from tidewatch.plans import views as V
+    sys_dir = R.fresh_dir(spark, "syslog")
+    sl = V.v_syslog(spark, SF_SMALL).filter(F.col("event_type").isin("auth_failure", "firewall_deny")) \
+        .select(F.col("event_id").alias("syslog_event_id"), "source_ip", F.col("event_time").alias("syslog_time"))
+    sl.write.parquet(sys_dir)
+
+    def build(src):
+        flows = R.flow_stream(spark, src).select(F.col("offset").alias("event_id"), "src_ip", "event_time") \
+            .withWatermark("event_time", "1 hour")
+        s = spark.readStream.schema(sl.schema).parquet(sys_dir) \
+            .withColumn("syslog_time", F.col("syslog_time").cast("timestamp")).withWatermark("syslog_time", "1 hour")
+        j = J.interval_join(flows, s, [("src_ip", "source_ip")], "event_time", "syslog_time", -1800, 1800)
+        return j.select("event_id", "syslog_event_id")
+    got = _run_chunks(spark, build)
+    flows_b = E.decode(flow_messages(spark, SF_SMALL), E.FLOW_SCHEMA).select(
+        F.col("offset").alias("event_id"), "src_ip", "event_time")
+    want = J.interval_join(flows_b, sl, [("src_ip", "source_ip")], "event_time", "syslog_time", -1800, 1800) \
+        .select("event_id", "syslog_event_id")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+
+
+def test_observed_counters_and_dlq_sink(spark):
+    from tidewatch.plans.q_state import route_flows  # noqa: F401  (same split rules)
+    from tidewatch.operators import state as ST2
+    src, ck = R.fresh_dir(spark, "t"), R.fresh_dir(spark, "c")
+    good_p, bad_p = R.fresh_dir(spark, "good"), R.fresh_dir(spark, "dlq")
+    msgs = flow_messages(spark, SF_SMALL)
+    for part in _chunks(msgs):
+        part.write.mode("append").parquet(src)
+    stream = E.decode(E.read_topic_files(spark, src, streaming=True), E.FLOW_SCHEMA, with_errors=True)
+    stream = R.observe_counters(stream, "flows", F.col("bytes_sent") >= 150_000)
+
+    def split(df):
+        return ST2.dlq_split(df, [(F.col("_parse_error"), "parse", F.lit("undecodable JSON"))])
+    q = R.run_foreach_batch(stream, R.dlq_sink(good_p, bad_p, split), ck)
+    total = msgs.count()
+    assert spark.read.parquet(good_p).count() + spark.read.parquet(bad_p).count() == total
+    obs = R.observed_totals(q, "flows")
+    assert obs["events_in"] == total
+    assert obs["alerts_out"] == E.decode(msgs, E.FLOW_SCHEMA).filter(F.col("bytes_sent") >= 150_000).count()
+
+
+def test_chunk_udtf_equals_udf(spark):
+    from tidewatch.functions.text import chunk_udf, register_udtfs
+    register_udtfs(spark)
+    spark.read.parquet(f"{SF_SMALL}/documents.parquet").createOrReplaceTempView("docs_udtf")
+    sql_rows = spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM docs_udtf d, LATERAL chunk_text(d.text) c")
+    udf_rows = spark.table("docs_udtf").select("doc_id", F.posexplode(chunk_udf()("text")).alias("chunk_no", "chunk"))
+    assert sorted(sql_rows.collect()) == sorted(udf_rows.collect())

@@ -75,3 +75,44 @@ def dropped_by_watermark(q: StreamingQuery) -> int:
             total += (op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
                       else op.numRowsDroppedByWatermark)
     return total
+
+
+def observe_counters(df: DataFrame, name: str, alert_flag=None, time_col: str = "event_time") -> DataFrame:
+    """Per-batch consumer counters as observed metrics (events in, alerts out,
+    last event time); they surface in each progress' ``observedMetrics``."""
+    flag = alert_flag if alert_flag is not None else F.lit(False)
+    return df.observe(name, F.count(F.lit(1)).alias("events_in"),
+                      F.count(F.when(flag, 1)).alias("alerts_out"),
+                      F.max(time_col).alias("last_event_time"))
+
+
+def observed_totals(q: StreamingQuery, name: str) -> dict:
+    """Sum of a query's observed counters over its recorded progress."""
+    events = alerts = 0
+    last = None
+    for p in q.recentProgress:
+        row = p.observedMetrics.get(name) if hasattr(p, "observedMetrics") else None
+        if row is None:
+            continue
+        events += row["events_in"] or 0
+        alerts += row["alerts_out"] or 0
+        if row["last_event_time"] is not None and (last is None or row["last_event_time"] > last):
+            last = row["last_event_time"]
+    return {"events_in": events, "alerts_out": alerts, "last_event_time": last}
+
+
+def dlq_sink(good_path: str, dlq_path: str, split):
+    """``foreachBatch`` writing good rows and dead letters of one micro-batch
+    (``split(df) -> (good, bad)``), each as its own ``batch_id`` partition so a
+    replayed batch overwrites instead of duplicating."""
+    from tidewatch.sources.sinks import write_batch_idempotent
+
+    def _write(batch_df: DataFrame, batch_id: int) -> None:
+        batch_df.persist()
+        try:
+            good, bad = split(batch_df)
+            write_batch_idempotent(good, good_path, batch_id)
+            write_batch_idempotent(bad, dlq_path, batch_id)
+        finally:
+            batch_df.unpersist()
+    return _write
