@@ -90,6 +90,9 @@ def test_rate_with_reset_matches_model(spark):
     rows = [(r.src_ip, r.event_time, r.event_id) for r in fl.collect()]
     assert got == _rate_reset_model(rows, 6 * 3600, 2)
     assert got, "fixture should raise alerts"
+    segmented = ST.process_events(fl, ["src_ip"], ["event_time", "event_id"], ST.rate_with_reset(6 * 3600, 2),
+                                  ST.RATE_RESET_SCHEMA, independent_after_s=6 * 3600)
+    assert sorted((r.src_ip, r.event_id, r["count"]) for r in segmented.collect()) == got
 
 
 # ------------------------------------------------- hot-key safe operators

@@ -20,7 +20,7 @@ EventFn = Callable[[dict, dict], list]
 
 def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn: EventFn,
                    output_schema: T.StructType | str, init: Callable[[dict], None] | None = None,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, independent_after_s: float | None = None) -> DataFrame:
     """Run ``fn(event, state) -> list[alert dict]`` over every event, in
     ``order_cols`` order per key, with a fresh ``state`` dict per key (after
     ``init(state)``).
@@ -29,8 +29,19 @@ def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn
     streamed through ``mapInPandas`` in Arrow batches: only the current
     key's state is held, never a whole group.  A function that raises is a
     consumer error: route such rows with ``dlq_split`` before calling.
+
+    ``independent_after_s``: when the function's state provably empties after
+    a quiet gap of that many seconds (true of sliding-window rules), each key's
+    timeline is cut at such gaps and the segments run in parallel, with the
+    same results; a hot key then spreads over its segments.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if independent_after_s is not None:
+        from tidewatch.operators.windows import sessionize
+        # a new segment starts when ts >= previous ts + gap (1 microsecond under "more than")
+        gap = f"{float(independent_after_s) - 1e-6:.6f} seconds"
+        df = sessionize(df, key_cols, order_cols[0], gap, order_cols).withColumnRenamed("_session", "_segment")
+        key_cols = [*key_cols, "_segment"]
     schema = output_schema if isinstance(output_schema, T.StructType) else T._parse_datatype_string(output_schema)
     names = [f.name for f in schema.fields]
     ordered = df.repartition(n, *key_cols).sortWithinPartitions(*key_cols, *order_cols)

@@ -29,8 +29,10 @@ def udf_process_event(spark, sf_dir):
 @register("win_rate_reset")
 def win_rate_reset(spark, sf_dir, window_s=6 * 3600, threshold=5):
     fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip")
+    # the rule's list empties after a quiet window, so keys split into independent segments
     return ST.process_events(fl, ["src_ip"], ["event_time", "event_id"],
-                             ST.rate_with_reset(window_s, threshold), ST.RATE_RESET_SCHEMA)
+                             ST.rate_with_reset(window_s, threshold), ST.RATE_RESET_SCHEMA,
+                             independent_after_s=window_s)
 
 
 @register("state_kv_upsert", sql("""
