@@ -1,44 +1,84 @@
-"""Dense 0-based sequence numbers per group, without a per-group window.
+"""Ordered per-key scans (row numbers, running sums, lag/lead) without a per-key task.
 
-``row_number() OVER (PARTITION BY g ORDER BY t, ...)`` sends each group to a
-single task, so a topic-partition or a device holding a third of a log
-would be sorted by one core.  Here the rows are numbered inside
-(group, time bucket) chunks, which hash-partition over the cluster, and each
-chunk's base offset comes from a small table of per-chunk counts (one row
-per group and bucket) with a running sum.  Every step is deterministic, so
-recomputation after a lost executor gives the same numbers.
+``row_number() / sum() / lag() OVER (PARTITION BY key ORDER BY t, ...)``
+sends each key to a single task, so a topic-partition or a device holding
+a third of a log would be scanned by one core.  Here rows are hash-
+partitioned by (key, time chunk) instead; every window runs inside a
+chunk, and what crosses chunk boundaries (running totals, the last or
+first value of the neighbouring non-empty chunk) comes from a small table
+with one row per (key, chunk).  Every step is deterministic, so
+recomputation after a lost executor gives the same result.
 
 Chunks are one minute wide by default: a key holding a third of 100 TB
 over a month still yields sub-GB chunks, while a sparse key costs at most
-one count row per event.
+one small-table row per event.  Scans chained on the same ``_tb`` column
+reuse one hash partitioning (``keep_chunk=True``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = "_tb"
 
-def time_bucket(col: str, width_seconds: int):
+
+def time_bucket(col: str, width_seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / (width_seconds * 1_000_000))
 
 
-def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                    name: str = "seq", bucket_seconds: int = 60) -> DataFrame:
-    """Number rows 0, 1, ... per group in ``order_cols`` order.
+def _chunked(df: DataFrame, order_cols: list[str], bucket_seconds: int) -> tuple[DataFrame, bool]:
+    if CHUNK in df.columns:
+        return df, False
+    return df.select("*", time_bucket(order_cols[0], bucket_seconds).alias(CHUNK)), True
+
+
+def _finish(out: DataFrame, added: bool, keep_chunk: bool) -> DataFrame:
+    return out.drop(CHUNK) if added and not keep_chunk else out
+
+
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value: Column | str,
+                name: str, bucket_seconds: int = 60, keep_chunk: bool = False) -> DataFrame:
+    """``sum(value) OVER (PARTITION BY group ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
-    The first order column must be a timestamp; ties are broken by the
-    remaining order columns, which should make the order total.
+    The first order column must be a timestamp; the order should be total.
     """
-    tcol = order_cols[0]
-    chunk = [*group_cols, "_tb"]
-    based = df.select("*", time_bucket(tcol, bucket_seconds).alias("_tb"))
-    # One shuffle of the data: hash by chunk.  Counting and the join back
-    # reuse that partitioning; only the small per-chunk table moves again.
-    local = based.select("*", (F.row_number().over(
-        Window.partitionBy(*chunk).orderBy(*order_cols)) - 1).alias("_local"))
-    counts = local.groupBy(*chunk).agg((F.max("_local") + 1).alias("_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    out = local.join(bases, chunk)
-    return out.select(*df.columns, (F.col("_base") + F.col("_local")).alias(name))
+    base, added = _chunked(df, order_cols, bucket_seconds)
+    cols = base.columns
+    chunk = [*group_cols, CHUNK]
+    v = value if isinstance(value, Column) else F.col(value)
+    w = Window.partitionBy(*chunk).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select("*", F.sum(v).over(w).alias("_local"), v.alias("_v"))
+    totals = local.groupBy(*chunk).agg(F.sum("_v").alias("_total"))
+    before = Window.partitionBy(*group_cols).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    out = local.join(bases, chunk).select(*cols, (F.col("_base") + F.col("_local")).alias(name))
+    return _finish(out, added, keep_chunk)
+
+
+def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                    name: str = "seq", bucket_seconds: int = 60, keep_chunk: bool = False) -> DataFrame:
+    """Dense 0-based row numbers per group in ``order_cols`` order."""
+    out = running_sum(df, group_cols, order_cols, F.lit(1), "_rs", bucket_seconds, keep_chunk)
+    return out.withColumn(name, F.col("_rs") - 1).drop("_rs")
+
+
+def neighbour_values(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                     direction: int, prefix: str, bucket_seconds: int = 60,
+                     keep_chunk: bool = False) -> DataFrame:
+    """``lag`` (direction -1) or ``lead`` (+1) of each value column per group."""
+    base, added = _chunked(df, order_cols, bucket_seconds)
+    cols = base.columns
+    chunk = [*group_cols, CHUNK]
+    w = Window.partitionBy(*chunk).orderBy(*order_cols)
+    shift = F.lag if direction < 0 else F.lead
+    local = base.select("*", *[shift(c).over(w).alias("_n_" + c) for c in value_cols],
+                        shift(F.lit(1)).over(w).isNull().alias("_edge"))
+    pick = F.max_by if direction < 0 else F.min_by          # last row before / first row after
+    ends = local.groupBy(*chunk).agg(*[pick(c, F.struct(*order_cols)).alias("_e_" + c) for c in value_cols])
+    wc = Window.partitionBy(*group_cols).orderBy(CHUNK)
+    carry = ends.select(*chunk, *[shift("_e_" + c).over(wc).alias("_c_" + c) for c in value_cols])
+    out = local.join(carry, chunk).select(
+        *cols, *[F.when(F.col("_edge"), F.col("_c_" + c)).otherwise(F.col("_n_" + c)).alias(prefix + c)
+                 for c in value_cols])
+    return _finish(out, added, keep_chunk)

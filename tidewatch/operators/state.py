@@ -127,19 +127,24 @@ def accumulate_upsert(snapshot: DataFrame, batch: DataFrame, keys: list[str], ad
     return j.select(*cols)
 
 
-def dlq_split(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Split rows into (good, dead letters).
+def dlq_tag(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> DataFrame:
+    """Adds ``error_type`` and ``error`` (null for good rows).
 
     ``checks`` are ``(is_error, error_type, message)``; the first failing
     check names the error.  Errors come from ``try_*`` expressions and
-    validations, so the split stays JVM-side; both outputs come from one
-    scan when written in the same ``foreachBatch``.
+    validations, so tagging stays JVM-side and needs one pass.
     """
     etype, emsg = F.lit(None).cast("string"), F.lit(None).cast("string")
     for cond, name, msg in reversed(checks):
         etype = F.when(cond, F.lit(name)).otherwise(etype)
         emsg = F.when(cond, msg).otherwise(emsg)
-    tagged = df.select("*", etype.alias("error_type"), emsg.alias("error"))
+    return df.select("*", etype.alias("error_type"), emsg.alias("error"))
+
+
+def dlq_split(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """Split rows into (good, dead letters).  Write both from one persisted
+    micro-batch (``streaming.runner.dlq_sink``) so the input is read once."""
+    tagged = dlq_tag(df, checks)
     good = tagged.filter(F.col("error_type").isNull()).drop("error_type", "error")
     bad = tagged.filter(F.col("error_type").isNotNull())
     return good, bad

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.numbering import sequence_number
+from tidewatch.operators.numbering import neighbour_values, running_sum
 
 
 def _flatten(df: DataFrame, wcol: str = "window") -> DataFrame:
@@ -40,7 +40,7 @@ def session(df: DataFrame, time_col: str, gap: str, keys: list[str], aggs: list[
 
     Streams use ``session_window`` (state per key is incremental).  In batch,
     ``session_window`` would cluster each key into one task, so sessions are
-    built as gaps-and-islands on range-safe sequence numbers instead
+    built as gaps-and-islands on chunked per-key scans instead
     (``sessionize``), then aggregated with partial aggregation.
     """
     if df.isStreaming:
@@ -59,21 +59,15 @@ def sessionize(df: DataFrame, keys: list[str], time_col: str, gap: str,
     """Adds ``_session``: the 0-based session index of each row within its key.
 
     A row starts a session when the key's previous row is more than ``gap``
-    earlier.  The index is (number of starts up to the row) - 1: for a start
-    its number among starts, otherwise (row number) - (number among
-    non-starts) - 1.  Three range-safe numberings, no per-key task.
+    earlier; the index is the running count of starts minus one.  Both scans
+    share one (key, chunk) partitioning: one shuffle, no per-key task.
     """
     order = order_cols or [time_col]
-    gap_us = F.expr(f"INTERVAL {gap}")
-    num = sequence_number(df, keys, order, "_all")
-    prev = num.select(*keys, (F.col("_all") + 1).alias("_all"), F.col(time_col).alias("_prev_t"))
-    flagged = num.join(prev, [*keys, "_all"], "left").select(
-        "*", (F.col("_prev_t").isNull() | (F.col(time_col) > F.col("_prev_t") + gap_us)).alias("_start"))
-    starts = sequence_number(flagged.filter("_start"), keys, order, "_s") \
-        .select("*", F.col("_s").alias("_session")).drop("_s")
-    rest = sequence_number(flagged.filter(~F.col("_start")), keys, order, "_n") \
-        .select("*", (F.col("_all") - F.col("_n") - 1).alias("_session")).drop("_n")
-    return starts.unionByName(rest).drop("_all", "_prev_t", "_start")
+    prev = previous_in_key(df, keys, order, [time_col], "_prev_", keep_chunk=True)
+    start = (F.col("_prev_" + time_col).isNull()
+             | (F.col(time_col) > F.col("_prev_" + time_col) + F.expr(f"INTERVAL {gap}"))).cast("long")
+    out = running_sum(prev, keys, order, start, "_starts", keep_chunk=True)
+    return out.select(*df.columns, (F.col("_starts") - 1).alias("_session"))
 
 
 def with_watermark(df: DataFrame, time_col: str, delay: str) -> DataFrame:
@@ -105,28 +99,16 @@ def rate_in_range(df: DataFrame, key: str, time_col: str, seconds: int,
 
 
 def previous_in_key(df: DataFrame, keys: list[str], order_cols: list[str],
-                    value_cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """``lag(value) OVER (PARTITION BY keys ORDER BY order_cols)`` for each value.
-
-    Built as a sequence number per key (range-partitioned, see
-    ``sequence_number``) and an equi-join of row n with row n-1 on
-    (key, n): hash-distributed on the sequence number, so a key with a third
-    of all rows is spread over every task.
-    """
-    num = sequence_number(df, keys, order_cols, "_seq")
-    prev = num.select(*keys, (F.col("_seq") + 1).alias("_seq"),
-                      *[F.col(c).alias(prefix + c) for c in value_cols])
-    return num.join(prev, [*keys, "_seq"], "left").drop("_seq")
+                    value_cols: list[str], prefix: str = "prev_", keep_chunk: bool = False) -> DataFrame:
+    """``lag(value) OVER (PARTITION BY keys ORDER BY order_cols)`` for each value,
+    as a chunked scan (see ``numbering``): no key is handled by a single task."""
+    return neighbour_values(df, keys, order_cols, value_cols, -1, prefix, keep_chunk=keep_chunk)
 
 
 def next_in_key(df: DataFrame, keys: list[str], order_cols: list[str],
-                value_cols: list[str], prefix: str = "next_", seq_name: str | None = None) -> DataFrame:
-    """``lead`` counterpart of ``previous_in_key``; optionally keeps the sequence number."""
-    num = sequence_number(df, keys, order_cols, "_seq")
-    nxt = num.select(*keys, (F.col("_seq") - 1).alias("_seq"),
-                     *[F.col(c).alias(prefix + c) for c in value_cols])
-    out = num.join(nxt, [*keys, "_seq"], "left")
-    return out.withColumnRenamed("_seq", seq_name) if seq_name else out.drop("_seq")
+                value_cols: list[str], prefix: str = "next_", keep_chunk: bool = False) -> DataFrame:
+    """``lead`` counterpart of ``previous_in_key``."""
+    return neighbour_values(df, keys, order_cols, value_cols, +1, prefix, keep_chunk=keep_chunk)
 
 
 def changed_from_previous(df: DataFrame, keys: list[str], order_cols: list[str],
@@ -153,17 +135,12 @@ def runs(df: DataFrame, keys: list[str], order_cols: list[str], flag: Column,
          min_len: int, time_col: str) -> DataFrame:
     """Maximal runs of consecutive flagged rows per key, of length >= min_len.
 
-    Gaps-and-islands: (row number among all rows) - (row number among flagged
-    rows) is constant inside a run.  Both numberings are range-partitioned,
-    so no key is handled by a single task.
+    Gaps-and-islands: the running count of unflagged rows is constant inside
+    a run of flagged rows, so it names the run; one chunked scan.
     """
-    base = df.select(*keys, *[c for c in order_cols if c not in keys],
-                     *([time_col] if time_col not in order_cols else []),
-                     flag.alias("_flag"))
-    all_n = sequence_number(base, keys, order_cols, "_all")
-    flagged = all_n.filter("_flag")
-    both = sequence_number(flagged, keys, order_cols, "_hit")
-    return (both.groupBy(*keys, (F.col("_all") - F.col("_hit")).alias("_island"))
+    base = df.select("*", flag.alias("_flag"))
+    isl = running_sum(base, keys, order_cols, (~F.col("_flag")).cast("long"), "_island")
+    return (isl.filter("_flag").groupBy(*keys, "_island")
             .agg(F.count("*").alias("run_length"), F.min(time_col).alias("run_start"),
                  F.max(time_col).alias("run_end"))
             .filter(F.col("run_length") >= min_len).drop("_island"))

@@ -68,14 +68,15 @@ def upsert_accumulate(spark, sf_dir):
                                 ["ip"], add=["score"], replace=["event_count"])
 
 
-def route_flows(spark, sf_dir):
-    msgs = flow_messages(spark, sf_dir)
-    decoded = E.decode(msgs, E.FLOW_SCHEMA, with_errors=True)
+def _flow_checks():
     per_packet = F.try_divide(F.col("bytes_sent"), F.col("packets") - 1)
-    return ST.dlq_split(decoded, [
-        (F.col("_parse_error"), "parse", F.lit("undecodable JSON")),
-        (per_packet.isNull(), "ZeroDivisionError", F.lit("division by zero")),
-    ])
+    return [(F.col("_parse_error"), "parse", F.lit("undecodable JSON")),
+            (per_packet.isNull(), "ZeroDivisionError", F.lit("division by zero"))]
+
+
+def route_flows(spark, sf_dir):
+    decoded = E.decode(flow_messages(spark, sf_dir), E.FLOW_SCHEMA, with_errors=True)
+    return ST.dlq_split(decoded, _flow_checks())
 
 
 @register("dlq_route", sql("""
@@ -84,9 +85,11 @@ SELECT event_id AS "offset", CASE WHEN packets - 1 = 0 THEN 'dlq' ELSE 'ok' END
 FROM v_flows
 UNION ALL SELECT doc_id + 1000000000, 'dlq', 'parse' FROM documents""", "v_flows"))
 def dlq_route(spark, sf_dir):
-    good, bad = route_flows(spark, sf_dir)
-    return good.select("offset", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_type")) \
-        .unionByName(bad.select("offset", F.lit("dlq").alias("status"), "error_type"))
+    """Every message once: ``ok`` or routed to the DLQ with its error type (one pass)."""
+    decoded = E.decode(flow_messages(spark, sf_dir), E.FLOW_SCHEMA, with_errors=True)
+    tagged = ST.dlq_tag(decoded, _flow_checks())
+    return tagged.select("offset", F.when(F.col("error_type").isNull(), "ok").otherwise("dlq").alias("status"),
+                         "error_type")
 
 
 @register("dlq_tail", sql("""
