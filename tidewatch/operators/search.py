@@ -27,6 +27,16 @@ RRF_GATE = 0.015           # relevance gate on the fused score
 DEDUPE_PREFIX = 100        # characters of content that key a "topic"
 
 
+def bounded_queries(queries: DataFrame, max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
+    """The query batch, checked against its bound and held as a local relation,
+    so every step of a search plan reads it from memory instead of recomputing
+    it from the tables."""
+    rows = queries.limit(max_queries + 1).collect()
+    if len(rows) > max_queries:
+        raise ValueError(f"query batch exceeds {max_queries} rows; split it")
+    return queries.sparkSession.createDataFrame(rows, queries.schema)
+
+
 def candidates(k: int) -> int:
     """Candidates fetched per side for a top-k request: max(4k, 20)."""
     return max(4 * k, 20)
@@ -51,18 +61,19 @@ def fts_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     document tokens are filtered to query lexemes inside the scan stage;
     only matching (query, doc, term) counts are aggregated and shuffled.
     """
-    q = queries.select(qid, F.array_distinct(tokens(qtext)).alias("_terms"))
-    n_terms = q.select(qid, F.size("_terms").alias("_n_terms")).filter("_n_terms > 0")
-    qt = q.select(qid, F.explode("_terms").alias("token"))
+    q = bounded_queries(queries).select(qid, F.array_distinct(tokens(qtext)).alias("_terms"))
+    # one broadcast table: (qid, term, number of distinct terms of the query)
+    qt = q.select(qid, F.explode("_terms").alias("token"), F.size("_terms").alias("_n_terms"))
     if not bounded_size(qt, max_terms):
         raise ValueError("query terms exceed the broadcast bound; split the query batch")
     docs = corpus.select(id_col, tokens(text_col).alias("_toks"))
     dt = docs.select(id_col, F.size("_toks").alias("_n_tokens"), F.explode("_toks").alias("token"))
     hits = dt.join(F.broadcast(qt), "token")
-    tf = hits.groupBy(qid, id_col, "token").agg(F.count("*").alias("_tf"), F.max("_n_tokens").alias("_n_tokens"))
+    tf = hits.groupBy(qid, id_col, "token").agg(F.count("*").alias("_tf"), F.max("_n_tokens").alias("_n_tokens"),
+                                              F.max("_n_terms").alias("_n_terms"))
     per = tf.groupBy(qid, id_col).agg(F.count("*").alias("_matched"), F.sum("_tf").alias("_tf_sum"),
-                                      F.max("_n_tokens").alias("_n_tokens"))
-    scored = per.join(F.broadcast(n_terms), qid).filter(F.col("_matched") == F.col("_n_terms")) \
+                                      F.max("_n_tokens").alias("_n_tokens"), F.max("_n_terms").alias("_n_terms"))
+    scored = per.filter(F.col("_matched") == F.col("_n_terms")) \
                 .select(qid, id_col, (F.col("_tf_sum") / F.col("_n_tokens")).alias("score"))
     return _top(scored, qid, "score", id_col, k)
 
@@ -74,7 +85,8 @@ def semantic_topk(corpus: DataFrame, queries: DataFrame, k: int, category: str |
     applied before scoring so it reaches the scan."""
     if category is not None:
         corpus = corpus.filter(F.col("category") == category)
-    return cosine_topk(corpus, queries, k, id_col, vec_col, carry=tuple(carry), max_queries=max_queries)
+    return cosine_topk(corpus, bounded_queries(queries, max_queries), k, id_col, vec_col, carry=tuple(carry),
+                       max_queries=max_queries)
 
 
 def fuse_full(vector: DataFrame, fts: DataFrame, qid: str = "qid", id_col: str = "id",
@@ -110,6 +122,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | Non
     reciprocal-rank fusion, best k per query (ties: lower id).  The FTS side
     uses ``keyword_col`` of the query table when given, else the query text."""
     n = candidates(k)
+    queries = bounded_queries(queries)
     vec = semantic_topk(corpus, queries, n)
     fq = queries if keyword_col is None else queries.select(qid, F.coalesce(keyword_col, "query_text")
                                                             .alias("query_text"))
@@ -126,8 +139,8 @@ def rerank(cands: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_co
     Default scorer: token Jaccard (pure SQL).  ``scorer(query_text, content)``
     may return any Column, e.g. a cross-encoder pandas UDF.  Ties keep the
     prior candidate order."""
-    q = queries.select(qid, "query_text")
-    pairs = cands.join(F.broadcast(q) if bounded_size(q, DEFAULT_MAX_QUERIES) else q, qid)
+    q = bounded_queries(queries).select(qid, "query_text")
+    pairs = cands.join(F.broadcast(q), qid)
     score = scorer(F.col("query_text"), F.col("content")) if scorer else \
         jaccard(F.array_distinct(tokens("query_text")), F.array_distinct(tokens("content")))
     scored = pairs.select(*cands.columns, score.alias("relevance_score"))
@@ -150,6 +163,7 @@ def dedupe_recent(cands: DataFrame, qid: str = "qid", created: str = "created_at
 def search_pipeline(corpus: DataFrame, queries: DataFrame, k: int = 5, qid: str = "qid",
                     id_col: str = "id", scorer=None) -> DataFrame:
     """Hybrid retrieval at max(4k, 20), dedupe by content prefix, re-rank, cut to k."""
+    queries = bounded_queries(queries)
     fused = hybrid(corpus, queries, candidates(k), qid=qid, id_col=id_col)
     fused = fused.join(corpus.select(id_col, "created_at"), id_col)
     deduped = dedupe_recent(fused, qid)
