@@ -206,3 +206,23 @@ def test_approx_distinct_error_bound(spark):
     got = fl.groupBy("dst_ip").agg(distinct_count("event_id", approx=True).alias("a"),
                                    distinct_count("event_id").alias("e")).collect()
     assert all(abs(r.a - r.e) <= 0.1 * r.e for r in got)
+
+
+def test_ordered_scans_ignore_session_time_zone(spark):
+    """NTZ epochs are computed without the session time zone (DST-safe)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [(i, "k", T0 + timedelta(days=69, hours=i % 5, minutes=i)) for i in range(200)]  # spans a DST switch
+        df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz")
+        got = sequence_number(df, ["key"], ["ts", "id"], "seq")
+        ref = df.select("id", (F.row_number().over(Window.partitionBy("key").orderBy("ts", "id")) - 1).alias("ref"))
+        assert got.join(ref, "id").filter("seq != ref").count() == 0
+        rate = W.rate_in_range(df, "key", "ts", 3600, "r")
+        wall_us = F.expr("unix_date(cast(ts AS DATE)) * 86400000000L + (hour(ts) * 3600L + minute(ts) * 60L)"
+                         " * 1000000L + cast(date_part('SECOND', ts) * 1000000 AS BIGINT)")
+        w = Window.partitionBy("key").orderBy(wall_us).rangeBetween(-3_600_000_000, 0)
+        ref2 = df.select("id", F.count("*").over(w).alias("r2"))
+        assert rate.join(ref2, "id").filter("r != r2").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

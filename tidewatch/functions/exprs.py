@@ -22,6 +22,19 @@ def event_time(c, formats=TS_FORMATS) -> Column:
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
+def epoch_micros(df, col: str) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp column, independent of the
+    session time zone for TIMESTAMP_NTZ (wall-clock UTC) columns."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        # calendar fields only: casts and timestampdiff would pass through the session zone
+        c = f"`{col}`"
+        return F.expr(f"unix_date(cast({c} AS DATE)) * 86400000000L"
+                      f" + (hour({c}) * 3600L + minute({c}) * 60L) * 1000000L"
+                      f" + cast(date_part('SECOND', {c}) * 1000000 AS BIGINT)")
+    return F.unix_micros(F.col(col))
+
+
 def json_path(c, path: str) -> Column:
     """``metadata->>'field'``: text of a JSON path, null when absent."""
     return F.get_json_object(_c(c), path)

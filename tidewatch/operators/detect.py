@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import epoch_micros
 from tidewatch.operators import windows as W
 from tidewatch.operators.aggregates import distinct_count
 from tidewatch.operators.joins import interval_join
@@ -86,7 +87,7 @@ def device_offline(polls: DataFrame, max_gap_s: int = 60) -> DataFrame:
     (2 x the 30 s poll interval by default)."""
     nxt = W.next_in_key(polls.select("device_id", "event_id", "event_time", "status"),
                         ["device_id"], ["event_time", "event_id"], ["event_time"])
-    gap = F.unix_micros(F.col("next_event_time").cast("timestamp")) - F.unix_micros(F.col("event_time").cast("timestamp"))
+    gap = epoch_micros(nxt, "next_event_time") - epoch_micros(nxt, "event_time")
     gap_s = F.floor(gap / 1_000_000).cast("bigint")
     offline = nxt.filter(F.col("status") == "offline").select(
         "device_id", "event_id", "event_time", F.lit("offline").alias("reason"), gap_s.alias("gap_seconds"))

@@ -8,14 +8,12 @@ used only behind a bounded row-count check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_US = 1_000_000
-
+from tidewatch.functions.exprs import epoch_micros
 
-def _epoch_us(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+_US = 1_000_000
 
 
 def bounded_size(df: DataFrame, max_rows: int) -> bool:
@@ -43,8 +41,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     """
     width = max(int(upper_s - lower_s), 1) * _US
     lcols, rcols = left.columns, right.columns
-    l2 = left.select(*lcols, F.floor(_epoch_us(left_time) / width).alias("_jb"))
-    rt = _epoch_us(right_time)
+    l2 = left.select(*lcols, F.floor(epoch_micros(left, left_time) / width).alias("_jb"))
+    rt = epoch_micros(right, right_time)
     lo = F.floor((rt - int(upper_s) * _US) / width)
     hi = F.floor((rt - int(lower_s) * _US) / width)
     r2 = right.select(*rcols, F.explode(F.sequence(lo, hi)).alias("_rb"))

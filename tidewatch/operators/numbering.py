@@ -20,17 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import epoch_micros
+
 CHUNK = "_tb"
 
 
-def time_bucket(col: str, width_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / (width_seconds * 1_000_000))
+def time_bucket(df: DataFrame, col: str, width_seconds: int) -> Column:
+    return F.floor(epoch_micros(df, col) / (width_seconds * 1_000_000))
 
 
 def _chunked(df: DataFrame, order_cols: list[str], bucket_seconds: int) -> tuple[DataFrame, bool]:
     if CHUNK in df.columns:
         return df, False
-    return df.select("*", time_bucket(order_cols[0], bucket_seconds).alias(CHUNK)), True
+    return df.select("*", time_bucket(df, order_cols[0], bucket_seconds).alias(CHUNK)), True
 
 
 def _finish(out: DataFrame, added: bool, keep_chunk: bool) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exprs import epoch_micros
 from tidewatch.operators.numbering import neighbour_values, running_sum
 
 
@@ -86,7 +87,7 @@ def rate_in_range(df: DataFrame, key: str, time_col: str, seconds: int,
     once into the next bucket as context, so a hot key is spread over its
     buckets instead of landing in one task.
     """
-    epoch = F.unix_micros(F.col(time_col).cast("timestamp"))
+    epoch = epoch_micros(df, time_col)
     width = int(seconds) * 1_000_000
     based = df.select("*", F.floor(epoch / width).alias("_b"), epoch.alias("_us"))
     own = based.select("*", F.lit(True).alias("_own"))
