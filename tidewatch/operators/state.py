@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import ship_package
+
 EventFn = Callable[[dict, dict], list]
 
 
@@ -35,6 +37,7 @@ def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn
     timeline is cut at such gaps and the segments run in parallel, with the
     same results; a hot key then spreads over its segments.
     """
+    ship_package(df.sparkSession)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if independent_after_s is not None:
         from tidewatch.operators.windows import sessionize

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import ship_package
+
 DEFAULT_MAX_QUERIES = 20_000
 
 
@@ -57,6 +59,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id
                 max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
     """Exact top-k cosine neighbours per query: (qid, id, *carry, similarity, rank 0-based)."""
     spark = corpus.sparkSession
+    ship_package(spark)
     q_ids, q_mat = _query_matrix(queries, qid, qvec, max_queries)
     bc = spark.sparkContext.broadcast((q_ids, q_mat))
     carry = tuple(carry)
@@ -98,6 +101,7 @@ def best_match(items: DataFrame, patterns: DataFrame, threshold: float, id_col:
     """Per item, the most similar pattern (ties: lower pattern id) if its cosine
     exceeds ``threshold``: (id, pattern_id, similarity).  Row-local: no shuffle."""
     spark = items.sparkSession
+    ship_package(spark)
     p_ids, p_mat = _query_matrix(patterns, pid, pvec, max_patterns)
     bc = spark.sparkContext.broadcast((p_ids, p_mat))
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("pattern_id", T.LongType()),

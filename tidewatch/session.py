@@ -71,3 +71,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidewatch`` importable in the Python workers of this application.
+
+    Pandas UDFs and ``mapInPandas`` functions refer to package functions, so
+    executors must import the package.  The source is zipped once per
+    application on the driver and distributed with ``addPyFile`` (the same as
+    ``spark-submit --py-files``); a package already installed on the
+    executors is unaffected.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = os.path.join(tempfile.mkdtemp(prefix="tidewatch-pyfiles-"), "tidewatch.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.session import ship_package
+
 _BLOB = T.StructType([T.StructField("blob", T.BinaryType())])
 
 
@@ -48,6 +50,7 @@ class EventFunctionProcessor(StatefulProcessor):
 
 def process_events_stream(df: DataFrame, key_cols: list[str], order_cols: list[str], fn,
                           output_schema: T.StructType | str, init=None) -> DataFrame:
+    ship_package(df.sparkSession)
     schema = output_schema if isinstance(output_schema, T.StructType) else T._parse_datatype_string(output_schema)
     proc = EventFunctionProcessor(fn, schema, order_cols, init)
     return df.groupBy(*key_cols).transformWithStateInPandas(
