@@ -247,11 +247,12 @@ def table_stats(spark, sf_dir, names=TABLES):
             kinds.append("vector")
         if any(str(f.dataType) == "StringType()" and f.name in ("text", "content", "html") for f in df.schema.fields):
             kinds.append("fts")
-        files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-        size = files.distinct().agg(F.sum("s").alias("size_bytes"))
-        rows = df.agg(F.count("*").alias("rows"))
-        one = rows.join(size, how="left").select(   # two one-row aggregates
-            F.lit(name).alias("table"), "rows", "size_bytes",
+        # rows and bytes in one pass: per data file, then summed (no join)
+        per_file = df.groupBy(F.col("_metadata.file_path").alias("p")).agg(
+            F.count("*").alias("n"), F.max("_metadata.file_size").alias("s"))
+        one = per_file.agg(F.sum("n").alias("rows"), F.sum("s").alias("size_bytes")).select(
+            F.lit(name).alias("table"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
+            F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("size_bytes"),
             F.lit(",".join(kinds)).alias("indexes"))
         out = one if out is None else out.unionByName(one)
     human = F.when(F.col("size_bytes") < 1024, F.format_string("%.1f B", F.col("size_bytes").cast("double"))) \
