@@ -197,3 +197,26 @@ def test_port_scan_stream_equals_batch(spark):
     want = D.port_scan(batch, "1 day", min_ports=2).filter(F.col("window_end") <= F.lit(last - timedelta(hours=1))) \
         .select(F.col("window_start").alias("ws"), "src_ip", "distinct_ports", "flows")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+
+
+def test_read_events_batch_and_stream(spark):
+    src = R.fresh_dir(spark, "t")
+    flow_messages(spark, SF_SMALL).write.parquet(src)
+    b = E.read_events(spark, src, E.FLOW_SCHEMA, start={"network.flows": {0: 100}})
+    n_all = E.read_events(spark, src, E.FLOW_SCHEMA).count()
+    assert 0 < b.count() < n_all
+    s = E.read_events(spark, src, E.FLOW_SCHEMA, streaming=True)
+    assert s.isStreaming
+
+
+def test_knowledge_ingest_stream(spark):
+    docs_dir, out, ck = R.fresh_dir(spark, "docs"), R.fresh_dir(spark, "kb"), R.fresh_dir(spark, "c")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        "doc_id", F.col("text").alias("content"), F.col("lang").alias("tenant"))
+    docs.write.parquet(docs_dir)
+    stream = spark.readStream.schema(docs.schema).parquet(docs_dir)
+    R.run_foreach_batch(stream, R.knowledge_ingest_sink(out), ck)
+    from tidewatch.functions.text import chunk_text
+    want = sum(len(chunk_text(r.content)) for r in docs.collect())
+    got = spark.read.parquet(out)
+    assert got.count() == want and set(got.columns) >= {"doc_id", "chunk_no", "content", "embedding", "tenant"}

@@ -165,3 +165,25 @@ def union_topics(frames: dict[str, DataFrame]) -> DataFrame:
         df = df.select(F.lit(topic).alias("topic"), *df.columns)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def read_events(spark: SparkSession, source: str, schema: T.StructType, streaming: bool = False,
+                start: str | dict = "earliest", end: str | dict = "latest", topics: list[str] | None = None,
+                bootstrap: str | None = None, fmt: str = "parquet", with_errors: bool = False) -> DataFrame:
+    """Topic(s) -> typed rows, batch or stream, from one definition.
+
+    ``source`` is a Kafka bootstrap list when ``bootstrap`` is set (``topics``
+    subscribed, Kafka offset specs for ``start``/``end``), otherwise a folder
+    of envelope files (offset specs become predicates in batch; a stream
+    starts from the files present).  Undecodable values are dropped, or kept
+    with ``_parse_error`` for a dead-letter sink.
+    """
+    if bootstrap:
+        msgs = read_kafka(spark, bootstrap, topics or [source], streaming, start, None if streaming else end)
+    else:
+        msgs = read_topic_files(spark, source, streaming=streaming, fmt=fmt)
+        if not streaming:
+            msgs = offset_range(msgs, start, end)
+        if topics:
+            msgs = msgs.filter(F.col("topic").isin(*topics))
+    return decode(msgs, schema, with_errors=with_errors)
