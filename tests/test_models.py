@@ -226,3 +226,14 @@ def test_ordered_scans_ignore_session_time_zone(spark):
         assert rate.join(ref2, "id").filter("r != r2").count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_sessionize_equals_per_key_window(spark):
+    df = _skewed(spark)
+    got = W.sessionize(df, ["key"], "ts", "20 minutes", ["ts", "id"]).select("id", "_session")
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    prev = F.lag("ts").over(w)
+    start = (prev.isNull() | (F.col("ts") > prev + F.expr("INTERVAL 20 MINUTES"))).cast("int")
+    ref = df.select("*", start.alias("s")).select(
+        "id", (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("ref"))
+    assert got.join(ref, "id").filter("_session != ref").count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import epoch_micros
-from tidewatch.operators.numbering import neighbour_values, running_sum
+from tidewatch.operators.numbering import CHUNK, _chunked, neighbour_values, running_sum
 
 
 def _flatten(df: DataFrame, wcol: str = "window") -> DataFrame:
@@ -60,15 +60,30 @@ def sessionize(df: DataFrame, keys: list[str], time_col: str, gap: str,
     """Adds ``_session``: the 0-based session index of each row within its key.
 
     A row starts a session when the key's previous row is more than ``gap``
-    earlier; the index is the running count of starts minus one.  Both scans
-    share one (key, chunk) partitioning: one shuffle, no per-key task.
+    earlier.  One pass over (key, minute) chunks counts starts inside each
+    chunk; a small per-chunk table (first time, last time, inner starts)
+    decides whether each chunk's first row starts a session and how many
+    starts precede the chunk.  One shuffle of the data, no per-key task.
     """
     order = order_cols or [time_col]
-    prev = previous_in_key(df, keys, order, [time_col], "_prev_", keep_chunk=True)
-    start = (F.col("_prev_" + time_col).isNull()
-             | (F.col(time_col) > F.col("_prev_" + time_col) + F.expr(f"INTERVAL {gap}"))).cast("long")
-    out = running_sum(prev, keys, order, start, "_starts", keep_chunk=True)
-    return out.select(*df.columns, (F.col("_starts") - 1).alias("_session"))
+    base, added = _chunked(df, order, 60)
+    chunk = [*keys, CHUNK]
+    w = Window.partitionBy(*chunk).orderBy(*order)
+    interval = F.expr(f"INTERVAL {gap}")
+    prev = F.lag(time_col).over(w)
+    local = base.select("*", (prev.isNotNull() & (F.col(time_col) > prev + interval)).cast("long").alias("_inner"))
+    local = local.select("*", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+    ends = local.groupBy(*chunk).agg(F.min(time_col).alias("_first_t"), F.max(time_col).alias("_last_t"),
+                                     F.sum("_inner").alias("_inner_n"))
+    wc = Window.partitionBy(*keys).orderBy(CHUNK)
+    prev_last = F.lag("_last_t").over(wc)
+    ends = ends.select(*chunk, "_inner_n",
+                       (prev_last.isNull() | (F.col("_first_t") > prev_last + interval)).cast("long").alias("_head"))
+    carry = ends.select(*chunk, "_head", F.coalesce(F.sum(F.col("_inner_n") + F.col("_head")).over(
+        wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = local.join(carry, chunk).select(
+        *df.columns, (F.col("_before") + F.col("_head") + F.col("_upto") - 1).alias("_session"))
+    return out
 
 
 def with_watermark(df: DataFrame, time_col: str, delay: str) -> DataFrame:
