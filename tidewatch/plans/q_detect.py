@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import detect as D
-from tidewatch.operators import windows as W
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import register
 from tidewatch.plans.oracle_views import sql

@@ -63,9 +63,9 @@ SYSLOG_TYPES = {  # fixed values: event_type of the driver table -> syslog event
 def v_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     fl = v_flows(spark, sf_dir)
     et = F.col("application")
-    mapped = F.when(et == "error", "auth_failure").when(et == "click", "firewall_allow") \
-        .when(et == "view", "auth_success").when(et == "signup", "vpn_connect") \
-        .when(et == "purchase", "firewall_deny")
+    mapped = F.lit(None).cast("string")
+    for source_type, syslog_type in reversed(list(SYSLOG_TYPES.items())):
+        mapped = F.when(et == source_type, syslog_type).otherwise(mapped)
     out = fl.select("event_id", "user_id", "event_time", mapped.alias("event_type"),
                     F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("destination_ip"))
     return out.select(
