@@ -97,11 +97,15 @@ def decode(messages: DataFrame, schema: T.StructType, keep_envelope=("topic", "p
     parsed = messages.select(*keep_envelope, "value", F.when(is_object, F.from_json(
         "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).alias("_e"))
     ok = F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()
-    cols = [*keep_envelope, *[F.col("_e." + f.name).alias(f.name) for f in schema.fields]]
+    fields = [F.col("_e." + f.name).alias(f.name) for f in schema.fields]
+    # Rows come out of a generator: projections do not collapse into it and
+    # the validity test cannot be pushed below it, so each value is parsed once
+    # (a plain select + filter would inline from_json into every field and the filter).
     if with_errors:
-        out = parsed.select(*cols, "value", (~ok).alias("_parse_error"))
+        gen = F.inline(F.array(F.struct(*fields, F.col("value").alias("value"), (~ok).alias("_parse_error"))))
     else:
-        out = parsed.filter(ok).select(*cols)
+        gen = F.inline(F.when(ok, F.array(F.struct(*fields))))
+    out = parsed.select(*keep_envelope, gen)
     if time_field:
         out = out.withColumn("event_time", event_time(time_field))
     return out
