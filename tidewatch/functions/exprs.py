@@ -117,6 +117,7 @@ def root_cause(trace) -> Column:
     """Deepest ``Caused by:`` line of an exception text (stripped, first ``"Caused by: "``
     removed), else its first line cut to 300 characters."""
     causes = F.regexp_extract_all(_c(trace), F.lit(CAUSED_BY), 1)
-    deepest = F.regexp_replace(F.element_at(causes, -1), r"^(.*?)Caused by: (.*)$", "$1$2")
+    # one regex pass: the last match or null (no Caused-by line), then the first line
+    deepest = F.regexp_replace(F.try_element_at(causes, F.lit(-1)), r"^(.*?)Caused by: (.*)$", "$1$2")
     first = F.substring(F.substring_index(_c(trace), "\n", 1), 1, 300)
-    return F.when(F.size(causes) > 0, deepest).otherwise(first)
+    return F.coalesce(deepest, first)

@@ -49,7 +49,10 @@ def _top(df: DataFrame, qid: str, score: str, id_col: str, n: int, name: str = "
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """Inverted index (re-aim of the GIN index): (token, id, tf)."""
-    return corpus.select(id_col, F.explode(tokens(text_col)).alias("token")) \
+    # explode_outer + null filter: a plain explode makes Spark infer size(tokens) > 0
+    # below the generator, tokenizing every text a second time
+    return corpus.select(id_col, F.explode_outer(tokens(text_col)).alias("token")) \
+                 .filter(F.col("token").isNotNull()) \
                  .groupBy("token", id_col).agg(F.count("*").alias("tf"))
 
 
@@ -67,7 +70,8 @@ def fts_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     if not bounded_size(qt, max_terms):
         raise ValueError("query terms exceed the broadcast bound; split the query batch")
     docs = corpus.select(id_col, tokens(text_col).alias("_toks"))
-    dt = docs.select(id_col, F.size("_toks").alias("_n_tokens"), F.explode("_toks").alias("token"))
+    dt = docs.select(id_col, F.size("_toks").alias("_n_tokens"), F.explode_outer("_toks").alias("token")) \
+        .filter(F.col("token").isNotNull())          # (see postings: tokenize once)
     hits = dt.join(F.broadcast(qt), "token")
     tf = hits.groupBy(qid, id_col, "token").agg(F.count("*").alias("_tf"), F.max("_n_tokens").alias("_n_tokens"),
                                               F.max("_n_terms").alias("_n_terms"))
@@ -141,9 +145,13 @@ def rerank(cands: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_co
     prior candidate order."""
     q = bounded_queries(queries).select(qid, "query_text")
     pairs = cands.join(F.broadcast(q), qid)
-    score = scorer(F.col("query_text"), F.col("content")) if scorer else \
-        jaccard(F.array_distinct(tokens("query_text")), F.array_distinct(tokens("content")))
-    scored = pairs.select(*cands.columns, score.alias("relevance_score"))
+    if scorer:
+        scored = pairs.select(*cands.columns, scorer(F.col("query_text"), F.col("content")).alias("relevance_score"))
+    else:
+        # token sets computed once per pair, then both set sizes read them
+        sets = pairs.select("*", F.array_distinct(tokens("query_text")).alias("_qs"),
+                            F.array_distinct(tokens("content")).alias("_ds"))
+        scored = sets.select(*cands.columns, jaccard(F.col("_qs"), F.col("_ds")).alias("relevance_score"))
     w = Window.partitionBy(qid).orderBy(F.col("relevance_score").desc(), F.col(order_col).asc())
     return scored.select("*", (F.row_number().over(w) - 1).alias("rerank")).filter(F.col("rerank") < k)
 

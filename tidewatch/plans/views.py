@@ -79,8 +79,8 @@ def v_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_device_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
-    k = _k()
+    ev = load(spark, sf_dir, "events").select("*", _k().alias("_k"))   # props parsed once
+    k = F.col("_k")
     iface = F.transform(
         F.sequence(F.lit(0), F.lit(5)),
         lambda i: F.struct(
