@@ -45,3 +45,30 @@ def test_predicates_reach_the_scan(spark):
     plan = plan_of(QUERIES["win_tumble"](spark, SF_SMALL))
     # only the columns the summary needs are read (no props, no event_id)
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
+
+
+EXPENSIVE = ("from_json(", "split(", "regexp_extract_all(", "get_json_object(", "to_json(")
+SIDE_EFFECT_KEYS = {"resume_checkpoint", "win_watermark_late", "sink_table", "kb_ingest"}
+
+
+def _calls(section: str, name: str) -> list[str]:
+    out, start = [], 0
+    while (i := section.find(name, start)) >= 0:
+        out.append(section[i:i + 80])
+        start = i + 1
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SIDE_EFFECT_KEYS))
+def test_expensive_expressions_evaluated_once(spark, name):
+    """Catalyst can inline a parse or tokenizer into several consumers (or infer
+    a filter that repeats it); the operators are written so that it does not."""
+    import re
+    plan = plan_of(QUERIES[name](spark, SF_SMALL))
+    for sec in re.split(r"\n\(\d+\) ", plan)[1:]:
+        head = sec.split("\n", 1)[0]
+        if not head.startswith(("Project", "Filter", "HashAggregate", "Generate")):
+            continue
+        for fn in EXPENSIVE:
+            calls = [c for c in _calls(sec, fn) if "query_text" not in c]   # the 5-row query batch is exempt
+            assert len(calls) == len(set(calls)), f"{head}: {fn} evaluated {len(calls)}x"
