@@ -160,10 +160,16 @@ def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """A batch of search queries: the n smallest knowledge ids."""
+    """A batch of search queries: the n smallest knowledge ids.
+
+    The ids are found from the id columns alone (a top-n), then the n rows
+    are fetched with a literal IN filter that parquet statistics can prune;
+    no text is read to pick them.
+    """
     kb = v_knowledge(spark, sf_dir)
+    ids = [r[0] for r in kb.select("id").orderBy("id").limit(n).collect()]
     long_tokens = F.filter(tokens("content"), lambda x: F.length(x) >= 4)
-    return kb.orderBy("id").limit(n).select(
+    return kb.filter(F.col("id").isin(ids)).select(
         F.col("id").alias("qid"),
         F.array_join(F.slice(long_tokens, 1, 2), " ").alias("query_text"),
         F.col("embedding").alias("query_vec"),
