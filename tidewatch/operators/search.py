@@ -83,7 +83,7 @@ def fts_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
 
 
 def semantic_topk(corpus: DataFrame, queries: DataFrame, k: int, category: str | None = None,
-                  id_col: str = "id", vec_col: str = "embedding", carry=("content",),
+                  id_col: str = "id", vec_col: str = "embedding", carry=(),
                   max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
     """(qid, id, similarity = 1 - cosine distance, rank); optional category predicate,
     applied before scoring so it reaches the scan."""
@@ -120,6 +120,32 @@ def rrf(rank_cols: list[str], k: int = RRF_K) -> Column:
     return out
 
 
+def with_content(cands: DataFrame, corpus: DataFrame, id_col: str = "id") -> DataFrame:
+    """Attach ``content`` to cut candidate lists (n rows per query): the corpus
+    text is joined once, after scoring, instead of riding through scoring."""
+    return cands.join(corpus.select(id_col, "content"), id_col)
+
+
+def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str = "qid",
+                id_col: str = "id") -> DataFrame:
+    """``fuse_full`` as one aggregation: both ranked lists are tagged, unioned,
+    given their content by a single join, and grouped by (qid, content).
+    ``min_by`` skips the other list's null ranks, so each side's worst rank and
+    first hit come out as in the full outer merge."""
+    none_l, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    tagged = vector.select(qid, id_col, F.col("rank").alias("_vr"), "similarity",
+                           none_l.alias("_fr"), none_d.alias("_score")) \
+        .unionByName(fts.select(qid, id_col, none_l.alias("_vr"), none_d.alias("similarity"),
+                                F.col("rank").alias("_fr"), F.col("score").alias("_score")))
+    fused = with_content(tagged, corpus, id_col).groupBy(qid, "content").agg(
+        F.max("_vr").alias("vector_rank"), F.min_by(id_col, "_vr").alias("_vid"),
+        F.min_by("similarity", "_vr").alias("similarity"),
+        F.max("_fr").alias("fts_rank"), F.min_by(id_col, "_fr").alias("_fid"),
+        F.min_by("_score", "_fr").alias("fts_score"))
+    return fused.select(qid, "content", F.coalesce("_vid", "_fid").alias(id_col), "vector_rank", "fts_rank",
+                        "similarity", "fts_score")
+
+
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | None = None,
            qid: str = "qid", id_col: str = "id") -> DataFrame:
     """Hybrid search: max(4k, 20) candidates from each side, fused with
@@ -130,8 +156,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | Non
     vec = semantic_topk(corpus, queries, n)
     fq = queries if keyword_col is None else queries.select(qid, F.coalesce(keyword_col, "query_text")
                                                             .alias("query_text"))
-    fts = fts_topk(corpus, fq, n).join(corpus.select(id_col, "content"), id_col)
-    fused = fuse_full(vec, fts, qid, id_col)
+    fused = fuse_ranked(vec, fts_topk(corpus, fq, n), corpus, qid, id_col)
     scored = fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score"))
     return _top(scored, qid, "rrf_score", id_col, k)
 

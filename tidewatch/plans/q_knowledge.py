@@ -72,7 +72,7 @@ def _q(spark, sf_dir):
 @register("kb_semantic_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
                                     "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
 def kb_semantic_search(spark, sf_dir):
-    r = S.semantic_topk(_kb(spark, sf_dir), _q(spark, sf_dir), 5, carry=())
+    r = S.semantic_topk(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
     return r.select("qid", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -97,8 +97,8 @@ SELECT qid, id, vector_rank, fts_rank, round(similarity, 6) AS similarity FROM f
 def join_fuse_full(spark, sf_dir):
     kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
     n = S.candidates(5)
-    fts = S.fts_topk(kb, q, n).join(kb.select("id", "content"), "id")
-    fused = S.fuse_full(S.semantic_topk(kb, q, n), fts)
+    fts = S.with_content(S.fts_topk(kb, q, n), kb)
+    fused = S.fuse_full(S.with_content(S.semantic_topk(kb, q, n), kb), fts)
     return fused.select("qid", "id", "vector_rank", "fts_rank", F.round("similarity", 6).alias("similarity"))
 
 
