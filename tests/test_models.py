@@ -129,11 +129,11 @@ def test_rate_in_range_equals_window(spark):
     assert got.join(ref, "id").filter("rate != r").count() == 0
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_interval_join_equals_naive(spark, how):
+@pytest.mark.parametrize("how,bucket", [("inner", None), ("left", None), ("inner", 120), ("left", 120)])
+def test_interval_join_equals_naive(spark, how, bucket):
     left = _skewed(spark).select(F.col("id").alias("lid"), "key", F.col("ts").alias("lt"))
     right = _skewed(spark, 1500).select(F.col("id").alias("rid"), F.col("key").alias("rkey"), F.col("ts").alias("rt"))
-    got = J.interval_join(left, right, [("key", "rkey")], "lt", "rt", -300, 900, how).select("lid", "rid")
+    got = J.interval_join(left, right, [("key", "rkey")], "lt", "rt", -300, 900, how, bucket).select("lid", "rid")
     cond = (left.key == right.rkey) & (right.rt >= left.lt - F.expr("INTERVAL 300 SECONDS")) \
         & (right.rt <= left.lt + F.expr("INTERVAL 900 SECONDS"))
     ref = left.join(right, cond, how).select("lid", "rid")

@@ -29,7 +29,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
                   left_time: str, right_time: str, lower_s: int, upper_s: int,
-                  how: str = "inner") -> DataFrame:
+                  how: str = "inner", bucket_seconds: int | None = None) -> DataFrame:
     """``left JOIN right ON keys AND right_time BETWEEN left_time + lower AND left_time + upper``.
 
     Both bounds are seconds, inclusive, and may be negative.  The left side
@@ -38,8 +38,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     The join is then an equi-join on (keys, bucket) plus the exact time
     predicate: exact for inner and left-outer joins, and no key funnels into
     one task.  On streams the time predicate also bounds the join state.
+
+    ``bucket_seconds`` narrows the buckets for wide intervals: each right row
+    is then copied to ceil(span / width) + 1 buckets, and a (key, bucket)
+    group holds at most ``width`` of a hot key's time line.
     """
-    width = max(int(upper_s - lower_s), 1) * _US
+    width = max(int(bucket_seconds or (upper_s - lower_s)), 1) * _US
     lcols, rcols = left.columns, right.columns
     l2 = left.select(*lcols, F.floor(epoch_micros(left, left_time) / width).alias("_jb"))
     rt = epoch_micros(right, right_time)
