@@ -82,14 +82,18 @@ def ship_package(spark: SparkSession) -> None:
     Pandas UDFs and ``mapInPandas`` functions refer to package functions, so
     executors must import the package.  The source is zipped once per
     application on the driver and distributed with ``addPyFile`` (the same as
-    ``spark-submit --py-files``); a package already installed on the
-    executors is unaffected.
+    ``spark-submit --py-files``): only the driver reads the zip and serves it
+    to the executors.  Set ``spark.tidewatch.shipPackage=false`` where the
+    package is installed on the executors.
     """
     import zipfile
 
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    if spark.conf.get("spark.tidewatch.shipPackage", "true").lower() == "false":
+        _SHIPPED.add(sc.applicationId)
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     target = os.path.join(tempfile.mkdtemp(prefix="tidewatch-pyfiles-"), "tidewatch.zip")
