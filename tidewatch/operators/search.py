@@ -44,7 +44,7 @@ def candidates(k: int) -> int:
 
 def _top(df: DataFrame, qid: str, score: str, id_col: str, n: int, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.col(score).desc(), F.col(id_col).asc())
-    return df.select("*", (F.row_number().over(w) - 1).alias(name)).filter(F.col(name) < n)
+    return df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias(name)).filter(F.col(name) < n)
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -178,7 +178,7 @@ def rerank(cands: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_co
                             F.array_distinct(tokens("content")).alias("_ds"))
         scored = sets.select(*cands.columns, jaccard(F.col("_qs"), F.col("_ds")).alias("relevance_score"))
     w = Window.partitionBy(qid).orderBy(F.col("relevance_score").desc(), F.col(order_col).asc())
-    return scored.select("*", (F.row_number().over(w) - 1).alias("rerank")).filter(F.col("rerank") < k)
+    return scored.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rerank")).filter(F.col("rerank") < k)
 
 
 def dedupe_recent(cands: DataFrame, qid: str = "qid", created: str = "created_at",

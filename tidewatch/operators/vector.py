@@ -92,7 +92,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id
 
     partial = src.mapInPandas(part, schema)
     w = Window.partitionBy(qid).orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return partial.select("*", (F.row_number().over(w) - 1).alias("rank")).filter(F.col("rank") < k)
+    return partial.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rank")).filter(F.col("rank") < k)
 
 
 def best_match(items: DataFrame, patterns: DataFrame, threshold: float, id_col: str = "id",
@@ -142,4 +142,4 @@ def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, max_distance:
     scored = pairs.select(F.col("datasetA._id").alias(qid), F.col("datasetB._id").alias(id_col),
                           (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("similarity"))
     w = Window.partitionBy(qid).orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return scored.select("*", (F.row_number().over(w) - 1).alias("rank")).filter(F.col("rank") < k)
+    return scored.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rank")).filter(F.col("rank") < k)

@@ -144,7 +144,7 @@ def ranked_tail(df: DataFrame, keys: list[str], order_desc: list[str], n: int,
     the shuffle, so each map task ships at most n rows per key.
     """
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_desc])
-    return df.select("*", F.row_number().over(w).alias(name)).filter(F.col(name) <= n)
+    return df.select("*", F.row_number().over(w).cast("bigint").alias(name)).filter(F.col(name) <= n)
 
 
 def runs(df: DataFrame, keys: list[str], order_cols: list[str], flag: Column,

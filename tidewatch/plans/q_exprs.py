@@ -41,8 +41,8 @@ def expr_default(spark, sf_dir):
 
 @register("expr_nested_interfaces", sql("""
 SELECT device_id, count(DISTINCT event_id) AS polls,
-  sum(CASE WHEN i.status = 'up' THEN 1 ELSE 0 END) AS iface_up,
-  sum(CASE WHEN i.status = 'down' THEN 1 ELSE 0 END) AS iface_down,
+  CAST(sum(CASE WHEN i.status = 'up' THEN 1 ELSE 0 END) AS BIGINT) AS iface_up,
+  CAST(sum(CASE WHEN i.status = 'down' THEN 1 ELSE 0 END) AS BIGINT) AS iface_down,
   round(avg(i.utilization_percent), 4) AS avg_utilization,
   max(down_in_poll) AS max_down_in_poll
 FROM (SELECT device_id, event_id, unnest(interfaces[1:4]) AS i,
@@ -53,7 +53,7 @@ def expr_nested_interfaces(spark, sf_dir):
     ds = V.v_device_status(spark, sf_dir)
     first4 = F.slice("interfaces", 1, 4)
     per_poll = ds.select("device_id", "event_id",
-                         F.size(F.filter(first4, lambda x: x["status"] == "down")).alias("down_in_poll"),
+                         F.size(F.filter(first4, lambda x: x["status"] == "down")).cast("bigint").alias("down_in_poll"),
                          F.explode(first4).alias("i"))
     return per_poll.groupBy("device_id").agg(
         F.count_distinct("event_id").alias("polls"),
