@@ -35,3 +35,18 @@ def test_oracle(spark, con_small, name):
 def test_rows_only(spark, name):
     # the day-scale fixture thresholds are set for sf0.01 (sf0.001 is too sparse for some)
     assert QUERIES[name](spark, SF_CHECK).count() > 0
+
+
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "TimestampNTZType()": "TIMESTAMP", "BooleanType()": "BOOLEAN",
+                 "FloatType()": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"resume_checkpoint", "win_watermark_late", "sink_table"}))
+def test_oracle_types(spark, con_small, name):
+    """Result column types equal the oracle's (not only names and values)."""
+    df = QUERIES[name](spark, SF_SMALL)
+    spark_types = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    rel = con_small.sql(ORACLES[name])
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert spark_types == duck_types
