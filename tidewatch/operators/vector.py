@@ -130,9 +130,13 @@ def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, max_distance:
     """Approximate top-k (re-aim of the HNSW index): MLlib random-projection LSH
     joins queries to corpus rows sharing a hash bucket (an equi-join, no
     all-pairs scan), keeps pairs within ``max_distance`` (unit vectors:
-    Euclidean order = cosine order), rescored exactly."""
+    Euclidean order = cosine order), rescored exactly.  The query side is the
+    checked, bounded batch, so bucket-mates pair with at most that many queries."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
+    from tidewatch.operators.search import bounded_queries
+
+    queries = bounded_queries(queries)
 
     a = corpus.select(F.col(id_col).alias("_id"), array_to_vector(vec_col).alias("_v"))
     b = queries.select(F.col(qid).alias("_id"), array_to_vector(qvec).alias("_v"))
