@@ -120,14 +120,15 @@ def rrf(rank_cols: list[str], k: int = RRF_K) -> Column:
     return out
 
 
-def with_content(cands: DataFrame, corpus: DataFrame, id_col: str = "id") -> DataFrame:
-    """Attach ``content`` to cut candidate lists (n rows per query): the corpus
-    text is joined once, after scoring, instead of riding through scoring."""
-    return cands.join(corpus.select(id_col, "content"), id_col)
+def with_content(cands: DataFrame, corpus: DataFrame, id_col: str = "id", extra=()) -> DataFrame:
+    """Attach ``content`` (and ``extra`` corpus columns) to cut candidate lists
+    (n rows per query): the corpus text is joined once, after scoring,
+    instead of riding through scoring."""
+    return cands.join(corpus.select(id_col, "content", *extra), id_col)
 
 
 def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str = "qid",
-                id_col: str = "id") -> DataFrame:
+                id_col: str = "id", extra=()) -> DataFrame:
     """``fuse_full`` as one aggregation: both ranked lists are tagged, unioned,
     given their content by a single join, and grouped by (qid, content).
     ``min_by`` skips the other list's null ranks, so each side's worst rank and
@@ -137,17 +138,19 @@ def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str =
                            none_l.alias("_fr"), none_d.alias("_score")) \
         .unionByName(fts.select(qid, id_col, none_l.alias("_vr"), none_d.alias("similarity"),
                                 F.col("rank").alias("_fr"), F.col("score").alias("_score")))
-    fused = with_content(tagged, corpus, id_col).groupBy(qid, "content").agg(
+    # extra columns follow the representative row: first vector hit, else first text hit
+    fused = with_content(tagged, corpus, id_col, extra).groupBy(qid, "content").agg(
         F.max("_vr").alias("vector_rank"), F.min_by(id_col, "_vr").alias("_vid"),
         F.min_by("similarity", "_vr").alias("similarity"),
         F.max("_fr").alias("fts_rank"), F.min_by(id_col, "_fr").alias("_fid"),
-        F.min_by("_score", "_fr").alias("fts_score"))
+        F.min_by("_score", "_fr").alias("fts_score"),
+        *[F.coalesce(F.min_by(c, "_vr"), F.min_by(c, "_fr")).alias(c) for c in extra])
     return fused.select(qid, "content", F.coalesce("_vid", "_fid").alias(id_col), "vector_rank", "fts_rank",
-                        "similarity", "fts_score")
+                        "similarity", "fts_score", *extra)
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | None = None,
-           qid: str = "qid", id_col: str = "id") -> DataFrame:
+           qid: str = "qid", id_col: str = "id", extra=()) -> DataFrame:
     """Hybrid search: max(4k, 20) candidates from each side, fused with
     reciprocal-rank fusion, best k per query (ties: lower id).  The FTS side
     uses ``keyword_col`` of the query table when given, else the query text."""
@@ -156,7 +159,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | Non
     vec = semantic_topk(corpus, queries, n)
     fq = queries if keyword_col is None else queries.select(qid, F.coalesce(keyword_col, "query_text")
                                                             .alias("query_text"))
-    fused = fuse_ranked(vec, fts_topk(corpus, fq, n), corpus, qid, id_col)
+    fused = fuse_ranked(vec, fts_topk(corpus, fq, n), corpus, qid, id_col, extra)
     scored = fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score"))
     return _top(scored, qid, "rrf_score", id_col, k)
 
@@ -197,8 +200,7 @@ def search_pipeline(corpus: DataFrame, queries: DataFrame, k: int = 5, qid: str
                     id_col: str = "id", scorer=None) -> DataFrame:
     """Hybrid retrieval at max(4k, 20), dedupe by content prefix, re-rank, cut to k."""
     queries = bounded_queries(queries)
-    fused = hybrid(corpus, queries, candidates(k), qid=qid, id_col=id_col)
-    fused = fused.join(corpus.select(id_col, "created_at"), id_col)
+    fused = hybrid(corpus, queries, candidates(k), qid=qid, id_col=id_col, extra=("created_at",))
     deduped = dedupe_recent(fused, qid)
     return rerank(deduped, queries, k, qid, id_col, scorer, order_col="key_order")
 
