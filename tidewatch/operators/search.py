@@ -56,6 +56,26 @@ def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -
                  .groupBy("token", id_col).agg(F.count("*").alias("tf"))
 
 
+def _token_bucket(c, buckets: int):
+    return F.pmod(F.xxhash64(c), F.lit(buckets))
+
+
+def write_postings(postings_df: DataFrame, path: str, buckets: int = 256) -> None:
+    """Persist the inverted index with the token's hash bucket as a partition
+    column, so a lookup reads only the buckets of its query terms."""
+    postings_df.withColumn("bucket", _token_bucket(F.col("token"), buckets)) \
+        .write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark, path: str, terms: list[str], buckets: int = 256) -> DataFrame:
+    """Postings of ``terms`` only: the bucket predicate prunes partitions at
+    planning time and the token predicate is pushed into the scan."""
+    want = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string")
+                   .select(_token_bucket(F.col("t"), buckets)).collect()})
+    return spark.read.parquet(path).filter(F.col("bucket").isin(want) & F.col("token").isin(list(terms))) \
+        .drop("bucket")
+
+
 def fts_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "content",
              qid: str = "qid", qtext: str = "query_text", max_terms: int = 1_000_000) -> DataFrame:
     """(qid, id, score, rank): documents holding all query lexemes, best k per query.
