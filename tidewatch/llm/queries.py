@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import quality, secrets, sharding, url_rules
+from tidewatch.llm import quality, secrets, sharding, simhash, substrings, url_rules
 from tidewatch.llm.common import ASCII_LETTERS
 from tidewatch.sources.tables import load
 
@@ -15,6 +15,12 @@ HOST_RULES = [url_rules.prefix_rule(*r) for r in (
     ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(load(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"),
+                      F.size("removed").alias("n_intervals"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -33,6 +39,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, threshold=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(load(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -57,9 +68,11 @@ FROM parts LEFT JOIN fits USING (row_no)"""
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_sharding": op9_sharding,
 }
 
