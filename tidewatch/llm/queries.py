@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import quality, secrets, sharding, simhash, substrings, url_rules
+from tidewatch.llm import (decontaminate, html_text, language, packing, quality, secrets, sharding, simhash,
+                           substrings, url_rules)
 from tidewatch.llm.common import ASCII_LETTERS
 from tidewatch.sources.tables import load
 
@@ -39,17 +40,42 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def word_tokenizer() -> str:
+    """Path of the public word-level BPE definition that the packing query's contract names."""
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    prototypes = language.learn_prototypes(docs.where(language.fold(F.col("doc_id")) != 0))
+    return (language.identify(docs, prototypes)
+            .select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, threshold=2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(load(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
 def _url_oracle() -> str:
     rules = [(r.name, r.verdict, r.pattern, 1) for r in HOST_RULES]
     rules += [(r.name, r.verdict, r.pattern, 0) for r in url_rules.SITE_RULES]
@@ -72,8 +98,12 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {"op3_url_filters": _url_oracle()}

@@ -10,23 +10,9 @@ whole corpus is ever ordered in one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import first_columns, shuffle_partitions
-
-
-def ranked_in_chunks(df: DataFrame, keys: list[str], chunk: str, order: list, out: str) -> DataFrame:
-    """Rank from 0 within ``keys`` in the order (chunk, order).  The chunk must rise with
-    the order; a window holds one chunk, and bases come from the chunks' counts.
-    ``keys`` and ``chunk`` must not be null."""
-    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(*keys, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = df.withColumn("_local", F.row_number().over(W.partitionBy(*keys, chunk).orderBy(*order)))
-    return (local.join(bases, [*keys, chunk])
-            .withColumn(out, F.col("_base") + F.col("_local") - 1)
-            .drop("_local", "_base"))
+from tidewatch.llm.common import first_columns, ranked_in_chunks, shuffle_partitions
 
 
 def _chunk_of(fraction: Column, chunks: int) -> Column:

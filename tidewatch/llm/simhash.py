@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.blobs import by_bucket, joined, mixed
 from tidewatch.llm.common import first_columns, python_ready, saved, shuffle_partitions, texts
@@ -159,6 +161,14 @@ def _fingerprint_rows(shingle: int):
     return rows
 
 
+def _fingerprinted(shingle: int, text_col: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(x, shingle) for x in texts(b, text_col)], dtype=np.uint64)
+            yield b.append_column("_fp", pa.array(found.view(np.int64), pa.int64()))
+    return rows
+
+
 def _replicas(threshold: int, code: tuple[str, ...], buckets: int, at_once: int = 20_000):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,3 +310,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_co
     own = (distinct.join(linked, "fp", "left")
            .select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
     return of_doc.join(own, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id",
+                         text_col: str = "text", code: tuple[str, ...] = COARSE) -> DataFrame:
+    """One row (all columns) of each component of ``near_duplicates``: the one of the smallest doc_id.
+
+    Of repeated rows one stays.  Where all members of a component lack an id, one row of each
+    distinct fingerprint stays.
+    """
+    python_ready(docs.sparkSession)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_key")
+    stays = (near_duplicates(docs, shingle, threshold, id_col, text_col, code)
+             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .select(key(F.col("doc_id")), F.col("fp").alias("_fp")).distinct())
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    rows = docs.mapInArrow(_fingerprinted(shingle, text_col), schema)
+    one = F.row_number().over(W.partitionBy("_key", "_fp").orderBy(id_col))
+    return (rows.withColumn("_key", key(F.col(id_col))).join(stays, ["_key", "_fp"], "left_semi")
+            .withColumn("_one", one).where("_one = 1").select(*docs.columns))
