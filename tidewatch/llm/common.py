@@ -50,6 +50,16 @@ def texts(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[bytes | Non
         yield v.as_py()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until the table has no such column."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        out.append(name)
+    return out
+
+
 def first_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named input columns, under fixed names: extra columns, whatever they are
     called, cannot clash with an operator's own."""

@@ -126,9 +126,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     picks = [i / bins for i in range(bins)]
     edges = rows.groupBy("bad").agg(*[F.percentile_approx(f, picks, 10_000).alias(f) for f in names]).collect()
     cuts = {f: sorted({float(v) for r in edges for v in r[f] or ()}) for f in names}
-    binned = saved(rows.select("bad", "prune", *[
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]).cast("array<double>"), lambda c, v=F.col(f): c < v))
-        .cast("int").alias(f) for f in names]).groupBy("bad", "prune", *names).agg(F.count(F.lit(1)).alias("n")))
+    binned = saved(rows.select("bad", "prune", *[_bin_of(f, cuts[f]) for f in names]).groupBy("bad", "prune", *names).agg(F.count(F.lit(1)).alias("n")))
 
     def met(conditions: list[tuple[str, bool, int]]) -> Column:
         out = F.lit(True)
@@ -180,6 +178,13 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     return rules
 
 
+def _bin_of(feature: str, cuts: list[float]) -> Column:
+    """Number of cuts below the value."""
+    value = F.col(feature)
+    edges = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    return F.size(F.filter(edges, lambda c: c < value)).alias(feature)
+
+
 def _pruned(binned: DataFrame, uncovered: Column, conditions: list, met) -> tuple[list, int, int]:
     """The prefix of the conditions that is best on the pruning rows: (it, low, good rows)."""
     sums = []

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.blobs import by_bucket, joined, mixed
-from tidewatch.llm.common import first_columns, python_ready, saved, shuffle_partitions, texts
+from tidewatch.llm.common import first_columns, fresh, python_ready, saved, shuffle_partitions, texts
 from tidewatch.llm.components import component_of
 
 #: Perfect codes per block, 64 bits together.  FINE has 2^36 anchors and about 165 replicas of a
@@ -161,11 +161,11 @@ def _fingerprint_rows(shingle: int):
     return rows
 
 
-def _fingerprinted(shingle: int, text_col: str):
+def _fingerprinted(shingle: int, text_col: str, name: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(x, shingle) for x in texts(b, text_col)], dtype=np.uint64)
-            yield b.append_column("_fp", pa.array(found.view(np.int64), pa.int64()))
+            yield b.append_column(name, pa.array(found.view(np.int64), pa.int64()))
     return rows
 
 
@@ -320,12 +320,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2,
     distinct fingerprint stays.
     """
     python_ready(docs.sparkSession)
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_key")
+    key, fp, nth = fresh(docs, "key", "fp", "nth")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias(key)
     stays = (near_duplicates(docs, shingle, threshold, id_col, text_col, code)
              .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(key(F.col("doc_id")), F.col("fp").alias("_fp")).distinct())
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    rows = docs.mapInArrow(_fingerprinted(shingle, text_col), schema)
-    one = F.row_number().over(W.partitionBy("_key", "_fp").orderBy(id_col))
-    return (rows.withColumn("_key", key(F.col(id_col))).join(stays, ["_key", "_fp"], "left_semi")
-            .withColumn("_one", one).where("_one = 1").select(*docs.columns))
+             .select(named(F.col("doc_id")), F.col("fp").alias(fp)).distinct())
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    rows = docs.mapInArrow(_fingerprinted(shingle, text_col, fp), schema)
+    rows = rows.select(*rows.columns, named(F.col(id_col))).join(stays, [key, fp], "left_semi")
+    one = F.row_number().over(W.partitionBy(key, fp).orderBy(id_col))
+    return rows.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
