@@ -195,7 +195,7 @@ def test_secrets_equal_brute_force(spark):
         want[i, t, tuple(brute_base(t))] += 1
     assert got == want
     kinds = Counter(s.kind for r in out for s in r.spans)
-    assert kinds["entropy"] == 2 and min(kinds.values()) > 0
+    assert set(kinds) == {"assign", "access", "hex", "entropy"}
 
 
 def test_peak_entropy(spark):
@@ -432,7 +432,7 @@ def leak_tables(spark):
     planted = []
     for k, i in enumerate((0, 1, 5, 17, 30, 43)):
         t = dict(items)[i]
-        planted.append((700 + k, f"{pad(30 * k)} {t.upper()} {pad(200 - 20 * k)}", i))
+        planted.append((700 + k, f"{pad(30 * k)} {t.replace('e', 'E')} {pad(200 - 20 * k)}", i))
         planted.append((720 + k, pad(7) + " " + " ".join(w + "***" for w in t.split()), i))
         half = " ".join(t.split()[:len(t.split()) // 2])
         planted.append((740 + k, f"{pad(40)} {half} {pad(40)}", None))     # half of an item is no leak
