@@ -88,8 +88,8 @@ class Condition:
     above: bool            # True: value > threshold, False: value <= threshold
     threshold: float
 
-    def column(self) -> Column:
-        value = F.expr(FEATURES[self.feature])
+    def column(self, value: Column | None = None) -> Column:
+        value = F.expr(FEATURES[self.feature]) if value is None else value
         return value > self.threshold if self.above else value <= self.threshold
 
     def __str__(self) -> str:
@@ -100,10 +100,11 @@ class Condition:
 class Rule:
     conditions: tuple[Condition, ...]
 
-    def column(self) -> Column:
+    def column(self, named: bool = False) -> Column:
+        """``named``: the statistics are columns of their own."""
         out = F.lit(True)
         for c in self.conditions:
-            out = out & c.column()
+            out = out & c.column(F.col(c.feature) if named else None)
         return out
 
     def __str__(self) -> str:
@@ -112,9 +113,10 @@ class Rule:
 
 def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                 bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.95,
-                min_rows: int = 5) -> list[Rule]:
+                min_rows: int = 5, false_alarm_cost: int = 20) -> list[Rule]:
     """Rules for low quality (label 0), in order.  Rows without a label, and ids whose labels
-    disagree, teach nothing; without labels of both classes there are no rules."""
+    disagree, teach nothing; without labels of both classes there are no rules.  A good row that
+    a rule hits weighs ``false_alarm_cost`` times as much as a bad one."""
     marks = (labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("_label"))
              .where("_label is not null and doc_id is not null").groupBy("doc_id")
              .agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low = _high"))
@@ -162,7 +164,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
             p0, q0 = (sum(found[k][i] for k in found if k[0] == names[0]) for i in (0, 1))
             if not p0 or not q0:
                 break
-            gain = lambda p, q: p * (log2(p / (p + q)) - log2(p0 / (p0 + q0))) if p else 0.0
+            share = lambda p, q: p / (p + false_alarm_cost * q)
+            gain = lambda p, q: p * (log2(share(p, q)) - log2(share(p0, q0))) if p else 0.0
             best = max(((gain(p, q), c) for p, q, c in candidates(found)), default=(0.0, None))
             if best[0] <= 1e-9:
                 break
@@ -172,10 +175,31 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
         conditions, p, q = _pruned(binned, uncovered, conditions, met)
         if p < min_rows or p < min_precision * (p + q):
             break
-        rules.append(Rule(tuple(Condition(f, above, cuts[f][cut] if cut < len(cuts[f]) else float("inf"))
-                                for f, above, cut in conditions)))
+        tightest = {(f, above): cut for f, above, cut in conditions}   # a later one is the tighter
+        rules.append(Rule(tuple(Condition(f, above, cuts[f][cut]) for (f, above), cut in tightest.items())))
         uncovered = uncovered & ~met(conditions)
-    return rules
+    return _centred(rows, rules)
+
+
+def _centred(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Thresholds moved to the middle of the gap between the good rows they let pass and the bad
+    rows they hit."""
+    if not rules:
+        return rules
+    sums = []
+    for i, rule in enumerate(rules):
+        for j, c in enumerate(rule.conditions):
+            value, hit = F.col(c.feature), F.col("bad") & rule.column(named=True)
+            passed = ~F.col("bad") & ~c.column(value)
+            near, far = (F.max, F.min) if c.above else (F.min, F.max)
+            sums += [near(F.when(passed, value)).alias(f"good_{i}_{j}"), far(F.when(hit, value)).alias(f"bad_{i}_{j}")]
+    found = rows.agg(*sums).first()
+
+    def middle(c: Condition, good: float | None, bad: float | None) -> Condition:
+        return c if good is None or bad is None else Condition(c.feature, c.above, (good + bad) / 2)
+
+    return [Rule(tuple(middle(c, found[f"good_{i}_{j}"], found[f"bad_{i}_{j}"]) for j, c in enumerate(rule.conditions)))
+            for i, rule in enumerate(rules)]
 
 
 def _bin_of(feature: str, cuts: list[float]) -> Column:
