@@ -237,21 +237,3 @@ def test_sessionize_equals_per_key_window(spark):
     ref = df.select("*", start.alias("s")).select(
         "id", (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("ref"))
     assert got.join(ref, "id").filter("_session != ref").count() == 0
-
-
-def test_bucketed_postings_prune(spark):
-    import contextlib, io
-    from tidewatch.operators import search as S
-    from tidewatch.streaming.runner import fresh_dir
-    kb = V.v_knowledge(spark, SF_SMALL)
-    post = S.postings(kb)
-    path = fresh_dir(spark, "postings")
-    S.write_postings(post, path, buckets=16)
-    terms = [r.token for r in post.orderBy(F.col("tf").desc(), "token").limit(3).collect()]
-    got = S.read_postings(spark, path, terms, buckets=16)
-    want = post.filter(F.col("token").isin(terms))
-    assert sorted(got.collect()) == sorted(want.collect())
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        got.explain("formatted")
-    assert "PartitionFilters: [bucket" in buf.getvalue() and "PushedFilters: [In(token" in buf.getvalue()

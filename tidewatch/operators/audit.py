@@ -19,34 +19,34 @@ def lineage(registry: DataFrame, known_sources: tuple[str, ...]) -> DataFrame:
     consumers only), orphan_input, shared_output (one row per writer, n =
     writers), and one ``healthy``/``unhealthy`` row per cell with n = warnings.
     """
-    ins = registry.select("cell_id", F.explode("source_topics").alias("topic"), "consumer_id")
-    outs = registry.select("cell_id", F.col("output_topic").alias("topic"), "consumer_id", "runtime") \
-        .filter(F.col("topic").isNotNull() & (F.col("topic") != ""))
-    in_t = ins.select("cell_id", "topic").distinct()
-    out_t = outs.select("cell_id", "topic").distinct()
-    none = F.lit(None).cast("bigint")
-
-    external = in_t.join(out_t, ["cell_id", "topic"], "left_anti") \
-        .select("cell_id", F.lit("external_source").alias("kind"), "topic", none.alias("consumer_id"), none.alias("n"))
-    inter = in_t.join(out_t, ["cell_id", "topic"], "left_semi") \
-        .select("cell_id", F.lit("intermediate").alias("kind"), "topic", none.alias("consumer_id"), none.alias("n"))
-    unwired = outs.filter(F.col("runtime") == "flink_sql").join(in_t, ["cell_id", "topic"], "left_anti") \
-        .select("cell_id", F.lit("unwired_output").alias("kind"), "topic", "consumer_id", none.alias("n"))
-    orphan = ins.filter(~F.col("topic").isin(*known_sources)).join(out_t, ["cell_id", "topic"], "left_anti") \
-        .select("cell_id", F.lit("orphan_input").alias("kind"), "topic", "consumer_id", none.alias("n"))
-    writers = outs.groupBy("cell_id", "topic").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = outs.join(writers, ["cell_id", "topic"]) \
-        .select("cell_id", F.lit("shared_output").alias("kind"), "topic", "consumer_id", "n")
-    findings = external.unionByName(inter).unionByName(unwired).unionByName(orphan).unionByName(shared)
-
-    warn = findings.filter(F.col("kind").isin("unwired_output", "orphan_input")) \
-        .groupBy("cell_id").agg(F.count("*").alias("w")) \
-        .unionByName(writers.groupBy("cell_id").agg(F.count("*").alias("w")))
-    cells = registry.select("cell_id").distinct()
-    per_cell = cells.join(warn.groupBy("cell_id").agg(F.sum("w").alias("w")), "cell_id", "left") \
-        .select("cell_id", F.when(F.coalesce("w", F.lit(0)) == 0, "healthy").otherwise("unhealthy").alias("kind"),
-                F.lit(None).cast("string").alias("topic"), none.alias("consumer_id"),
-                F.coalesce("w", F.lit(0)).cast("bigint").alias("n"))
+    # one row per use of a topic; every consumer has an output row, if only without a topic
+    output = F.when(F.col("output_topic") != "", F.col("output_topic"))
+    uses = F.concat(F.transform(F.coalesce("source_topics", F.array()), lambda t: F.struct(t.alias("topic"), F.lit(True).alias("reads"))),
+                    F.array(F.struct(output.alias("topic"), F.lit(False).alias("reads"))))
+    uses = registry.select("cell_id", "consumer_id", "runtime", F.inline(uses)) \
+        .withColumn("writes", ~F.col("reads") & F.col("topic").isNotNull())
+    topics = uses.filter("reads or writes").groupBy("cell_id", "topic").agg(
+        F.count(F.when(F.col("reads"), 1)).alias("n_readers"), F.count(F.when(F.col("writes"), 1)).alias("n_writers"))
+    kinds = lambda *pairs: F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in pairs]))
+    none, read, written = F.lit(None).cast("bigint"), F.col("n_readers") > 0, F.col("n_writers") > 0
+    of_topic = topics.select(
+        "cell_id", "topic", none.alias("consumer_id"), none.alias("n"),
+        kinds(("external_source", read & ~written), ("intermediate", read & written)).alias("kinds"),
+        (F.col("n_writers") > 1).cast("bigint").alias("warnings"))
+    unwired = F.col("writes") & (F.col("runtime") == "flink_sql") & ~F.coalesce(read, F.lit(False))
+    orphan = F.col("reads") & ~F.col("topic").isin(*known_sources) & ~F.coalesce(written, F.lit(False))
+    shared = F.col("writes") & (F.col("n_writers") > 1)
+    of_use = uses.join(topics, ["cell_id", "topic"], "left").select(
+        "cell_id", "topic", "consumer_id",
+        F.when(shared, F.col("n_writers")).alias("n"),
+        kinds(("unwired_output", unwired), ("orphan_input", orphan), ("shared_output", shared)).alias("kinds"),
+        (F.coalesce(unwired, F.lit(False)).cast("bigint") + F.coalesce(orphan, F.lit(False)).cast("bigint")).alias("warnings"))
+    found = of_topic.unionByName(of_use)
+    findings = found.select("cell_id", F.explode("kinds").alias("kind"), "topic", "consumer_id", "n") \
+        .withColumn("n", F.when(F.col("kind") == "shared_output", F.col("n")))
+    per_cell = found.groupBy("cell_id").agg(F.sum("warnings").alias("n")).select(
+        "cell_id", F.when(F.col("n") == 0, "healthy").otherwise("unhealthy").alias("kind"),
+        F.lit(None).cast("string").alias("topic"), none.alias("consumer_id"), "n")
     return findings.unionByName(per_cell)
 
 

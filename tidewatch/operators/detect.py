@@ -75,7 +75,7 @@ def threat_correlated(detections: DataFrame, syslog: DataFrame, window_s: int, s
     bad = syslog.filter(F.col("event_type").isin("auth_failure", "firewall_deny")) \
         .select(F.col("source_ip"), F.col("event_time").alias("syslog_time"), "event_id")
     j = interval_join(detections, bad, [("src_ip", "source_ip")], "window_start", "syslog_time",
-                      0, window_s + slack_s)
+                      0, window_s + slack_s, bucket_seconds=min(3600, window_s + slack_s))
     keys = [c for c in detections.columns]
     return j.groupBy(*keys).agg(F.count("event_id").alias("correlated_events")).select(
         *keys, "correlated_events",
@@ -89,11 +89,10 @@ def device_offline(polls: DataFrame, max_gap_s: int = 60) -> DataFrame:
                         ["device_id"], ["event_time", "event_id"], ["event_time"])
     gap = epoch_micros(nxt, "next_event_time") - epoch_micros(nxt, "event_time")
     gap_s = F.floor(gap / 1_000_000).cast("bigint")
-    offline = nxt.filter(F.col("status") == "offline").select(
-        "device_id", "event_id", "event_time", F.lit("offline").alias("reason"), gap_s.alias("gap_seconds"))
-    silent = nxt.filter(gap_s > max_gap_s).select(
-        "device_id", "event_id", "event_time", F.lit("silent").alias("reason"), gap_s.alias("gap_seconds"))
-    return offline.unionByName(silent)
+    reasons = F.array_compact(F.array(F.when(F.col("status") == "offline", F.lit("offline")),
+                                      F.when(gap_s > max_gap_s, F.lit("silent"))))
+    return nxt.select("device_id", "event_id", "event_time", F.explode(reasons).alias("reason"),
+                      gap_s.alias("gap_seconds"))
 
 
 def cpu_spike(polls: DataFrame, min_cpu: float = 85.0, min_memory: float = 80.0) -> DataFrame:

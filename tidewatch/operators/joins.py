@@ -2,8 +2,7 @@
 
 Physical strategy stays Catalyst's; these helpers only shape the logical
 plan so that it scales: interval joins get a time-bucket equi-key (a key
-with a third of the rows is then spread over its buckets), and broadcast is
-used only behind a bounded row-count check.
+with a third of the rows is then spread over its buckets).
 """
 
 from __future__ import annotations
@@ -16,17 +15,6 @@ from tidewatch.functions.exprs import epoch_micros
 _US = 1_000_000
 
 
-def bounded_size(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only for a side proven to be small; otherwise leave the
-    choice to AQE (sort-merge or shuffled hash join)."""
-    return F.broadcast(df) if bounded_size(df, max_rows) else df
-
-
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
                   left_time: str, right_time: str, lower_s: int, upper_s: int,
                   how: str = "inner", bucket_seconds: int | None = None) -> DataFrame:

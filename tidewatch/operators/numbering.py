@@ -11,8 +11,10 @@ recomputation after a lost executor gives the same result.
 
 Chunks are one minute wide by default: a key holding a third of 100 TB
 over a month still yields sub-GB chunks, while a sparse key costs at most
-one small-table row per event.  Scans chained on the same ``_tb`` column
-reuse one hash partitioning (``keep_chunk=True``).
+one small-table row per event.  The small table is a partial aggregate of the
+input's key and time columns (the input is read twice, its rows are shuffled
+once).  Scans chained on kept chunk columns (``keep_chunk=True``) reuse one
+hash partitioning.
 """
 
 from __future__ import annotations
@@ -22,21 +24,43 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import epoch_micros
 
-CHUNK = "_tb"
+# Private columns of a chunked table.  The width is part of the chunk's name, so a scan only
+# reuses chunks of its own width.
+_GROUP = "__tidewatch_group"
+_BEFORE_ALL = -(1 << 62)     # chunk of rows without a time: they come first, as in SQL
 
 
 def time_bucket(df: DataFrame, col: str, width_seconds: int) -> Column:
     return F.floor(epoch_micros(df, col) / (width_seconds * 1_000_000))
 
 
-def _chunked(df: DataFrame, order_cols: list[str], bucket_seconds: int) -> tuple[DataFrame, bool]:
-    if CHUNK in df.columns:
-        return df, False
-    return df.select("*", time_bucket(df, order_cols[0], bucket_seconds).alias(CHUNK)), True
+class Chunks:
+    """A table with its (group, chunk) columns.
 
+    The group is a struct of the key columns and the chunk is never null, so rows with null keys
+    or null times are partitioned, joined and ordered like any others (a null key equals
+    another null key, as in ``PARTITION BY``).
+    """
+
+    def __init__(self, df: DataFrame, group_cols: list[str], order_cols: list[str], bucket_seconds: int):
+        self.chunk = f"__tidewatch_chunk_{bucket_seconds}s"
+        self.added = self.chunk not in df.columns
+        if self.added:
+            df = df.select("*", F.struct(*group_cols).alias(_GROUP), F.coalesce(
+                time_bucket(df, order_cols[0], bucket_seconds), F.lit(_BEFORE_ALL)).alias(self.chunk))
+        self.df = df
+        self.keys = [_GROUP, self.chunk]
+
+    def inside(self, order_cols: list[str]):
+        """Window over one chunk."""
+        return Window.partitionBy(*self.keys).orderBy(*order_cols)
+
+    def across(self):
+        """Window over the chunks of a group (one row each)."""
+        return Window.partitionBy(_GROUP).orderBy(self.chunk)
 
-def _finish(out: DataFrame, added: bool, keep_chunk: bool) -> DataFrame:
-    return out.drop(CHUNK) if added and not keep_chunk else out
+    def finish(self, out: DataFrame, keep_chunk: bool = False) -> DataFrame:
+        return out.drop(*self.keys) if self.added and not keep_chunk else out
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value: Column | str,
@@ -45,42 +69,37 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
 
     The first order column must be a timestamp; the order should be total.
     """
-    base, added = _chunked(df, order_cols, bucket_seconds)
-    cols = base.columns
-    chunk = [*group_cols, CHUNK]
+    c = Chunks(df, group_cols, order_cols, bucket_seconds)
     v = value if isinstance(value, Column) else F.col(value)
-    w = Window.partitionBy(*chunk).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = base.select("*", F.sum(v).over(w).alias("_local"), v.alias("_v"))
-    totals = local.groupBy(*chunk).agg(F.sum("_v").alias("_total"))
-    before = Window.partitionBy(*group_cols).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    out = local.join(bases, chunk).select(*cols, (F.col("_base") + F.col("_local")).alias(name))
-    return _finish(out, added, keep_chunk)
+    w = c.inside(order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = c.df.select("*", F.sum(v).over(w).alias("__local"))
+    totals = c.df.select(*c.keys, v.alias("__v")).groupBy(*c.keys).agg(F.sum("__v").alias("__total"))
+    before = c.across().rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*c.keys, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    out = local.join(bases, c.keys).select(*c.df.columns, (F.col("__base") + F.col("__local")).alias(name))
+    return c.finish(out, keep_chunk)
 
 
 def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     name: str = "seq", bucket_seconds: int = 60, keep_chunk: bool = False) -> DataFrame:
     """Dense 0-based row numbers per group in ``order_cols`` order."""
-    out = running_sum(df, group_cols, order_cols, F.lit(1), "_rs", bucket_seconds, keep_chunk)
-    return out.withColumn(name, F.col("_rs") - 1).drop("_rs")
+    out = running_sum(df, group_cols, order_cols, F.lit(1), "__rs", bucket_seconds, keep_chunk)
+    return out.withColumn(name, F.col("__rs") - 1).drop("__rs")
 
 
 def neighbour_values(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
                      direction: int, prefix: str, bucket_seconds: int = 60,
                      keep_chunk: bool = False) -> DataFrame:
     """``lag`` (direction -1) or ``lead`` (+1) of each value column per group."""
-    base, added = _chunked(df, order_cols, bucket_seconds)
-    cols = base.columns
-    chunk = [*group_cols, CHUNK]
-    w = Window.partitionBy(*chunk).orderBy(*order_cols)
+    c = Chunks(df, group_cols, order_cols, bucket_seconds)
+    w = c.inside(order_cols)
     shift = F.lag if direction < 0 else F.lead
-    local = base.select("*", *[shift(c).over(w).alias("_n_" + c) for c in value_cols],
-                        shift(F.lit(1)).over(w).isNull().alias("_edge"))
+    local = c.df.select("*", *[shift(x).over(w).alias("__n_" + x) for x in value_cols],
+                        shift(F.lit(1)).over(w).isNull().alias("__edge"))
     pick = F.max_by if direction < 0 else F.min_by          # last row before / first row after
-    ends = local.groupBy(*chunk).agg(*[pick(c, F.struct(*order_cols)).alias("_e_" + c) for c in value_cols])
-    wc = Window.partitionBy(*group_cols).orderBy(CHUNK)
-    carry = ends.select(*chunk, *[shift("_e_" + c).over(wc).alias("_c_" + c) for c in value_cols])
-    out = local.join(carry, chunk).select(
-        *cols, *[F.when(F.col("_edge"), F.col("_c_" + c)).otherwise(F.col("_n_" + c)).alias(prefix + c)
-                 for c in value_cols])
-    return _finish(out, added, keep_chunk)
+    ends = c.df.groupBy(*c.keys).agg(*[pick(x, F.struct(*order_cols)).alias("__e_" + x) for x in value_cols])
+    carry = ends.select(*c.keys, *[shift("__e_" + x).over(c.across()).alias("__c_" + x) for x in value_cols])
+    out = local.join(carry, c.keys).select(
+        *c.df.columns, *[F.when(F.col("__edge"), F.col("__c_" + x)).otherwise(F.col("__n_" + x)).alias(prefix + x)
+                         for x in value_cols])
+    return c.finish(out, keep_chunk)

@@ -2,8 +2,10 @@
 
 Everything runs set-based over a *batch* of queries (qid, query_text,
 query_vec) at once: one plan from the query table to the top-k per query.
-Candidate lists are cut with ``row_number() < n`` before the expensive
-steps, so fusion and re-ranking only see n rows per query.
+Candidate lists are cut with ``row_number() <= n`` (a partial limit before
+the shuffle) before the expensive steps, so fusion and re-ranking only see n
+rows per query.  Queries are taken in bounded blocks (``vector.in_blocks``);
+what depends on a block's queries may be broadcast, text is never shuffled.
 
 Deviation: the reference's Postgres ``ts_rank`` with English stemming and
 stop words is not reproduced.  Lexemes are lower-cased letter/digit runs;
@@ -17,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import jaccard, tokens
-from tidewatch.operators.joins import bounded_size
-from tidewatch.operators.vector import DEFAULT_MAX_QUERIES, cosine_topk
+from tidewatch.operators.vector import QueryBlock, cosine_topk, in_blocks
+from tidewatch.operators.windows import top_per_group
 
 # Fixed values of the reference's retrieval.
 RRF_K = 60                 # reciprocal-rank constant; ranks are 0-based
@@ -27,24 +29,13 @@ RRF_GATE = 0.015           # relevance gate on the fused score
 DEDUPE_PREFIX = 100        # characters of content that key a "topic"
 
 
-def bounded_queries(queries: DataFrame, max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
-    """The query batch, checked against its bound and held as a local relation,
-    so every step of a search plan reads it from memory instead of recomputing
-    it from the tables."""
-    rows = queries.limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"query batch exceeds {max_queries} rows; split it")
-    return queries.sparkSession.createDataFrame(rows, queries.schema)
-
-
 def candidates(k: int) -> int:
     """Candidates fetched per side for a top-k request: max(4k, 20)."""
     return max(4 * k, 20)
 
 
-def _top(df: DataFrame, qid: str, score: str, id_col: str, n: int, name: str = "rank") -> DataFrame:
-    w = Window.partitionBy(qid).orderBy(F.col(score).desc(), F.col(id_col).asc())
-    return df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias(name)).filter(F.col(name) < n)
+def _top(df: DataFrame, qid: str, score: str, id_col: str, n: int) -> DataFrame:
+    return top_per_group(df, [qid], [F.col(score).desc(), F.col(id_col).asc()], n, "rank", [id_col])
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -56,80 +47,38 @@ def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -
                  .groupBy("token", id_col).agg(F.count("*").alias("tf"))
 
 
-def _token_bucket(c, buckets: int):
-    return F.pmod(F.xxhash64(c), F.lit(buckets))
-
-
-def write_postings(postings_df: DataFrame, path: str, buckets: int = 256) -> None:
-    """Persist the inverted index with the token's hash bucket as a partition
-    column, so a lookup reads only the buckets of its query terms."""
-    postings_df.withColumn("bucket", _token_bucket(F.col("token"), buckets)) \
-        .write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_postings(spark, path: str, terms: list[str], buckets: int = 256) -> DataFrame:
-    """Postings of ``terms`` only: the bucket predicate prunes partitions at
-    planning time and the token predicate is pushed into the scan."""
-    want = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string")
-                   .select(_token_bucket(F.col("t"), buckets)).collect()})
-    return spark.read.parquet(path).filter(F.col("bucket").isin(want) & F.col("token").isin(list(terms))) \
-        .drop("bucket")
-
-
-def fts_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "content",
-             qid: str = "qid", qtext: str = "query_text", max_terms: int = 1_000_000) -> DataFrame:
+def fts_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, id_col: str = "id",
+             text_col: str = "content", qid: str = "qid", qtext: str = "query_text") -> DataFrame:
     """(qid, id, score, rank): documents holding all query lexemes, best k per query.
 
-    The query-term table is small (checked) and broadcast, so the exploded
-    document tokens are filtered to query lexemes inside the scan stage;
-    only matching (query, doc, term) counts are aggregated and shuffled.
+    Each query is filed under its longest lexeme.  A document looks up only those of its
+    lexemes that some query of the block is filed under, and verifies these queries in the scan
+    stage; only matches are shuffled.  Null or blank texts and queries match nothing.
     """
-    q = bounded_queries(queries).select(qid, F.array_distinct(tokens(qtext)).alias("_terms"))
-    # one broadcast table: (qid, term, number of distinct terms of the query)
-    qt = q.select(qid, F.explode("_terms").alias("token"), F.size("_terms").alias("_n_terms"))
-    if not bounded_size(qt, max_terms):
-        raise ValueError("query terms exceed the broadcast bound; split the query batch")
-    docs = corpus.select(id_col, tokens(text_col).alias("_toks"))
-    dt = docs.select(id_col, F.size("_toks").alias("_n_tokens"), F.explode_outer("_toks").alias("token")) \
-        .filter(F.col("token").isNotNull())          # (see postings: tokenize once)
-    hits = dt.join(F.broadcast(qt), "token")
-    tf = hits.groupBy(qid, id_col, "token").agg(F.count("*").alias("_tf"), F.max("_n_tokens").alias("_n_tokens"),
-                                              F.max("_n_terms").alias("_n_terms"))
-    per = tf.groupBy(qid, id_col).agg(F.count("*").alias("_matched"), F.sum("_tf").alias("_tf_sum"),
-                                      F.max("_n_tokens").alias("_n_tokens"), F.max("_n_terms").alias("_n_terms"))
-    scored = per.filter(F.col("_matched") == F.col("_n_terms")) \
-                .select(qid, id_col, (F.col("_tf_sum") / F.col("_n_tokens")).alias("score"))
-    return _top(scored, qid, "score", id_col, k)
-
-
-def semantic_topk(corpus: DataFrame, queries: DataFrame, k: int, category: str | None = None,
-                  id_col: str = "id", vec_col: str = "embedding", carry=(),
-                  max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
+    def search(block: QueryBlock) -> DataFrame:
+        q = block.frame.select(qid, F.array_distinct(tokens(qtext)).alias("_terms")).filter(F.size("_terms") > 0)
+        longest = F.array_max(F.transform("_terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+        filed = q.select(qid, "_terms", longest.alias("_filed"))
+        names = sorted({r[0] for r in filed.select("_filed").collect()})     # at most one per query of the block
+        docs = corpus.select(id_col, tokens(text_col).alias("_toks"))
+        known = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
+        asked = docs.select(id_col, "_toks", F.explode_outer(F.array_intersect("_toks", known)).alias("_filed")) \
+            .filter(F.col("_filed").isNotNull())
+        pairs = asked.join(F.broadcast(filed), "_filed").filter(F.size(F.array_except("_terms", "_toks")) == 0)
+        terms = F.col("_terms")
+        score = F.size(F.filter("_toks", lambda t: F.array_contains(terms, t))) / F.size("_toks")
+        return _top(pairs.select(qid, id_col, score.alias("score")), qid, "score", id_col, k)
+
+    return in_blocks(queries, qid, search)
+
+
+def semantic_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, category: str | None = None,
+                  id_col: str = "id", vec_col: str = "embedding", carry=()) -> DataFrame:
     """(qid, id, similarity = 1 - cosine distance, rank); optional category predicate,
     applied before scoring so it reaches the scan."""
     if category is not None:
         corpus = corpus.filter(F.col("category") == category)
-    return cosine_topk(corpus, bounded_queries(queries, max_queries), k, id_col, vec_col, carry=tuple(carry),
-                       max_queries=max_queries)
-
-
-def fuse_full(vector: DataFrame, fts: DataFrame, qid: str = "qid", id_col: str = "id",
-              key: str = "content") -> DataFrame:
-    """Full outer merge of two ranked lists keyed by (qid, content).
-
-    A content repeated inside one list keeps its *last* (worst) rank, as
-    the reference's rank map does; the representative row is the first
-    vector hit with that content, else the first full-text hit.
-    """
-    v = vector.groupBy(qid, key).agg(F.max("rank").alias("vector_rank"),
-                                     F.min_by(id_col, "rank").alias("_vid"),
-                                     F.min_by("similarity", "rank").alias("similarity"))
-    f = fts.groupBy(qid, key).agg(F.max("rank").alias("fts_rank"),
-                                  F.min_by(id_col, "rank").alias("_fid"),
-                                  F.min_by("score", "rank").alias("fts_score"))
-    j = v.join(f, [qid, key], "full_outer")
-    return j.select(qid, key, F.coalesce("_vid", "_fid").alias(id_col), "vector_rank", "fts_rank",
-                    F.when(F.col("_vid").isNotNull(), F.col("similarity")).alias("similarity"), "fts_score")
+    return cosine_topk(corpus, queries, k, id_col, vec_col, carry=tuple(carry))
 
 
 def rrf(rank_cols: list[str], k: int = RRF_K) -> Column:
@@ -141,18 +90,20 @@ def rrf(rank_cols: list[str], k: int = RRF_K) -> Column:
 
 
 def with_content(cands: DataFrame, corpus: DataFrame, id_col: str = "id", extra=()) -> DataFrame:
-    """Attach ``content`` (and ``extra`` corpus columns) to cut candidate lists
-    (n rows per query): the corpus text is joined once, after scoring,
-    instead of riding through scoring."""
-    return cands.join(corpus.select(id_col, "content", *extra), id_col)
+    """Attach ``content`` (and ``extra`` corpus columns) to the cut candidate lists of one block of
+    queries.  Their number is bounded by the block and the cut, so the list is broadcast and the
+    texts are picked in the scan stage."""
+    return corpus.select(id_col, "content", *extra).join(F.broadcast(cands), id_col)
 
 
 def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str = "qid",
                 id_col: str = "id", extra=()) -> DataFrame:
-    """``fuse_full`` as one aggregation: both ranked lists are tagged, unioned,
-    given their content by a single join, and grouped by (qid, content).
-    ``min_by`` skips the other list's null ranks, so each side's worst rank and
-    first hit come out as in the full outer merge."""
+    """Full outer merge of two ranked lists keyed by (qid, content), as one aggregation: both
+    lists are tagged, unioned and given their content by a single join.
+
+    A content repeated inside one list keeps its *last* (worst) rank, as the reference's rank map
+    does; the representative row is the first vector hit with that content, else the first
+    full-text hit (``min_by`` skips the other list's null ranks)."""
     none_l, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     tagged = vector.select(qid, id_col, F.col("rank").alias("_vr"), "similarity",
                            none_l.alias("_fr"), none_d.alias("_score")) \
@@ -169,60 +120,71 @@ def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str =
                         "similarity", "fts_score", *extra)
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, k: int, keyword_col: str | None = None,
+def fused_lists(corpus: DataFrame, queries: DataFrame | QueryBlock, n: int, keyword_col: str | None = None,
+                qid: str = "qid", id_col: str = "id", extra=()) -> DataFrame:
+    """Both sides' best ``n`` per query, merged (``fuse_ranked``).  The full-text side uses
+    ``keyword_col`` of the query table where it is set, else the query text."""
+    def search(block: QueryBlock) -> DataFrame:
+        words = block
+        if keyword_col is not None:
+            words = QueryBlock(block.rows, block.frame.select(
+                qid, F.coalesce(keyword_col, "query_text").alias("query_text")))
+        return fuse_ranked(semantic_topk(corpus, block, n, id_col=id_col), fts_topk(corpus, words, n, id_col), corpus,
+                           qid, id_col, extra)
+
+    return in_blocks(queries, qid, search)
+
+
+def hybrid(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, keyword_col: str | None = None,
            qid: str = "qid", id_col: str = "id", extra=()) -> DataFrame:
     """Hybrid search: max(4k, 20) candidates from each side, fused with
-    reciprocal-rank fusion, best k per query (ties: lower id).  The FTS side
-    uses ``keyword_col`` of the query table when given, else the query text."""
-    n = candidates(k)
-    queries = bounded_queries(queries)
-    vec = semantic_topk(corpus, queries, n)
-    fq = queries if keyword_col is None else queries.select(qid, F.coalesce(keyword_col, "query_text")
-                                                            .alias("query_text"))
-    fused = fuse_ranked(vec, fts_topk(corpus, fq, n), corpus, qid, id_col, extra)
-    scored = fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score"))
-    return _top(scored, qid, "rrf_score", id_col, k)
-
-
-def rerank(cands: DataFrame, queries: DataFrame, k: int, qid: str = "qid", id_col: str = "id",
+    reciprocal-rank fusion, best k per query (ties: lower id)."""
+    fused = fused_lists(corpus, queries, candidates(k), keyword_col, qid, id_col, extra)
+    return _top(fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score")), qid, "rrf_score", id_col, k)
+
+
+def rerank(cands: DataFrame, queries: DataFrame | QueryBlock, k: int, qid: str = "qid", id_col: str = "id",
            scorer=None, order_col: str = "rank") -> DataFrame:
     """Score (query, document) pairs and keep the best k per query.
 
     Default scorer: token Jaccard (pure SQL).  ``scorer(query_text, content)``
     may return any Column, e.g. a cross-encoder pandas UDF.  Ties keep the
     prior candidate order."""
-    q = bounded_queries(queries).select(qid, "query_text")
-    pairs = cands.join(F.broadcast(q), qid)
-    if scorer:
-        scored = pairs.select(*cands.columns, scorer(F.col("query_text"), F.col("content")).alias("relevance_score"))
-    else:
-        # token sets computed once per pair, then both set sizes read them
-        sets = pairs.select("*", F.array_distinct(tokens("query_text")).alias("_qs"),
-                            F.array_distinct(tokens("content")).alias("_ds"))
-        scored = sets.select(*cands.columns, jaccard(F.col("_qs"), F.col("_ds")).alias("relevance_score"))
-    w = Window.partitionBy(qid).orderBy(F.col("relevance_score").desc(), F.col(order_col).asc())
-    return scored.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rerank")).filter(F.col("rerank") < k)
-
-
-def dedupe_recent(cands: DataFrame, qid: str = "qid", created: str = "created_at",
-                  order_col: str = "rank", key_len: int = DEDUPE_PREFIX) -> DataFrame:
-    """One candidate per (query, first ``key_len`` characters): strictly newest
-    wins, else the first in candidate order; each survivor keeps the position
-    of its key's first appearance (``key_order``)."""
-    key = F.substring("content", 1, key_len)
-    w_key = Window.partitionBy(qid, key)
-    w = w_key.orderBy(F.col(created).desc(), F.col(order_col).asc())
-    return cands.select("*", F.row_number().over(w).alias("_rn"), F.min(order_col).over(w_key).alias("key_order")) \
-        .filter("_rn = 1").drop("_rn")
-
-
-def search_pipeline(corpus: DataFrame, queries: DataFrame, k: int = 5, qid: str = "qid",
-                    id_col: str = "id", scorer=None) -> DataFrame:
-    """Hybrid retrieval at max(4k, 20), dedupe by content prefix, re-rank, cut to k."""
-    queries = bounded_queries(queries)
-    fused = hybrid(corpus, queries, candidates(k), qid=qid, id_col=id_col, extra=("created_at",))
-    deduped = dedupe_recent(fused, qid)
-    return rerank(deduped, queries, k, qid, id_col, scorer, order_col="key_order")
+    def score(block: QueryBlock) -> DataFrame:
+        pairs = cands.join(F.broadcast(block.frame.select(qid, "query_text")), qid)
+        if scorer:
+            scored = pairs.select(*cands.columns, scorer(F.col("query_text"), F.col("content")).alias("relevance_score"))
+        else:
+            # token sets computed once per pair, then both set sizes read them
+            sets = pairs.select("*", F.array_distinct(tokens("query_text")).alias("_qs"),
+                                F.array_distinct(tokens("content")).alias("_ds"))
+            scored = sets.select(*cands.columns, jaccard(F.col("_qs"), F.col("_ds")).alias("relevance_score"))
+        return top_per_group(scored, [qid], [F.col("relevance_score").desc(), F.col(order_col).asc()], k, "rerank",
+                             [id_col])
+
+    return in_blocks(queries, qid, score)
+
+
+def dedupe_recent(cands: DataFrame, qid: str | None = "qid", created: str = "created_at",
+                  order_col: str = "rank", key_len: int = DEDUPE_PREFIX, key_order: bool = True) -> DataFrame:
+    """One candidate per (query, first ``key_len`` characters), or per prefix alone without ``qid``:
+    strictly newest wins, else the first in candidate order.  With ``key_order`` each survivor keeps
+    the position of its key's first appearance; without, the cut is limited before the shuffle."""
+    keys = [*([qid] if qid else []), F.substring("content", 1, key_len)]
+    w = Window.partitionBy(*keys).orderBy(F.col(created).desc(), F.col(order_col).asc())
+    first = [F.min(order_col).over(Window.partitionBy(*keys)).alias("key_order")] if key_order else []
+    return cands.select("*", F.row_number().over(w).alias("_rn"), *first).filter("_rn = 1").drop("_rn")
+
+
+def search_pipeline(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int = 5, qid: str = "qid",
+                    id_col: str = "id", scorer=None, keyword_col: str | None = None) -> DataFrame:
+    """Hybrid retrieval at max(4k, 20) (full-text side by ``keyword_col`` if given), dedupe by content
+    prefix, re-rank, cut to k."""
+    def search(block: QueryBlock) -> DataFrame:
+        fused = hybrid(corpus, block, candidates(k), keyword_col, qid, id_col, extra=("created_at",))
+        return rerank(dedupe_recent(fused, qid), block, k, qid, id_col, scorer, order_col="key_order")
+
+    return in_blocks(queries, qid, search)
 
 
 def relevance_gate(results: DataFrame, sim_gate: float = SIMILARITY_GATE, rrf_gate: float = RRF_GATE) -> DataFrame:

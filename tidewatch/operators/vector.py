@@ -1,149 +1,221 @@
 """Vector search over ``array<float>`` columns.
 
-The query side (a batch of search queries, or a pattern library) is
-checked against ``max_queries`` and broadcast as one matrix.  Each task
-scores its slice of the corpus with a numpy matrix product and keeps only
-the best ``k`` per query (ties: lower id first), so no query x document
-pair is ever materialised or shuffled; a ``row_number`` over those partial
-candidates (at most #tasks x k rows per query) gives the exact top-k.
+The query side (a batch of search queries, or a pattern library) is cut into
+blocks by a hash of its id, and each block is broadcast as one matrix: a
+block is bounded, the number of queries is not.  Each task scores its slice
+of the corpus with a numpy matrix product and keeps only the best ``k`` per
+query (ties: lower id first), so no query x document pair is ever
+materialised or shuffled; a ``row_number`` over those partial candidates (at
+most #tasks x k rows per query) gives the exact top-k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidewatch.operators.windows import top_per_group
 from tidewatch.session import ship_package
 
-DEFAULT_MAX_QUERIES = 20_000
+QUERY_BLOCK = 4096
+_SCORES_AT_ONCE = 4_000_000
+#: Cosines are compared to 12 places, so equal vectors tie whatever the order of summation.
+_PLACES = 12
 
 
-def _query_matrix(queries: DataFrame, qid: str, qvec: str, max_queries: int):
-    rows = queries.select(qid, qvec).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"query side holds more than {max_queries} rows; split it into batches")
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    if not rows:
-        return ids, np.zeros((0, 0))
-    m = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    norms[norms == 0] = 1.0
-    return ids, m / norms
+@dataclass
+class QueryBlock:
+    """A bounded part of a query table: its rows on the driver and as a local relation."""
+    rows: list
+    frame: DataFrame
+
+
+def in_blocks(queries: DataFrame | QueryBlock, qid: str, step: Callable[[QueryBlock], DataFrame],
+              block: int = QUERY_BLOCK) -> DataFrame:
+    """Union of ``step`` over blocks of about ``block`` queries (all rows of an id are in one
+    block); a block passed in is taken as it is, so nested searches bind their queries once."""
+    if isinstance(queries, QueryBlock):
+        return step(queries)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == k)
+        rows = part.collect()
+        found = step(QueryBlock(rows, queries.sparkSession.createDataFrame(rows, queries.schema)))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
     return m / norms
 
 
-def _best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best (score desc, id asc), ties at the cut included exactly."""
-    if len(scores) <= k:
-        sel = np.arange(len(scores))
-    else:
-        kth = np.partition(-scores, k - 1)[k - 1]
-        sel = np.nonzero(-scores <= kth)[0]
-    order = np.lexsort((ids[sel], -scores[sel]))
-    return sel[order[:k]]
-
-
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-                qid: str = "qid", qvec: str = "query_vec", carry: tuple[str, ...] = (),
-                max_queries: int = DEFAULT_MAX_QUERIES) -> DataFrame:
-    """Exact top-k cosine neighbours per query: (qid, id, *carry, similarity, rank 0-based)."""
+def _matrix(rows: list, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block, by id.  Queries without an id or vector, or of another
+    length than the block's first, have no neighbours."""
+    usable = sorted((r[qid], r[qvec]) for r in rows if r[qid] is not None and r[qvec] and None not in r[qvec])
+    usable = [x for x in usable if len(x[1]) == len(usable[0][1])]
+    ids = np.array([i for i, _ in usable], dtype=np.int64)
+    return ids, _unit(np.array([v for _, v in usable], dtype=np.float64).reshape(len(usable), -1))
+
+
+def _vectors(batch: pa.RecordBatch, vec_col: str, id_col: str, dim: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows with an id and a vector of this length without gaps, and the unit vectors."""
+    lengths = pc.list_value_length(batch.column(vec_col))
+    fit = pc.and_(pc.fill_null(pc.equal(lengths, dim), False), pc.is_valid(batch.column(id_col)))
+    batch = batch.filter(fit)
+    flat = batch.column(vec_col).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    m = flat.reshape(len(batch), dim)
+    whole = np.isfinite(m).all(axis=1)
+    if not whole.all():
+        batch, m = batch.filter(pa.array(whole)), m[whole]
+    return batch, _unit(m)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], vec_col: str, id_col: str, queries: np.ndarray):
+    """(rows, rows x queries cosines), a bounded number of scores at a time."""
+    step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
+    for b in batches:
+        for at in range(0, len(b), step):
+            part, m = _vectors(b.slice(at, step), vec_col, id_col, queries.shape[1])
+            if len(part):
+                yield part, np.round(m @ queries.T, _PLACES)
+
+
+def _cut(query: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best per query (cosine down, id up)."""
+    order = np.lexsort((ids, -sims, query))
+    q = query[order]
+    first = np.searchsorted(q, q, "left")
+    return order[np.arange(len(q)) - first < k]
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, id_col: str = "id",
+                vec_col: str = "embedding", qid: str = "qid", qvec: str = "query_vec",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """Exact top-k cosine neighbours per query: (qid, id, *carry, similarity, rank 0-based).
+
+    Corpus rows without an id, without a vector, or with one of another length or with gaps are
+    nobody's neighbours."""
     spark = corpus.sparkSession
     ship_package(spark)
-    q_ids, q_mat = _query_matrix(queries, qid, qvec, max_queries)
-    bc = spark.sparkContext.broadcast((q_ids, q_mat))
-    carry = tuple(carry)
-    src = corpus.select(id_col, vec_col, *carry)
-    carry_fields = [src.schema[c] for c in carry]
+    src = corpus.select(id_col, vec_col, *carry).filter(F.col(vec_col).isNotNull())
     schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField(id_col, T.LongType()),
-                           *carry_fields, T.StructField("similarity", T.DoubleType())])
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qi, qm = bc.value
-        kept: pd.DataFrame | None = None
-        for pdf in batches:
-            if len(pdf) == 0 or len(qi) == 0:
-                continue
-            sims = _unit_rows(pdf[vec_col]) @ qm.T          # rows x queries
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            frames = []
-            for j in range(len(qi)):
-                sel = _best_k(sims[:, j], ids, k)
-                f = pdf.iloc[sel][[id_col, *carry]].copy()
-                f.insert(0, qid, qi[j])
-                f["similarity"] = sims[sel, j]
-                frames.append(f)
-            cand = pd.concat(frames if kept is None else [kept, *frames], ignore_index=True)
-            # keep the running best k per query only
-            cand = cand.sort_values([qid, "similarity", id_col], ascending=[True, False, True])
-            kept = cand.groupby(qid, sort=False).head(k)
-        if kept is not None and len(kept):
-            yield kept[[qid, id_col, *carry, "similarity"]]
-
-    partial = src.mapInPandas(part, schema)
-    w = Window.partitionBy(qid).orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return partial.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rank")).filter(F.col("rank") < k)
+                           *[src.schema[c] for c in carry], T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def search(block: QueryBlock) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_matrix(block.rows, qid, qvec))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = shared.value
+            if not len(q_ids):
+                return
+            query = ids = sims = rest = None
+            for rows, scores in _slices(batches, vec_col, id_col, q):
+                if len(rows) > k:      # all that reach the k-th best, ties included
+                    kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
+                    at, which = np.nonzero(scores >= kth)
+                else:
+                    at, which = (x.ravel() for x in np.indices(scores.shape))
+                row_ids = rows.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = rows.select(list(carry)).take(pa.array(at)) if carry else None
+                new = which, row_ids[at], scores[at, which]
+                query, ids, sims = new if query is None else (
+                    np.concatenate(x) for x in zip((query, ids, sims), new))
+                if carry:
+                    rest = pa.Table.from_batches([found]) if rest is None else pa.concat_tables(
+                        [rest, pa.Table.from_batches([found])])
+                keep = _cut(query, ids, sims, k)
+                query, ids, sims = query[keep], ids[keep], sims[keep]
+                rest = rest.take(pa.array(keep)) if carry else None
+            if query is not None:
+                columns = [rest.column(c).combine_chunks().cast(arrow.field(c).type) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(ids), *columns, pa.array(sims)],
+                                                 schema=arrow)
+
+        partial = src.mapInArrow(part, schema)
+        return top_per_group(partial, [qid], [F.col("similarity").desc(), F.col(id_col).asc()], k, "rank", [id_col])
+
+    return in_blocks(queries, qid, search)
 
 
 def best_match(items: DataFrame, patterns: DataFrame, threshold: float, id_col: str = "id",
-               vec_col: str = "embedding", pid: str = "qid", pvec: str = "query_vec",
-               max_patterns: int = DEFAULT_MAX_QUERIES) -> DataFrame:
+               vec_col: str = "embedding", pid: str = "qid", pvec: str = "query_vec") -> DataFrame:
     """Per item, the most similar pattern (ties: lower pattern id) if its cosine
-    exceeds ``threshold``: (id, pattern_id, similarity).  Row-local: no shuffle."""
+    exceeds ``threshold``: (id, pattern_id, similarity).  Row-local up to one block of patterns;
+    the blocks of a larger library are merged by one aggregation."""
     spark = items.sparkSession
     ship_package(spark)
-    p_ids, p_mat = _query_matrix(patterns, pid, pvec, max_patterns)
-    bc = spark.sparkContext.broadcast((p_ids, p_mat))
+    src = items.select(id_col, vec_col).filter(F.col(vec_col).isNotNull())
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("pattern_id", T.LongType()),
                            T.StructField("similarity", T.DoubleType())])
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pi, pm = bc.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(pi) == 0:
-                continue
-            sims = _unit_rows(pdf[vec_col]) @ pm.T
-            order = np.argsort(pi, kind="stable")            # ties -> lower pattern id
-            best = order[np.argmax(sims[:, order], axis=1)]
-            score = sims[np.arange(len(pdf)), best]
-            keep = score > threshold
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[keep], "pattern_id": pi[best][keep],
-                                "similarity": score[keep]})
-
-    return items.select(id_col, vec_col).mapInPandas(part, schema)
-
-
-def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, max_distance: float = 1.2,
-                   bucket_length: float = 1.0, num_tables: int = 8, seed: int = 7,
-                   id_col: str = "id", vec_col: str = "embedding", qid: str = "qid",
+    arrow, blocks = to_arrow_schema(schema), []
+
+    def match(block: QueryBlock) -> DataFrame:
+        shared = spark.sparkContext.broadcast(_matrix(block.rows, pid, pvec))
+        blocks.append(block)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p_ids, p = shared.value
+            if not len(p_ids):
+                return
+            for rows, scores in _slices(batches, vec_col, id_col, p):
+                best = np.argmax(scores, axis=1)                 # by id: ties take the lower
+                score = scores[np.arange(len(rows)), best]
+                keep = score > threshold
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(id_col).cast(pa.int64()).filter(pa.array(keep)), pa.array(p_ids[best[keep]]),
+                     pa.array(score[keep])], schema=arrow)
+
+        return src.mapInArrow(part, schema)
+
+    found = in_blocks(patterns, pid, match)
+    if len(blocks) == 1:
+        return found
+    top = F.max(F.struct("similarity", (-F.col("pattern_id")).alias("p"))).alias("m")
+    return found.groupBy(id_col).agg(top).select(id_col, (-F.col("m.p")).alias("pattern_id"),
+                                                 F.col("m.similarity").alias("similarity"))
+
+
+def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, bucket_length: float = 1.0, num_tables: int = 8,
+                   seed: int = 7, id_col: str = "id", vec_col: str = "embedding", qid: str = "qid",
                    qvec: str = "query_vec") -> DataFrame:
-    """Approximate top-k (re-aim of the HNSW index): MLlib random-projection LSH
-    joins queries to corpus rows sharing a hash bucket (an equi-join, no
-    all-pairs scan), keeps pairs within ``max_distance`` (unit vectors:
-    Euclidean order = cosine order), rescored exactly.  The query side is the
-    checked, bounded batch, so bucket-mates pair with at most that many queries."""
+    """Approximate top-k (re-aim of the HNSW index): MLlib random-projection LSH joins queries to
+    corpus rows sharing a hash bucket (an equi-join, no all-pairs scan), rescored exactly.
+    Queries whose buckets hold fewer than ``k`` rows get the exact search, so every query has its
+    k neighbours.  Vectors are expected to have length one."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
-    from tidewatch.operators.search import bounded_queries
-
-    queries = bounded_queries(queries)
-
-    a = corpus.select(F.col(id_col).alias("_id"), array_to_vector(vec_col).alias("_v"))
-    b = queries.select(F.col(qid).alias("_id"), array_to_vector(qvec).alias("_v"))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(a)
-    pairs = model.approxSimilarityJoin(b, a, max_distance, distCol="distance")
-    scored = pairs.select(F.col("datasetA._id").alias(qid), F.col("datasetB._id").alias(id_col),
-                          (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("similarity"))
-    w = Window.partitionBy(qid).orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return scored.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rank")).filter(F.col("rank") < k)
+
+    usable = corpus.filter(F.col(vec_col).isNotNull())
+
+    def search(block: QueryBlock) -> DataFrame:
+        a = usable.select(F.col(id_col).alias("_id"), array_to_vector(vec_col).alias("_v"))
+        b = block.frame.filter(F.col(qvec).isNotNull()).select(F.col(qid).alias("_id"), array_to_vector(qvec).alias("_v"))
+        model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                            numHashTables=num_tables, seed=seed).fit(a)
+        # two unit vectors are at most 2 apart: no neighbour is cut by distance
+        pairs = model.approxSimilarityJoin(b, a, 2.0 + 1e-9, distCol="distance")
+        scored = pairs.select(F.col("datasetA._id").alias(qid), F.col("datasetB._id").alias(id_col),
+                              (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("similarity"))
+        near = top_per_group(scored, [qid], [F.col("similarity").desc(), F.col(id_col).asc()], k, "rank", [id_col])
+        full = {r[qid] for r in near.groupBy(qid).count().filter(F.col("count") >= k).collect()}
+        short = [r for r in block.rows if r[qid] not in full]
+        if not short:
+            return near
+        rest = QueryBlock(short, block.frame.filter(~F.col(qid).isin(sorted(full))) if full else block.frame)
+        exact = cosine_topk(usable, rest, k, id_col, vec_col, qid, qvec)
+        return near.filter(F.col(qid).isin(sorted(full))).unionByName(exact) if full else exact
+
+    return in_blocks(queries, qid, search)

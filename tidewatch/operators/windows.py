@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import epoch_micros
-from tidewatch.operators.numbering import CHUNK, _chunked, neighbour_values, running_sum
+from tidewatch.operators.numbering import Chunks, neighbour_values, running_sum
 
 
 def _flatten(df: DataFrame, wcol: str = "window") -> DataFrame:
@@ -47,7 +47,7 @@ def session(df: DataFrame, time_col: str, gap: str, keys: list[str], aggs: list[
     if df.isStreaming:
         out = _flatten(df.groupBy(F.session_window(time_col, gap).alias("window"), *keys).agg(*aggs))
     else:
-        s = sessionize(df, keys, time_col, gap, order_cols)
+        s = sessionize(df, keys, time_col, gap, order_cols).filter(F.col(time_col).isNotNull())
         out = s.groupBy(*keys, "_session").agg(F.min(time_col).alias("window_start"),
                                                F.max(time_col).alias("_last"), *aggs)
         out = out.select("window_start", (F.col("_last") + F.expr(f"INTERVAL {gap}")).alias("window_end"),
@@ -63,27 +63,26 @@ def sessionize(df: DataFrame, keys: list[str], time_col: str, gap: str,
     earlier.  One pass over (key, minute) chunks counts starts inside each
     chunk; a small per-chunk table (first time, last time, inner starts)
     decides whether each chunk's first row starts a session and how many
-    starts precede the chunk.  One shuffle of the data, no per-key task.
+    starts precede the chunk.  No per-key task.  Rows with null keys form a key
+    of their own; rows without a time get no session (null).
     """
     order = order_cols or [time_col]
-    base, added = _chunked(df, order, 60)
-    chunk = [*keys, CHUNK]
-    w = Window.partitionBy(*chunk).orderBy(*order)
+    c = Chunks(df, keys, order, 60)
     interval = F.expr(f"INTERVAL {gap}")
+    at, w = F.col(time_col), c.inside(order)
     prev = F.lag(time_col).over(w)
-    local = base.select("*", (prev.isNotNull() & (F.col(time_col) > prev + interval)).cast("long").alias("_inner"))
-    local = local.select("*", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
-    ends = local.groupBy(*chunk).agg(F.min(time_col).alias("_first_t"), F.max(time_col).alias("_last_t"),
-                                     F.sum("_inner").alias("_inner_n"))
-    wc = Window.partitionBy(*keys).orderBy(CHUNK)
-    prev_last = F.lag("_last_t").over(wc)
-    ends = ends.select(*chunk, "_inner_n",
-                       (prev_last.isNull() | (F.col("_first_t") > prev_last + interval)).cast("long").alias("_head"))
-    carry = ends.select(*chunk, "_head", F.coalesce(F.sum(F.col("_inner_n") + F.col("_head")).over(
-        wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = local.join(carry, chunk).select(
-        *df.columns, (F.col("_before") + F.col("_head") + F.col("_upto") - 1).alias("_session"))
-    return out
+    local = c.df.select("*", F.coalesce(at > prev + interval, F.lit(False)).cast("long").alias("__inner"))
+    local = local.select("*", F.sum("__inner").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"))
+    ends = local.groupBy(*c.keys).agg(F.min(time_col).alias("__first"), F.max(time_col).alias("__last"),
+                                      F.sum("__inner").alias("__inner_n"))
+    prev_last = F.lag("__last").over(c.across())
+    # rows without a time have a chunk of their own, which starts nothing
+    starts = F.col("__first").isNotNull() & F.coalesce(F.col("__first") > prev_last + interval, F.lit(True))
+    ends = ends.select(*c.keys, "__inner_n", starts.cast("long").alias("__head"))
+    carry = ends.select(*c.keys, "__head", F.coalesce(F.sum(F.col("__inner_n") + F.col("__head")).over(
+        c.across().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.col("__head") + F.col("__upto") - 1
+    return local.join(carry, c.keys).select(*df.columns, F.when(at.isNotNull(), number).alias("_session"))
 
 
 def with_watermark(df: DataFrame, time_col: str, delay: str) -> DataFrame:
@@ -136,6 +135,28 @@ def changed_from_previous(df: DataFrame, keys: list[str], order_cols: list[str],
               .filter(~F.col(value_col).eqNullSafe(prev))
 
 
+# Spark plans a partial limit before the shuffle only for row_number() <= n up to this n.
+GROUP_LIMIT = 1000
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str, spread: list[str]
+                  ) -> DataFrame:
+    """Best ``n`` rows per key, numbered from 0.
+
+    The cut is on ``row_number()`` itself, so each map task ships at most n rows per key.  For
+    an n beyond Spark's partial limit, every key is first cut in slices of the ``spread``
+    columns' hash, so no task ranks all rows of a key.
+    """
+    if n > GROUP_LIMIT:
+        slice_ = F.pmod(F.xxhash64(*spread), F.lit(256))
+        cut = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+        df = df.select("*", slice_.alias("__slice")).select("*", cut.alias("__cut")).filter(F.col("__cut") <= n) \
+            .drop("__slice", "__cut")
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    cut = df.select("*", rn.alias("__rn")).filter(F.col("__rn") <= n)
+    return cut.select(*df.columns, (F.col("__rn") - 1).cast("bigint").alias(name))
+
+
 def ranked_tail(df: DataFrame, keys: list[str], order_desc: list[str], n: int,
                 name: str = "rn") -> DataFrame:
     """Last ``n`` rows per key (newest first numbered 1).

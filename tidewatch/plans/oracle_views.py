@@ -92,7 +92,7 @@ SELECT d.doc_id AS id, d.text AS content, d.source AS category, d.lang AS tenant
   TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 MINUTE AS created_at,
   CASE WHEN d.doc_id % 4 = 0
        THEN TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 MINUTE + INTERVAL 1 DAY END AS expires_at
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""")
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""")
 
 TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)"
 
@@ -101,11 +101,9 @@ def tokens_sql(c: str) -> str:
     return TOKENS.format(c=c)
 
 
-_view("v_queries", ("v_knowledge",), f"""
-SELECT id AS qid,
-  array_to_string(list_filter({tokens_sql('content')}, lambda x: length(x) >= 4)[1:2], ' ') AS query_text,
-  embedding AS query_vec
-FROM v_knowledge ORDER BY id LIMIT 5""")
+_view("v_queries", (), """
+SELECT b.item_id AS qid, b.text AS query_text, e.embedding AS query_vec
+FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id""")
 
 _view("v_dlq", (), f"""
 SELECT ts AS "timestamp", user_id % 5 AS cell_id, user_id % 6 AS consumer_id,

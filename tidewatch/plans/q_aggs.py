@@ -51,7 +51,7 @@ def agg_status_rollup(spark, sf_dir):
     long = c.select(F.explode(F.array(
         *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value"))
           for n in ("cells", "active_cells", "consumers")])).alias("m")).select("m.*")
-    events = V.v_messages(spark, sf_dir).agg(F.count("*").alias("value")) \
+    events = V.v_messages(spark, sf_dir, offsets=False).agg(F.count("*").alias("value")) \
         .select(F.lit("events_processed").alias("metric"), "value")
     return long.unionByName(events)
 

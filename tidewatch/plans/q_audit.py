@@ -76,7 +76,7 @@ def pipeline_health(spark, sf_dir):
         F.sum("read_records").alias("records_in")) \
         .select("*", F.when(F.col("job_id") % 17 == 0, "FAILED").otherwise("RUNNING").alias("state"))
     dlq = V.v_dlq(spark, sf_dir).groupBy(F.col("consumer_id").alias("dlq_key")).agg(F.count("*").alias("errors"))
-    ev = V.v_messages(spark, sf_dir).groupBy(F.col("key").cast("bigint").alias("event_key")) \
+    ev = V.v_messages(spark, sf_dir, offsets=False).groupBy(F.col("key").cast("bigint").alias("event_key")) \
         .agg(F.count("*").alias("events_processed"))
     return AU.consumer_health(consumers, jobs, dlq, ev)
 

@@ -97,7 +97,7 @@ FROM (SELECT topic FROM v_messages
       UNION SELECT CASE WHEN severity = 'error' THEN 'threats.detected' ELSE 'traffic.anomalies' END FROM v_syslog)""",
     "v_messages", "v_dlq", "v_decisions", "v_registry", "v_syslog"))
 def classify_topic(spark, sf_dir):
-    topics = (V.v_messages(spark, sf_dir).select("topic")
+    topics = (V.v_messages(spark, sf_dir, offsets=False).select("topic")
               .union(V.v_dlq(spark, sf_dir).select(F.concat(F.lit("dlq.consumer-"), F.col("consumer_id").cast("string"))))
               .union(V.v_decisions(spark, sf_dir).select(
                   F.concat(F.lit("agent.decisions.cell-"), F.col("cell_id").cast("string"))))

@@ -50,7 +50,7 @@ SELECT f.event_id, f.device_id, d.device_type, d.location, d.vlan_id
 FROM v_flows f LEFT JOIN v_devices d ON f.device_id = d.device_id""", "v_flows", "v_devices"))
 def join_static_enrich(spark, sf_dir):
     fl = V.v_flows(spark, sf_dir).select("event_id", "device_id")
-    inv = J.broadcast_if_small(V.v_devices(spark).select("device_id", "device_type", "location", "vlan_id"), 10_000)
+    inv = V.v_devices(spark).select("device_id", "device_type", "location", "vlan_id")
     return fl.join(inv, "device_id", "left")
 
 

@@ -1,4 +1,4 @@
-"""§2.9 knowledge base over v_knowledge (corpus) and v_queries (a batch of 5 queries)."""
+"""§2.9 knowledge base over v_knowledge (all documents) and v_queries (all benchmark passages)."""
 
 from __future__ import annotations
 
@@ -22,7 +22,8 @@ def sem_sql(n: int, where: str = "TRUE") -> str:
 SELECT qid, id, content, sim AS similarity, rank FROM (
   SELECT q.qid, k.id, k.content, {COS} AS sim,
          row_number() OVER (PARTITION BY q.qid ORDER BY {COS} DESC, k.id) - 1 AS rank
-  FROM v_queries q CROSS JOIN (SELECT * FROM v_knowledge WHERE {where}) k) WHERE rank < {n}"""
+  FROM (SELECT * FROM v_queries WHERE query_vec IS NOT NULL) q
+  CROSS JOIN (SELECT * FROM v_knowledge WHERE embedding IS NOT NULL AND {where}) k) WHERE rank < {n}"""
 
 
 def fts_sql(n: int) -> str:
@@ -95,10 +96,7 @@ def kb_inverted_index(spark, sf_dir):
 SELECT qid, id, vector_rank, fts_rank, round(similarity, 6) AS similarity FROM fused""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(5)[:3]))
 def join_fuse_full(spark, sf_dir):
-    kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
-    n = S.candidates(5)
-    fts = S.with_content(S.fts_topk(kb, q, n), kb)
-    fused = S.fuse_full(S.with_content(S.semantic_topk(kb, q, n), kb), fts)
+    fused = S.fused_lists(_kb(spark, sf_dir), _q(spark, sf_dir), S.candidates(5))
     return fused.select("qid", "id", "vector_rank", "fts_rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -185,7 +183,8 @@ def kb_cross_tenant(spark, sf_dir, tenant="fr"):
 SELECT id, pattern_id, round(similarity, 6) AS similarity FROM (
   SELECT k.id, q.qid AS pattern_id, {COS} AS similarity,
          row_number() OVER (PARTITION BY k.id ORDER BY {COS} DESC, q.qid) AS rn
-  FROM v_knowledge k CROSS JOIN v_queries q) WHERE rn = 1 AND similarity > 0.3""", "v_knowledge", "v_queries"))
+  FROM (SELECT * FROM v_knowledge WHERE embedding IS NOT NULL) k
+  CROSS JOIN (SELECT * FROM v_queries WHERE query_vec IS NOT NULL) q) WHERE rn = 1 AND similarity > 0.3""", "v_knowledge", "v_queries"))
 def join_pattern_match(spark, sf_dir):
     m = VEC.best_match(_kb(spark, sf_dir), _q(spark, sf_dir), 0.3)
     return m.select("id", "pattern_id", F.round("similarity", 6).alias("similarity"))

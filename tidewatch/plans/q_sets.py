@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import windows as W
+from tidewatch.operators.search import dedupe_recent
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import register
 from tidewatch.plans.oracle_views import sql
@@ -62,14 +62,6 @@ def set_topic_algebra(spark, sf_dir):
     return topic_sets(V.v_registry(spark, sf_dir))
 
 
-def dedup_recent_prefix(df, key_len=100, created="created_at", rank="rank"):
-    """One row per first-``key_len``-characters key: the strictly newest wins,
-    else the earliest in rank order.  ``row_number() = 1`` gets a partial
-    WindowGroupLimit before the shuffle."""
-    w = Window.partitionBy(F.substring("content", 1, key_len)).orderBy(F.col(created).desc(), F.col(rank).asc())
-    return df.select("*", F.row_number().over(w).alias("_rn")).filter("_rn = 1").drop("_rn")
-
-
 @register("dedup_recent_prefix", sql("""
 SELECT id, category, created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY created_at DESC, id) AS rn
@@ -77,7 +69,7 @@ SELECT id, category, created_at FROM (
 def dedup_recent_prefix_q(spark, sf_dir):
     kb = V.v_knowledge(spark, sf_dir).select("id", "content", "category", "created_at",
                                              F.col("id").alias("rank"))
-    return dedup_recent_prefix(kb).select("id", "category", "created_at")
+    return dedupe_recent(kb, qid=None, key_order=False).select("id", "category", "created_at")
 
 
 @register("dedup_events", sql("""

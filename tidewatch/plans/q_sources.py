@@ -24,7 +24,7 @@ def flow_messages(spark, sf_dir):
     fl = V.v_flows(spark, sf_dir)
     body = F.struct(F.date_format("event_time", TS_FMT).alias("timestamp"), "src_ip", "dst_ip",
                     "dst_port", "bytes_sent", "bytes_received", "packets", "application",
-                    "device_id", "direction")
+                    F.concat(F.lit("dev-"), "device_id").alias("device_id"), "direction")
     good = fl.select(F.lit("network.flows").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"),
                      F.col("event_id").alias("offset"), F.col("event_time").alias("timestamp"),
                      F.col("src_ip").alias("key"), F.to_json(body).alias("value"))
@@ -42,7 +42,7 @@ FLOW_COLS = ["event_time", "src_ip", "dst_ip", "dst_port", "bytes_sent", "bytes_
 
 @register("src_json_events", sql(f"""
 SELECT strptime(strftime(event_time, '{DUCK_TS_FMT}'), '{DUCK_TS_FMT}') AS event_time, src_ip, dst_ip,
-       dst_port, bytes_sent, bytes_received, packets, application, device_id, direction
+       dst_port, bytes_sent, bytes_received, packets, application, 'dev-' || device_id AS device_id, direction
 FROM v_flows""", "v_flows"))
 def src_json_events(spark, sf_dir):
     return E.decode(flow_messages(spark, sf_dir), E.FLOW_SCHEMA).select(*FLOW_COLS)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources.tables import load
-from tidewatch.functions.text import tokens
 from tidewatch.operators.numbering import sequence_number
 
 
@@ -126,8 +125,9 @@ def v_devices(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     )
 
 
-def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic log envelope. Offsets are dense per (topic, partition) by (ts, event_id)."""
+def v_messages(spark: SparkSession, sf_dir: str, offsets: bool = True) -> DataFrame:
+    """Topic log envelope. Offsets are dense per (topic, partition) by (ts, event_id); jobs that
+    read no offsets leave them out and so need no numbering."""
     ev = load(spark, sf_dir, "events")
     base = ev.select(
         F.concat(F.lit("network."), F.col("event_type")).alias("topic"),
@@ -137,6 +137,8 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("key"),
         F.col("props").alias("value"),
     )
+    if not offsets:
+        return base
     return sequence_number(base, ["topic", "partition"], ["timestamp", "event_id"], "offset")
 
 
@@ -144,7 +146,8 @@ def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     emb = load(spark, sf_dir, "embeddings")
     created = F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
-    return docs.join(emb, docs.doc_id == emb.vec_id).select(
+    # every document is an entry; those without an embedding have no vector
+    return docs.join(emb, docs.doc_id == emb.vec_id, "left").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         F.col("source").alias("category"),
@@ -159,21 +162,11 @@ def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """A batch of search queries: the n smallest knowledge ids.
-
-    The ids are found from the id columns alone (a top-n), then the n rows
-    are fetched with a literal IN filter that parquet statistics can prune;
-    no text is read to pick them.
-    """
-    kb = v_knowledge(spark, sf_dir)
-    ids = [r[0] for r in kb.select("id").orderBy("id").limit(n).collect()]
-    long_tokens = F.filter(tokens("content"), lambda x: F.length(x) >= 4)
-    return kb.filter(F.col("id").isin(ids)).select(
-        F.col("id").alias("qid"),
-        F.array_join(F.slice(long_tokens, 1, 2), " ").alias("query_text"),
-        F.col("embedding").alias("query_vec"),
-    )
+def v_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of search queries: every benchmark passage, whole, with the vector of its id."""
+    items, emb = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "embeddings")
+    return items.join(emb, items.item_id == emb.vec_id, "left").select(
+        F.col("item_id").alias("qid"), F.col("text").alias("query_text"), F.col("embedding").alias("query_vec"))
 
 
 def v_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ FLOW_SCHEMA = T.StructType([
     T.StructField("packets", T.LongType()),
     T.StructField("duration_ms", T.LongType()),
     T.StructField("application", T.StringType()),
-    T.StructField("device_id", T.LongType()),
+    T.StructField("device_id", T.StringType()),
     T.StructField("vlan_id", T.IntegerType()),
     T.StructField("direction", T.StringType()),
 ])
@@ -70,6 +70,11 @@ DEVICE_STATUS_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("device_id", T.StringType()),
     T.StructField("device_type", T.StringType()),
+    T.StructField("manufacturer", T.StringType()),
+    T.StructField("model", T.StringType()),
+    T.StructField("firmware_version", T.StringType()),
+    T.StructField("ip_address", T.StringType()),
+    T.StructField("location", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("cpu_percent", T.DoubleType()),
     T.StructField("memory_percent", T.DoubleType()),
@@ -135,6 +140,10 @@ def read_kafka(spark: SparkSession, bootstrap: str, topics: list[str], streaming
         F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _in_partition(topic: str, partition) -> Column:
+    return F.col("topic").eqNullSafe(topic) & F.col("partition").eqNullSafe(int(partition))
+
+
 def offset_range(messages: DataFrame, starting: str | dict = "earliest",
                  ending: str | dict = "latest") -> DataFrame:
     """Bounded replay of an envelope table, with Kafka's offset-spec semantics.
@@ -143,9 +152,11 @@ def offset_range(messages: DataFrame, starting: str | dict = "earliest",
     ``{topic: {partition: offset}}``; ``-2`` means earliest and ``-1``
     latest.  A batch read from ``"latest"`` holds no rows.  Ending offsets
     are exclusive.  The spec becomes a plain predicate, so it reaches the
-    file scan as a pushed filter.
+    file scan as a pushed filter.  Rows without a topic, partition or offset
+    are outside every bound and stay.  On a stream, ``starting="latest"`` is
+    the source's affair and no predicate.
     """
-    if starting == "latest" or ending == "earliest":
+    if (starting == "latest" or ending == "earliest") and not messages.isStreaming:
         return messages.limit(0)
     cond = F.lit(True)
     for spec, is_start in ((starting, True), (ending, False)):
@@ -154,11 +165,10 @@ def offset_range(messages: DataFrame, starting: str | dict = "earliest",
                 for part, off in parts.items():
                     if off in (-2, -1):
                         if (off == -1) == is_start:
-                            cond = cond & ~((F.col("topic") == topic) & (F.col("partition") == int(part)))
+                            cond = cond & ~_in_partition(topic, part)
                         continue
-                    here = (F.col("topic") == topic) & (F.col("partition") == int(part))
                     bound = (F.col("offset") >= off) if is_start else (F.col("offset") < off)
-                    cond = cond & (~here | bound)
+                    cond = cond & (~_in_partition(topic, part) | F.coalesce(bound, F.lit(True)))
     return messages.filter(cond)
 
 
@@ -178,16 +188,15 @@ def read_events(spark: SparkSession, source: str, schema: T.StructType, streamin
 
     ``source`` is a Kafka bootstrap list when ``bootstrap`` is set (``topics``
     subscribed, Kafka offset specs for ``start``/``end``), otherwise a folder
-    of envelope files (offset specs become predicates in batch; a stream
-    starts from the files present).  Undecodable values are dropped, or kept
+    of envelope files (offset specs become predicates; a stream reads the files
+    present and new ones, from the ``start`` offsets on).  Undecodable values are dropped, or kept
     with ``_parse_error`` for a dead-letter sink.
     """
     if bootstrap:
         msgs = read_kafka(spark, bootstrap, topics or [source], streaming, start, None if streaming else end)
     else:
         msgs = read_topic_files(spark, source, streaming=streaming, fmt=fmt)
-        if not streaming:
-            msgs = offset_range(msgs, start, end)
+        msgs = offset_range(msgs, start, "latest" if streaming else end)
         if topics:
             msgs = msgs.filter(F.col("topic").isin(*topics))
     return decode(msgs, schema, with_errors=with_errors)

@@ -41,40 +41,50 @@ def flow_summary_stream(flows: DataFrame, size: str = "1 minute", delay: str = "
                       "src_ip", "total_bytes", "flow_count")
 
 
+def _finish(q: StreamingQuery, timeout_s: float | None) -> StreamingQuery:
+    """Wait for the query's end (for ever, unless a limit is asked for) and keep every progress
+    entry: Spark itself remembers only the last hundred, so they are gathered while it runs."""
+    import time
+
+    seen: dict = {}
+    began = time.monotonic()
+    while True:
+        ended = q.awaitTermination(0.2)
+        for p in q.recentProgress:
+            seen[(p.runId, p.batchId, p.timestamp)] = p
+        if ended:
+            break
+        if timeout_s is not None and time.monotonic() - began > timeout_s:
+            q.stop()
+            raise TimeoutError("streaming query did not finish")
+    if q.exception():
+        raise q.exception()
+    q.all_progress = list(seen.values())
+    return q
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, output_mode: str = "append",
-                      fmt: str = "parquet", timeout_s: int = 600) -> StreamingQuery:
+                      fmt: str = "parquet", timeout_s: float | None = None) -> StreamingQuery:
     """Process everything available now, then stop; the checkpoint keeps offsets
     and state, so a later call resumes exactly where this one ended (file
     sinks are exactly-once)."""
-    q = (df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(sink_path))
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception():
-        raise q.exception()
-    return q
+    return _finish(df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
+                   .trigger(availableNow=True).start(sink_path), timeout_s)
 
 
 def run_foreach_batch(df: DataFrame, fn, checkpoint: str, output_mode: str = "append",
-                      timeout_s: int = 600) -> StreamingQuery:
-    q = (df.writeStream.foreachBatch(fn).outputMode(output_mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception():
-        raise q.exception()
-    return q
+                      timeout_s: float | None = None) -> StreamingQuery:
+    return _finish(df.writeStream.foreachBatch(fn).outputMode(output_mode).option("checkpointLocation", checkpoint)
+                   .trigger(availableNow=True).start(), timeout_s)
+
+
+def progress_of(q: StreamingQuery) -> list:
+    return getattr(q, "all_progress", None) or q.recentProgress
 
 
 def dropped_by_watermark(q: StreamingQuery) -> int:
     """Late rows dropped by the stateful operators, summed over the run's progress."""
-    total = 0
-    for p in q.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            total += (op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
-                      else op.numRowsDroppedByWatermark)
-    return total
+    return sum(op.numRowsDroppedByWatermark for p in progress_of(q) for op in p.stateOperators)
 
 
 def observe_counters(df: DataFrame, name: str, alert_flag=None, time_col: str = "event_time") -> DataFrame:
@@ -87,11 +97,11 @@ def observe_counters(df: DataFrame, name: str, alert_flag=None, time_col: str =
 
 
 def observed_totals(q: StreamingQuery, name: str) -> dict:
-    """Sum of a query's observed counters over its recorded progress."""
+    """Sum of a query's observed counters over all its progress."""
     events = alerts = 0
     last = None
-    for p in q.recentProgress:
-        row = p.observedMetrics.get(name) if hasattr(p, "observedMetrics") else None
+    for p in progress_of(q):
+        row = p.observedMetrics.get(name)
         if row is None:
             continue
         events += row["events_in"] or 0
