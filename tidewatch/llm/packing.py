@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,31 +30,58 @@ _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("star
 _IDS_ARROW = _PIECES_ARROW.append(pa.field("ids", pa.binary()))
 
 
-class WordTokens:
-    """Token ids of texts through a cache of words.
+#: Words whose normal form and pieces are plain: printable ASCII without apostrophe and "<", and
+#: the letters of Latin-1.  Lower-casing is by character there, and no two of them compose.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own pieces of such a word, lower-cased: letters, one digit, others.
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    The tokenizer drops white space and splits at it before anything else, so a text's ids
-    are its words' ids in order; each distinct word is tokenized once while the cache lasts.
+
+def _byte_letters() -> dict[int, str]:
+    """Character that byte-level BPE writes for each byte: itself if it is visible in Latin-1,
+    else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+class WordTokens(dict):
+    """Token ids of texts through a cache of words and their pieces (little-endian unsigned
+    32-bit ids by UTF-8 bytes).
+
+    The tokenizer drops white space and splits at it before anything else, so a text's ids are
+    its words' ids in order.  Plain words are cut into the tokenizer's pieces here and go
+    straight to its model; all others go through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()              # costs time only
+        text = word.decode()
+        if not _PLAIN.fullmatch(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            pieces = _PIECE.findall(text.lower())
+            if len(pieces) > 1:
+                found = self[word] = b"".join([self[p.encode()] for p in pieces])
+                return found
+            piece = pieces[0] if pieces[0].isascii() else pieces[0].encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(piece)]
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def ids(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = word_bytes(text)
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > _CACHED_WORDS:
-                known.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            known.update(zip(missing, (np.array(e.ids, dtype="<u4").tobytes() for e in found)))
-        return b"".join(map(known.__getitem__, words))
+        # letters are lower-cased anyway; done first, it saves entries (special tokens keep their case)
+        words = word_bytes(text.lower() if text and b"<|" not in text else text)
+        return b"".join(map(self.__getitem__, words))
 
 
 _tokenizers: dict[int, WordTokens] = {}
