@@ -34,6 +34,14 @@ _WINDOWS, _MARKS, _TEXT = 0, 1, 2
 _MARK = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<u4")])
 
 
+def _compress(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _decompress(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _WordValues(dict):
     """Word -> random 64-bit value; forgets all when full, which costs time only."""
 
@@ -111,12 +119,7 @@ def _window_rows(window: int, buckets: int, targets: int):
         keep.sort()
         hashes, doc_of, start = hashes[keep], doc_of[keep], start[keep]
         for bucket, (h, d, s) in by_bucket((hashes % np.uint64(buckets)).astype(np.int32), hashes, doc_of, start):
-            # runs of one document: its id, checksum and number of windows; then places and hashes
-            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            counts = np.diff(np.append(cut, len(d))).astype(np.uint32)
-            head = np.array([len(cut), len(d)], dtype=np.uint32)
-            rows.append((bucket, _WINDOWS, None, b"".join(x.tobytes() for x in (
-                head, ids[d[cut]], crcs[d[cut]], counts, s, h))))
+            rows.append((bucket, _WINDOWS, None, _packed(ids, crcs, d, s, h)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW_ARROW)] if rows
             else [pa.array([], f.type) for f in _ROW_ARROW], schema=_ROW_ARROW)
@@ -138,14 +141,31 @@ def _window_rows(window: int, buckets: int, targets: int):
     return rows
 
 
+def _packed(ids: np.ndarray, crcs: np.ndarray, doc_of: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Windows ordered by (document, start) as bytes.  Per document its id, checksum and number
+    of windows; ids and places as steps, which compress to about a byte; hashes do not compress."""
+    cut = np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
+    counts = np.diff(np.append(cut, len(doc_of))).astype(np.uint32)
+    id_steps = np.diff(ids[doc_of[cut]], prepend=np.int64(0))
+    steps = np.diff(start.astype(np.int64), prepend=0)
+    steps[cut] = start[cut]
+    places = _compress(b"".join(x.tobytes() for x in (id_steps, crcs[doc_of[cut]], counts, steps.astype(np.uint32))))
+    return np.array([len(cut), len(doc_of), len(places)], dtype=np.uint32).tobytes() + places + hashes.tobytes()
+
+
 def _unpacked(payload: bytes) -> tuple[np.ndarray, ...]:
-    n_docs, n = np.frombuffer(payload, np.uint32, 2).tolist()
-    at, out = 8, []
-    for dtype, size in ((np.int64, n_docs), (np.uint32, n_docs), (np.uint32, n_docs), (np.uint32, n), (np.uint64, n)):
-        out.append(np.frombuffer(payload, dtype, size, at))
-        at += size * np.dtype(dtype).itemsize
-    ids, crcs, counts, start, hashes = out
-    return np.repeat(ids, counts), np.repeat(crcs, counts), start, hashes
+    """(document, checksum, start, hash) of every window."""
+    n_docs, n, size = np.frombuffer(payload, np.uint32, 3).tolist()
+    places, at, out = _decompress(payload[12:12 + size]), 0, []
+    for dtype, k in ((np.int64, n_docs), (np.uint32, n_docs), (np.uint32, n_docs), (np.uint32, n)):
+        out.append(np.frombuffer(places, dtype, k, at))
+        at += k * np.dtype(dtype).itemsize
+    id_steps, crcs, counts, steps = out
+    ids = np.cumsum(id_steps, dtype=np.int64)
+    total = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(counts, dtype=np.int64) - counts
+    start = (total - np.repeat(total[first] - steps[first], counts)).astype(np.uint32)
+    return np.repeat(ids, counts), np.repeat(crcs, counts), start, np.frombuffer(payload, np.uint64, n, 12 + size)
 
 
 def _settle(targets: int):
@@ -172,10 +192,9 @@ def _settle(targets: int):
 
 def _text_rows(targets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             doc = np.array([_NO_ID if d is None else d for d in b.column("doc_id").to_pylist()], dtype=np.int64)
-            packed = [None if t is None else pack(t) for t in texts(b, "text")]
+            packed = [None if t is None else _compress(t) for t in texts(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_target(doc, targets)), pa.array([_TEXT] * len(doc), pa.int32()), b.column("doc_id"),
                  pa.array(packed, pa.binary())], schema=_ROW_ARROW)
@@ -201,7 +220,6 @@ _RESULT_ARROW = pa.schema([
 def _removed(window: int):
     """Rows arrive ordered by target, marks before texts."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         target, blobs, marked = None, [], None
         for b in batches:
             out, size = [], 0
@@ -213,7 +231,7 @@ def _removed(window: int):
                     continue
                 if marked is None:
                     marked, blobs = _marks_by_doc(blobs), []
-                text = None if payload is None else unpack(payload)
+                text = None if payload is None else _decompress(payload)
                 words = word_bytes(text)
                 starts = marked.get((_NO_ID if doc is None else doc, zlib.crc32(text or b"")))
                 gone = intervals(np.unique(starts), window) if starts is not None else []
