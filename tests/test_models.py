@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import chunk_text
+from tidewatch.functions.text import chunks
 from tidewatch.operators import joins as J
 from tidewatch.operators import state as ST
 from tidewatch.operators import windows as W
@@ -26,11 +26,18 @@ T0 = datetime(2024, 1, 1)
 
 # ------------------------------------------------------------------ chunking
 
-def test_chunk_short_text_is_whole():
+@pytest.fixture
+def chunk_text(spark):
+    def run(text, max_tokens=250, overlap=50):
+        return spark.createDataFrame([(text,)], "t string").select(chunks("t", max_tokens, overlap)).first()[0]
+    return run
+
+
+def test_chunk_short_text_is_whole(chunk_text):
     assert chunk_text("a" * 1000) == ["a" * 1000]
 
 
-def test_chunk_header_rule_first():
+def test_chunk_header_rule_first(chunk_text):
     sec = "## head\n" + "word " * 150
     text = sec + "\n" + sec + "\n\n" + sec
     chunks = chunk_text(text, 250, 50)
@@ -42,7 +49,7 @@ def test_chunk_header_rule_first():
     assert chunks[1].startswith(carried + "\n")
 
 
-def test_chunk_paragraphs_then_lines_then_sentences():
+def test_chunk_paragraphs_then_lines_then_sentences(chunk_text):
     para = ("x" * 400 + "\n\n") * 4
     assert len(chunk_text(para, 250, 50)) == 2        # 100 tokens per piece, two fit per chunk
     lines = ("y" * 400 + "\n") * 4
@@ -52,7 +59,7 @@ def test_chunk_paragraphs_then_lines_then_sentences():
     assert len(out) > 1 and all(len(c.split()) <= 50 + 260 for c in out)
 
 
-def test_chunk_overlap_is_at_most_50_words():
+def test_chunk_overlap_is_at_most_50_words(chunk_text):
     random.seed(3)
     text = "\n".join(" ".join(random.choice("abcdefg") * 3 for _ in range(60)) for _ in range(40))
     chunks = chunk_text(text, 250, 50)
@@ -62,7 +69,7 @@ def test_chunk_overlap_is_at_most_50_words():
         assert head.split() == prev.split()[-len(head.split()):]
 
 
-def test_chunk_oversized_piece_not_split():
+def test_chunk_oversized_piece_not_split(chunk_text):
     text = "z" * 5000 + "\n" + "short"
     chunks = chunk_text(text, 250, 50)
     assert chunks[0] == "z" * 5000

@@ -159,11 +159,11 @@ def test_observed_counters_and_dlq_sink(spark):
 
 
 def test_chunk_udtf_equals_udf(spark):
-    from tidewatch.functions.text import chunk_udf, register_udtfs
+    from tidewatch.functions.text import chunks, register_udtfs
     register_udtfs(spark)
     spark.read.parquet(f"{SF_SMALL}/documents.parquet").createOrReplaceTempView("docs_udtf")
     sql_rows = spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM docs_udtf d, LATERAL chunk_text(d.text) c")
-    udf_rows = spark.table("docs_udtf").select("doc_id", F.posexplode(chunk_udf()("text")).alias("chunk_no", "chunk"))
+    udf_rows = spark.table("docs_udtf").select("doc_id", F.posexplode(chunks("text")).alias("chunk_no", "chunk"))
     assert sorted(sql_rows.collect()) == sorted(udf_rows.collect())
 
 
@@ -216,7 +216,7 @@ def test_knowledge_ingest_stream(spark):
     docs.write.parquet(docs_dir)
     stream = spark.readStream.schema(docs.schema).parquet(docs_dir)
     R.run_foreach_batch(stream, R.knowledge_ingest_sink(out), ck)
-    from tidewatch.functions.text import chunk_text
-    want = sum(len(chunk_text(r.content)) for r in docs.collect())
+    from tidewatch.functions.text import chunks
+    want = docs.select(F.sum(F.size(chunks("content")))).first()[0]
     got = spark.read.parquet(out)
     assert got.count() == want and set(got.columns) >= {"doc_id", "chunk_no", "content", "embedding", "tenant"}

@@ -200,10 +200,30 @@ def kb_ttl(spark, sf_dir):
 
 # ---- rows-only keys (Python model tests cover the rules) ----
 
-@register("kb_chunk")
+# the fold of chunks_sql: the first piece opens the first chunk, each step closes it or adds a piece
+CHUNK_SQL = r"""
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_no, unnest(c) AS chunk FROM (
+  SELECT doc_id, CASE WHEN length(text) // 4 <= 250 THEN [text] ELSE list_append(f.closed, f.open) END AS c FROM (
+    SELECT doc_id, text, list_reduce(list_transform(pieces, lambda p: struct_pack(
+        closed := CAST([] AS VARCHAR[]), open := p, size := length(p) // 4)),
+      lambda a, b: CASE WHEN a.size + b.size > 250
+        THEN struct_pack(closed := list_append(a.closed, a.open),
+                         open := array_to_string(list_filter(regexp_split_to_array(a.open, '\s+'),
+                                   lambda w: w <> '')[-50:], ' ') || chr(10) || b.open, size := 50 + b.size)
+        ELSE struct_pack(closed := a.closed, open := a.open || chr(10) || b.open, size := a.size + b.size) END) AS f
+    FROM (SELECT doc_id, text, CASE
+        WHEN contains(text, chr(10) || '##') THEN string_split(replace(text, chr(10) || '##', chr(1) || '##'), chr(1))
+        WHEN contains(text, chr(10) || chr(10)) THEN string_split(text, chr(10) || chr(10))
+        WHEN contains(text, chr(10)) THEN string_split(text, chr(10))
+        ELSE string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS pieces
+      FROM documents WHERE text IS NOT NULL)))"""
+
+
+@register("kb_chunk", "SELECT doc_id, chunk_no, CAST(length(chunk) AS INTEGER) AS chunk_chars, chunk FROM ("
+                      + CHUNK_SQL + ")")
 def kb_chunk(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(TX.chunk_udf()("text")).alias("chunk_no", "chunk")) \
+    return docs.select("doc_id", F.posexplode(TX.chunks("text")).alias("chunk_no", "chunk")) \
                .select("doc_id", "chunk_no", F.length("chunk").alias("chunk_chars"), "chunk")
 
 
@@ -222,7 +242,7 @@ def ingest(chunks_df, path: str, tenant_col: str = "tenant"):
 def kb_ingest(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id"), F.col("source").alias("category"), F.col("lang").alias("tenant"),
-                         F.posexplode(TX.chunk_udf()("text")).alias("chunk_no", "content"))
+                         F.posexplode(TX.chunks("text")).alias("chunk_no", "content"))
     rows = chunks.select("doc_id", "chunk_no", "content", "category", "tenant",
                          TX.embed_udf()("content").alias("embedding"),
                          F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
@@ -263,7 +283,7 @@ def table_stats(spark, sf_dir, names=TABLES):
 
 @register("kb_stats")
 def kb_stats(spark, sf_dir):
-    return table_stats(spark, sf_dir, ("documents", "embeddings", "labels"))
+    return table_stats(spark, sf_dir)
 
 
 @register("kb_describe_schema")
@@ -271,7 +291,7 @@ def kb_describe_schema(spark, sf_dir):
     """Tables, columns, types and nullability from the catalog, with row counts."""
     rows = []
     counts = None
-    for name in ("documents", "embeddings", "events"):
+    for name in TABLES:
         df = load(spark, sf_dir, name)
         df.createOrReplaceTempView(f"kb_{name}")
         for c in spark.catalog.listColumns(f"kb_{name}"):

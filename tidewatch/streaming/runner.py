@@ -132,12 +132,12 @@ def knowledge_ingest_sink(path: str, text_col: str = "content"):
     """``foreachBatch`` form of ``store()``: chunk and embed each micro-batch,
     append it as its own ``batch_id`` partition (under ``tenant``), so a
     replayed batch replaces itself."""
-    from tidewatch.functions.text import chunk_udf, embed_udf
+    from tidewatch.functions.text import chunks, embed_udf
     from tidewatch.sources.sinks import write_batch_idempotent
 
     def _write(batch_df: DataFrame, batch_id: int) -> None:
         keep = [c for c in batch_df.columns if c != text_col]
-        chunks = batch_df.select(*keep, F.posexplode(chunk_udf()(text_col)).alias("chunk_no", "content"))
-        rows = chunks.select("*", embed_udf()("content").alias("embedding"))
+        pieces = batch_df.select(*keep, F.posexplode(chunks(text_col)).alias("chunk_no", "content"))
+        rows = pieces.select("*", embed_udf()("content").alias("embedding"))
         write_batch_idempotent(rows, path, batch_id, partition_cols=("tenant",))
     return _write
