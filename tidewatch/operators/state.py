@@ -20,17 +20,49 @@ from tidewatch.session import ship_package
 EventFn = Callable[[dict, dict], list]
 
 
+ERROR_FIELDS = [T.StructField(n, T.StringType()) for n in ("error", "error_type", "traceback", "event")]
+
+
+def with_error_fields(schema: T.StructType) -> T.StructType:
+    """Alert schema plus the dead-letter fields, all nullable."""
+    return T.StructType([*[T.StructField(f.name, f.dataType) for f in schema.fields], *ERROR_FIELDS])
+
+
+def apply_event(fn: EventFn, event: dict, state: dict, names: list[str], capture: bool) -> list[dict]:
+    """Alerts of one event.  With ``capture`` a raising function gives one dead letter (error, its
+    type, the traceback, the event as JSON) and the next event goes on with the state as it is."""
+    try:
+        return list(fn(event, state) or ())
+    except Exception as e:
+        if not capture:
+            raise
+        import json
+        import traceback
+        return [{**dict.fromkeys(names), "error": str(e), "error_type": type(e).__name__,
+                 "traceback": traceback.format_exc(), "event": json.dumps(event, default=str)}]
+
+
+def same_key(a: tuple | None, b: tuple) -> bool:
+    """Equal key values, a missing one (None or NaN from Arrow) equal to another missing one."""
+    return a is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
 def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn: EventFn,
                    output_schema: T.StructType | str, init: Callable[[dict], None] | None = None,
-                   num_partitions: int | None = None, independent_after_s: float | None = None) -> DataFrame:
+                   num_partitions: int | None = None, independent_after_s: float | None = None,
+                   capture_errors: bool = False) -> DataFrame:
     """Run ``fn(event, state) -> list[alert dict]`` over every event, in
     ``order_cols`` order per key, with a fresh ``state`` dict per key (after
-    ``init(state)``).
+    ``init(state)``).  Rows whose key is null form one key.  Lookups in a
+    knowledge table are joined in as columns before the call.
 
     Rows are hash-partitioned by key and sorted inside each partition, then
     streamed through ``mapInPandas`` in Arrow batches: only the current
-    key's state is held, never a whole group.  A function that raises is a
-    consumer error: route such rows with ``dlq_split`` before calling.
+    key's state is held, never a whole group.
+
+    ``capture_errors``: an event on which the function raises becomes a dead letter
+    (``error``, ``error_type``, ``traceback``, ``event`` set, alert columns null) instead of
+    failing the job; alerts have null error fields (``error_type IS NULL`` splits them).
 
     ``independent_after_s``: when the function's state provably empties after
     a quiet gap of that many seconds (true of sliding-window rules), each key's
@@ -46,6 +78,8 @@ def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn
         df = sessionize(df, key_cols, order_cols[0], gap, order_cols).withColumnRenamed("_session", "_segment")
         key_cols = [*key_cols, "_segment"]
     schema = output_schema if isinstance(output_schema, T.StructType) else T._parse_datatype_string(output_schema)
+    if capture_errors:
+        schema = with_error_fields(schema)
     names = [f.name for f in schema.fields]
     ordered = df.repartition(n, *key_cols).sortWithinPartitions(*key_cols, *order_cols)
 
@@ -55,11 +89,11 @@ def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn
             out = []
             keys = list(zip(*[pdf[c] for c in key_cols]))
             for k, rec in zip(keys, pdf.to_dict("records")):
-                if k != current:
+                if not same_key(current, k):
                     current, state = k, {}
                     if init:
                         init(state)
-                out.extend(fn(rec, state) or ())
+                out.extend(apply_event(fn, rec, state, names, capture_errors))
             if out:
                 yield pd.DataFrame(out, columns=names)
 

@@ -66,7 +66,9 @@ def _matrix(rows: list, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
     usable = sorted((r[qid], r[qvec]) for r in rows if r[qid] is not None and r[qvec] and None not in r[qvec])
     usable = [x for x in usable if len(x[1]) == len(usable[0][1])]
     ids = np.array([i for i, _ in usable], dtype=np.int64)
-    return ids, _unit(np.array([v for _, v in usable], dtype=np.float64).reshape(len(usable), -1))
+    if not usable:
+        return ids, np.zeros((0, 0))
+    return ids, _unit(np.array([v for _, v in usable], dtype=np.float64))
 
 
 def _vectors(batch: pa.RecordBatch, vec_col: str, id_col: str, dim: int) -> tuple[pa.RecordBatch, np.ndarray]:
