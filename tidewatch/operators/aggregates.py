@@ -14,7 +14,7 @@ def having(df: DataFrame, keys: list, aggs: list[Column], cond: Column) -> DataF
     return df.groupBy(*keys).agg(*aggs).filter(cond)
 
 
-def distinct_count(col: str, streaming: bool = False, approx: bool = False,
+def distinct_count(col: Column | str, streaming: bool = False, approx: bool = False,
                    rsd: float = 0.05) -> Column:
     """Distinct values per group.  Streaming aggregations reject
     ``count(DISTINCT)``, so the exact streaming form is ``size(collect_set)``
@@ -24,7 +24,7 @@ def distinct_count(col: str, streaming: bool = False, approx: bool = False,
         return F.approx_count_distinct(col, rsd)
     if streaming:
         return F.size(F.collect_set(col))
-    return F.count_distinct(F.col(col))
+    return F.count_distinct(F.col(col) if isinstance(col, str) else col)
 
 
 def topic_stats(messages: DataFrame) -> DataFrame:

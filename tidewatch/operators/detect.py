@@ -9,7 +9,7 @@ shuffle); per-device rules use the hot-key-safe helpers of ``windows``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import epoch_micros
@@ -19,25 +19,40 @@ from tidewatch.operators.joins import interval_join
 
 
 def port_scan(flows: DataFrame, window: str = "1 minute", min_ports: int = 20,
-              streaming: bool = False) -> DataFrame:
-    """Per source and window: flows that got no bytes back, to >= min_ports distinct ports."""
-    silent = flows.filter(F.col("bytes_received") == 0)
-    return W.tumble(silent, "event_time", window, ["src_ip"],
-                    [distinct_count("dst_port", streaming).alias("distinct_ports"), F.count("*").alias("flows")],
-                    having=F.col("distinct_ports") >= min_ports)
+              streaming: bool = False, keys: tuple[str, ...] = ("src_ip", "dst_ip"),
+              min_silent_share: float = 0.0) -> DataFrame:
+    """Per source, destination and window: flows that got no bytes back, to >= min_ports distinct
+    ports, where they are at least ``min_silent_share`` of the pair's flows."""
+    silent = F.col("bytes_received") == 0
+    if not min_silent_share:
+        flows = flows.filter(silent)          # reaches the scan
+    out = W.tumble(flows, "event_time", window, list(keys),
+                   [distinct_count(F.when(silent, F.col("dst_port")), streaming).alias("distinct_ports"),
+                    F.count(F.when(silent, 1)).alias("flows"), F.count("*").alias("_all")],
+                   having=F.col("distinct_ports") >= min_ports)
+    return out.filter(F.col("flows") >= F.col("_all") * min_silent_share).drop("_all")
 
 
 def exfiltration(flows: DataFrame, window: str = "1 minute", min_window_bytes: int = 500_000,
-                 min_flow_bytes: int | None = None) -> DataFrame:
-    """Outbound volume per source and window above a threshold (or one flow above
-    ``min_flow_bytes``)."""
+                 min_flow_bytes: int | None = None, baseline_factor: float | None = None,
+                 history: int = 7, min_history: int = 3) -> DataFrame:
+    """Outbound volume per source and window above a threshold, or one flow above
+    ``min_flow_bytes``, or (batch) ``baseline_factor`` times the mean of the source's last
+    ``history`` windows, of which there must be ``min_history``.  The baseline reads one row
+    per source and window, so a source holds at most (time span / window) rows."""
     out = flows.filter(F.col("direction") == "outbound")
-    aggs = [F.sum("bytes_sent").alias("total_bytes"), F.count("*").alias("flows"),
-            F.max("bytes_sent").alias("max_flow_bytes")]
+    totals = W.tumble(out, "event_time", window, ["src_ip"],
+                      [F.sum("bytes_sent").alias("total_bytes"), F.count("*").alias("flows"),
+                       F.max("bytes_sent").alias("max_flow_bytes")])
     cond = F.col("total_bytes") >= min_window_bytes
     if min_flow_bytes is not None:
         cond = cond | (F.col("max_flow_bytes") >= min_flow_bytes)
-    return W.tumble(out, "event_time", window, ["src_ip"], aggs, having=cond)
+    if baseline_factor is None:
+        return totals.filter(cond)
+    past = Window.partitionBy("src_ip").orderBy("window_start").rowsBetween(-history, -1)
+    with_past = totals.select("*", F.count("total_bytes").over(past).alias("_n"), F.avg("total_bytes").over(past).alias("_mean"))
+    above = (F.col("_n") >= min_history) & (F.col("total_bytes") >= F.col("_mean") * baseline_factor)
+    return with_past.filter(cond | above).drop("_n", "_mean")
 
 
 def lateral_movement(flows: DataFrame, window: str = "3 minutes", min_targets: int = 3,
@@ -52,13 +67,15 @@ def lateral_movement(flows: DataFrame, window: str = "3 minutes", min_targets: i
 
 
 def ddos(flows: DataFrame, window: str = "1 minute", min_sources: int = 20,
-         streaming: bool = False) -> DataFrame:
-    """Per destination and window: inbound flows from many distinct sources."""
+         streaming: bool = False, min_packets: int = 0) -> DataFrame:
+    """Per destination and window: inbound flows from many distinct sources, with at least
+    ``min_packets`` packets.  A stream counts sources with the sketch: spoofed addresses are
+    unbounded, so their set is no state to keep."""
     inbound = flows.filter(F.col("direction") == "inbound")
     return W.tumble(inbound, "event_time", window, ["dst_ip"],
-                    [distinct_count("src_ip", streaming).alias("sources"), F.sum("packets").alias("packets"),
+                    [distinct_count("src_ip", approx=streaming).alias("sources"), F.sum("packets").alias("packets"),
                      F.count("*").alias("flows")],
-                    having=F.col("sources") >= min_sources)
+                    having=(F.col("sources") >= min_sources) & (F.col("packets") >= min_packets))
 
 
 def brute_force(syslog: DataFrame, window: str = "1 minute", min_failures: int = 5) -> DataFrame:
@@ -133,7 +150,6 @@ def zscore_anomalies(totals: DataFrame, key: str, order: str, value: str, histor
     The input is already one row per (key, window), so each key holds at most
     (time span / window) rows: the window function is bounded per key.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-history, -1)
     scored = totals.select("*", F.count(value).over(w).alias("n_history"),
                            F.avg(value).over(w).alias("baseline_mean"),

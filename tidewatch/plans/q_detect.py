@@ -15,23 +15,31 @@ TB = "time_bucket(INTERVAL 1 DAY, event_time)"
 
 
 def port_scans(spark, sf_dir):
-    return D.port_scan(V.v_flows(spark, sf_dir), DAY, min_ports=4)
+    return D.port_scan(V.v_flows(spark, sf_dir), DAY, min_ports=3, min_silent_share=0.5)
 
 
 PORT_SCAN_SQL = f"""
-SELECT {TB} AS window_start, {TB} + INTERVAL 1 DAY AS window_end, src_ip,
-       count(DISTINCT dst_port) AS distinct_ports, count(*) AS flows
-FROM v_flows WHERE bytes_received = 0 GROUP BY ALL HAVING count(DISTINCT dst_port) >= 4"""
+SELECT {TB} AS window_start, {TB} + INTERVAL 1 DAY AS window_end, src_ip, dst_ip,
+       count(DISTINCT dst_port) FILTER (bytes_received = 0) AS distinct_ports,
+       count(*) FILTER (bytes_received = 0) AS flows
+FROM v_flows GROUP BY ALL HAVING count(DISTINCT dst_port) FILTER (bytes_received = 0) >= 3
+  AND count(*) FILTER (bytes_received = 0) >= 0.5 * count(*)"""
 
 register("det_port_scan", sql(PORT_SCAN_SQL, "v_flows"))(port_scans)
 
 
-@register("det_exfiltration", sql(f"""
-SELECT {TB} AS window_start, {TB} + INTERVAL 1 DAY AS window_end, src_ip,
-       CAST(sum(bytes_sent) AS BIGINT) AS total_bytes, count(*) AS flows, max(bytes_sent) AS max_flow_bytes
-FROM v_flows WHERE direction = 'outbound' GROUP BY ALL HAVING sum(bytes_sent) >= 300000""", "v_flows"))
+@register("det_exfiltration", sql("""
+SELECT window_start, window_end, src_ip, total_bytes, flows, max_flow_bytes FROM (
+  SELECT *, count(total_bytes) OVER w AS n, avg(total_bytes) OVER w AS mean FROM daily_out
+  WINDOW w AS (PARTITION BY src_ip ORDER BY window_start ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+WHERE total_bytes >= 300000 OR max_flow_bytes >= 250000 OR (n >= 3 AND total_bytes >= mean * 1.5)""", "v_flows",
+    ctes=(("daily_out", f"""
+  SELECT {TB} AS window_start, {TB} + INTERVAL 1 DAY AS window_end, src_ip,
+         CAST(sum(bytes_sent) AS BIGINT) AS total_bytes, count(*) AS flows, max(bytes_sent) AS max_flow_bytes
+  FROM v_flows WHERE direction = 'outbound' GROUP BY ALL"""),)))
 def det_exfiltration(spark, sf_dir):
-    return D.exfiltration(V.v_flows(spark, sf_dir), DAY, min_window_bytes=300_000)
+    return D.exfiltration(V.v_flows(spark, sf_dir), DAY, min_window_bytes=300_000, min_flow_bytes=250_000,
+                          baseline_factor=1.5)
 
 
 @register("det_lateral_movement", sql(f"""
@@ -46,9 +54,9 @@ def det_lateral_movement(spark, sf_dir):
 @register("det_ddos", sql(f"""
 SELECT {TB} AS window_start, {TB} + INTERVAL 1 DAY AS window_end, dst_ip,
        count(DISTINCT src_ip) AS sources, CAST(sum(packets) AS BIGINT) AS packets, count(*) AS flows
-FROM v_flows WHERE direction = 'inbound' GROUP BY ALL HAVING count(DISTINCT src_ip) >= 6""", "v_flows"))
+FROM v_flows WHERE direction = 'inbound' GROUP BY ALL HAVING count(DISTINCT src_ip) >= 6 AND sum(packets) >= 800""", "v_flows"))
 def det_ddos(spark, sf_dir):
-    return D.ddos(V.v_flows(spark, sf_dir), DAY, min_sources=6)
+    return D.ddos(V.v_flows(spark, sf_dir), DAY, min_sources=6, min_packets=800)
 
 
 @register("det_brute_force", sql(f"""
@@ -60,7 +68,7 @@ def det_brute_force(spark, sf_dir):
 
 
 @register("det_threat_correlated", sql(f"""
-SELECT d.window_start, d.window_end, d.src_ip, d.distinct_ports, d.flows, count(s.event_id) AS correlated_events,
+SELECT d.window_start, d.window_end, d.src_ip, d.dst_ip, d.distinct_ports, d.flows, count(s.event_id) AS correlated_events,
        CASE WHEN count(s.event_id) >= 5 THEN 'critical' ELSE 'high' END AS severity
 FROM scans d JOIN v_syslog s ON s.source_ip = d.src_ip AND s.event_type IN ('auth_failure', 'firewall_deny')
   AND s.event_time BETWEEN d.window_start AND d.window_start + INTERVAL 86700 SECOND

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as TX
@@ -246,7 +248,7 @@ def kb_ingest(spark, sf_dir):
     rows = chunks.select("doc_id", "chunk_no", "content", "category", "tenant",
                          TX.embed_udf()("content").alias("embedding"),
                          F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
-    path = scratch_path(spark, "kb/knowledge_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    path = scratch_path(spark, f"kb/knowledge-{uuid.uuid4().hex}")
     rows.write.mode("overwrite").partitionBy("tenant").parquet(path)
     return spark.read.parquet(path)
 

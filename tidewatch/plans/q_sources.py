@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,7 +109,7 @@ FROM summary""", "v_flows", ctes=(("summary", SUMMARY_SQL),)))
 def sink_table(spark, sf_dir):
     """Write the summary as micro-batch 0 twice (a replay) and read the table back:
     the idempotent sink keeps one copy."""
-    path = scratch_path(spark, "tables/flow_summary_" + sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    path = scratch_path(spark, f"tables/flow_summary-{uuid.uuid4().hex}")
     summary = flow_summary(spark, sf_dir)
     for _ in range(2):
         S.write_batch_idempotent(summary, path, 0)

@@ -7,6 +7,7 @@ Cluster settings (master, executor sizing, ``spark.checkpoint.dir``) come from
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,17 +54,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                          extra={"spark.driver.memory": driver_memory})
 
 
+_CHECKPOINTS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured (a shared file system path); a local
-    run without it gets a fresh scratch folder.
+    Only a local session (driver and executors are one process) may go without the setting: it
+    gets a fresh scratch folder.  Elsewhere a machine-local folder would lose data, so the
+    setting is required.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if _CHECKPOINTS.get(sc.applicationId) != path:
+        sc.setCheckpointDir(path)
+        _CHECKPOINTS[sc.applicationId] = path
     return path
 
 
