@@ -26,14 +26,16 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of the item's own BM25 score that a passage must reach
 OVERLAP = 0.8            # share of the question's, and of the answer's, words in common shingles
 SHINGLE = 5
-_MAX_BLOCKS = 64
+_MAX_BLOCKS = 512
+_HALVES_AT_ONCE = 200      # of a text
 _CACHED_WORDS = 400_000
 _UNKNOWN, _BLANK = -1, -2
 
 
 def normal_word(word: str) -> str:
     """Lower-case letters and digits of a word; empty if it has none."""
-    return re.sub(r"[\W_]+", "", word.lower())
+    word = word.lower()
+    return word if word.isalnum() else re.sub(r"[\W_]+", "", word)
 
 
 def item_words(text: str | None) -> list[str]:
@@ -64,26 +66,22 @@ class Index:
     block_bounds: np.ndarray                    # word x block: greatest share
     passage: int                                # words; half of it is the step
 
-    def bounds(self) -> np.ndarray:
-        """block_bounds with a zero row for unknown words (row -1)."""
-        return np.vstack([self.block_bounds, np.zeros((1, self.block_bounds.shape[1]), dtype=np.float32)])
-
 
 def word_shares(items: DataFrame) -> DataFrame:
     """(item_no, word, share) of items (item_no, words array): BM25 weights divided by the item's
     own total.  Document frequencies are over all items."""
-    n_items = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size("words")).alias("mean_words"))
+    n_items, mean_words = items.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     tf = (items.select("item_no", F.size("words").alias("n_words"), F.explode("words").alias("word"))
           .groupBy("item_no", "n_words", "word").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("mean_words")))
-    weighted = tf.join(df, "word").join(F.broadcast(n_items)).select("item_no", "word", weight.alias("weight"))
+    idf = F.log(1 + (n_items - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / (mean_words or 1.0)))
+    weighted = tf.join(df, "word").select("item_no", "word", weight.alias("weight"))
     return weighted.select("item_no", "word",
                            (F.col("weight") / F.sum("weight").over(W.partitionBy("item_no"))).alias("share"))
 
 
-def build_index(rows: list, shares: list, at_least: int = 8) -> Index:
+def build_index(rows: list, shares: list, at_least: int = 4) -> Index:
     """Index of one block of items: rows (item_no, item_id, text), shares (item_no, word, share).
     Items are ordered by length, so a block's bounds are close to its items' shares."""
     rows = sorted(rows, key=lambda r: (len(item_words(r["text"])), r["item_no"]))
@@ -191,7 +189,7 @@ class _Searcher:
 
     def __init__(self, index: Index, threshold: float, overlap: float):
         self.index, self.threshold, self.overlap = index, threshold, overlap
-        self.numbers, self.bounds = _WordNumbers(index.words), index.bounds()
+        self.numbers, self.bounds = _WordNumbers(index.words), index.block_bounds
         self.spelled = [w for w, _ in sorted(index.words.items(), key=lambda x: x[1])] + [""]
 
     def leaks(self, text: bytes | None) -> dict[int, tuple[float, float, float]]:
@@ -209,17 +207,37 @@ class _Searcher:
         return found
 
     def _able(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Passages that could reach the threshold within some block of items."""
-        step = max(1, self.index.passage // 2)
-        slice_words = 200 * step                  # a long text is taken slice by slice
-        for at in range(0, max(1, len(ids) - step), slice_words):
-            part = ids[at:at + slice_words + step]
-            sums = np.zeros((len(part) + 1, self.bounds.shape[1]))
-            np.cumsum(self.bounds[part], axis=0, out=sums[1:])
-            lo = np.arange(0, max(1, min(slice_words, len(part) - step)), step)
-            hi = np.minimum(lo + self.index.passage, len(part))
-            able = (sums[hi] - sums[lo]).max(axis=1, initial=0.0) >= self.threshold - 1e-6
-            yield from zip((at + lo[able]).tolist(), (at + hi[able]).tolist())
+        """Passages that could reach the threshold within some block of items: the bounds of a
+        passage's distinct words are summed for all passages of a text at once.
+
+        A passage is two neighbouring halves.  Its sum is that of both halves' distinct words less
+        that of the words which the second half shares with the first."""
+        half, n_words = max(1, self.index.passage // 2), len(self.index.words)
+        for at in range(0, len(ids), _HALVES_AT_ONCE * half):
+            part = ids[at:at + (_HALVES_AT_ONCE + 1) * half]
+            n = -(-len(part) // half)
+            if at and n < 2:
+                break
+            places = np.flatnonzero(part >= 0)
+            pairs = np.unique(places // half * n_words + part[places])     # (half, word), each once
+            if not len(pairs):
+                continue
+            of_half, found = pairs // n_words, self.bounds[pairs % n_words]
+            again = np.isin(pairs - n_words, pairs, assume_unique=True)
+            sums = _sums_by(of_half, found, n + 1)
+            able = sums[:-1] + sums[1:] - _sums_by(of_half[again], found[again], n + 1)[1:]
+            able = np.flatnonzero(able[:max(1, n - 1)].max(axis=1) >= self.threshold - 1e-4)
+            for lo in (at + able * half).tolist():
+                yield lo, min(lo + 2 * half, len(ids))
+
+
+def _sums_by(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows of each group 0..n-1; groups are in order."""
+    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
+    if len(group):
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out[group[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
 
 
 def _leak_rows(shared, threshold: float, overlap: float):
@@ -269,7 +287,7 @@ def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, items_at_on
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD,
-               overlap: float = OVERLAP, items_at_once: int = 20_000) -> DataFrame:
+               overlap: float = OVERLAP, items_at_once: int = 2_000) -> DataFrame:
     """One row per text and leaked item: doc_id, item_id, score (best passage's share of the
     item's BM25 score), question_overlap, answer_overlap.
 
@@ -292,7 +310,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP,
-               items_at_once: int = 20_000) -> DataFrame:
+               items_at_once: int = 2_000) -> DataFrame:
     """The rows (all columns) without a leak as ``find_leaks`` defines it; nothing is shuffled."""
     spark = docs.sparkSession
     out = docs
