@@ -52,10 +52,9 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, id_col: str = "
             .withColumn("_chunk", _chunk_of(F.col("fraction"), chunks))
             .withColumn("_all", F.lit(0)))
     rows = ranked_in_chunks(rows, ["_all"], "_chunk", ["fraction", "_stratum", *ties], "_at")
-    total = sizes.agg(F.coalesce(F.sum("_of"), F.lit(0)).alias("_rows")).withColumn("_all", F.lit(0))
-    rows = rows.join(total, "_all")
-    shard = F.expr(f"(_at * {shards}) div _rows")
-    first = F.expr(f"(shard * _rows + {shards} - 1) div {shards}")
+    total = docs.count()
+    shard = F.expr(f"(_at * {shards}) div {max(1, total)}")
+    first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
     return (rows.withColumn("shard", shard)
             .select("doc_id", "source", "size", "text_crc32", "fraction",
                     F.col("shard").cast("int").alias("shard"), (F.col("_at") - first).alias("slot")))
