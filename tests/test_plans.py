@@ -29,7 +29,10 @@ def test_no_cross_products(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["dedup_recent_prefix", "tail_log", "win_ranked_tail", "dlq_tail"])
+@pytest.mark.parametrize("name", [
+    "dedup_recent_prefix", "tail_log", "win_ranked_tail", "dlq_tail", "kb_semantic_search", "kb_fts_search",
+    "kb_hybrid_rrf", "kb_rerank", "kb_search_pipeline", "kb_relevance_gate", "kb_filtered_vector", "kb_cross_tenant",
+    "kb_ann_search", "join_fuse_full"])
 def test_topk_windows_limit_before_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_SMALL))
     tree = plan.split("\n\n")[0]
@@ -47,6 +50,22 @@ def test_predicates_reach_the_scan(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
 
 
+def test_text_search_moves_no_text(spark):
+    """A document verifies its queries in the scan stage: only (query, id, score) is shuffled."""
+    plan = plan_of(QUERIES["kb_fts_search"](spark, SF_SMALL))
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    shuffles = [x for x in plan.split("\n(") if "hashpartitioning(qid" in x]
+    assert shuffles and not any("content#" in x or "text#" in x or "_toks#" in x for x in shuffles)
+
+
+def test_scan_counts(spark):
+    """Reads of the events table per query: an ordered scan and its chunk totals, no more."""
+    for name, scans in (("det_device_offline", 2), ("det_cpu_spike", 2), ("win_lag_change", 2), ("win_session", 2),
+                        ("agg_status_rollup", 1), ("classify_topic", 5)):
+        plan = plan_of(QUERIES[name](spark, SF_SMALL)).split("\n\n")[0]
+        assert plan.count("Scan parquet") <= scans + (2 if name == "agg_status_rollup" else 0), (name, plan)
+
+
 EXPENSIVE = ("from_json(", "split(", "regexp_extract_all(", "get_json_object(", "to_json(")
 SIDE_EFFECT_KEYS = {"resume_checkpoint", "win_watermark_late", "sink_table", "kb_ingest"}
 

@@ -196,21 +196,28 @@ def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, bucket_length:
     """Approximate top-k (re-aim of the HNSW index): MLlib random-projection LSH joins queries to
     corpus rows sharing a hash bucket (an equi-join, no all-pairs scan), rescored exactly.
     Queries whose buckets hold fewer than ``k`` rows get the exact search, so every query has its
-    k neighbours.  Vectors are expected to have length one."""
+    k neighbours.  Bucket widths are for vectors of about length one."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     usable = corpus.filter(F.col(vec_col).isNotNull())
 
     def search(block: QueryBlock) -> DataFrame:
-        a = usable.select(F.col(id_col).alias("_id"), array_to_vector(vec_col).alias("_v"))
-        b = block.frame.filter(F.col(qvec).isNotNull()).select(F.col(qid).alias("_id"), array_to_vector(qvec).alias("_v"))
+        def side(df: DataFrame, key: str, vec: str) -> DataFrame:
+            square = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+            return df.select(F.col(key).alias("_id"), array_to_vector(vec).alias("_v"), square.alias("_n"))
+
+        a = side(usable, id_col, vec_col)
+        b = side(block.frame.filter(F.col(qvec).isNotNull()), qid, qvec)
         model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                             numHashTables=num_tables, seed=seed).fit(a)
-        # two unit vectors are at most 2 apart: no neighbour is cut by distance
-        pairs = model.approxSimilarityJoin(b, a, 2.0 + 1e-9, distCol="distance")
+        # no neighbour is cut by distance
+        pairs = model.approxSimilarityJoin(b, a, float("inf"), distCol="distance")
+        # the cosine follows from the distance and both lengths
+        n_q, n_c = F.col("datasetA._n"), F.col("datasetB._n")
+        cosine = (n_q + n_c - F.col("distance") * F.col("distance")) / (2 * F.sqrt(n_q * n_c))
         scored = pairs.select(F.col("datasetA._id").alias(qid), F.col("datasetB._id").alias(id_col),
-                              (F.lit(1.0) - F.col("distance") * F.col("distance") / 2).alias("similarity"))
+                              F.round(cosine, _PLACES).alias("similarity"))
         near = top_per_group(scored, [qid], [F.col("similarity").desc(), F.col(id_col).asc()], k, "rank", [id_col])
         full = {r[qid] for r in near.groupBy(qid).count().filter(F.col("count") >= k).collect()}
         short = [r for r in block.rows if r[qid] not in full]

@@ -22,7 +22,7 @@ def agg_having(spark, sf_dir):
 @register("agg_category_counts", sql("""
 SELECT category, count(*) AS entries FROM v_knowledge GROUP BY category""", "v_knowledge"))
 def agg_category_counts(spark, sf_dir):
-    return V.v_knowledge(spark, sf_dir).groupBy("category").agg(F.count("*").alias("entries"))
+    return V.v_knowledge(spark, sf_dir, vectors=False).groupBy("category").agg(F.count("*").alias("entries"))
 
 
 @register("agg_topic_stats", sql("""
@@ -79,12 +79,20 @@ def agg_distinct_exact(spark, sf_dir):
         A.distinct_count("dst_ip").alias("distinct_targets"))
 
 
-# Approximate distinct: HyperLogLog++ has no exact oracle; rows-only check plus an error-bound test.
-@register("agg_distinct_approx")
+APPROX_BOUND = 0.1     # share of the exact count that the sketch (5 % standard error) may be off here
+
+
+@register("agg_distinct_approx", sql("""
+SELECT dst_ip, count(DISTINCT src_ip) AS sources, count(DISTINCT event_id) AS flows, true AS within_bound
+FROM v_flows GROUP BY dst_ip""", "v_flows"))
 def agg_distinct_approx(spark, sf_dir):
+    """The HyperLogLog++ sketch beside the exact counts, and whether it is within its bound."""
     fl = V.v_flows(spark, sf_dir)
-    return fl.groupBy("dst_ip").agg(A.distinct_count("src_ip", approx=True).alias("approx_sources"),
-                                    A.distinct_count("event_id", approx=True).alias("approx_flows"))
+    both = fl.groupBy("dst_ip").agg(
+        A.distinct_count("src_ip").alias("sources"), A.distinct_count("event_id").alias("flows"),
+        A.distinct_count("src_ip", approx=True).alias("_s"), A.distinct_count("event_id", approx=True).alias("_f"))
+    near = lambda a, e: F.abs(F.col(a) - F.col(e)) <= APPROX_BOUND * F.col(e)
+    return both.select("dst_ip", "sources", "flows", (near("_s", "sources") & near("_f", "flows")).alias("within_bound"))
 
 
 @register("agg_baseline", sql("""

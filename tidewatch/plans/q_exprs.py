@@ -112,7 +112,7 @@ def classify_topic(spark, sf_dir):
 SELECT id, category, tenant FROM v_knowledge
 WHERE category = 'src3' AND content LIKE '%ou%' AND tenant <> 'de'""", "v_knowledge"))
 def filter_predicates(spark, sf_dir):
-    kb = V.v_knowledge(spark, sf_dir)
+    kb = V.v_knowledge(spark, sf_dir, vectors=False)
     return kb.filter((F.col("category") == "src3") & F.col("content").like("%ou%") & (F.col("tenant") != "de")) \
              .select("id", "category", "tenant")
 

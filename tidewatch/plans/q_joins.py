@@ -74,13 +74,13 @@ SELECT k.id, json_extract_string(k.metadata, '$.ip') AS ip, CAST(s.threat_score
 FROM v_knowledge k JOIN ip_scores s ON s.src_ip = json_extract_string(k.metadata, '$.ip')
 WHERE s.threat_score > 20""", "v_knowledge", "v_flows", ctes=(("ip_scores", IP_SCORES_SQL),)))
 def join_knowledge_scores(spark, sf_dir):
-    kb = V.v_knowledge(spark, sf_dir).select("id", json_path("metadata", "$.ip").alias("ip"))
+    kb = V.v_knowledge(spark, sf_dir, vectors=False).select("id", json_path("metadata", "$.ip").alias("ip"))
     sc = ip_scores(spark, sf_dir).filter(F.col("threat_score") > 20)
     return kb.join(sc, kb.ip == sc.src_ip).select("id", "ip", F.col("threat_score").cast("bigint"))
 
 
 def _known_ips(spark, sf_dir):
-    kb = V.v_knowledge(spark, sf_dir).filter(F.col("category") == "src3")
+    kb = V.v_knowledge(spark, sf_dir, vectors=False).filter(F.col("category") == "src3")
     return kb.select(json_path("metadata", "$.ip").alias("src_ip"))
 
 

@@ -64,8 +64,8 @@ def hybrid_ctes(k: int):
     return (("sem", sem_sql(n)), ("fts", fts_sql(n)), ("fused", FUSED_SQL), ("hybrid", top))
 
 
-def _kb(spark, sf_dir):
-    return V.v_knowledge(spark, sf_dir)
+def _kb(spark, sf_dir, vectors=True):
+    return V.v_knowledge(spark, sf_dir, vectors)
 
 
 def _q(spark, sf_dir):
@@ -82,7 +82,7 @@ def kb_semantic_search(spark, sf_dir):
 @register("kb_fts_search", sql("SELECT qid, id, score, rank FROM fts", "v_knowledge", "v_queries",
                                ctes=(("fts", fts_sql(5)),)))
 def kb_fts_search(spark, sf_dir):
-    return S.fts_topk(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    return S.fts_topk(_kb(spark, sf_dir, vectors=False), _q(spark, sf_dir), 5)
 
 
 @register("kb_inverted_index", sql(f"""
@@ -90,7 +90,7 @@ SELECT token, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS coll_freq FROM (
   SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('content')}) AS token FROM v_knowledge)
   GROUP BY ALL) GROUP BY token""", "v_knowledge"))
 def kb_inverted_index(spark, sf_dir):
-    p = S.postings(_kb(spark, sf_dir))
+    p = S.postings(_kb(spark, sf_dir, vectors=False))
     return p.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
 
 
@@ -196,11 +196,11 @@ def join_pattern_match(spark, sf_dir):
 SELECT id, expires_at FROM v_knowledge WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-02 04:00:00'""",
     "v_knowledge"))
 def kb_ttl(spark, sf_dir):
-    kb = _kb(spark, sf_dir)
+    kb = _kb(spark, sf_dir, vectors=False)
     return S.not_expired(kb, F.lit("2024-01-02 04:00:00").cast("timestamp_ntz")).select("id", "expires_at")
 
 
-# ---- rows-only keys (Python model tests cover the rules) ----
+# ---- ingest, index and statistics ----
 
 # the fold of chunks_sql: the first piece opens the first chunk, each step closes it or adds a piece
 CHUNK_SQL = r"""
@@ -240,8 +240,13 @@ def ingest(chunks_df, path: str, tenant_col: str = "tenant"):
     chunks_df.write.mode("append").partitionBy(tenant_col).parquet(path)
 
 
-@register("kb_ingest")
+@register("kb_ingest", f"""
+SELECT c.doc_id, c.chunk_no, c.chunk AS content, d.source AS category, d.lang AS tenant, 384 AS dimensions,
+       TIMESTAMP '2024-01-01 00:00:00' AS created_at
+FROM ({CHUNK_SQL}) c JOIN documents d USING (doc_id)""")
 def kb_ingest(spark, sf_dir):
+    """Chunks written with their embeddings, partitioned by tenant, and read back (the vectors'
+    length stands for them in the result)."""
     docs = load(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id"), F.col("source").alias("category"), F.col("lang").alias("tenant"),
                          F.posexplode(TX.chunks("text")).alias("chunk_no", "content"))
@@ -250,12 +255,16 @@ def kb_ingest(spark, sf_dir):
                          F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
     path = scratch_path(spark, f"kb/knowledge-{uuid.uuid4().hex}")
     rows.write.mode("overwrite").partitionBy("tenant").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("doc_id", "chunk_no", "content", "category", "tenant",
+                                           F.size("embedding").alias("dimensions"), "created_at")
 
 
-@register("kb_ann_search")
+# on these tables the buckets hold every true neighbour; tests measure the recall with narrow ones too
+@register("kb_ann_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
+                               "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
 def kb_ann_search(spark, sf_dir):
-    return VEC.lsh_candidates(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    r = VEC.lsh_candidates(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    return r.select("qid", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def table_stats(spark, sf_dir, names=TABLES):
@@ -283,12 +292,30 @@ def table_stats(spark, sf_dir, names=TABLES):
     return out.select("*", human.alias("size"))
 
 
-@register("kb_stats")
-def kb_stats(spark, sf_dir):
-    return table_stats(spark, sf_dir)
+ROWS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES)
 
 
-@register("kb_describe_schema")
+@register("kb_stats", f"""
+SELECT "table", rows, CASE "table" WHEN 'documents' THEN 'fts' WHEN 'benchmark' THEN 'fts' WHEN 'pages' THEN 'fts'
+    WHEN 'conversations' THEN 'fts' WHEN 'embeddings' THEN 'vector' ELSE '' END AS indexes FROM ({ROWS_SQL})
+UNION ALL
+SELECT 'documents/' || source, count(*), 'category' FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def kb_stats(spark, sf_dir):
+    """Rows and index kinds of every table, then entries per category (sizes: ``table_stats``)."""
+    docs = load(spark, sf_dir, "documents")
+    tables = table_stats(spark, sf_dir).select("table", "rows", "indexes")
+    per = docs.filter(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("rows"))
+    return tables.unionByName(per.select(F.concat(F.lit("documents/"), "source").alias("table"), "rows",
+                                         F.lit("category").alias("indexes")))
+
+
+@register("kb_describe_schema", f"""
+SELECT c.table_name AS "table", c.column_name AS "column",
+  CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+    WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(c.data_type) END AS type,
+  true AS nullable, r.rows
+FROM duckdb_columns() c JOIN ({ROWS_SQL}) r ON r."table" = c.table_name""")
 def kb_describe_schema(spark, sf_dir):
     """Tables, columns, types and nullability from the catalog, with row counts."""
     rows = []

@@ -67,7 +67,7 @@ SELECT id, category, created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY created_at DESC, id) AS rn
   FROM v_knowledge) WHERE rn = 1""", "v_knowledge"))
 def dedup_recent_prefix_q(spark, sf_dir):
-    kb = V.v_knowledge(spark, sf_dir).select("id", "content", "category", "created_at",
+    kb = V.v_knowledge(spark, sf_dir, vectors=False).select("id", "content", "category", "created_at",
                                              F.col("id").alias("rank"))
     return dedupe_recent(kb, qid=None, key_order=False).select("id", "category", "created_at")
 

@@ -25,8 +25,22 @@ def udf_process_event(spark, sf_dir):
                              ST.FIRST_CONTACT_SCHEMA)
 
 
-# Order-dependent rule with reset: no SQL oracle; a plain-Python model test covers it.
-@register("win_rate_reset")
+# One recursion step per event of a key, all keys at once: the kept times of the window, emptied by an alert.
+RATE_RESET_SQL = sql("""
+SELECT 'high_rate' AS alert_type, 'high' AS severity, src_ip, CAST(n AS BIGINT) AS count, event_time, event_id
+FROM steps WHERE n > 5""", "v_flows", ctes=(("numbered", """
+  SELECT src_ip, event_time, event_id, epoch_us(event_time) AS us,
+         row_number() OVER (PARTITION BY src_ip ORDER BY event_time, event_id) AS i FROM v_flows"""),
+    ("steps", """
+  SELECT src_ip, i, event_time, event_id, 1 AS n, [us] AS times FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT src_ip, i, event_time, event_id, len(kept) AS n, CASE WHEN len(kept) > 5 THEN CAST([] AS BIGINT[]) ELSE kept END
+  FROM (SELECT e.src_ip, e.i, e.event_time, e.event_id,
+               list_filter(list_append(s.times, e.us), lambda t: e.us - t < 6 * 3600 * 1000000::BIGINT) AS kept
+        FROM steps s JOIN numbered e ON e.src_ip = s.src_ip AND e.i = s.i + 1)"""))).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("win_rate_reset", RATE_RESET_SQL)
 def win_rate_reset(spark, sf_dir, window_s=6 * 3600, threshold=5):
     fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip")
     # the rule's list empties after a quiet window, so keys split into independent segments

@@ -142,17 +142,20 @@ def v_messages(spark: SparkSession, sf_dir: str, offsets: bool = True) -> DataFr
     return sequence_number(base, ["topic", "partition"], ["timestamp", "event_id"], "offset")
 
 
-def v_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_knowledge(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """Every document as an entry; those without an embedding have a null vector.  Jobs that read
+    no vectors leave them out, and with them the join."""
     docs = load(spark, sf_dir, "documents")
-    emb = load(spark, sf_dir, "embeddings")
     created = F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
-    # every document is an entry; those without an embedding have no vector
-    return docs.join(emb, docs.doc_id == emb.vec_id, "left").select(
+    if vectors:
+        emb = load(spark, sf_dir, "embeddings")
+        docs = docs.join(emb, docs.doc_id == emb.vec_id, "left")
+    return docs.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         F.col("source").alias("category"),
         F.col("lang").alias("tenant"),
-        "embedding",
+        *(["embedding"] if vectors else []),
         F.concat(F.lit('{"ip":"10.0.'), _s(F.col("doc_id") % 3 + 1), F.lit("."), _s(F.col("doc_id") % 30 + 10),
                  F.lit('","source":"'), F.col("source"), F.lit('"}')).alias("metadata"),
         created.alias("created_at"),
