@@ -61,21 +61,27 @@ def lateral_movement(flows: DataFrame, window: str = "3 minutes", min_targets: i
     """IoT VLAN -> server VLAN on SSH to several targets within a window."""
     hops = flows.filter(F.col("src_ip").startswith(src_prefix) & F.col("dst_ip").startswith(dst_prefix)
                         & (F.col("dst_port") == port))
-    return W.tumble(hops, "event_time", window, ["src_ip"],
-                    [distinct_count("dst_ip", streaming).alias("targets"), F.count("*").alias("flows")],
-                    having=F.col("targets") >= min_targets)
+    if streaming:
+        out = W.tumble_distinct(hops, "event_time", window, ["src_ip"], "dst_ip", "targets", {"flows": F.lit(1)})
+    else:
+        out = W.tumble(hops, "event_time", window, ["src_ip"],
+                       [distinct_count("dst_ip").alias("targets"), F.count("*").alias("flows")])
+    return out.filter(F.col("targets") >= min_targets)
 
 
 def ddos(flows: DataFrame, window: str = "1 minute", min_sources: int = 20,
          streaming: bool = False, min_packets: int = 0) -> DataFrame:
     """Per destination and window: inbound flows from many distinct sources, with at least
-    ``min_packets`` packets.  A stream counts sources with the sketch: spoofed addresses are
-    unbounded, so their set is no state to keep."""
+    ``min_packets`` packets.  A stream keeps one state row per source, not a set of them."""
     inbound = flows.filter(F.col("direction") == "inbound")
-    return W.tumble(inbound, "event_time", window, ["dst_ip"],
-                    [distinct_count("src_ip", approx=streaming).alias("sources"), F.sum("packets").alias("packets"),
-                     F.count("*").alias("flows")],
-                    having=(F.col("sources") >= min_sources) & (F.col("packets") >= min_packets))
+    if streaming:
+        out = W.tumble_distinct(inbound, "event_time", window, ["dst_ip"], "src_ip", "sources",
+                                {"packets": F.col("packets"), "flows": F.lit(1)})
+    else:
+        out = W.tumble(inbound, "event_time", window, ["dst_ip"],
+                       [distinct_count("src_ip").alias("sources"), F.sum("packets").alias("packets"),
+                        F.count("*").alias("flows")])
+    return out.filter((F.col("sources") >= min_sources) & (F.col("packets") >= min_packets))
 
 
 def brute_force(syslog: DataFrame, window: str = "1 minute", min_failures: int = 5) -> DataFrame:

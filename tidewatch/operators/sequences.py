@@ -3,8 +3,8 @@
 Pattern: at least ``min_failures`` consecutive failure rows of one key,
 immediately followed by a success row no later than ``within`` after the
 first failure.  Ordering is (time, id).  Batch form: gaps-and-islands over
-chunked per-key scans (``numbering``); the streaming form is the stateful
-processor in ``tidewatch.streaming.processors``.
+chunked per-key scans (``numbering``); on a stream the same pattern is
+``state.failures_then_success_rule`` applied by ``streaming.ordered``.
 """
 
 from __future__ import annotations

@@ -185,3 +185,55 @@ def dlq_split(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> tuple[
     good = tagged.filter(F.col("error_type").isNull()).drop("error_type", "error")
     bad = tagged.filter(F.col("error_type").isNotNull())
     return good, bad
+
+
+# ---- row-ordered rules as event functions: the same rule in batch (process_events) and on a
+# stream (streaming.ordered.process_in_order)
+
+POLL_ALERT_SCHEMA = "device_id bigint, event_id bigint, reason string"
+
+
+def _alert(event: dict, reason: str) -> dict:
+    return {"device_id": event["device_id"], "event_id": event["event_id"], "reason": reason}
+
+
+def poll_changes(min_cpu: float = 85.0, min_memory: float = 80.0) -> EventFn:
+    """Offline polls, rising edges of load, and changed configuration dates of a device."""
+    def fn(event: dict, state: dict) -> list:
+        out = [_alert(event, "offline")] if event["status"] == "offline" else []
+        hot = event["cpu_percent"] >= min_cpu and event["memory_percent"] >= min_memory
+        if hot and not state.get("hot"):
+            out.append(_alert(event, "cpu_spike"))
+        change = event["last_config_change"]
+        if change is not None and change != state.get("change"):
+            out.append(_alert(event, "config_change"))
+        state["hot"], state["change"] = hot, change
+        return out
+    return fn
+
+
+def silent_poll(event: dict) -> list[dict]:
+    """The poll that a device's silence follows."""
+    return [_alert(event, "silent")]
+
+
+SEQUENCE_SCHEMA = "source_ip string, run_start_id bigint, failures bigint, success_id bigint"
+
+
+def failures_then_success_rule(min_failures: int, within_s: float, failure: str = "auth_failure",
+                               success: str = "auth_success") -> EventFn:
+    """A run of failures directly followed by a success no later than ``within_s`` after its start."""
+    def fn(event: dict, state: dict) -> list:
+        run, out = state.get("run"), []
+        if event["event_type"] == failure:
+            state["run"] = run + [event["event_id"]] if run else [event["event_id"]]
+            if not run:
+                state["start"] = _seconds(event["event_time"])
+            return out
+        if run and len(run) >= min_failures and event["event_type"] == success \
+                and _seconds(event["event_time"]) <= state["start"] + within_s:
+            out = [{"source_ip": event["source_ip"], "run_start_id": run[0], "failures": len(run),
+                    "success_id": event["event_id"]}]
+        state["run"] = None
+        return out
+    return fn

@@ -27,6 +27,18 @@ def tumble(df: DataFrame, time_col: str, size: str, keys: list[str], aggs: list[
     return out.filter(having) if having is not None else out
 
 
+def tumble_distinct(df: DataFrame, time_col: str, size: str, keys: list[str], value: str, distinct: str,
+                    sums: dict[str, Column]) -> DataFrame:
+    """Tumbling windows with an exact distinct count of ``value`` (nulls not counted) that a stream
+    can keep: one state row per (window, keys, value), spread by all of these, and a second
+    aggregation that counts them.  ``sums`` are further columns, as sums of row expressions."""
+    first = df.groupBy(F.window(time_col, size).alias("w"), *keys, value).agg(
+        *[F.sum(c).alias(name) for name, c in sums.items()])
+    second = first.groupBy(F.window(F.window_time("w"), size).alias("window"), *keys).agg(
+        F.count(value).alias(distinct), *[F.sum(name).alias(name) for name in sums])
+    return _flatten(second)
+
+
 def hop(df: DataFrame, time_col: str, size: str, slide: str, keys: list[str],
         aggs: list[Column], having: Column | None = None) -> DataFrame:
     """``HOP`` (sliding) windows: each row counts in size/slide windows."""
