@@ -32,19 +32,39 @@ _SPAN = "array<struct<start:int,end:int,found:string>>"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Matches are located in blocks, so that a text with very many of them does not copy one long
+#: array per match.
+_BLOCK = 256
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(text: Column, pattern: str, found: Column) -> Column:
     """Matches with code point places; ``found`` are the pattern's matches in the text."""
-    between = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["b"])).alias("start"),
-                                              (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"),
-                                              x["m"].alias("found")))).alias("out"))
-    # let-binding: the split is evaluated once, not once per match
-    folded = F.transform(F.array(between), lambda b: F.aggregate(
-        F.transform(found, lambda m, i: F.struct(F.get(b, i).alias("b"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"]))
-    return F.when(F.size(found) > 0, folded[0]).otherwise(F.array().cast(_SPAN))
+    def place(acc, x):
+        start = acc["at"] + F.length(x["between"])
+        end = start + F.length(x["found"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
+            start.alias("start"), end.alias("end"), x["found"].alias("found"))).alias("out"))
+
+    def block(acc, part):
+        start = F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out"))
+        return _bind(F.aggregate(part, start, place), lambda r: F.struct(
+            r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def blocks(pairs):
+        last = ((F.size(pairs) - 1) / F.lit(_BLOCK)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(pairs, k * _BLOCK + 1, F.lit(_BLOCK)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.aggregate(parts, none, block, lambda acc: F.flatten(acc["out"]))
+
+    # the text between matches and the matches alternate
+    pairs = _bind(F.split(text, pattern, -1), lambda between: F.transform(
+        found, lambda m, i: F.struct(F.get(between, i).alias("between"), m.alias("found"))))
+    return F.when(F.size(found) > 0, _bind(pairs, blocks)).otherwise(F.array().cast(_SPAN))
 
 
 def _n_log_n(n: Column) -> Column:
@@ -67,17 +87,14 @@ def peak_entropy(text: Column, window: int = WINDOW) -> Column:
         return F.struct(F.transform(acc["counts"], lambda c, i: F.when(i == at, c + by).otherwise(c)).alias("counts"),
                         (acc["s"] + _n_log_n(n + by) - _n_log_n(n)).alias("s"), acc["peak"].alias("peak"))
 
-    def bind(value, body):
-        return F.transform(F.array(value), body)[0]
-
     def step(acc, x):
-        entered = lambda a: bind(bumped(a, x["into"], 1), scored)
+        entered = lambda a: _bind(bumped(a, x["into"], 1), scored)
         scored = lambda a: F.struct(
             a["counts"].alias("counts"), a["s"].alias("s"),
             F.when(x["full"], F.greatest(a["peak"], F.lit(_log2(window)) - a["s"] / window))
             .otherwise(a["peak"]).alias("peak"))
         left = F.when(x["out"] >= 0, bumped(acc, x["out"], -1)).otherwise(acc)
-        return bind(left, entered)
+        return _bind(left, entered)
 
     chars = F.filter(F.split(text, ""), lambda ch: ch != "")
     moves = F.transform(F.array(F.transform(chars, place)), lambda at: F.transform(at, lambda c, i: F.struct(
