@@ -229,10 +229,30 @@ def kb_chunk(spark, sf_dir):
                .select("doc_id", "chunk_no", F.length("chunk").alias("chunk_chars"), "chunk")
 
 
-@register("kb_embed")
+# the embedder's rule in SQL; a vector is compared by its length, its non-zero places and a weighted sum
+EMBED_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)),
+        lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 384 AS b,
+             CASE WHEN substr(md5(f), 9, 1) >= '8' THEN 1 ELSE -1 END AS s FROM f),
+v AS (SELECT doc_id, b, CAST(sum(s) AS DOUBLE) AS v FROM h GROUP BY ALL HAVING sum(s) <> 0),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM v GROUP BY doc_id),
+d AS (SELECT v.doc_id, count(*) AS nonzero, list(CAST(CAST(v / n AS FLOAT) AS DOUBLE) * (b + 1) ORDER BY b) AS terms
+      FROM v JOIN n USING (doc_id) GROUP BY v.doc_id)
+SELECT o.doc_id, 384 AS dimensions, CAST(coalesce(nonzero, 0) AS INTEGER) AS nonzero,
+       coalesce(list_reduce(terms, lambda x, y: x + y), 0.0) AS weighted_sum
+FROM documents o LEFT JOIN d USING (doc_id)"""
+
+
+@register("kb_embed", EMBED_SQL)
 def kb_embed(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", TX.embed_udf()("text").alias("embedding"))
+    vectors = docs.select("doc_id", TX.embed_udf()("text").alias("v"))
+    term = lambda s, x: F.struct((s["at"] + 1).alias("at"), (s["sum"] + x.cast("double") * s["at"]).alias("sum"))
+    total = F.aggregate("v", F.struct(F.lit(1).alias("at"), F.lit(0.0).alias("sum")), term, lambda s: s["sum"])
+    return vectors.select("doc_id", F.size("v").alias("dimensions"), F.size(F.filter("v", lambda x: x != 0)).alias("nonzero"),
+                          total.alias("weighted_sum"))
 
 
 def ingest(chunks_df, path: str, tenant_col: str = "tenant"):
