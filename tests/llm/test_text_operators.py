@@ -455,6 +455,46 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(empty(spark), benchmark).count() == 0
 
 
+def test_leaks_with_one_word_changed(spark):
+    """An item stays a leak with one word changed, left out, added or moved at any place; its first
+    three quarters, or a question with another answer, are none."""
+    import random
+    rng = random.Random(9)
+    texts = [prose(rng, "de", n) for n in (15, 20, 23, 40, 59)] + ["What is the river under the stone house by the mill? Little green water from old hills"]
+    items = list(enumerate(texts))
+    pad = " ".join(f"pad{i}" for i in range(65))
+    rows, want = [], set()
+
+    def add(words, item, leak):
+        rows.append((len(rows), f"{pad} {' '.join(words)} {pad}", "de", "s"))
+        want.update([(len(rows) - 1, item)] * leak)
+
+    for item, text in items:
+        w = text.split()
+        for k in range(len(w)):
+            add(w[:k] + ["changed"] + w[k + 1:], item, True)
+            add(w[:k] + ["added"] + w[k:], item, True)
+            add(w[:k] + w[k + 1:], item, True)
+            add(w[:k] + w[k:k + 2][::-1] + w[k + 2:], item, True)
+        start = decontaminate.answer_start(text)
+        add(w[:start], item, False)
+        add(w[:start] + [f"other{i}" for i in range(len(w) - start)], item, False)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(frame(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert decontaminate.drop_leaks(frame(spark, rows), benchmark).count() == len(rows) - len(want)
+
+
+def test_aligned_words():
+    item = "a b c d e f g h i j".split()
+    assert decontaminate.aligned(item, 5, ["x", *item, "y"]) == (1.0, 1.0)
+    assert decontaminate.aligned(item, 5, "a b x d e f g i j".split()) == (0.8, 0.8)
+    assert decontaminate.aligned(item, 5, "z a b c d e z".split()) == (1.0, 0.0)
+    assert decontaminate.aligned(item, 5, []) == (0.0, 0.0)
+    assert decontaminate.aligned([], 0, ["a"]) == (1.0, 1.0)
+    assert decontaminate.contained(item, "a b c d e f g h x".split()) == 4 / 6
+
+
 def test_wand_retrieves_all_above_threshold():
     import random
     rng = random.Random(1)

@@ -5,7 +5,9 @@ posting holds the share of an item's own BM25 score that the word contributes, s
 threshold means the same for every item: a passage that holds the whole item scores 1.
 Items are grouped into blocks, and each word has its greatest share per block.  A passage
 whose block bounds stay below the threshold is never scored; the others run block-max WAND.
-What is retrieved counts only if the item's question and answer both overlap the passage.
+What is retrieved counts only if the item's question and answer both overlap the passage, in
+common shingles or word by word in an alignment; where the answer is a made-up last quarter, also
+if the passage has most of the item's shingles.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from tidewatch.llm.common import first_columns, python_ready, texts, word_bytes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6          # share of the item's own BM25 score that a passage must reach
-OVERLAP = 0.8            # share of the question's, and of the answer's, words in common shingles
+OVERLAP = 0.8            # share of the question's, and of the answer's, words that the passage has
 SHINGLE = 5
 _MAX_BLOCKS = 512
 _HALVES_AT_ONCE = 200      # of a text
 _CACHED_WORDS = 400_000
 _UNKNOWN, _BLANK = -1, -2
+_EDIT, _WORD = 1 << 40, 1 << 20      # an alignment's changes and lost words, in one number
 
 
 def normal_word(word: str) -> str:
@@ -46,12 +49,14 @@ def answer_start(text: str | None) -> int:
     """First word of the answer: of the last sentence that follows a question mark, else of the
     item's last quarter (five words at least, at most half of them)."""
     n = len(item_words(text))
+    return asked_words(text) or n - min(max(SHINGLE, n // 4), n // 2)
+
+
+def asked_words(text: str | None) -> int:
+    """Words up to the last question mark; 0 if none of the words, or all of them, are."""
     asked = (text or "").rfind("?")
-    if asked >= 0:
-        at = len(item_words(text[:asked + 1]))
-        if 0 < at < n:
-            return at
-    return n - min(max(SHINGLE, n // 4), n // 2)
+    at = len(item_words(text[:asked + 1])) if asked >= 0 else 0
+    return at if at < len(item_words(text)) else 0
 
 
 @dataclass
@@ -61,6 +66,7 @@ class Index:
     item_ids: list
     item_words: list[list[str]]
     answers: list[int]
+    asked: list[bool]                           # the answer follows a question mark
     postings: list[list[tuple[int, float]]]     # per word: (item, share), by item
     block_size: int
     block_bounds: np.ndarray                    # word x block: greatest share
@@ -97,8 +103,8 @@ def build_index(rows: list, shares: list, at_least: int = 4) -> Index:
         for item, share in found:
             bounds[w, item // size] = max(bounds[w, item // size], share)
     lengths = [item_words(r["text"]) for r in rows]
-    return Index(words, [r["item_id"] for r in rows], lengths, [answer_start(r["text"]) for r in rows], postings,
-                 size, bounds, 2 * max((len(x) for x in lengths), default=1))
+    return Index(words, [r["item_id"] for r in rows], lengths, [answer_start(r["text"]) for r in rows],
+                 [asked_words(r["text"]) > 0 for r in rows], postings, size, bounds, 2 * max((len(x) for x in lengths), default=1))
 
 
 def block_max_wand(words: list[int], index: Index, threshold: float) -> list[tuple[int, float]]:
@@ -164,6 +170,48 @@ def overlaps(item: list[str], answer: int, passage: list[str], k: int = SHINGLE)
     return share(covered[:answer]), share(covered[answer:])
 
 
+def contained(item: list[str], passage: list[str], k: int = SHINGLE) -> float:
+    """Share of the item's shingles of ``k`` words that the passage has; 0 for shorter items."""
+    there = {tuple(passage[i:i + k]) for i in range(len(passage) - k + 1)}
+    found = [tuple(item[i:i + k]) in there for i in range(len(item) - k + 1)]
+    return sum(found) / len(found) if found else 0.0
+
+
+def aligned(item: list[str], answer: int, passage: list[str]) -> tuple[float, float]:
+    """Shares of the question's and of the answer's words that stay when the whole item is aligned
+    with a stretch of the passage by the fewest changed, left-out and added words (of equal
+    alignments, the one that keeps most words)."""
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    there = np.array([numbers.get(w, -1) for w in passage], dtype=np.int64)
+    added = np.arange(len(there) + 1, dtype=np.int64) * _EDIT
+    best = np.zeros(len(there) + 1, dtype=np.int64)
+    for i, word in enumerate(item):
+        lost = _EDIT + _WORD + (i >= answer)
+        now = best + lost
+        np.minimum(now[1:], best[:-1] + np.where(there == numbers[word], 0, lost), out=now[1:])
+        best = np.minimum.accumulate(now - added) + added
+    lost = int(best.min()) % _EDIT
+    q_lost, a_lost = lost // _WORD - lost % _WORD, lost % _WORD
+    share = lambda n, lost: (n - lost) / n if n else 1.0
+    return share(answer, q_lost), share(len(item) - answer, a_lost)
+
+
+def near_overlaps(item: list[str], answer: int, passage: list[str], least: float) -> tuple[float, float]:
+    """The greater of ``overlaps`` and ``aligned``, per part.  Parts of a shingle's length or more
+    are aligned on their own too, as other text may stand between them."""
+    q, a = overlaps(item, answer, passage)
+    there = set(passage)
+    if min(q, a) >= least or any(sum(w in there for w in part) < least * len(part) for part in (item[:answer], item[answer:])):
+        return q, a
+    q_near, a_near = aligned(item, answer, passage)
+    q, a = max(q, q_near), max(a, a_near)
+    if q < least and answer >= SHINGLE:
+        q = max(q, aligned(item[:answer], answer, passage)[0])
+    if a < least and len(item) - answer >= SHINGLE:
+        a = max(a, aligned(item[answer:], 0, passage)[1])
+    return q, a
+
+
 _LEAK = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 _LEAK_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                          ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -201,8 +249,9 @@ class _Searcher:
         for lo, hi in self._able(ids):
             part = ids[lo:hi]
             for item, score in block_max_wand(np.unique(part[part >= 0]).tolist(), index, self.threshold):
-                q, a = overlaps(index.item_words[item], index.answers[item], [self.spelled[i] for i in part])
-                if q >= self.overlap and a >= self.overlap:
+                own, passage = index.item_words[item], [self.spelled[i] for i in part]
+                q, a = near_overlaps(own, index.answers[item], passage, self.overlap)
+                if min(q, a) >= self.overlap or not index.asked[item] and contained(own, passage) >= self.overlap:
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, q, a))
         return found
 
@@ -289,7 +338,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD,
                overlap: float = OVERLAP, items_at_once: int = 2_000) -> DataFrame:
     """One row per text and leaked item: doc_id, item_id, score (best passage's share of the
-    item's BM25 score), question_overlap, answer_overlap.
+    item's BM25 score), question_overlap, answer_overlap.  Both overlaps reach ``overlap``, or the
+    item has no answer after a question mark and the passage has that share of its shingles.
 
     Every text is searched whole, in passages of twice the longest item's words that step by
     half of that, so an item is never cut by a passage's end.  Words are compared as lower-case
