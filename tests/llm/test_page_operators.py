@@ -93,6 +93,33 @@ CASES = [
 ]
 
 
+BODY = f"<p>{LONG}</p><p>Second. {LONG}</p><p>{LONG}</p>"
+TEXT = f"{LONG.strip()} Second. {LONG.strip()} {LONG.strip()}"
+SEARCH = "<form action='/search'>Search here <input></form>"
+
+
+def test_article_inside_named_containers():
+    """Forms and side-named elements that hold the article stay; those beside it go."""
+    widgets = "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in (LONG, "Second. " + LONG, LONG))
+    for body in (f"<form id='aspnetForm' action='x.aspx'>{BODY}</form>", f"<form><div class='sidebar'>s</div><div>{BODY}</div></form>",
+                 f"<h1>A</h1><div class='elementor-widget'>{BODY}</div>", f"<h1>A</h1><div class='content no-sidebar'>{BODY}</div>{SEARCH}",
+                 f"<div class='content no-sidebar'>{BODY}</div><div class='sidebar'>side</div>",
+                 f"<div class='widget-wrap'>{widgets}</div>", f"<div>{widgets}</div>{SEARCH}",
+                 f"<form><main>{BODY}</main></form>{SEARCH}"):
+        text = html_text.main_text(PAGE % body)
+        assert text.removeprefix("A ") == TEXT, body
+    # one article with text: what stands beside it goes however long it is
+    for beside in (f"<form>{BODY}</form>", f"<div class='related'>{BODY}</div>"):
+        assert html_text.main_text(PAGE % f"<article><p>Short one.</p></article>{beside}") == "Short one."
+
+
+def test_text_after_the_body_end():
+    for page in (f"<html><body><nav>menu</nav></body>{BODY}</html>", f"<html><body><p>x</p></body></html><div>{BODY}</div>",
+                 f"<body><div></body><div>{BODY}</div></body></html>"):
+        assert html_text.main_text(page).removeprefix("x ") == TEXT, page
+    assert html_text.main_text("</body>a</html>b") == "a b"
+
+
 def test_pages(spark):
     rows = list(enumerate(h for h, _ in CASES)) + [(3, CASES[3][0]), (None, "<p>x</p>")]
     pages = spark.createDataFrame([(i, f"u{i}", h, "clash") for i, h in rows], "page_id long, url string, html string, text string")

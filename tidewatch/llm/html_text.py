@@ -36,14 +36,16 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPE = frozenset("table ul ol dl div article section main body html td th select blockquote".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "button", "option", "optgroup"}
 #: Never part of an article.
-_DROPPED = frozenset("""nav header footer aside form script style noscript template iframe button select textarea menu
+_DROPPED = frozenset("""nav header footer aside script style noscript template iframe button select textarea menu
     dialog svg canvas head title object embed map datalist""".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 _READERS = frozenset("comment comments disqus replies".split())
+#: Names of what stands beside an article, unless most of the page's text is in it.
 _SIDE = frozenset("""ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo sidebar menu
     nav navbar navigation footer header masthead notice notices cookie cookies consent popup modal share sharing social
     related breadcrumb breadcrumbs newsletter subscribe widget toolbar pagination""".split())
 _KEEP = frozenset("html body".split())
+_ARTICLE = frozenset("main article".split())
 #: Markup within a line: part of the text around it, no node of its own for densities.
 _INLINE = frozenset("""abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike
     strong sub sup time tt u var wbr""".split())
@@ -115,6 +117,10 @@ def parse(source: str) -> _Page:
         if m[1]:
             if tag in _BLOCK:
                 page.chunks.append((stack[-1], None))
+            if tag in _KEEP:
+                # what follows still belongs to the body
+                pop_to(1 + max((d for d in range(1, len(stack)) if page.tag[stack[d]] in _KEEP), default=len(stack) - 1))
+                continue
             if open_tags.get(tag):
                 for depth in range(len(stack) - 1, 0, -1):
                     if page.tag[stack[depth]] == tag:
@@ -158,18 +164,77 @@ def _hints(attributes: str) -> frozenset:
     return frozenset(out)
 
 
-def _is_dropped(page: _Page, node: int, holds_title: list[bool]) -> bool:
+def _is_boilerplate(page: _Page, node: int) -> bool:
     tag, hints = page.tag[node], page.hints[node]
     if tag in _DROPPED:
         return True
-    if not hints or tag in _KEEP:
-        return False
-    if hints & _READERS:
-        return True
-    if any(h[5:] in _ROLES for h in hints if h.startswith("role:")):
-        return True
+    return bool(hints) and tag not in _KEEP and (
+        bool(hints & _READERS) or any(h[5:] in _ROLES for h in hints if h.startswith("role:")))
+
+
+def _side_names(page: _Page, node: int, holds_title: list[bool], holds_article: list[bool]) -> frozenset:
+    tag, hints = page.tag[node], page.hints[node]
+    if tag == "form":
+        return frozenset() if holds_article[node] else frozenset(["form"])
     # a container of the article may be named after what stands beside it
-    return bool(hints & _SIDE) and tag not in ("main", "article") and not holds_title[node]
+    return frozenset() if tag in _KEEP or tag in _ARTICLE or holds_title[node] else hints & _SIDE
+
+
+def _dropped(page: _Page, chunks: list[tuple[int, str | None]]) -> list[bool]:
+    """Elements that are no part of the article by their tags, roles and names.
+
+    Where one main or article element has text of its own, all names count.  Else a form or a
+    side-named element with more than half of the page's link-free characters stays; and if names
+    would still remove more than half of them, those that remove most are passed over.
+    """
+    n = len(page.tag)
+    holds_article = [t in _ARTICLE for t in page.tag]
+    holds_title = [t == "h1" or a for t, a in zip(page.tag, holds_article)]
+    for node in range(n - 1, 0, -1):
+        holds_title[page.parent[node]] |= holds_title[node]
+        holds_article[page.parent[node]] |= holds_article[node]
+    firm, names, in_link = [False] * n, [frozenset()] * n, [False] * n
+    for node in range(1, n):
+        p = page.parent[node]
+        firm[node] = firm[p] or _is_boilerplate(page, node)
+        in_link[node] = in_link[p] or page.tag[node] == "a"
+        if not firm[node]:
+            names[node] = _side_names(page, node, holds_title, holds_article)
+    if not any(names):
+        return firm
+    own = [0] * n
+    for node, text in chunks:
+        if text is not None and not firm[node] and not in_link[node]:
+            own[node] += len("".join(text.split()))
+    plain = list(own)
+    for node in range(n - 1, 0, -1):
+        plain[page.parent[node]] += plain[node]
+
+    def drop(passed: set, least: float) -> list[bool]:
+        out = list(firm)
+        for node in range(1, n):
+            out[node] = firm[node] or out[page.parent[node]] or bool(names[node] - passed) and plain[node] <= least
+        return out
+
+    out = drop(set(), math.inf)
+    marked, inside = 0, [False] * n
+    for node in range(1, n):
+        here = page.tag[node] in _ARTICLE and not out[node] and plain[node] > 0
+        marked += here and not inside[page.parent[node]]
+        inside[node] = here or inside[page.parent[node]]
+    if marked == 1:
+        return out
+    passed: set = set()
+    while True:
+        out = drop(passed, plain[0] / 2)
+        if 2 * sum(x for x, gone in zip(own, out) if not gone) >= plain[0]:
+            return out
+        lost: dict[str, int] = {}
+        for node in range(1, n):
+            if out[node] and not firm[node] and not out[page.parent[node]]:
+                for name in names[node] - passed:
+                    lost[name] = lost.get(name, 0) + plain[node]
+        passed.add(max(sorted(lost), key=lost.get))
 
 
 def main_text(source: str | None) -> str:
@@ -181,17 +246,13 @@ def main_text(source: str | None) -> str:
         return ""
     page = parse(source)
     n = len(page.tag)
-    holds_title = [t in ("h1", "main", "article") for t in page.tag]
-    for node in range(n - 1, 0, -1):
-        holds_title[page.parent[node]] |= holds_title[node]
-    dropped = [False] * n
-    for node in range(1, n):
-        dropped[node] = dropped[page.parent[node]] or _is_dropped(page, node, holds_title)
+    chunks = [(node, text if text is None else html.unescape(text)) for node, text in page.chunks]
+    dropped = _dropped(page, chunks)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for node in range(1, n):
         in_link[node] = in_link[page.parent[node]] or page.tag[node] == "a"
-    chunks = [(node, text if text is None else html.unescape(text)) for node, text in page.chunks if not dropped[node]]
+    chunks = [(node, text) for node, text in chunks if not dropped[node]]
     for node, text in chunks:
         if text is not None:
             size = len("".join(text.split()))
