@@ -63,6 +63,18 @@ def test_clean_documents_stay(spark):
     assert kept.count() == docs.count()
 
 
+def test_untaught_scripts_are_not_rejected_by_chance(spark):
+    """Texts that share no letter with any taught language all stay; letterless ones go."""
+    import random
+    rng = random.Random(21)
+    taught = [(i, prose(rng, lang, 60), lang, "s") for i, lang in enumerate(["en", "de", "fr"] * 7)]
+    untaught = [(100 + i, " ".join("".join(chr(rng.randint(0x10D0, 0x10F0)) for _ in range(rng.randint(2, 9)))
+                                   for _ in range(1 + i % 30)), None, "s") for i in range(60)]
+    docs = frame(spark, taught + untaught + [(900, "12 34 !", None, "s"), (901, "", "en", "s")]).select(*P.COLUMNS)
+    kept = {r.doc_id for r in P.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in taught + untaught}
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
