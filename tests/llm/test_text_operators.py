@@ -309,6 +309,29 @@ def test_language_model_is_the_bundle(spark):
     assert len(language.trigrams("12 34")) == 0 and len(language.trigrams("É--b")) == 3
 
 
+def test_trigram_vectors_in_blocks(monkeypatch):
+    """Texts of many distinct trigrams: few vectors at a time, and the same sums."""
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)) for n in (3000, 1, 40, 2500)] + ["", None, "12 3", "ein Satz"]
+    langs = ["zh", "zh", "ja", "ja", "zh", "zh", "ja", "de"]
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": pa.array(texts, pa.string())})
+    taught = pa.RecordBatch.from_arrays([c.filter(batch.column(1).is_valid()) for c in batch.columns], names=["lang", "text"])
+    schema = pa.schema([("lang", pa.string()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    prototypes = np.random.default_rng(1).normal(size=(3, 256)).astype(np.float32)
+
+    def run():
+        return ([b.to_pydict() for b in language._bundles(256, 11)(iter([taught]))],
+                [b.to_pydict() for b in language._predictions(["a", "b", "c"], prototypes, 256, 11, schema)(iter([batch]))])
+
+    whole, most, real = run(), [], language.trigram_vectors
+    monkeypatch.setattr(language, "_VECTORS_AT_ONCE", 500)
+    monkeypatch.setattr(language, "trigram_vectors", lambda t, *a: most.append(len(t)) or real(t, *a))
+    assert run() == whole and max(most) == 500 and len(most) > 10
+
+
 # -- 7: SimHash
 
 def brute_fingerprint(text, k=3):

@@ -23,6 +23,7 @@ from tidewatch.llm.common import first_columns, python_ready
 DIMENSIONS = 1024
 UNKNOWN = "und"
 _CHARS_AT_ONCE = 2_000_000
+_VECTORS_AT_ONCE = 32_768       # of distinct trigrams
 _KEPT_LETTERS = 20_000
 _SPACE = 32
 
@@ -86,9 +87,31 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, grams
 
 
-def _coded(grams: list[np.ndarray], dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _coded(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     codes, found = pd.factorize(np.concatenate(grams)) if grams else (np.zeros(0, int), np.zeros(0, np.uint64))
-    return codes, trigram_vectors(np.asarray(found, dtype=np.uint64), dimensions, seed)
+    return codes, np.asarray(found, dtype=np.uint64)
+
+
+def _vector_blocks(found: np.ndarray, dimensions: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first code, vectors) of a bounded number of distinct trigrams at a time."""
+    for at in range(0, len(found), _VECTORS_AT_ONCE):
+        yield at, trigram_vectors(found[at:at + _VECTORS_AT_ONCE], dimensions, seed)
+
+
+def _text_vectors(grams: list[np.ndarray], dimensions: int, seed: int) -> np.ndarray:
+    """Sum of each text's trigram vectors."""
+    codes, found = _coded(grams)
+    parts = np.split(codes, np.cumsum([len(g) for g in grams])[:-1]) if grams else []
+    out = np.zeros((len(grams), dimensions), dtype=np.float32)
+    for at, vectors in _vector_blocks(found, dimensions, seed):
+        for row, part in enumerate(parts):
+            if len(vectors) < len(found):
+                part = part[(part >= at) & (part < at + len(vectors))] - at
+            counts = np.bincount(part, minlength=len(vectors))
+            used = np.flatnonzero(counts)
+            if len(used):
+                out[row] += counts[used].astype(np.float32) @ vectors[used]
+    return out
 
 
 def _bundles(dimensions: int, seed: int):
@@ -96,11 +119,13 @@ def _bundles(dimensions: int, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for langs, grams in ((b.column(0).slice(at, len(grams)), grams) for b in batches for at, grams in _slices(b)):
-            codes, vectors = _coded(grams, dimensions, seed)
+            codes, found = _coded(grams)
             names, which = np.unique(langs.to_pylist(), return_inverse=True)
             per_gram = np.repeat(which, [len(g) for g in grams])
-            counts = np.bincount(per_gram * len(vectors) + codes, minlength=len(names) * len(vectors))
-            sums = counts.reshape(len(names), -1).astype(np.float64) @ vectors
+            counts = np.bincount(per_gram * len(found) + codes, minlength=len(names) * len(found)).reshape(len(names), -1)
+            sums = np.zeros((len(names), dimensions))
+            for at, vectors in _vector_blocks(found, dimensions, seed):
+                sums += counts[:, at:at + len(vectors)].astype(np.float64) @ vectors
             for name, s in zip(names.tolist(), sums):
                 total[name] = total.get(name, 0) + s
         yield pa.RecordBatch.from_pydict(
@@ -129,12 +154,9 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def _predictions(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, schema: pa.Schema):
-    def scored(codes: np.ndarray, vectors: np.ndarray) -> tuple[str, float]:
-        counts = np.bincount(codes, minlength=len(vectors))
-        used = np.flatnonzero(counts)
-        if not len(used) or not names:
+    def scored(n_grams: int, vector: np.ndarray) -> tuple[str, float]:
+        if not n_grams or not names:
             return UNKNOWN, 0.0
-        vector = counts[used].astype(np.float32) @ vectors[used]
         cosines = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-12)
         best = int(np.argmax(cosines))
         return names[best], float(min(1.0, max(0.0, cosines[best])))
@@ -143,9 +165,7 @@ def _predictions(names: list[str], prototypes: np.ndarray, dimensions: int, seed
         for b in batches:
             out = []
             for _, grams in _slices(b):
-                codes, vectors = _coded(grams, dimensions, seed)
-                ends = np.cumsum([len(g) for g in grams])
-                out += [scored(codes[end - len(g):end], vectors) for g, end in zip(grams, ends)]
+                out += [scored(len(g), v) for g, v in zip(grams, _text_vectors(grams, dimensions, seed))]
             langs, scores = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(b.columns[:-1], schema)]
