@@ -80,4 +80,4 @@ def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {n for n in names if re.match(r"op\d+_", n)} == set(__import__(
         "tidewatch.llm.queries", fromlist=["QUERIES"]).QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))

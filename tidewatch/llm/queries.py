@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import (decontaminate, html_text, language, packing, quality, secrets, sharding, simhash,
-                           substrings, url_rules)
+from tidewatch.llm import (audit, bpe, decontaminate, html_text, language, merkle, packing, quality, secrets, sharding,
+                           simhash, substrings, url_rules)
 from tidewatch.llm.common import ASCII_LETTERS
 from tidewatch.sources.tables import load
 
@@ -76,6 +76,69 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check against a state in which every seventh row (by checksum of its id) has one more
+    character counted."""
+    docs = load(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    more = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(docs, altered={"n_chars": more})
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(load(spark, sf_dir, "documents"), word_tokenizer(), with_text=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def _audit_oracle() -> str:
+    """Every document in every order: first failing step, then counts per (part, order, step)."""
+    step = lambda f: f"strpos(o, '{f}')"
+    fails = {
+        "A": f"len(words) < {audit.MIN_WORDS}",
+        "B": f"100 * len(list_distinct(words)) < {audit.MIN_DISTINCT_PERCENT} * len(words)",
+        "C": f"100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITAL_PERCENT} * length(text)",
+        "D": f"regexp_matches(text, '[{audit.MARKS.decode()}]')",
+        "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)",
+    }
+    flags = ", ".join(f"{c} AS f{f}" for f, c in fails.items())
+    first = "least(" + ", ".join(f"CASE WHEN f{f} THEN {step(f)} ELSE 6 END" for f in fails) + ")"
+    own = "(CASE substr(o, step, 1) " + " ".join(f"WHEN '{f}' THEN f{f}" for f in fails) + " END)"
+    only = " + ".join(f"CAST(f{f} AS INTEGER)" for f in fails)
+    letters = ", ".join(f"'{f}'" for f in fails)
+    return f"""
+WITH l AS (SELECT unnest([{letters}]) AS c),
+orders AS (SELECT a.c || b.c || d.c || e.c || f.c AS o FROM l a, l b, l d, l e, l f
+           WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+          FROM documents),
+docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {flags}
+         FROM texts LEFT JOIN marks USING (doc_id)),
+kinds AS (SELECT part, good, toxic, fA, fB, fC, fD, fE, count(*) AS n FROM docs GROUP BY ALL),
+fates AS (SELECT part, o, step, n, good, toxic, {first} AS gone, {own} AS own, {only} AS failed
+          FROM kinds, orders, (SELECT unnest(range(1, 6)) AS step)),
+steps AS (SELECT part, o, step,
+                 coalesce(sum(n) FILTER (gone > step), 0) AS kept,
+                 coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+                 coalesce(sum(n) FILTER (own AND gone < step), 0) AS redundant,
+                 coalesce(sum(n) FILTER (own AND failed = 1), 0) AS unique_fails,
+                 coalesce(sum(n) FILTER (gone = step AND good), 0) AS good_lost,
+                 coalesce(sum(n) FILTER (gone = step AND toxic), 0) AS toxic_lost
+          FROM fates GROUP BY part, o, step)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, substr(o, step, 1)) AS BIGINT) AS shapley
+FROM steps"""
+
+
 def _url_oracle() -> str:
     rules = [(r.name, r.verdict, r.pattern, 1) for r in HOST_RULES]
     rules += [(r.name, r.verdict, r.pattern, 0) for r in url_rules.SITE_RULES]
@@ -104,6 +167,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe": op12_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES = {"op3_url_filters": _url_oracle()}
+ORACLES = {"op3_url_filters": _url_oracle(), "op13_filter_audit": _audit_oracle()}
