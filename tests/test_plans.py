@@ -50,9 +50,20 @@ def test_predicates_reach_the_scan(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
 
 
-def test_text_search_moves_no_text(spark):
+def test_text_search_reads_postings(spark):
+    """With the stored index no text is read, shuffled or tokenized."""
+    for name in ("kb_fts_search", "kb_inverted_index"):
+        plan = plan_of(QUERIES[name](spark, SF_SMALL))
+        schemas = [x for x in plan.split("\n") if x.startswith("ReadSchema")]
+        assert schemas and not any("text" in x or "content" in x for x in schemas), schemas
+        assert "tf:bigint" in plan or "coll_freq:bigint" in plan
+
+
+def test_text_search_without_index_moves_no_text(spark):
     """A document verifies its queries in the scan stage: only (query, id, score) is shuffled."""
-    plan = plan_of(QUERIES["kb_fts_search"](spark, SF_SMALL))
+    from tidewatch.operators import search as S
+    from tidewatch.plans import views as V
+    plan = plan_of(S.fts_topk(V.v_knowledge(spark, SF_SMALL, False), V.v_queries(spark, SF_SMALL), 5))
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     shuffles = [x for x in plan.split("\n(") if "hashpartitioning(qid" in x]
     assert shuffles and not any("content#" in x or "text#" in x or "_toks#" in x for x in shuffles)
@@ -89,5 +100,5 @@ def test_expensive_expressions_evaluated_once(spark, name):
         if not head.startswith(("Project", "Filter", "HashAggregate", "Generate")):
             continue
         for fn in EXPENSIVE:
-            calls = [c for c in _calls(sec, fn) if "query_text" not in c]   # the 5-row query batch is exempt
+            calls = [c for c in _calls(sec, fn) if "query_text" not in c]   # the query batch is small
             assert len(calls) == len(set(calls)), f"{head}: {fn} evaluated {len(calls)}x"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import epoch_micros
+from tidewatch.session import materialized
 
 _US = 1_000_000
 
@@ -47,6 +48,17 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     return l2.join(r2, cond, how).drop("_jb", "_rb")
 
 
+#: Rows up to which a side of checked size is broadcast (some 100 bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed once and counted: marked for broadcast up to ``rows`` rows, else left to a
+    shuffled join."""
+    df = materialized(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def semi(df: DataFrame, known: DataFrame, on) -> DataFrame:
     """Rows whose key is already known (``EXISTS``)."""
     return df.join(known, on, "left_semi")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import jaccard, tokens
+from tidewatch.operators.text_index import TextIndex
 from tidewatch.operators.vector import QueryBlock, cosine_topk, in_blocks
 from tidewatch.operators.windows import top_per_group
 
@@ -38,23 +39,19 @@ def _top(df: DataFrame, qid: str, score: str, id_col: str, n: int) -> DataFrame:
     return top_per_group(df, [qid], [F.col(score).desc(), F.col(id_col).asc()], n, "rank", [id_col])
 
 
-def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """Inverted index (re-aim of the GIN index): (token, id, tf)."""
-    # explode_outer + null filter: a plain explode makes Spark infer size(tokens) > 0
-    # below the generator, tokenizing every text a second time
-    return corpus.select(id_col, F.explode_outer(tokens(text_col)).alias("token")) \
-                 .filter(F.col("token").isNotNull()) \
-                 .groupBy("token", id_col).agg(F.count("*").alias("tf"))
-
-
 def fts_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, id_col: str = "id",
-             text_col: str = "content", qid: str = "qid", qtext: str = "query_text") -> DataFrame:
+             text_col: str = "content", qid: str = "qid", qtext: str = "query_text",
+             index: TextIndex | None = None) -> DataFrame:
     """(qid, id, score, rank): documents holding all query lexemes, best k per query.
 
-    Each query is filed under its longest lexeme.  A document looks up only those of its
+    With an ``index`` of the corpus its postings are read and no text.  Without one, each query is filed under its longest lexeme.  A document looks up only those of its
     lexemes that some query of the block is filed under, and verifies these queries in the scan
     stage; only matches are shuffled.  Null or blank texts and queries match nothing.
     """
+    if index is not None:
+        asked = queries.frame if isinstance(queries, QueryBlock) else queries
+        return index.search(asked, k, qid, qtext).withColumnRenamed("id", id_col)
+
     def search(block: QueryBlock) -> DataFrame:
         q = block.frame.select(qid, F.array_distinct(tokens(qtext)).alias("_terms")).filter(F.size("_terms") > 0)
         longest = F.array_max(F.transform("_terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
@@ -121,7 +118,7 @@ def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str =
 
 
 def fused_lists(corpus: DataFrame, queries: DataFrame | QueryBlock, n: int, keyword_col: str | None = None,
-                qid: str = "qid", id_col: str = "id", extra=()) -> DataFrame:
+                qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None) -> DataFrame:
     """Both sides' best ``n`` per query, merged (``fuse_ranked``).  The full-text side uses
     ``keyword_col`` of the query table where it is set, else the query text."""
     def search(block: QueryBlock) -> DataFrame:
@@ -129,17 +126,17 @@ def fused_lists(corpus: DataFrame, queries: DataFrame | QueryBlock, n: int, keyw
         if keyword_col is not None:
             words = QueryBlock(block.rows, block.frame.select(
                 qid, F.coalesce(keyword_col, "query_text").alias("query_text")))
-        return fuse_ranked(semantic_topk(corpus, block, n, id_col=id_col), fts_topk(corpus, words, n, id_col), corpus,
+        return fuse_ranked(semantic_topk(corpus, block, n, id_col=id_col), fts_topk(corpus, words, n, id_col, index=index), corpus,
                            qid, id_col, extra)
 
     return in_blocks(queries, qid, search)
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, keyword_col: str | None = None,
-           qid: str = "qid", id_col: str = "id", extra=()) -> DataFrame:
+           qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None) -> DataFrame:
     """Hybrid search: max(4k, 20) candidates from each side, fused with
     reciprocal-rank fusion, best k per query (ties: lower id)."""
-    fused = fused_lists(corpus, queries, candidates(k), keyword_col, qid, id_col, extra)
+    fused = fused_lists(corpus, queries, candidates(k), keyword_col, qid, id_col, extra, index)
     return _top(fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score")), qid, "rrf_score", id_col, k)
 
 
@@ -177,11 +174,12 @@ def dedupe_recent(cands: DataFrame, qid: str | None = "qid", created: str = "cre
 
 
 def search_pipeline(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int = 5, qid: str = "qid",
-                    id_col: str = "id", scorer=None, keyword_col: str | None = None) -> DataFrame:
+                    id_col: str = "id", scorer=None, keyword_col: str | None = None, index: TextIndex | None = None
+                    ) -> DataFrame:
     """Hybrid retrieval at max(4k, 20) (full-text side by ``keyword_col`` if given), dedupe by content
     prefix, re-rank, cut to k."""
     def search(block: QueryBlock) -> DataFrame:
-        fused = hybrid(corpus, block, candidates(k), keyword_col, qid, id_col, extra=("created_at",))
+        fused = hybrid(corpus, block, candidates(k), keyword_col, qid, id_col, ("created_at",), index)
         return rerank(dedupe_recent(fused, qid), block, k, qid, id_col, scorer, order_col="key_order")
 
     return in_blocks(queries, qid, search)

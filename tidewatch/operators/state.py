@@ -151,10 +151,10 @@ def kv_latest(writes: DataFrame, key: str, value: str, updated_at: str, tiebreak
 def accumulate_upsert(snapshot: DataFrame, batch: DataFrame, keys: list[str], add=(), least=(), greatest=(),
                       replace=()) -> DataFrame:
     """``INSERT ... ON CONFLICT DO UPDATE``: full outer join of the snapshot
-    with the batch aggregate; ``add`` columns sum, ``least``/``greatest`` keep
+    with the batch aggregate (a null key value equals another); ``add`` columns sum, ``least``/``greatest`` keep
     the extreme, ``replace`` takes the batch value when present."""
     s, b = snapshot.alias("s"), batch.alias("b")
-    cond = [F.col(f"s.{k}") == F.col(f"b.{k}") for k in keys]
+    cond = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     j = s.join(b, cond, "full_outer")
     cols = [F.coalesce(F.col(f"s.{k}"), F.col(f"b.{k}")).alias(k) for k in keys]
     cols += [(F.coalesce(F.col(f"s.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c) for c in add]
@@ -201,7 +201,8 @@ def poll_changes(min_cpu: float = 85.0, min_memory: float = 80.0) -> EventFn:
     """Offline polls, rising edges of load, and changed configuration dates of a device."""
     def fn(event: dict, state: dict) -> list:
         out = [_alert(event, "offline")] if event["status"] == "offline" else []
-        hot = event["cpu_percent"] >= min_cpu and event["memory_percent"] >= min_memory
+        cpu, memory = event["cpu_percent"], event["memory_percent"]
+        hot = cpu is not None and memory is not None and cpu >= min_cpu and memory >= min_memory
         if hot and not state.get("hot"):
             out.append(_alert(event, "cpu_spike"))
         change = event["last_config_change"]

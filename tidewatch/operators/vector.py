@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tidewatch.session import ship_package
 QUERY_BLOCK = 4096
 _SCORES_AT_ONCE = 4_000_000
 #: Cosines are compared to 12 places, so equal vectors tie whatever the order of summation.
-_PLACES = 12
+PLACES = 12
 
 
 @dataclass
@@ -54,21 +55,24 @@ def in_blocks(queries: DataFrame | QueryBlock, qid: str, step: Callable[[QueryBl
     return out
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
     return m / norms
 
 
-def _matrix(rows: list, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of a block, by id.  Queries without an id or vector, or of another
-    length than the block's first, have no neighbours."""
-    usable = sorted((r[qid], r[qvec]) for r in rows if r[qid] is not None and r[qvec] and None not in r[qvec])
-    usable = [x for x in usable if len(x[1]) == len(usable[0][1])]
-    ids = np.array([i for i, _ in usable], dtype=np.int64)
-    if not usable:
-        return ids, np.zeros((0, 0))
-    return ids, _unit(np.array([v for _, v in usable], dtype=np.float64))
+def _matrices(rows: list, qid: str, qvec: str) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ids of a block by (vector length, id), and per length the place of its first id and the unit
+    vectors.  Queries without an id or vector, or with gaps in it, have no neighbours."""
+    usable = sorted((len(r[qvec]), r[qid], r[qvec]) for r in rows
+                    if r[qid] is not None and r[qvec] and np.isfinite(np.array(r[qvec], dtype=np.float64)).all())
+    ids = np.array([i for _, i, _ in usable], dtype=np.int64)
+    groups, at = [], 0
+    for _, of_length in groupby(usable, key=lambda x: x[0]):
+        m = unit_rows(np.array([v for _, _, v in of_length], dtype=np.float64))
+        groups.append((at, m))
+        at += len(m)
+    return ids, groups
 
 
 def _vectors(batch: pa.RecordBatch, vec_col: str, id_col: str, dim: int) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -81,17 +85,19 @@ def _vectors(batch: pa.RecordBatch, vec_col: str, id_col: str, dim: int) -> tupl
     whole = np.isfinite(m).all(axis=1)
     if not whole.all():
         batch, m = batch.filter(pa.array(whole)), m[whole]
-    return batch, _unit(m)
+    return batch, unit_rows(m)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], vec_col: str, id_col: str, queries: np.ndarray):
-    """(rows, rows x queries cosines), a bounded number of scores at a time."""
-    step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
+def _slices(batches: Iterator[pa.RecordBatch], vec_col: str, id_col: str, groups: list[tuple[int, np.ndarray]]):
+    """(place of the first query, rows, rows x queries cosines) per vector length, a bounded number
+    of scores at a time."""
     for b in batches:
-        for at in range(0, len(b), step):
-            part, m = _vectors(b.slice(at, step), vec_col, id_col, queries.shape[1])
-            if len(part):
-                yield part, np.round(m @ queries.T, _PLACES)
+        for first, queries in groups:
+            step = max(1, _SCORES_AT_ONCE // max(1, len(queries)))
+            for at in range(0, len(b), step):
+                part, m = _vectors(b.slice(at, step), vec_col, id_col, queries.shape[1])
+                if len(part):
+                    yield first, part, np.round(m @ queries.T, PLACES)
 
 
 def _cut(query: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -117,14 +123,12 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, id_c
     arrow = to_arrow_schema(schema)
 
     def search(block: QueryBlock) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_matrix(block.rows, qid, qvec))
+        shared = spark.sparkContext.broadcast(_matrices(block.rows, qid, qvec))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            if not len(q_ids):
-                return
+            q_ids, groups = shared.value
             query = ids = sims = rest = None
-            for rows, scores in _slices(batches, vec_col, id_col, q):
+            for first, rows, scores in _slices(batches, vec_col, id_col, groups):
                 if len(rows) > k:      # all that reach the k-th best, ties included
                     kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
                     at, which = np.nonzero(scores >= kth)
@@ -132,7 +136,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, id_c
                     at, which = (x.ravel() for x in np.indices(scores.shape))
                 row_ids = rows.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
                 found = rows.select(list(carry)).take(pa.array(at)) if carry else None
-                new = which, row_ids[at], scores[at, which]
+                new = which + first, row_ids[at], scores[at, which]
                 query, ids, sims = new if query is None else (
                     np.concatenate(x) for x in zip((query, ids, sims), new))
                 if carry:
@@ -165,16 +169,15 @@ def best_match(items: DataFrame, patterns: DataFrame, threshold: float, id_col:
     arrow, blocks = to_arrow_schema(schema), []
 
     def match(block: QueryBlock) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_matrix(block.rows, pid, pvec))
+        shared = spark.sparkContext.broadcast(_matrices(block.rows, pid, pvec))
         blocks.append(block)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p_ids, p = shared.value
-            if not len(p_ids):
-                return
-            for rows, scores in _slices(batches, vec_col, id_col, p):
+            p_ids, groups = shared.value
+            for first, rows, scores in _slices(batches, vec_col, id_col, groups):
                 best = np.argmax(scores, axis=1)                 # by id: ties take the lower
                 score = scores[np.arange(len(rows)), best]
+                best = best + first
                 keep = score > threshold
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(id_col).cast(pa.int64()).filter(pa.array(keep)), pa.array(p_ids[best[keep]]),
@@ -188,43 +191,3 @@ def best_match(items: DataFrame, patterns: DataFrame, threshold: float, id_col:
     top = F.max(F.struct("similarity", (-F.col("pattern_id")).alias("p"))).alias("m")
     return found.groupBy(id_col).agg(top).select(id_col, (-F.col("m.p")).alias("pattern_id"),
                                                  F.col("m.similarity").alias("similarity"))
-
-
-def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, bucket_length: float = 1.0, num_tables: int = 8,
-                   seed: int = 7, id_col: str = "id", vec_col: str = "embedding", qid: str = "qid",
-                   qvec: str = "query_vec") -> DataFrame:
-    """Approximate top-k (re-aim of the HNSW index): MLlib random-projection LSH joins queries to
-    corpus rows sharing a hash bucket (an equi-join, no all-pairs scan), rescored exactly.
-    Queries whose buckets hold fewer than ``k`` rows get the exact search, so every query has its
-    k neighbours.  Bucket widths are for vectors of about length one."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    usable = corpus.filter(F.col(vec_col).isNotNull())
-
-    def search(block: QueryBlock) -> DataFrame:
-        def side(df: DataFrame, key: str, vec: str) -> DataFrame:
-            square = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-            return df.select(F.col(key).alias("_id"), array_to_vector(vec).alias("_v"), square.alias("_n"))
-
-        a = side(usable, id_col, vec_col)
-        b = side(block.frame.filter(F.col(qvec).isNotNull()), qid, qvec)
-        model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                            numHashTables=num_tables, seed=seed).fit(a)
-        # no neighbour is cut by distance
-        pairs = model.approxSimilarityJoin(b, a, float("inf"), distCol="distance")
-        # the cosine follows from the distance and both lengths
-        n_q, n_c = F.col("datasetA._n"), F.col("datasetB._n")
-        cosine = (n_q + n_c - F.col("distance") * F.col("distance")) / (2 * F.sqrt(n_q * n_c))
-        scored = pairs.select(F.col("datasetA._id").alias(qid), F.col("datasetB._id").alias(id_col),
-                              F.round(cosine, _PLACES).alias("similarity"))
-        near = top_per_group(scored, [qid], [F.col("similarity").desc(), F.col(id_col).asc()], k, "rank", [id_col])
-        full = {r[qid] for r in near.groupBy(qid).count().filter(F.col("count") >= k).collect()}
-        short = [r for r in block.rows if r[qid] not in full]
-        if not short:
-            return near
-        rest = QueryBlock(short, block.frame.filter(~F.col(qid).isin(sorted(full))) if full else block.frame)
-        exact = cosine_topk(usable, rest, k, id_col, vec_col, qid, qvec)
-        return near.filter(F.col(qid).isin(sorted(full))).unionByName(exact) if full else exact
-
-    return in_blocks(queries, qid, search)

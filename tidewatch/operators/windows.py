@@ -117,7 +117,8 @@ def rate_in_range(df: DataFrame, key: str, time_col: str, seconds: int,
     width = int(seconds) * 1_000_000
     based = df.select("*", F.floor(epoch / width).alias("_b"), epoch.alias("_us"))
     own = based.select("*", F.lit(True).alias("_own"))
-    ctx = based.select(*[c for c in based.columns if c != "_b"], (F.col("_b") + 1).alias("_b"),
+    # rows without a time are each other's peers and nobody's context
+    ctx = based.filter(F.col("_b").isNotNull()).select(*[c for c in based.columns if c != "_b"], (F.col("_b") + 1).alias("_b"),
                        F.lit(False).alias("_own"))
     both = own.unionByName(ctx)
     w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-width, 0)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as TX
+from tidewatch.operators import ann as ANN
 from tidewatch.operators import search as S
+from tidewatch.operators import text_index as TI
 from tidewatch.operators import vector as VEC
 from tidewatch.session import scratch_path
 from tidewatch.sources.tables import load, TABLES
@@ -72,6 +75,23 @@ def _q(spark, sf_dir):
     return V.v_queries(spark, sf_dir)
 
 
+def text_index(spark, sf_dir):
+    """The stored postings of the knowledge view.  They are built at first use and kept below the shared
+    folder under a name made of the table's files, their sizes and times, so a changed table gets a
+    new index; a last written mark tells a whole index from an interrupted build."""
+    m = F.col("_metadata")
+    files = load(spark, sf_dir, "documents").select(F.xxhash64(
+        m["file_path"], m["file_size"], m["file_modification_time"].cast("string")).cast("decimal(38,0)").alias("h"))
+    state = files.agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    path = scratch_path(spark, f"kb/text-index-{state['n']}-{abs(state['h'] or 0)}")
+    try:
+        spark.read.schema("id bigint").parquet(f"{path}/whole")
+    except AnalysisException:
+        TI.build(_kb(spark, sf_dir, vectors=False), path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/whole")
+    return TI.TextIndex(spark, path)
+
+
 @register("kb_semantic_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
                                     "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
 def kb_semantic_search(spark, sf_dir):
@@ -82,7 +102,7 @@ def kb_semantic_search(spark, sf_dir):
 @register("kb_fts_search", sql("SELECT qid, id, score, rank FROM fts", "v_knowledge", "v_queries",
                                ctes=(("fts", fts_sql(5)),)))
 def kb_fts_search(spark, sf_dir):
-    return S.fts_topk(_kb(spark, sf_dir, vectors=False), _q(spark, sf_dir), 5)
+    return text_index(spark, sf_dir).search(_q(spark, sf_dir), 5)
 
 
 @register("kb_inverted_index", sql(f"""
@@ -90,15 +110,14 @@ SELECT token, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS coll_freq FROM (
   SELECT token, id, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('content')}) AS token FROM v_knowledge)
   GROUP BY ALL) GROUP BY token""", "v_knowledge"))
 def kb_inverted_index(spark, sf_dir):
-    p = S.postings(_kb(spark, sf_dir, vectors=False))
-    return p.groupBy("token").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
+    return text_index(spark, sf_dir).token_stats().select("token", "doc_freq", "coll_freq")
 
 
 @register("join_fuse_full", sql("""
 SELECT qid, id, vector_rank, fts_rank, round(similarity, 6) AS similarity FROM fused""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(5)[:3]))
 def join_fuse_full(spark, sf_dir):
-    fused = S.fused_lists(_kb(spark, sf_dir), _q(spark, sf_dir), S.candidates(5))
+    fused = S.fused_lists(_kb(spark, sf_dir), _q(spark, sf_dir), S.candidates(5), index=text_index(spark, sf_dir))
     return fused.select("qid", "id", "vector_rank", "fts_rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -106,7 +125,7 @@ def join_fuse_full(spark, sf_dir):
 SELECT qid, id, round(rrf_score, 10) AS rrf_score, round(similarity, 6) AS similarity, rank FROM hybrid""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(5)))
 def kb_hybrid_rrf(spark, sf_dir):
-    h = S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    h = S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 5, index=text_index(spark, sf_dir))
     return h.select("qid", "id", F.round("rrf_score", 10).alias("rrf_score"),
                     F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -124,7 +143,7 @@ SELECT qid, id, round(relevance_score, 6) AS relevance_score, rerank FROM (
     "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
 def kb_rerank(spark, sf_dir):
     kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
-    cands = S.hybrid(kb, q, 20)
+    cands = S.hybrid(kb, q, 20, index=text_index(spark, sf_dir))
     r = S.rerank(cands, q, 5)
     return r.select("qid", "id", F.round("relevance_score", 6).alias("relevance_score"), "rerank")
 
@@ -142,7 +161,7 @@ SELECT qid, id, round(relevance_score, 4) AS relevance_score, rerank FROM (
   JOIN v_queries q ON q.qid = h.qid) WHERE rerank < 5""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
 def kb_search_pipeline(spark, sf_dir):
-    r = S.search_pipeline(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    r = S.search_pipeline(_kb(spark, sf_dir), _q(spark, sf_dir), 5, index=text_index(spark, sf_dir))
     return r.select("qid", "id", F.round("relevance_score", 4).alias("relevance_score"), "rerank")
 
 
@@ -150,7 +169,7 @@ def kb_search_pipeline(spark, sf_dir):
 SELECT qid, id, round(similarity, 6) AS similarity, round(rrf_score, 10) AS rrf_score FROM hybrid
 WHERE coalesce(similarity, 0.0) > 0.25 OR rrf_score > 0.015""", "v_knowledge", "v_queries", ctes=hybrid_ctes(3)))
 def kb_relevance_gate(spark, sf_dir):
-    h = S.relevance_gate(S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 3))
+    h = S.relevance_gate(S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 3, index=text_index(spark, sf_dir)))
     return h.select("qid", "id", F.round("similarity", 6).alias("similarity"),
                     F.round("rrf_score", 10).alias("rrf_score"))
 
@@ -279,11 +298,13 @@ def kb_ingest(spark, sf_dir):
                                            F.size("embedding").alias("dimensions"), "created_at")
 
 
-# on these tables the buckets hold every true neighbour; tests measure the recall with narrow ones too
 @register("kb_ann_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
                                "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
 def kb_ann_search(spark, sf_dir):
-    r = VEC.lsh_candidates(_kb(spark, sf_dir), _q(spark, sf_dir), 5)
+    """Build the index, open it again and search it: exact, as every cut is by a proven bound."""
+    path = scratch_path(spark, f"kb/ann-{uuid.uuid4().hex}")
+    ANN.build(_kb(spark, sf_dir).select("id", "embedding"), path)
+    r = ANN.Index(spark, path).search(_q(spark, sf_dir), 5)
     return r.select("qid", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -77,6 +77,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialized(df):
+    """Compute ``df`` once and keep it in the shared checkpoint folder: later reads neither
+    recompute it nor depend on one executor's disk."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)

@@ -9,6 +9,7 @@ a key's silence is noticed without a next event.
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
@@ -32,6 +33,12 @@ def _micros(ts: datetime) -> int:
     return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
 
 
+def timeless(event: dict, names: list[str], time_col: str) -> dict:
+    """Dead letter of an event without a time: it has no place in the order."""
+    return {**dict.fromkeys(names), "error": f"no {time_col}", "error_type": "MissingTime",
+            "event": json.dumps(event, default=str)}
+
+
 class OrderedEvents(StatefulProcessor):
     def __init__(self, fn: EventFn, schema: T.StructType, names: list[str], time_col: str, order_cols: list[str],
                  capture_errors: bool, silence_s: float | None, on_silence: Callable | None):
@@ -50,16 +57,22 @@ class OrderedEvents(StatefulProcessor):
         self.handle.registerTimer(-(-micros // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        earliest, dead = None, []
+        at = self.columns.index(self.time_col)
         for pdf in rows:
             plain = pdf[self.columns].astype(object)
             values = [tuple(r) for r in plain.where(plain.notna(), None).itertuples(index=False, name=None)]
-            self.waiting.appendList(values)
-            at = self.columns.index(self.time_col)
-            first = min(_micros(v[at]) for v in values)
-            earliest = first if earliest is None else min(earliest, first)
-        self._wake_at(earliest)
-        return iter(())
+            timed = [v for v in values if v[at] is not None]
+            if self.capture_errors:
+                dead += [timeless(dict(zip(self.columns, v)), self.names, self.time_col) for v in values if v[at] is None]
+            if timed:
+                self.waiting.appendList(timed)
+                first = min(_micros(v[at]) for v in timed)
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake_at(earliest)
+        if dead:
+            yield pd.DataFrame(dead, columns=self.names, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -101,7 +114,8 @@ def process_in_order(df: DataFrame, key_cols: list[str], time_col: str, order_co
     """``operators.state.process_events`` on a stream, rows in event-time order.
 
     Rows wait until the watermark (``delay`` behind the newest event) has passed them; rows that
-    come later still are dropped.  ``on_silence(last event)`` gives alerts once a key has had no event
+    come later still are dropped.  Rows without a time never fall due: with ``capture_errors`` they
+    become dead letters (``MissingTime``), else they are left out.  ``on_silence(last event)`` gives alerts once a key has had no event
     for more than ``silence_s`` seconds.  ``time_col`` must be a TIMESTAMP.
     """
     ship_package(df.sparkSession)
