@@ -29,10 +29,18 @@ _SCANNED_PARTS = 100          # pieces of more characters use the heap
 _BATCH_BYTES = 8_000_000
 _NO_MERGE = 1 << 40
 
-#: Words of visible ASCII: no normal form, no byte letters to look up.
-_PLAIN = re.compile("[!-~]+")
+#: Words of visible ASCII and the letters of Latin-1: their normal form is their lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The definition's pieces of such a word in lower case.
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level BPE writes for a byte: itself where it is visible in Latin-1,
+    else the next free one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    free = iter(range(256, 512))
+    return {b: chr(b) if b in seen else chr(next(free)) for b in range(256)}
 
 
 class Merges:
@@ -40,8 +48,10 @@ class Merges:
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         self.vocab, self.suffix = vocab, suffix
-        pairs = (m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges)
-        self.ranks = {(a, b): n for n, (a, b) in enumerate(pairs)}
+        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
+        # by the joined parts and the place of the boundary between them
+        self.ranks = {(a + b, len(a)): n for n, (a, b) in enumerate(pairs)}
+        self.letters = {a + b: n for n, (a, b) in enumerate(pairs) if len(a) == len(b) == 1}
 
     def parts(self, piece: str) -> list[str]:
         """Merged parts of a piece of byte letters; the last one carries the word end."""
@@ -56,23 +66,22 @@ class Merges:
         return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _by_scan(self, text: str, bounds: list[int]) -> None:
-        rank = self.ranks.get
-
-        def at(i: int) -> int:
-            a, b, c = bounds[i:i + 3]
-            return rank((text[a:b], text[b:c]), _NO_MERGE)
-
-        ranks = [at(i) for i in range(len(bounds) - 2)]
+        rank, letters, last = self.ranks.get, self.letters.get, len(bounds) - 3
+        ranks = [letters(text[i:i + 2], _NO_MERGE) for i in range(last)]
+        if last >= 0:
+            ranks.append(rank((text[last:], 1), _NO_MERGE))
         while ranks:
             least = min(ranks)
             if least == _NO_MERGE:
                 break
             i = ranks.index(least)          # ties: the leftmost
             del bounds[i + 1], ranks[i]
+            start, mid = bounds[i], bounds[i + 1]
             if i < len(ranks):
-                ranks[i] = at(i)
+                ranks[i] = rank((text[start:bounds[i + 2]], mid - start), _NO_MERGE)
             if i:
-                ranks[i - 1] = at(i - 1)
+                before = bounds[i - 1]
+                ranks[i - 1] = rank((text[before:mid], start - before), _NO_MERGE)
 
     def _by_heap(self, text: str, bounds: list[int]) -> list[int]:
         n, rank = len(bounds) - 1, self.ranks.get
@@ -84,7 +93,7 @@ class Merges:
 
         def refresh(i: int) -> None:
             j = after[i]
-            ranks[i] = rank((text[bounds[i]:bounds[j]], text[bounds[j]:end(j)]), _NO_MERGE) if j < n else _NO_MERGE
+            ranks[i] = rank((text[bounds[i]:end(j)], bounds[j] - bounds[i]), _NO_MERGE) if j < n else _NO_MERGE
             if ranks[i] != _NO_MERGE:
                 heapq.heappush(heap, (ranks[i], i))
 
@@ -129,6 +138,7 @@ class Codec(dict):
         self.marks = sorted({c[:2].encode() for c in self.special})
         self.tokens = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.known: dict[str, bytes] = {}      # ids by piece
+        self.letters = byte_letters()
 
     def _of_piece(self, piece: str) -> bytes:
         found = self.known.get(piece)
@@ -144,7 +154,10 @@ class Codec(dict):
     def _of_text(self, text: str) -> bytes:
         """Ids of a word or of the part of one between special tokens."""
         if _PLAIN.fullmatch(text):
-            return b"".join(map(self._of_piece, _PLAIN_PIECES.findall(text.lower())))
+            pieces = _PLAIN_PIECES.findall(text.lower())
+            if not text.isascii():
+                pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+            return self._of_piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._of_piece, pieces))
         return b"".join([self._of_piece(p) for p, _ in self.pieces(self.normalize(text))])
 
     def __missing__(self, word: bytes) -> bytes:
