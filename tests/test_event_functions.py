@@ -66,7 +66,7 @@ def test_errors_fail_the_job_unless_captured(spark):
 
 def test_stream(spark):
     src, out, ck = (R.fresh_dir(spark, k) for k in ("ev", "out", "ck"))
-    df = spark.createDataFrame([r for r in rows() if r[0] is not None], SCHEMA)
+    df = spark.createDataFrame(rows(), SCHEMA)
     for lo in (0, 15, 30):
         df.filter((F.col("id") >= lo) & (F.col("id") < lo + 15)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
@@ -74,11 +74,37 @@ def test_stream(spark):
                                                     capture_errors=True), out, ck)
     got = spark.read.parquet(out).collect()
     alerts, dead = expected()
-    assert {(r.key, r.id) for r in got if r.error_type is None} == {(k, i) for k, i, _ in alerts if k is not None}
-    assert {json.loads(r.event)["id"] for r in got if r.error_type} == {i for i in dead if i % 3}
+    assert {(r.key, r.id) for r in got if r.error_type is None} == {(k, i) for k, i, _ in alerts}
+    assert {json.loads(r.event)["id"] for r in got if r.error_type} == dead
     assert sum(p.numInputRows for p in R.progress_of(q)) == df.count()
 
 
+def test_ordered_stream_takes_null_keys_and_times(spark):
+    """Rows without a time become dead letters, or are left out where errors are not captured."""
+    from tidewatch.streaming.ordered import process_in_order
+    schema = SCHEMA.replace("timestamp_ntz", "timestamp")
+    given = [(k, None if i in (7, 8) else t, i, v) for k, t, i, v in rows() if v != 13]
+    src = R.fresh_dir(spark, "ev")
+    for lo in (0, 15, 30):
+        spark.createDataFrame([r for r in given if lo <= r[2] < lo + 15], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(9, T0 + timedelta(days=1), 999, 1)], schema).coalesce(1).write.mode("append").parquet(src)
+    timed = [r for r in given if r[1] is not None]
+    for capture in (True, False):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        out = R.fresh_dir(spark, "out")
+        R.run_available_now(process_in_order(stream, ["key"], "ts", ["ts", "id"], rule(), OUT, "60 seconds", capture_errors=capture),
+                            out, R.fresh_dir(spark, "ck"))
+        got = spark.read.parquet(out).collect()
+        want, n = set(), {}
+        for k, _, i, _ in timed:
+            n[k] = n.get(k, 0) + 1
+            want.add((k, i, n[k]))
+        assert {(r.key, r.id, r.n) for r in got if not capture or r.error_type is None} == want
+        if capture:
+            letters = [r for r in got if r.error_type is not None]
+            assert {json.loads(r.event)["id"] for r in letters} == {7, 8} and {r.error_type for r in letters} == {"MissingTime"}
+
+
 def test_producer_records_decode(spark):
     """One literal message per producer: names as device ids, all fields."""
     from tidewatch.sources import events as E

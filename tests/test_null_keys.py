@@ -40,6 +40,31 @@ def test_scans_equal_sql_windows(events, keys):
     same(running_sum(events, keys, ["ts", "id"], F.coalesce("v", F.lit(0)), "s"), events.withColumn("s", total))
 
 
+def test_rates_equal_the_range_window(events):
+    us = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    want = events.withColumn("_s", us).withColumn("rate", F.count(F.lit(1)).over(
+        Window.partitionBy("k").orderBy("_s").rangeBetween(-60, 0))).drop("_s")
+    same(W.rate_in_range(events, "k", "ts", 60), want)
+    assert events.where("ts is null").count() > 10
+
+
+def test_upserts_merge_null_keys(spark):
+    from tidewatch.operators.state import accumulate_upsert
+    schema = "ip string, port long, n long"
+    old = spark.createDataFrame([(None, 1, 3), ("a", None, 1), (None, None, 5), ("b", 2, 7)], schema)
+    new = spark.createDataFrame([(None, 1, 2), (None, None, 1), ("c", None, 4)], schema)
+    got = accumulate_upsert(old, new, ["ip", "port"], add=["n"])
+    assert Counter(map(tuple, got.collect())) == Counter([(None, 1, 5), ("a", None, 1), (None, None, 6), ("b", 2, 7), ("c", None, 4)])
+
+
+def test_polls_without_load_figures(spark):
+    from tidewatch.operators.state import poll_changes
+    fn, state = poll_changes(), {}
+    event = {"device_id": 1, "event_id": 1, "status": "online", "cpu_percent": None, "memory_percent": 90.0, "last_config_change": None}
+    assert fn(event, state) == [] and fn({**event, "cpu_percent": 90.0, "memory_percent": None}, state) == []
+    assert [a["reason"] for a in fn({**event, "cpu_percent": 90.0}, state)] == ["cpu_spike"]
+
+
 def test_sessions_keep_null_keys(events):
     out = W.sessionize(events, ["k"], "ts", "20 seconds", ["ts", "id"])
     w = Window.partitionBy("k").orderBy("ts", "id")

@@ -12,7 +12,6 @@ from tidewatch.plans.q_windows import flow_summary
 from tidewatch.sources import events as E
 from tidewatch.streaming import processors as P
 from tidewatch.streaming import runner as R
-from tidewatch.streaming import upsert as U
 
 from conftest import SF_SMALL
 
@@ -97,21 +96,24 @@ def test_dedup_within_watermark_stream(spark):
     assert spark.read.parquet(out).count() == n_good
 
 
-def test_snapshot_upsert_is_idempotent(spark):
-    schema = "ip string, score long"
-    base = R.fresh_dir(spark, "snap")
-
-    def merge(prev, batch):
-        agg = batch.groupBy("ip").agg(F.count("*").alias("score"))
-        return ST.accumulate_upsert(prev, agg, ["ip"], add=["score"])
-    fn = U.snapshot_upsert(base, merge, schema)
-    b0 = spark.createDataFrame([("a",), ("a",), ("b",)], "ip string")
-    b1 = spark.createDataFrame([("a",), ("c",)], "ip string")
+def test_table_changes_are_idempotent(spark):
+    """A replayed micro-batch replaces its own changes; the table is the fold of all."""
+    from tidewatch.operators import effects as EF
+    from tidewatch.streaming import effects as SE
+    spec = EF.KnowledgeTable("scores", {"ip": "string"}, {"score": ("bigint", "add")})
+    base = R.fresh_dir(spark, "changes")
+    fn = SE.changes_sink(base, spec, lambda batch: batch.select("ip", F.lit(1).alias("score")))
+    b0 = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "ip string")
+    b1 = spark.createDataFrame([("a",), ("c",), (None,)], "ip string")
     fn(b0, 0)
     fn(b1, 1)
     fn(b1, 1)                                          # replayed batch
-    snap = U.latest_snapshot(spark, base, schema)
-    assert sorted(tuple(r) for r in snap.collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    want = [("a", 3), ("b", 1), ("c", 1), (None, 2)]
+    assert sorted(map(tuple, SE.table_now(spark, base, spec).collect()), key=str) == sorted(want, key=str)
+    small = R.fresh_dir(spark, "compact")
+    SE.compact(spark, base, small, spec)
+    assert spark.read.parquet(small).count() == 4
+    assert sorted(map(tuple, SE.table_now(spark, small, spec).collect()), key=str) == sorted(want, key=str)
 
 
 def test_interval_join_stream_equals_batch(spark):

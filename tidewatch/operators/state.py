@@ -95,12 +95,12 @@ def process_events(df: DataFrame, key_cols: list[str], order_cols: list[str], fn
                         init(state)
                 out.extend(apply_event(fn, rec, state, names, capture_errors))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=names, dtype=object)
 
     return ordered.mapInPandas(run, schema)
 
 
-def _seconds(ts) -> float:
+def seconds_of(ts) -> float:
     return pd.Timestamp(ts).value / 1e9
 
 
@@ -109,7 +109,7 @@ def rate_with_reset(window_s: float = 60.0, threshold: int = 100, key: str = "sr
     times of the last ``window_s`` seconds (strictly younger), alert when
     more than ``threshold`` remain and then clear the list."""
     def fn(event: dict, state: dict) -> list:
-        now = _seconds(event["event_time"])
+        now = seconds_of(event["event_time"])
         times = state.setdefault("times", deque())
         times.append(now)
         while times and not (now - times[0] < window_s):
@@ -229,10 +229,10 @@ def failures_then_success_rule(min_failures: int, within_s: float, failure: str
         if event["event_type"] == failure:
             state["run"] = run + [event["event_id"]] if run else [event["event_id"]]
             if not run:
-                state["start"] = _seconds(event["event_time"])
+                state["start"] = seconds_of(event["event_time"])
             return out
         if run and len(run) >= min_failures and event["event_type"] == success \
-                and _seconds(event["event_time"]) <= state["start"] + within_s:
+                and seconds_of(event["event_time"]) <= state["start"] + within_s:
             out = [{"source_ip": event["source_ip"], "run_start_id": run[0], "failures": len(run),
                     "success_id": event["event_id"]}]
         state["run"] = None

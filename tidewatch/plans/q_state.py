@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import effects as EF
+from tidewatch.operators import mergeable as M
 from tidewatch.operators import state as ST
 from tidewatch.operators import windows as W
 from tidewatch.sources import events as E
@@ -19,10 +21,11 @@ SELECT 'new_destination' AS alert_type, src_ip, dst_ip, event_id, event_time FRO
   SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY event_time, event_id) AS rn FROM v_flows)
 WHERE rn = 1""", "v_flows"))
 def udf_process_event(spark, sf_dir):
-    """A user ``process_event`` (first contact of a source with a destination) run per key in event order."""
+    """A user ``process_event`` (first contact of a source with a destination) in event order per key; its
+    mergeable form, so a hot source is not one task."""
     fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip", "dst_ip")
-    return ST.process_events(fl, ["src_ip"], ["event_time", "event_id"], ST.first_contact(),
-                             ST.FIRST_CONTACT_SCHEMA)
+    return M.process_mergeable(fl, ["src_ip"], ["event_time", "event_id"], M.mergeable_first_contact(),
+                               ST.FIRST_CONTACT_SCHEMA)
 
 
 # One recursion step per event of a key, all keys at once: the kept times of the window, emptied by an alert.
@@ -43,10 +46,21 @@ FROM steps WHERE n > 5""", "v_flows", ctes=(("numbered", """
 @register("win_rate_reset", RATE_RESET_SQL)
 def win_rate_reset(spark, sf_dir, window_s=6 * 3600, threshold=5):
     fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip")
-    # the rule's list empties after a quiet window, so keys split into independent segments
-    return ST.process_events(fl, ["src_ip"], ["event_time", "event_id"],
-                             ST.rate_with_reset(window_s, threshold), ST.RATE_RESET_SCHEMA,
-                             independent_after_s=window_s)
+    return M.process_mergeable(fl, ["src_ip"], ["event_time", "event_id"],
+                               M.mergeable_rate_with_reset(window_s, threshold), ST.RATE_RESET_SCHEMA)
+
+
+@register("udf_knowledge_writes", RATE_RESET_SQL.replace(
+    "SELECT 'high_rate' AS alert_type, 'high' AS severity, src_ip, CAST(n AS BIGINT) AS count, event_time, event_id",
+    "SELECT src_ip AS ip, CAST(count(*) AS DOUBLE) AS score, CAST(max_by(n, i) AS BIGINT) AS event_count")
+    + " GROUP BY src_ip")
+def udf_knowledge_writes(spark, sf_dir, window_s=6 * 3600, threshold=5):
+    """The reference's example as an event function with a knowledge argument: at each alert of the rate rule
+    the source's score goes up by one and its event count is replaced; the result is that table."""
+    fl = V.v_flows(spark, sf_dir).select("event_id", "event_time", "src_ip")
+    effects = EF.process_with_knowledge(fl, ["src_ip"], ["event_time", "event_id"], EF.scored_rate(window_s, threshold),
+                                        ST.RATE_RESET_SCHEMA, [EF.IP_SCORES], independent_after_s=window_s)
+    return EF.table_rows(effects.changes("ip_scores"), EF.IP_SCORES)
 
 
 @register("state_kv_upsert", sql("""

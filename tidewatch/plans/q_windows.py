@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import windows as W
-from tidewatch.operators import sequences
+from tidewatch.operators import patterns as P
 from tidewatch.plans import views as V
 from tidewatch.plans.catalog import register
 from tidewatch.plans.oracle_views import sql
@@ -110,9 +110,46 @@ HAVING count(*) >= 3 AND arg_max(next_type, rn_all) = 'auth_success'
    AND arg_max(next_time, rn_all) <= min(event_time) + INTERVAL 1 DAY"""
 
 
+FAILURES_THEN_SUCCESS = P.Pattern((P.Step("failure", "event_type = 'auth_failure'", 3, None),
+                                   P.Step("success", "event_type = 'auth_success'")), within_s=86_400)
+
+
 @register("win_match_sequence", sql(SEQ_SQL, "v_syslog"))
 def win_match_sequence(spark, sf_dir):
     sl = V.v_syslog(spark, sf_dir).select("user_id", "event_id", "event_time", "event_type")
-    return sequences.failures_then_success(
-        sl, ["user_id"], ["event_time", "event_id"], "event_time",
-        F.col("event_type") == "auth_failure", "auth_success", min_failures=3, within="1 day")
+    found = P.match_pattern(sl, FAILURES_THEN_SUCCESS, ["user_id"], ["event_time", "event_id"])
+    return found.select("user_id", F.col("failure_first").alias("run_start"), F.col("failure_last").alias("run_end"),
+                        F.col("failure_rows").alias("failures"), F.lit("auth_success").alias("next_type"),
+                        F.col("success_first").alias("success_time"))
+
+
+# the same patterns as regular expressions over one letter an event; the letters exclude each other, so greedy
+# matching needs no way back
+PATTERNS = {
+    "probe": (P.Pattern((P.Step("allowed", "event_type = 'firewall_allow'", 2, None),
+                         P.Step("denied", "event_type IN ('firewall_deny', 'auth_failure')"))), "A{2,}[DF]"),
+    "session": (P.Pattern((P.Step("login", "event_type = 'auth_success'"),
+                           P.Step("traffic", "event_type = 'firewall_allow'", 0, None),
+                           P.Step("leave", "event_type = 'vpn_connect'"))), "SA*V"),
+    "triple_failure": (P.Pattern((P.Step("failure", "event_type = 'auth_failure'", 3, 3),)), "F{3}"),
+}
+
+
+@register("win_match_patterns", sql(" UNION ALL ".join(f"""
+SELECT user_id, '{name}' AS pattern, len(m) AS matches, CAST(list_sum(list_transform(m, lambda x: length(x))) AS BIGINT) AS events
+FROM (SELECT user_id, regexp_extract_all(line, '{regex}') AS m FROM lines) WHERE len(m) > 0"""
+    for name, (_, regex) in PATTERNS.items()), "v_syslog", ctes=(("lines", """
+SELECT user_id, string_agg(CASE event_type WHEN 'auth_failure' THEN 'F' WHEN 'auth_success' THEN 'S' WHEN 'firewall_allow'
+       THEN 'A' WHEN 'firewall_deny' THEN 'D' ELSE 'V' END, '' ORDER BY event_time, event_id) AS line
+FROM v_syslog GROUP BY user_id"""),)))
+def win_match_patterns(spark, sf_dir):
+    """Three patterns given as data: matches and matched events a user."""
+    sl = V.v_syslog(spark, sf_dir).select("user_id", "event_id", "event_time", "event_type")
+    out = None
+    for name, (pattern, _) in PATTERNS.items():
+        found = P.match_pattern(sl, pattern, ["user_id"], ["event_time", "event_id"])
+        rows = sum((F.col(f"{s.name}_rows") for s in pattern.steps), F.lit(0))
+        one = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("matches"), F.sum(rows).alias("events")) \
+            .select("user_id", F.lit(name).alias("pattern"), "matches", F.col("events").cast("bigint").alias("events"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -41,12 +41,13 @@ def timeless(event: dict, names: list[str], time_col: str) -> dict:
 
 class OrderedEvents(StatefulProcessor):
     def __init__(self, fn: EventFn, schema: T.StructType, names: list[str], time_col: str, order_cols: list[str],
-                 capture_errors: bool, silence_s: float | None, on_silence: Callable | None):
+                 capture_errors: bool, silence_s: float | None, on_silence: Callable | None,
+                 start: Callable[[dict], None] | None = None):
         self.fn, self.schema, self.names = fn, schema, names
         self.columns = [f.name for f in schema.fields]
         self.time_col, self.order_cols, self.capture_errors = time_col, order_cols, capture_errors
         self.silence = None if silence_s is None else int(silence_s * 1_000_000)
-        self.on_silence = on_silence
+        self.on_silence, self.start = on_silence, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -79,7 +80,12 @@ class OrderedEvents(StatefulProcessor):
         events = [dict(zip(self.columns, r)) for r in self.waiting.get()]
         due = [e for e in events if _micros(e[self.time_col]) <= passed]
         later = [e for e in events if _micros(e[self.time_col]) > passed]
-        state, last, told = pickle.loads(self.user.get()[0]) if self.user.exists() else ({}, None, False)
+        if self.user.exists():
+            state, last, told = pickle.loads(self.user.get()[0])
+        else:
+            state, last, told = {}, None, False
+            if self.start:
+                self.start(state)
         out = []
         none_first = lambda e: tuple((e[c] is not None, e[c]) for c in self.order_cols)
         for e in sorted(due, key=none_first):
@@ -110,7 +116,8 @@ class OrderedEvents(StatefulProcessor):
 
 def process_in_order(df: DataFrame, key_cols: list[str], time_col: str, order_cols: list[str], fn: EventFn,
                      output_schema: T.StructType | str, delay: str, capture_errors: bool = False,
-                     silence_s: float | None = None, on_silence: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+                     silence_s: float | None = None, on_silence: Callable[[dict], list[dict]] | None = None,
+                     init: Callable[[dict], None] | None = None) -> DataFrame:
     """``operators.state.process_events`` on a stream, rows in event-time order.
 
     Rows wait until the watermark (``delay`` behind the newest event) has passed them; rows that
@@ -123,7 +130,7 @@ def process_in_order(df: DataFrame, key_cols: list[str], time_col: str, order_co
     if capture_errors:
         schema = with_error_fields(schema)
     processor = OrderedEvents(fn, df.schema, [f.name for f in schema.fields], time_col, order_cols, capture_errors,
-                              silence_s, on_silence)
+                              silence_s, on_silence, init)
     return (df.withWatermark(time_col, delay).groupBy(*key_cols)
             .transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append",
                                         timeMode="EventTime"))
