@@ -113,6 +113,24 @@ def test_article_inside_named_containers():
         assert html_text.main_text(PAGE % f"<article><p>Short one.</p></article>{beside}") == "Short one."
 
 
+def test_names_that_only_mention_readers_or_roles():
+    """Classes that describe an article, and roles around one, cost it nothing; readers' words go."""
+    for body in (f"<article class='post comments-open'>{BODY}</article>", f"<div class='entry no-comments'>{BODY}</div>",
+                 f"<main id='replies-off'>{BODY}</main>", f"<div role='dialog'><main>{BODY}</main></div>",
+                 f"<div id='comments-closed'><div>{BODY}</div></div>", f"<div class='comments'><main>{BODY}</main></div>",
+                 f"<div role='search'><article>{BODY}</article></div>", f"<article class='has-replies post'>{BODY}</article>"):
+        assert html_text.main_text(PAGE % body) == TEXT, body
+    for readers in ("class='comments'", "id=comments", "class='comment-list box'", "id='disqus_thread'", "class='user-comments'",
+                    "class='replies'", "role='complementary'"):
+        beside = f"<section {readers}><article class='comment'><p>{LONG}{LONG}{LONG}{LONG}</p></article></section>"
+        if "role" in readers:
+            beside = f"<div {readers}><p>{LONG}</p></div>"
+        for body in (f"<article>{BODY}</article>", f"<div>{BODY}</div>"):
+            assert html_text.main_text(PAGE % (body + beside)) == TEXT, (readers, body)
+    # a page of nothing else keeps its text
+    assert html_text.main_text(f"<body><div class='comments'>{BODY}</div></body>") == TEXT
+
+
 def test_text_after_the_body_end():
     for page in (f"<html><body><nav>menu</nav></body>{BODY}</html>", f"<html><body><p>x</p></body></html><div>{BODY}</div>",
                  f"<body><div></body><div>{BODY}</div></body></html>"):

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline as P
-from tidewatch.llm import secrets
+from tidewatch.llm import language, secrets
 
 from fixtures import documents, frame, prose
 from test_text_operators import KEYS, brute_base, brute_components, brute_fingerprint
@@ -27,7 +27,14 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / f"{k}"))
         seen.append(name)
         if name == "language_id":
-            now = Counter({r: n for r, n in now.items() if any(c.isalpha() for c in r[1] or "")})
+            kept = Counter({r: n for r, n in now.items() if any(c.isalpha() for c in r[1] or "")})
+            # a missing language is filled with the predicted one, as the operator gives it
+            known = language.learn_prototypes(frame(spark, rows))
+            said = {r.text: r.lang_pred for r in language.identify(frame(spark, rows), known, keep=["text"]).collect()}
+            assert any(r[2] is None for r in kept)
+            now = Counter()
+            for (i, t, lang, s, size), c in kept.items():
+                now[i, t, lang or said[t], s, size] += c
         elif name == "near_dedup":
             component = brute_components([brute_fingerprint(r[1]) for r in now], 2)
             best = {}
@@ -63,6 +70,20 @@ def test_clean_documents_stay(spark):
     assert kept.count() == docs.count()
 
 
+def test_unlabelled_documents_stay(spark):
+    """Without a labelled row, or with rows labelled ``und``, every text with a letter stays."""
+    rows = [(1, "some clean words", None, "s"), (2, "more of them", None, "s"), (3, "12 34", None, "s"), (4, None, None, "s")]
+    for lang in (None, "und"):
+        docs = frame(spark, [(i, t, lang, s) for i, t, _, s in rows]).select(*P.COLUMNS)
+        assert {(r.doc_id, r.lang) for r in P.language_id(spark, docs, "").collect()} == {(1, lang), (2, lang)}
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    frame(spark, []).select(*P.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
 def test_untaught_scripts_are_not_rejected_by_chance(spark):
     """Texts that share no letter with any taught language all stay; letterless ones go."""
     import random

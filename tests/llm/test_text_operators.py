@@ -132,6 +132,39 @@ def test_rules_separate_the_classes(spark):
     assert quality.learn_rules(stats, labels)[0].conditions == rules[0].conditions  # the same every time
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_separating_rule_is_found(spark, sf):
+    """Symbols mark half of the low rows of the tables and no good one: the rules hit them, at both sizes."""
+    base = f"/root/testdata/{sf}"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    out = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    marked = [r for r in labels.collect() if r.quality is not None and r.doc_id in out]
+    low = [out[r.doc_id] for r in marked if r.quality == 0]
+    assert low and all(not r.kept for r in low if r.n_symbols > 0)
+    assert all(out[r.doc_id].kept or out[r.doc_id].base_failed for r in marked if r.quality == 1)
+
+
+def test_a_failed_rule_is_not_the_last(spark):
+    """The condition with the greatest gain hits good rows among those kept for pruning; the next one holds."""
+    from pyspark.sql import functions as F
+    rows, labels = [], []
+    for i in range(600):
+        prune = spark.range(i, i + 1).select(F.pmod(F.xxhash64("id"), F.lit(3)) == 0).first()[0] if i < 60 else None
+        low = i < 60
+        words = 400 if low or prune else 30
+        rows.append((i, i, words, 6 * words, 3 if low and i % 2 else 0, 0, 0, 0, 0, 0))
+        labels.append((i, int(not low)))
+    rows += [(600 + j, 600 + j, 400, 2400, 0, 0, 0, 0, 0, 0) for j in range(200)]
+    folds = {r.id: r.p for r in spark.range(800).select("id", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("p")).collect()}
+    labels += [(i, 1) for i in range(600, 800) if folds[i]]         # good and long, in the pruning third only
+    stats = spark.createDataFrame([r[1:] for r in rows], "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                                  "n_repeat_words long, n_capitals long, n_exclaims long, n_digits long")
+    rules = quality.learn_rules(stats, spark.createDataFrame(labels, "doc_id long, quality long"))
+    assert any(c.feature == "symbol_share" for r in rules for c in r.conditions)
+    hit = {r.doc_id for r in stats.where(quality.verdict(rules) > 0).collect()}
+    assert hit >= {i for i in range(60) if i % 2} and not hit & set(range(60, 600))
+
+
 def test_no_labels_no_rules(spark):
     rows, labels = quality_tables(spark)
     for none in (labels.limit(0), labels.where("quality = 1"), labels.selectExpr("doc_id", "cast(null as long) quality")):
@@ -470,7 +503,7 @@ def test_leaks(spark):
     for at_once in (20_000, 7):
         found = decontaminate.find_leaks(frame(spark, rows), benchmark, items_at_once=at_once).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
-        assert len(found) == len(want) and all(r.score >= 0.6 for r in found)
+        assert len(found) == len(want) and all(0.3 <= r.score <= 1.0001 for r in found)
         clean = decontaminate.drop_leaks(frame(spark, rows), benchmark, items_at_once=at_once)
         assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(
             (i, t) for i, t, *_ in rows if i not in {d for d, _ in want})
@@ -508,6 +541,47 @@ def test_leaks_with_one_word_changed(spark):
     assert decontaminate.drop_leaks(frame(spark, rows), benchmark).count() == len(rows) - len(want)
 
 
+def test_a_leak_depends_on_no_other_item(spark):
+    """Unrelated items, long ones, and the number of items a pass takes change no leak."""
+    import random
+    rng = random.Random(4)
+    item = "What is the river under the stone house by the mill? Little green water from old hills"
+    apart = lambda n: f"{item.split('?')[0]}? {' '.join(f'pad{i}' for i in range(n))} {item.split('? ')[1]}"
+    rows = [(n, f"{prose(rng, 'fr', 150)} {apart(n)} {prose(rng, 'fr', 150)}", "en", "s") for n in (0, 10, 40, 120, 300, 900)]
+    others = [(100 + i, " ".join(f"o{rng.randint(0, 900)}" for _ in range(rng.choice([8, 40, 300])))) for i in range(60)]
+    others += [(300, "the mill by the old house and the hills"), (301, "green water under the stone river from the mill")]
+    leaks = []
+    for extra in ([], others[:1], others):
+        for at_once in (2, 2000):
+            table = spark.createDataFrame([(7, item), *extra], "item_id long, text string")
+            found = decontaminate.find_leaks(frame(spark, rows), table, items_at_once=at_once).collect()
+            leaks.append({(r.doc_id, r.question_overlap, r.answer_overlap) for r in found if r.item_id == 7})
+    assert all(x == leaks[0] for x in leaks) and 0 in {r[0] for r in leaks[0]} and not {300, 900} & {r[0] for r in leaks[0]}
+
+
+def test_short_items_and_string_ids(spark):
+    """Items of fewer than five words match nothing; item ids keep their type."""
+    table = spark.createDataFrame([("yes", "Yes"), ("cat", "the cat"), ("four", "one two three four!"), ("x", "one two three four five"),
+                                   (None, "six seven eight nine ten")], "item_id string, text string")
+    rows = [(1, "Yes the cat saw one two three four of them", "en", "s"), (2, "count one two three four five six seven eight nine ten", "en", "s")]
+    found = decontaminate.find_leaks(frame(spark, rows), table)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(2, "x"), (2, None)}
+    assert [r.doc_id for r in decontaminate.drop_leaks(frame(spark, rows), table).collect()] == [1]
+
+
+def test_retrieval_bound_loses_nothing():
+    """Whatever words a passage lacks within the overlaps, the rest keeps the least share."""
+    import random
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(5, 60)
+        shares = [rng.random() ** 4 for _ in range(rng.randint(1, n))]
+        shares = [x / sum(shares) for x in shares]
+        gone = rng.sample(shares, min(len(shares), int(0.2 * n + 1e-9)))
+        assert sum(shares) - sum(gone) >= decontaminate.least_share(shares, n, 0.8) - 1e-9 or sum(shares) - sum(gone) < 1e-3
+
+
 def test_aligned_words():
     item = "a b c d e f g h i j".split()
     assert decontaminate.aligned(item, 5, ["x", *item, "y"]) == (1.0, 1.0)

@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 over test items, searched with every training passage.
 
 The test items are the indexed documents; a passage of a training text is the query.  Each
-posting holds the share of an item's own BM25 score that the word contributes, so one
-threshold means the same for every item: a passage that holds the whole item scores 1.
+posting holds the share of an item's own BM25 score that the word contributes, divided by the least
+share that a leak of the item can have, so 1 is the threshold of every item and loses no leak.
 Items are grouped into blocks, and each word has its greatest share per block.  A passage
 whose block bounds stay below the threshold is never scored; the others run block-max WAND.
 What is retrieved counts only if the item's question and answer both overlap the passage, in
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.llm.common import first_columns, python_ready, texts, word_bytes
+from tidewatch.llm.common import first_columns, python_ready, saved, texts, word_bytes
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.6          # share of the item's own BM25 score that a passage must reach
 OVERLAP = 0.8            # share of the question's, and of the answer's, words that the passage has
 SHINGLE = 5
+LEAST_CLASS = 64         # items are searched by length class: up to 64 words, 128, 256 and so on
 _MAX_BLOCKS = 512
 _HALVES_AT_ONCE = 200      # of a text
 _CACHED_WORDS = 400_000
@@ -71,6 +73,7 @@ class Index:
     block_size: int
     block_bounds: np.ndarray                    # word x block: greatest share
     passage: int                                # words; half of it is the step
+    least: list[float]                          # per item: share of its BM25 score that counts as 1
 
 
 def word_shares(items: DataFrame) -> DataFrame:
@@ -87,15 +90,37 @@ def word_shares(items: DataFrame) -> DataFrame:
                            (F.col("weight") / F.sum("weight").over(W.partitionBy("item_no"))).alias("share"))
 
 
-def build_index(rows: list, shares: list, at_least: int = 4) -> Index:
+def length_class(n_words: int) -> int:
+    """Words of the class that an item of this length is searched in; it depends on no other item."""
+    size = LEAST_CLASS
+    while size < n_words:
+        size *= 2
+    return size
+
+
+def least_share(shares: list[float], n_words: int, overlap: float) -> float:
+    """Least share of its own BM25 score that an item keeps in any passage that has ``overlap`` of its
+    words: all but the heaviest that may be missing.  Retrieval by this bound loses no leak, whatever
+    weights the other items give the words."""
+    missing = int((1 - overlap) * n_words + 1e-9)
+    return max(1.0 - sum(sorted(shares, reverse=True)[:missing]) - 1e-6, 1e-3)
+
+
+def build_index(rows: list, shares: list, at_least: int = 4, overlap: float | None = None) -> Index:
     """Index of one block of items: rows (item_no, item_id, text), shares (item_no, word, share).
-    Items are ordered by length, so a block's bounds are close to its items' shares."""
+    Items are ordered by length, so a block's bounds are close to its items' shares.  With ``overlap``
+    an item's shares are divided by its ``least_share``, so 1 is the threshold of every item."""
     rows = sorted(rows, key=lambda r: (len(item_words(r["text"])), r["item_no"]))
     place = {r["item_no"]: i for i, r in enumerate(rows)}
     words = {w: i for i, w in enumerate(sorted({s["word"] for s in shares}))}
+    own: list[list[float]] = [[] for _ in rows]
+    for s in shares:
+        own[place[s["item_no"]]].append(s["share"])
+    least = [1.0 if overlap is None else least_share(x, len(item_words(r["text"])), overlap) for x, r in zip(own, rows)]
     postings: list[list[tuple[int, float]]] = [[] for _ in words]
     for s in shares:
-        postings[words[s["word"]]].append((place[s["item_no"]], s["share"]))
+        at = place[s["item_no"]]
+        postings[words[s["word"]]].append((at, s["share"] / least[at]))
     size = max(at_least, -(-len(rows) // _MAX_BLOCKS))
     bounds = np.zeros((len(words), -(-len(rows) // size)), dtype=np.float32)
     for w, found in enumerate(postings):
@@ -104,7 +129,8 @@ def build_index(rows: list, shares: list, at_least: int = 4) -> Index:
             bounds[w, item // size] = max(bounds[w, item // size], share)
     lengths = [item_words(r["text"]) for r in rows]
     return Index(words, [r["item_id"] for r in rows], lengths, [answer_start(r["text"]) for r in rows],
-                 [asked_words(r["text"]) > 0 for r in rows], postings, size, bounds, 2 * max((len(x) for x in lengths), default=1))
+                 [asked_words(r["text"]) > 0 for r in rows], postings, size, bounds,
+                 2 * length_class(max((len(x) for x in lengths), default=1)), least)
 
 
 def block_max_wand(words: list[int], index: Index, threshold: float) -> list[tuple[int, float]]:
@@ -212,9 +238,10 @@ def near_overlaps(item: list[str], answer: int, passage: list[str], least: float
     return q, a
 
 
-_LEAK = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-_LEAK_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
-                         ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+def _leak_schema(item_type: T.DataType) -> T.StructType:
+    """Item ids keep their type."""
+    return T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", item_type),
+                         *[T.StructField(n, T.DoubleType()) for n in ("score", "question_overlap", "answer_overlap")]])
 
 
 class _WordNumbers(dict):
@@ -233,10 +260,10 @@ class _WordNumbers(dict):
 
 
 class _Searcher:
-    """Search of one worker in one block of items."""
+    """Search of one worker in one block of items of a length class."""
 
-    def __init__(self, index: Index, threshold: float, overlap: float):
-        self.index, self.threshold, self.overlap = index, threshold, overlap
+    def __init__(self, index: Index, overlap: float):
+        self.index, self.overlap = index, overlap
         self.numbers, self.bounds = _WordNumbers(index.words), index.block_bounds
         self.spelled = [w for w, _ in sorted(index.words.items(), key=lambda x: x[1])] + [""]
 
@@ -248,11 +275,11 @@ class _Searcher:
         found: dict[int, tuple[float, float, float]] = {}
         for lo, hi in self._able(ids):
             part = ids[lo:hi]
-            for item, score in block_max_wand(np.unique(part[part >= 0]).tolist(), index, self.threshold):
+            for item, score in block_max_wand(np.unique(part[part >= 0]).tolist(), index, 1.0):
                 own, passage = index.item_words[item], [self.spelled[i] for i in part]
                 q, a = near_overlaps(own, index.answers[item], passage, self.overlap)
                 if min(q, a) >= self.overlap or not index.asked[item] and contained(own, passage) >= self.overlap:
-                    found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+                    found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score * index.least[item], q, a))
         return found
 
     def _able(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -275,7 +302,7 @@ class _Searcher:
             again = np.isin(pairs - n_words, pairs, assume_unique=True)
             sums = _sums_by(of_half, found, n + 1)
             able = sums[:-1] + sums[1:] - _sums_by(of_half[again], found[again], n + 1)[1:]
-            able = np.flatnonzero(able[:max(1, n - 1)].max(axis=1) >= self.threshold - 1e-4)
+            able = np.flatnonzero(able[:max(1, n - 1)].max(axis=1) >= 1.0 - 1e-4)
             for lo in (at + able * half).tolist():
                 yield lo, min(lo + 2 * half, len(ids))
 
@@ -289,22 +316,22 @@ def _sums_by(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _leak_rows(shared, threshold: float, overlap: float):
+def _leak_rows(shared, overlap: float, schema: pa.Schema):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Searcher(shared.value, threshold, overlap)
+        search = _Searcher(shared.value, overlap)
         for b in batches:
             out = [(doc, search.index.item_ids[item], *found)
                    for doc, text in zip(b.column("doc_id").to_pylist(), texts(b, "text"))
                    for item, found in sorted(search.leaks(text).items())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out), _LEAK_ARROW)] if out
-                else [pa.array([], f.type) for f in _LEAK_ARROW], schema=_LEAK_ARROW)
+                [pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out
+                else [pa.array([], f.type) for f in schema], schema=schema)
     return rows
 
 
-def _clean_rows(shared, threshold: float, overlap: float, text_col: str):
+def _clean_rows(shared, overlap: float, text_col: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Searcher(shared.value, threshold, overlap)
+        search = _Searcher(shared.value, overlap)
         for b in batches:
             yield b.filter(pa.array([not search.leaks(t) for t in texts(b, text_col)], pa.bool_()))
     return rows
@@ -312,59 +339,65 @@ def _clean_rows(shared, threshold: float, overlap: float, text_col: str):
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        words = [item_words(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column("item_id"), b.column("text"),
-             pa.array([item_words(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))],
-            names=["item_id", "text", "words"])
+            [b.column("item_id"), b.column("text"), pa.array(words, pa.list_(pa.string())),
+             pa.array([length_class(len(w)) for w in words], pa.int32())], names=["item_id", "text", "words", "size"])
 
 
-def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, items_at_once: int) -> Iterator[Index]:
-    """Indexes of blocks of at most about ``items_at_once`` items."""
+def _indexes(items: DataFrame, item_id_col: str, item_text_col: str, items_at_once: int, overlap: float) -> Iterator[Index]:
+    """Indexes of blocks of at most about ``items_at_once`` items, each of one length class."""
     python_ready(items.sparkSession)
-    numbered = (first_columns(items, item_id=item_id_col, text=item_text_col).where("text is not null")
-                .groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).select("item_id", "text")
-                .mapInArrow(_item_rows, "item_id bigint, text string, words array<string>")
-                .where(F.size("words") > 0).withColumn("item_no", F.xxhash64("text")))
-    shares = word_shares(numbered.select("item_no", "words"))
-    blocks = max(1, -(-numbered.count() // items_at_once))
-    for k in range(blocks):
-        part = F.pmod(F.col("item_no"), F.lit(blocks)) == k
-        rows = numbered.where(part).select("item_no", "item_id", "text").collect()
-        if rows:
-            yield build_index(rows, shares.where(part).collect())
+    named = first_columns(items, item_id=item_id_col, text=item_text_col)
+    numbered = (named.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
+                .select("item_id", "text")
+                .mapInArrow(_item_rows, T.StructType([*named.schema.fields, T.StructField("words", T.ArrayType(T.StringType())),
+                                                      T.StructField("size", T.IntegerType())]))
+                .where(F.size("words") >= SHINGLE).withColumn("item_no", F.xxhash64("text")))
+    numbered = saved(numbered)
+    shares = saved(word_shares(numbered.select("item_no", "words")).join(numbered.select("item_no", "size"), "item_no"))
+    for r in numbered.groupBy("size").count().orderBy("size").collect():       # one row a class
+        blocks = max(1, -(-r["count"] // items_at_once))
+        for k in range(blocks):
+            part = (F.pmod(F.col("item_no"), F.lit(blocks)) == k) & (F.col("size") == r["size"])
+            rows = numbered.where(part).select("item_no", "item_id", "text").collect()
+            if rows:
+                yield build_index(rows, shares.where(part).collect(), overlap=overlap)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD,
-               overlap: float = OVERLAP, items_at_once: int = 2_000) -> DataFrame:
-    """One row per text and leaked item: doc_id, item_id, score (best passage's share of the
-    item's BM25 score), question_overlap, answer_overlap.  Both overlaps reach ``overlap``, or the
+               item_id_col: str = "item_id", item_text_col: str = "text", overlap: float = OVERLAP,
+               items_at_once: int = 2_000) -> DataFrame:
+    """One row per text and leaked item: doc_id, item_id (of its own type), score (best passage's share of
+    the item's BM25 score), question_overlap, answer_overlap.  Both overlaps reach ``overlap``, or the
     item has no answer after a question mark and the passage has that share of its shingles.
 
-    Every text is searched whole, in passages of twice the longest item's words that step by
-    half of that, so an item is never cut by a passage's end.  Words are compared as lower-case
-    letters and digits.  Items are taken ``items_at_once`` per pass over the texts (only one such
-    block is ever broadcast).  Null or blank texts and items match nothing; repeated texts
-    are reported each; items with one text are one item under its smallest item_id; empty
+    Every text is searched whole, in passages of twice the item's length class that step by half of
+    that, so an item is never cut by a passage's end.  Retrieval takes every item whose BM25 share reaches
+    the least that such overlaps leave it, so which items leak does not depend on what else is in the table
+    (scores do: BM25 weighs words by it).  Words are compared as lower-case letters and digits.  Items of
+    fewer than five words match nothing: any text may hold them.  Items are taken ``items_at_once`` per pass
+    over the texts (only one such block is ever broadcast).  Null or blank texts and items match nothing;
+    repeated texts are reported each; items with one text are one item under its smallest item_id; empty
     tables give no rows.
     """
     spark = docs.sparkSession
     python_ready(spark)
     rows = first_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    out = spark.createDataFrame([], _LEAK)
-    for n, index in enumerate(_indexes(items, item_id_col, item_text_col, items_at_once)):
-        found = rows.mapInArrow(_leak_rows(spark.sparkContext.broadcast(index), threshold, overlap), _LEAK)
+    schema = _leak_schema(items.schema[item_id_col].dataType)
+    out = spark.createDataFrame([], schema)
+    for n, index in enumerate(_indexes(items, item_id_col, item_text_col, items_at_once, overlap)):
+        found = rows.mapInArrow(_leak_rows(spark.sparkContext.broadcast(index), overlap, to_arrow_schema(schema)), schema)
         out = out.union(found) if n else found
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-               item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP,
-               items_at_once: int = 2_000) -> DataFrame:
+               item_text_col: str = "text", overlap: float = OVERLAP, items_at_once: int = 2_000) -> DataFrame:
     """The rows (all columns) without a leak as ``find_leaks`` defines it; nothing is shuffled."""
     spark = docs.sparkSession
     out = docs
-    for index in _indexes(items, item_id_col, item_text_col, items_at_once):
+    for index in _indexes(items, item_id_col, item_text_col, items_at_once, overlap):
         shared = spark.sparkContext.broadcast(index)
-        out = out.mapInArrow(_clean_rows(shared, threshold, overlap, text_col), docs.schema)
+        out = out.mapInArrow(_clean_rows(shared, overlap, text_col), docs.schema)
     return out

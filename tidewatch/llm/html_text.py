@@ -39,7 +39,10 @@ _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "button", "option", "optgrou
 _DROPPED = frozenset("""nav header footer aside script style noscript template iframe button select textarea menu
     dialog svg canvas head title object embed map datalist""".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
-_READERS = frozenset("comment comments disqus replies".split())
+#: Whole names of what readers wrote; other names that hold such a word ("comments-open",
+#: "no-comments") only describe an element.
+_READERS = re.compile("(?:user|reader|post|article|blog|page)?[-_]?(?:comments?|disqus|replies)"
+                      "(?:[-_]?(?:list|area|section|thread|body|wrapper|wrap|container|content|box|item|block|text|form))?")
 #: Names of what stands beside an article, unless most of the page's text is in it.
 _SIDE = frozenset("""ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo sidebar menu
     nav navbar navigation footer header masthead notice notices cookie cookies consent popup modal share sharing social
@@ -159,17 +162,22 @@ def _find_end(source: str, tag: str, at: int) -> int:
 def _hints(attributes: str) -> frozenset:
     out = set()
     for name, value in _HINT.findall(attributes):
-        words = re.findall("[a-z]+", html.unescape(value.strip("\"'")).lower())
+        value = html.unescape(value.strip("\"'")).lower()
+        words = re.findall("[a-z]+", value)
         out.update("role:" + w if name.lower() == "role" else w for w in words)
+        if name.lower() != "role" and any(map(_READERS.fullmatch, value.split())):
+            out.add("#readers")
     return frozenset(out)
 
 
-def _is_boilerplate(page: _Page, node: int) -> bool:
+def _is_named_boilerplate(page: _Page, node: int, holds_head: list[bool], holds_article: list[bool]) -> bool:
+    """What readers wrote, and roles beside an article; never the body, a main element, or what holds the
+    page's heading or main element."""
     tag, hints = page.tag[node], page.hints[node]
-    if tag in _DROPPED:
-        return True
-    return bool(hints) and tag not in _KEEP and (
-        bool(hints & _READERS) or any(h[5:] in _ROLES for h in hints if h.startswith("role:")))
+    if not hints or tag in _KEEP or tag == "main" or holds_head[node]:
+        return False
+    beside = any(h[5:] in _ROLES for h in hints if h.startswith("role:")) and not holds_article[node]
+    return beside or "#readers" in hints
 
 
 def _side_names(page: _Page, node: int, holds_title: list[bool], holds_article: list[bool]) -> frozenset:
@@ -189,23 +197,30 @@ def _dropped(page: _Page, chunks: list[tuple[int, str | None]]) -> list[bool]:
     """
     n = len(page.tag)
     holds_article = [t in _ARTICLE for t in page.tag]
-    holds_title = [t == "h1" or a for t, a in zip(page.tag, holds_article)]
+    holds_head = [t in ("h1", "main") for t in page.tag]
     for node in range(n - 1, 0, -1):
-        holds_title[page.parent[node]] |= holds_title[node]
         holds_article[page.parent[node]] |= holds_article[node]
-    firm, names, in_link = [False] * n, [frozenset()] * n, [False] * n
+        holds_head[page.parent[node]] |= holds_head[node]
+    holds_title = [a or b for a, b in zip(holds_article, holds_head)]
+    by_tag, firm, names, in_link = [False] * n, [False] * n, [frozenset()] * n, [False] * n
     for node in range(1, n):
         p = page.parent[node]
-        firm[node] = firm[p] or _is_boilerplate(page, node)
+        by_tag[node] = by_tag[p] or page.tag[node] in _DROPPED
+        firm[node] = firm[p] or by_tag[node] or _is_named_boilerplate(page, node, holds_head, holds_article)
         in_link[node] = in_link[p] or page.tag[node] == "a"
+    own = [0] * n
+    for node, text in chunks:
+        if text is not None and not by_tag[node] and not in_link[node]:
+            own[node] += len("".join(text.split()))
+    if any(x and not gone for x, gone in zip(own, firm)):
+        own = [0 if gone else x for x, gone in zip(own, firm)]
+    else:
+        firm = by_tag                     # a page of nothing else
+    for node in range(1, n):
         if not firm[node]:
             names[node] = _side_names(page, node, holds_title, holds_article)
     if not any(names):
         return firm
-    own = [0] * n
-    for node, text in chunks:
-        if text is not None and not firm[node] and not in_link[node]:
-            own[node] += len("".join(text.split()))
     plain = list(own)
     for node in range(n - 1, 0, -1):
         plain[page.parent[node]] += plain[node]

@@ -136,13 +136,15 @@ def _bundles(dimensions: int, seed: int):
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                      dimensions: int = DIMENSIONS, seed: int = 11, max_languages: int = 4096) -> dict[str, np.ndarray]:
-    """Prototype of every language, from all rows with a language and a text.
+    """Prototype of every language, from all rows with a language and a text.  A row labelled ``und``
+    names no language and teaches nothing.
 
     The driver gets one vector per language; more than ``max_languages`` distinct values are
     refused (such a column holds no languages).
     """
     python_ready(docs.sparkSession)
-    rows = first_columns(docs, lang=lang_col, text=text_col).where("lang is not null and text is not null")
+    rows = first_columns(docs, lang=lang_col, text=text_col).where(
+        f"lang is not null and text is not null and lang <> '{UNKNOWN}'")
     sums = (rows.mapInArrow(_bundles(dimensions, seed), "lang string, bundle array<bigint>")
             .select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("v")))
     one = (sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("v"))
@@ -153,10 +155,11 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
 
 
-def _predictions(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, schema: pa.Schema):
-    def scored(n_grams: int, vector: np.ndarray) -> tuple[str, float]:
+def _predictions(names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, schema: pa.Schema,
+                 untaught: str | None):
+    def scored(n_grams: int, vector: np.ndarray) -> tuple[str | None, float]:
         if not n_grams or not names:
-            return UNKNOWN, 0.0
+            return (untaught if n_grams else UNKNOWN), 0.0
         cosines = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-12)
         best = int(np.argmax(cosines))
         return names[best], float(min(1.0, max(0.0, cosines[best])))
@@ -174,11 +177,13 @@ def _predictions(names: list[str], prototypes: np.ndarray, dimensions: int, seed
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
-             keep: list[str] | None = None, dimensions: int = DIMENSIONS, seed: int = 11) -> DataFrame:
+             keep: list[str] | None = None, dimensions: int = DIMENSIONS, seed: int = 11,
+             untaught: str | None = UNKNOWN) -> DataFrame:
     """doc_id, lang_pred and score (cosine, negative ones as 0) of every row, from its text alone.
 
-    ``keep`` names input columns to pass through, in front.  Null text, a text without a letter, or
-    no prototypes: ``und`` with score 0.  Equal cosines: the smaller name.  Repeated rows and
+    ``keep`` names input columns to pass through, in front.  Null text or a text without a letter:
+    ``und`` with score 0; a text with letters where no language is known: ``untaught`` with score 0.  An empty
+    table gives no rows.  Equal cosines: the smaller name.  Repeated rows and
     null ids are rows like any other.
     """
     python_ready(docs.sparkSession)
@@ -189,7 +194,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                        docs[text_col].alias("_text"))
     out = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
                         T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predictions(names, matrix, dimensions, seed, to_arrow_schema(out)), out)
+    return rows.mapInArrow(_predictions(names, matrix, dimensions, seed, to_arrow_schema(out), untaught), out)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:

@@ -3,7 +3,7 @@
 Sequential covering: a rule is a conjunction of thresholds on statistics.  It is grown
 condition by condition on two thirds of the labelled rows that no earlier rule covers
 (the condition with the best information gain), pruned on the remaining third, and kept
-if it is precise there.  Every count the search needs is a Spark aggregate over binned
+if it is precise there; if not, its first condition is barred and the next best is tried.  Every count the search needs is a Spark aggregate over binned
 statistics; the driver sees only (statistic, bin, class) totals, whose number does not
 depend on the data.
 """
@@ -11,6 +11,7 @@ depend on the data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -155,9 +156,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
                 out += [(p, q, (f, False, b)), (all_p - p, all_q - q, (f, True, b))]
         return out
 
-    rules: list[Rule] = []
-    uncovered = F.lit(True)
-    while len(rules) < max_rules:
+    def grown(banned: set[tuple[str, bool]]) -> list[tuple[str, bool, int]]:
+        """Conditions of one rule, greedily by gain; the first is none of the banned ones."""
         conditions: list[tuple[str, bool, int]] = []
         while len(conditions) < max_conditions:
             found = totals(uncovered & met(conditions), prune=False)
@@ -166,18 +166,27 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
                 break
             share = lambda p, q: p / (p + false_alarm_cost * q)
             gain = lambda p, q: p * (log2(share(p, q)) - log2(share(p0, q0))) if p else 0.0
-            best = max(((gain(p, q), c) for p, q, c in candidates(found)), default=(0.0, None))
+            best = max(((gain(p, q), c) for p, q, c in candidates(found) if conditions or c[:2] not in banned),
+                       default=(0.0, None))
             if best[0] <= 1e-9:
                 break
             conditions.append(best[1])
+        return conditions
+
+    rules: list[Rule] = []
+    uncovered, banned = F.lit(True), set()
+    while len(rules) < max_rules:
+        conditions = grown(banned)
         if not conditions:
             break
-        conditions, p, q = _pruned(binned, uncovered, conditions, met)
-        if p < min_rows or p < min_precision * (p + q):
-            break
+        first = conditions[0][:2]
+        conditions = _pruned(binned, uncovered, conditions, met, min_rows, min_precision)
+        if not conditions:
+            banned.add(first)          # a rule that fails is none to build on; others may hold
+            continue
         tightest = {(f, above): cut for f, above, cut in conditions}   # a later one is the tighter
         rules.append(Rule(tuple(Condition(f, above, cuts[f][cut]) for (f, above), cut in tightest.items())))
-        uncovered = uncovered & ~met(conditions)
+        uncovered, banned = uncovered & ~met(conditions), set()
     return _centred(rows, rules)
 
 
@@ -209,20 +218,23 @@ def _bin_of(feature: str, cuts: list[float]) -> Column:
     return F.size(F.filter(edges, lambda c: c < value)).alias(feature)
 
 
-def _pruned(binned: DataFrame, uncovered: Column, conditions: list, met) -> tuple[list, int, int]:
-    """The prefix of the conditions that is best on the pruning rows: (it, low, good rows)."""
+def _pruned(binned: DataFrame, uncovered: Column, conditions: list, met, min_rows: int, min_precision: float) -> list:
+    """The part of the conditions that hits most low rows among those that hold: precise on the
+    pruning rows, where it hits a low row at least, and precise on ``min_rows`` low rows in all.  Of
+    equals the shorter; none if no part holds."""
+    parts = [c for n in range(1, len(conditions) + 1) for c in combinations(conditions, n)]
     sums = []
-    for n in range(1, len(conditions) + 1):
-        hit = met(conditions[:n])
-        sums += [F.sum(F.when(hit & F.col("bad"), F.col("n")).otherwise(0)).alias(f"p{n}"),
-                 F.sum(F.when(hit & ~F.col("bad"), F.col("n")).otherwise(0)).alias(f"q{n}")]
-    r = binned.where(uncovered & F.col("prune")).agg(*sums).first()
-    scored = []
-    for n in range(1, len(conditions) + 1):
-        p, q = r[f"p{n}"] or 0, r[f"q{n}"] or 0
-        scored.append(((p - q) / (p + q) if p + q else -1.0, p, -n, q))
-    worth, p, n, q = max(scored)
-    return conditions[:-n], p, q
+    for i, part in enumerate(parts):
+        for kind, which in (("prune", F.col("prune")), ("all", F.lit(True))):
+            for name, bad in (("p", F.col("bad")), ("q", ~F.col("bad"))):
+                sums.append(F.sum(F.when(met(list(part)) & which & bad, F.col("n")).otherwise(0)).alias(f"{name}_{kind}_{i}"))
+    r = binned.where(uncovered).agg(*sums).first()
+    holding = []
+    for i, part in enumerate(parts):
+        (p, q), (p_all, q_all) = ((r[f"p_{kind}_{i}"] or 0, r[f"q_{kind}_{i}"] or 0) for kind in ("prune", "all"))
+        if p >= 1 and p >= min_precision * (p + q) and p_all >= min_rows and p_all >= min_precision * (p_all + q_all):
+            holding.append((p_all - q_all, -len(part), -i, list(part)))
+    return max(holding)[-1] if holding else []
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -239,7 +251,11 @@ def verdict(rules: list[Rule]) -> Column:
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **learning) -> DataFrame:
     """Statistics, base_failed, kept and rule_no of every row.  The statistics of all rows are
-    computed once and kept in the shared folder; the rules are learned from their labelled part."""
+    computed once and kept in the shared folder; the rules are learned from their labelled part.
+
+    Null text counts as empty; null ids and repeated rows are judged like any others (ties of a
+    threshold: ``>`` and ``<=`` leave none); an empty table gives no rows, and a table without labels of
+    both classes no rules."""
     stats = saved(doc_stats(docs, id_col, text_col))
     rules = learn_rules(stats, labels, **learning)
     number = verdict(rules)
