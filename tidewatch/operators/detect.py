@@ -105,6 +105,31 @@ def threat_correlated(detections: DataFrame, syslog: DataFrame, window_s: int, s
         F.when(F.col("correlated_events") >= critical_at, "critical").otherwise("high").alias("severity"))
 
 
+def threat_correlated_stream(flows: DataFrame, syslog: DataFrame, window: str = "1 minute", window_s: int = 60,
+                             min_ports: int = 20, slack_s: int = 300, critical_at: int = 5) -> DataFrame:
+    """Port scans correlated with syslog as one streaming query: windowed aggregate, interval join,
+    aggregate.  Both inputs carry a watermark on ``event_time``; ``window_time`` hands it from one operator
+    to the next, so every state is bounded by it.  Rows as ``threat_correlated(port_scan(...), ...)``, once
+    the watermark has passed the window and the slack."""
+    scans = (flows.filter(F.col("bytes_received") == 0)
+             .groupBy(F.window("event_time", window).alias("_w"), "src_ip", "dst_ip")
+             .agg(distinct_count("dst_port", flows.isStreaming).alias("distinct_ports"), F.count("*").alias("flows"))
+             .filter(F.col("distinct_ports") >= min_ports)
+             .select(F.window_time("_w").alias("_scan"), "src_ip", "dst_ip", "distinct_ports", "flows"))
+    bad = syslog.filter(F.col("event_type").isin("auth_failure", "firewall_deny")) \
+        .select("source_ip", F.col("event_time").alias("_seen"), F.col("event_id").alias("_event"))
+    # a window's time is one microsecond before its end
+    tick = F.expr("INTERVAL 1 MICROSECOND")
+    near = ((F.col("_seen") >= F.col("_scan") + tick - F.expr(f"INTERVAL {int(window_s)} SECONDS"))
+            & (F.col("_seen") <= F.col("_scan") + tick + F.expr(f"INTERVAL {int(slack_s)} SECONDS")))
+    joined = scans.join(bad, (F.col("src_ip") == F.col("source_ip")) & near)
+    out = joined.groupBy(F.window("_scan", window).alias("window"), "src_ip", "dst_ip", "distinct_ports", "flows") \
+        .agg(F.count("_event").alias("correlated_events"))
+    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "src_ip",
+                      "dst_ip", "distinct_ports", "flows", "correlated_events",
+                      F.when(F.col("correlated_events") >= critical_at, "critical").otherwise("high").alias("severity"))
+
+
 def device_offline(polls: DataFrame, max_gap_s: int = 60) -> DataFrame:
     """Polls reporting ``offline``, and polls followed by silence longer than ``max_gap_s``
     (2 x the 30 s poll interval by default)."""

@@ -140,11 +140,11 @@ class Effects:
             F.from_json("effect_key", spec.key_schema).alias("_k"),
             F.from_json("effect_value", spec.value_schema).alias("_v"), *self._at())
         rows = rows.select(*[F.col(f"_k.{c}").alias(c) for c in spec.key_names],
-                           *[_change(rule, F.col(f"_v.{c}"), self._at()).alias(c) for c, (_, rule) in spec.values.items()])
+                           *[change(rule, F.col(f"_v.{c}"), self._at()).alias(c) for c, (_, rule) in spec.values.items()])
         return fold_changes(rows, spec)
 
 
-def _change(rule: str, value: Column, at: list[Column]) -> Column:
+def change(rule: str, value: Column, at: list[Column]) -> Column:
     """A write's value; with its place in the order where that decides."""
     if rule in ("replace", "first"):
         return F.when(value.isNotNull(), F.struct(*at, value.alias("value")))
