@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     plan = spark.createDataFrame(best_fit_plan(histogram, capacity), _PLAN)
     chunks = 4 * shuffle_partitions(spark)
     ranked = ranked_in_chunks(
-        pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")),
+        pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int")),
         ["length"], "_chunk", ["doc_id", "piece", "ids_crc32"], "_rank")
     # the plan's size is bounded by the number of lengths, so it may be broadcast
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length"))

@@ -114,10 +114,11 @@ class Rule:
 
 def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                 bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.95,
-                min_rows: int = 5, false_alarm_cost: int = 20) -> list[Rule]:
+                min_rows: int = 5, false_alarm_cost: int = 20, max_failures: int = 6) -> list[Rule]:
     """Rules for low quality (label 0), in order.  Rows without a label, and ids whose labels
     disagree, teach nothing; without labels of both classes there are no rules.  A good row that
-    a rule hits weighs ``false_alarm_cost`` times as much as a bad one."""
+    a rule hits weighs ``false_alarm_cost`` times as much as a bad one.  After ``max_failures`` rules in a
+    row that do not hold the list is complete."""
     marks = (labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("_label"))
              .where("_label is not null and doc_id is not null").groupBy("doc_id")
              .agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low = _high"))
@@ -130,6 +131,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     edges = rows.groupBy("bad").agg(*[F.percentile_approx(f, picks, 10_000).alias(f) for f in names]).collect()
     cuts = {f: sorted({float(v) for r in edges for v in r[f] or ()}) for f in names}
     binned = saved(rows.select("bad", "prune", *[_bin_of(f, cuts[f]) for f in names]).groupBy("bad", "prune", *names).agg(F.count(F.lit(1)).alias("n")))
+    # the search reads this small table many times: as few tasks as its rows need
+    binned = binned.coalesce(max(1, binned.count() // 100_000))
 
     def met(conditions: list[tuple[str, bool, int]]) -> Column:
         out = F.lit(True)
@@ -166,8 +169,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
                 break
             share = lambda p, q: p / (p + false_alarm_cost * q)
             gain = lambda p, q: p * (log2(share(p, q)) - log2(share(p0, q0))) if p else 0.0
-            best = max(((gain(p, q), c) for p, q, c in candidates(found) if conditions or c[:2] not in banned),
-                       default=(0.0, None))
+            able = ((p, q, c) for p, q, c in candidates(found) if conditions or (c[:2] not in banned and 2 * p >= min_rows))
+            best = max(((gain(p, q), c) for p, q, c in able), default=(0.0, None))
             if best[0] <= 1e-9:
                 break
             conditions.append(best[1])
@@ -175,7 +178,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
     rules: list[Rule] = []
     uncovered, banned = F.lit(True), set()
-    while len(rules) < max_rules:
+    while len(rules) < max_rules and len(banned) < max_failures:
         conditions = grown(banned)
         if not conditions:
             break

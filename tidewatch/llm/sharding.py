@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import first_columns, ranked_in_chunks, shuffle_partitions
+from tidewatch.llm.common import first_columns, ranked_in_chunks, saved, shuffle_partitions
 
 
 def _chunk_of(fraction: Column, chunks: int) -> Column:
@@ -36,13 +36,16 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, id_col: str = "
     chunks = chunks or 4 * shuffle_partitions(spark)
     rows = first_columns(docs, doc_id=id_col, _text=text_col, source=source_col)
     text = F.coalesce("_text", F.lit(""))
-    rows = rows.select(
+    # one narrow row a document, kept: the texts are read and checksummed once
+    rows = saved(rows.select(
         "doc_id", "source",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_stratum"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"))
-    # the seeded hash as a number in [0, 1): 53 bits of it
-    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(2 ** 53))
+        F.crc32(text.cast("binary")).alias("text_crc32")))
+    # the seeded hash as a number in [0, 1): 53 bits of it.  Rows without an id are spread by their texts
+    own = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    seeded = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "size", "text_crc32")).otherwise(own)
+    shuffled = F.shiftrightunsigned(seeded, 11) / F.lit(float(2 ** 53))
     rows = rows.withColumn("_key", shuffled).withColumn("_chunk", _chunk_of(F.col("_key"), chunks))
     ties = ["doc_id", "size", "text_crc32"]
     rows = ranked_in_chunks(rows, ["_stratum"], "_chunk", ["_key", *ties], "_rank")
@@ -52,7 +55,7 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, id_col: str = "
             .withColumn("_chunk", _chunk_of(F.col("fraction"), chunks))
             .withColumn("_all", F.lit(0)))
     rows = ranked_in_chunks(rows, ["_all"], "_chunk", ["fraction", "_stratum", *ties], "_at")
-    total = docs.count()
+    total = rows.count()
     shard = F.expr(f"(_at * {shards}) div {max(1, total)}")
     first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
     return (rows.withColumn("shard", shard)

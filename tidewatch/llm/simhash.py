@@ -278,11 +278,19 @@ def _forest_rows(threshold: int):
     return rows
 
 
+#: Distinct fingerprints whose replicas (some 70 to 165 each) one bucket holds on average.
+_BUCKET_FINGERPRINTS = 40_000
+#: A fingerprint of more than this share of all rows is looked up by broadcast: there are fewer than
+#: 1 / share of them.
+_HOT_SHARE = 0.001
+
+
 def fingerprint_links(fps: DataFrame, threshold: int, code: tuple[str, ...] = COARSE,
                       buckets: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``, bigint) of at most ``threshold``
     differing bits: enough of them to connect whatever is connected."""
-    buckets = buckets or 2 * shuffle_partitions(fps.sparkSession)
+    # the number of buckets grows with the fingerprints, so that a bucket, one group in memory, does not
+    buckets = buckets or max(2 * shuffle_partitions(fps.sparkSession), -(-fps.count() // _BUCKET_FINGERPRINTS))
     python_ready(fps.sparkSession)
     return (fps.select("fp").mapInArrow(_replicas(threshold, code, buckets), _REPLICA)
             .groupBy("bucket").applyInArrow(_forest_rows(threshold), "a bigint, b bigint"))
@@ -300,16 +308,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_co
     python_ready(docs.sparkSession)
     rows = first_columns(docs, doc_id=id_col, text=text_col)
     of_doc = saved(rows.mapInArrow(_fingerprint_rows(shingle), "doc_id bigint, fp bigint"))
+    return _components(of_doc, threshold, code)
+
+
+def _components(of_doc: DataFrame, threshold: int, code: tuple[str, ...]) -> DataFrame:
+    """doc_id, fp and component_id of kept rows (doc_id, fp)."""
     # one row per fingerprint before anything is replicated: copies cost nothing further on
-    distinct = saved(of_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    distinct = saved(of_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows")))
     found = component_of(fingerprint_links(distinct, threshold, code), "a", "b")
     # only linked fingerprints need their component's smallest document
     member = distinct.join(found, distinct["fp"] == found["node"]).select("fp", "component", "first_doc")
     smallest = member.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     linked = member.join(smallest, "component").select("fp", "component_id")
     own = (distinct.join(linked, "fp", "left")
-           .select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
-    return of_doc.join(own, "fp").select("doc_id", "fp", "component_id")
+           .select("fp", "rows", F.coalesce("component_id", "first_doc").alias("component_id")))
+    # a fingerprint that very many rows share would be one task of the join
+    n = distinct.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") > max(1000, int(n * _HOT_SHARE))
+    of_hot = own.where(hot).select("fp", F.col("component_id").alias("_hot_id"), F.lit(True).alias("_hot"))
+    marked = of_doc.join(F.broadcast(of_hot), "fp", "left")
+    rest = marked.where(F.col("_hot").isNull()).select("doc_id", "fp").join(own.where(~hot).select("fp", "component_id"), "fp")
+    return (rest.select("doc_id", "fp", "component_id")
+            .unionByName(marked.where("_hot").select("doc_id", "fp", F.col("_hot_id").alias("component_id"))))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id",
@@ -317,16 +337,31 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2,
     """One row (all columns) of each component of ``near_duplicates``: the one of the smallest doc_id.
 
     Of repeated rows one stays.  Where all members of a component lack an id, one row of each
-    distinct fingerprint stays.
+    distinct fingerprint stays.  An empty table stays empty.
+
+    Texts are fingerprinted once.  Rows whose id is theirs alone are settled by it: the ids that go are
+    subtracted, and no text is grouped or sorted.  Only rows without an id, or with a repeated one, are
+    fingerprinted again and told apart by (id, fingerprint).
     """
     python_ready(docs.sparkSession)
     key, fp, nth = fresh(docs, "key", "fp", "nth")
     named = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias(key)
-    stays = (near_duplicates(docs, shingle, threshold, id_col, text_col, code)
-             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = first_columns(docs, doc_id=id_col, text=text_col)
+    of_doc = saved(rows.mapInArrow(_fingerprint_rows(shingle), "doc_id bigint, fp bigint"))
+    settled = saved(_components(of_doc, threshold, code))
+    shared = saved(of_doc.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+                   .where("_n > 1").select("doc_id"))
+    gone = (settled.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select("doc_id").unionByName(shared))
+    single = docs.where(F.col(id_col).isNotNull()).join(gone.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_anti")
+
+    odd = docs.join(shared.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_semi").unionByName(
+        docs.where(F.col(id_col).isNull()))
+    stays = (settled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .select(named(F.col("doc_id")), F.col("fp").alias(fp)).distinct())
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    rows = docs.mapInArrow(_fingerprinted(shingle, text_col, fp), schema)
-    rows = rows.select(*rows.columns, named(F.col(id_col))).join(stays, [key, fp], "left_semi")
+    again = odd.mapInArrow(_fingerprinted(shingle, text_col, fp), schema)
+    again = again.select(*again.columns, named(F.col(id_col))).join(stays, [key, fp], "left_semi")
     one = F.row_number().over(W.partitionBy(key, fp).orderBy(id_col))
-    return rows.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
+    again = again.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
+    return single.select(*docs.columns).unionByName(again)

@@ -269,6 +269,16 @@ def _marks_by_doc(blobs: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
     return {(int(m["doc"][0]), int(m["crc"][0])): m["start"] for m in np.split(marks, cut)}
 
 
+#: Bytes of text whose windows one bucket holds: a bucket is one group in memory.
+_BUCKET_BYTES = 12_000_000
+
+
+def _buckets(rows: DataFrame) -> int:
+    """Hash buckets for the windows: their number grows with the text, so that a bucket does not."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * shuffle_partitions(rows.sparkSession), -(-size // _BUCKET_BYTES))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text",
                      buckets: int | None = None) -> DataFrame:
     """Remove every word covered by a window of ``window`` words that also starts earlier
@@ -285,8 +295,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     python_ready(spark)
-    buckets = buckets or 2 * shuffle_partitions(spark)
     rows = first_columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    buckets = buckets or _buckets(rows)
     marks = (rows.mapInArrow(_window_rows(window, buckets, buckets), _ROW)
              .groupBy("bucket").applyInArrow(_settle(buckets), _ROW))
     packed = rows.mapInArrow(_text_rows(buckets), _ROW)
