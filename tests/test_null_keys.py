@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import numbering
 from tidewatch.operators import windows as W
 from tidewatch.operators.numbering import running_sum, sequence_number
 
@@ -25,6 +26,12 @@ def events(spark):
     return spark.createDataFrame(rows, "id long, k string, k2 long, ts timestamp_ntz, v long").repartition(7).cache()
 
 
+@pytest.fixture(autouse=True, params=[100_000, 20], ids=["keys whole", "keys cut"])
+def rows_per_chunk(request, monkeypatch):
+    """Every scan with all keys in one chunk, and with keys cut at quantiles of their times."""
+    monkeypatch.setattr(numbering, "ROWS_PER_CHUNK", request.param)
+
+
 def same(a, b):
     assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
 
@@ -79,8 +86,8 @@ def test_sessions_keep_null_keys(events):
 
 
 def test_a_users_column_is_not_taken_for_a_chunk(events):
-    clash = events.withColumn("_tb", F.lit(1))
-    same(sequence_number(clash, ["k"], ["ts", "id"]).drop("_tb"), sequence_number(events, ["k"], ["ts", "id"]))
+    clash = events.withColumn("_tb", F.lit(1)).withColumn("__cuts", F.lit("x"))
+    same(sequence_number(clash, ["k"], ["ts", "id"]).drop("_tb", "__cuts"), sequence_number(events, ["k"], ["ts", "id"]))
 
 
 @pytest.mark.parametrize("n", [3, 1500])
@@ -89,3 +96,23 @@ def test_top_per_group(spark, events, n):
     w = Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id"))
     want = events.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("rank") < n)
     same(out, want)
+
+
+@pytest.mark.parametrize("keys,per_key", [(1, 6000), (3, 2000), (1500, 4)])
+def test_table_of_chunks_stays_small(spark, monkeypatch, keys, per_key):
+    """One row per chunk of a large key, whether keys are few and dense or many and sparse."""
+    monkeypatch.setattr(numbering, "ROWS_PER_CHUNK", 200)
+    rng = random.Random(keys)
+    # bursts: half of a key's rows lie in a hundredth of its time
+    rows = [(i, f"k{i % keys}", T0 + timedelta(seconds=rng.randint(0, 1000) if rng.random() < 0.5 else rng.randint(0, 100_000)))
+            for i in range(keys * per_key)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz").repartition(5)
+    c = numbering.Chunks(df, ["k"], ["ts", "id"])
+    if per_key <= 200:
+        assert c.whole
+    else:
+        table = c.table(c.df, F.count(F.lit(1)).alias("n")).collect()
+        assert len(table) <= 0.01 * len(rows) and max(r.n for r in table) <= 2 * 200
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    same(sequence_number(df, ["k"], ["ts", "id"]), df.withColumn("seq", F.row_number().over(w) - 1))
+    same(W.previous_in_key(df, ["k"], ["ts", "id"], ["ts"]), df.withColumn("prev_ts", F.lag("ts").over(w)))

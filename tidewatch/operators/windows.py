@@ -71,30 +71,31 @@ def sessionize(df: DataFrame, keys: list[str], time_col: str, gap: str,
                order_cols: list[str] | None = None) -> DataFrame:
     """Adds ``_session``: the 0-based session index of each row within its key.
 
-    A row starts a session when the key's previous row is more than ``gap``
-    earlier.  One pass over (key, minute) chunks counts starts inside each
-    chunk; a small per-chunk table (first time, last time, inner starts)
-    decides whether each chunk's first row starts a session and how many
-    starts precede the chunk.  No per-key task.  Rows with null keys form a key
-    of their own; rows without a time get no session (null).
+    A row starts a session when the key's previous row is more than ``gap`` earlier.  Starts are
+    counted inside each chunk (``numbering``); for keys of several chunks a small table (first time,
+    last time, inner starts) decides whether a chunk's first row starts a session and how many starts
+    precede the chunk.  No large key is one task.  Rows with null keys form a key of their own; rows
+    without a time get no session (null).
     """
     order = order_cols or [time_col]
-    c = Chunks(df, keys, order, 60)
+    c = Chunks(df, keys, order)
     interval = F.expr(f"INTERVAL {gap}")
     at, w = F.col(time_col), c.inside(order)
     prev = F.lag(time_col).over(w)
     local = c.df.select("*", F.coalesce(at > prev + interval, F.lit(False)).cast("long").alias("__inner"))
     local = local.select("*", F.sum("__inner").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"))
-    ends = local.groupBy(*c.keys).agg(F.min(time_col).alias("__first"), F.max(time_col).alias("__last"),
-                                      F.sum("__inner").alias("__inner_n"))
+    if c.whole:
+        return local.select(*df.columns, F.when(at.isNotNull(), F.col("__upto")).alias("_session"))
+    ends = c.table(local, F.min(time_col).alias("__first"), F.max(time_col).alias("__last"),
+                   F.sum("__inner").alias("__inner_n"))
     prev_last = F.lag("__last").over(c.across())
     # rows without a time have a chunk of their own, which starts nothing
     starts = F.col("__first").isNotNull() & F.coalesce(F.col("__first") > prev_last + interval, F.lit(True))
     ends = ends.select(*c.keys, "__inner_n", starts.cast("long").alias("__head"))
     carry = ends.select(*c.keys, "__head", F.coalesce(F.sum(F.col("__inner_n") + F.col("__head")).over(
         c.across().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    number = F.col("__before") + F.col("__head") + F.col("__upto") - 1
-    return local.join(carry, c.keys).select(*df.columns, F.when(at.isNotNull(), number).alias("_session"))
+    number = F.coalesce(F.col("__before") + F.col("__head"), F.lit(1)) + F.col("__upto") - 1
+    return c.with_table(local, carry).select(*df.columns, F.when(at.isNotNull(), number).alias("_session"))
 
 
 def with_watermark(df: DataFrame, time_col: str, delay: str) -> DataFrame:
