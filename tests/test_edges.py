@@ -106,3 +106,28 @@ def test_duplicate_content_fused_once(spark):
     assert len(contents) == len(set(contents))
     top = min(h, key=lambda r: r["rank"])
     assert top.id == 1                       # representative: first vector hit with that content
+
+
+def test_dead_letters_of_expressions_have_all_parts(spark):
+    import json
+    from tidewatch.operators import state as ST
+    df = spark.createDataFrame([(1, 10, 2), (2, 5, 0), (3, None, 1)], "id long, a long, b long")
+    good, bad = ST.dlq_split(df, [(F.col("a").isNull(), "MissingValue", F.lit("a is null")),
+                                  (F.col("b") == 0, "ZeroDivisionError", F.concat(F.lit("row "), F.col("id").cast("string")))])
+    assert [r.id for r in good.collect()] == [1] and good.columns == df.columns
+    letters = {r.id: r for r in bad.collect()}
+    assert {i: (r.error_type, r.error) for i, r in letters.items()} == {2: ("ZeroDivisionError", "row 2"), 3: ("MissingValue", "a is null")}
+    assert letters[2].traceback == "check 2 (ZeroDivisionError): row 2" and json.loads(letters[2].event) == {"id": 2, "a": 5, "b": 0}
+
+
+def test_streaming_write_of_messages(spark):
+    import json
+    from tidewatch.sources import sinks as S
+    from tidewatch.streaming.runner import fresh_dir
+    src, out = fresh_dir(spark, "src"), fresh_dir(spark, "out")
+    rows = [(f"10.0.0.{i % 3}", i) for i in range(20)]
+    spark.createDataFrame(rows, "src_ip string, n long").write.parquet(src)
+    stream = spark.readStream.schema("src_ip string, n long").parquet(src)
+    S.stream_messages(stream, fresh_dir(spark, "ck"), path=out, topic="alerts", key_col="src_ip", availableNow=True).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert {(r.topic, r.key, json.loads(r.value)["n"]) for r in got} == {("alerts", k, n) for k, n in rows}

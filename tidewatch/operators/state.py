@@ -180,10 +180,18 @@ def dlq_tag(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> DataFram
 
 def dlq_split(df: DataFrame, checks: list[tuple[Column, str, Column]]) -> tuple[DataFrame, DataFrame]:
     """Split rows into (good, dead letters).  Write both from one persisted
-    micro-batch (``streaming.runner.dlq_sink``) so the input is read once."""
+    micro-batch (``streaming.runner.dlq_sink``) so the input is read once.
+
+    A dead letter has all four parts: error, error_type, ``traceback`` (an expression has no stack: the
+    check that failed, with its place in the list) and ``event``, the row as JSON."""
+    names = [c for c in df.columns if not c.startswith("_")]
     tagged = dlq_tag(df, checks)
     good = tagged.filter(F.col("error_type").isNull()).drop("error_type", "error")
-    bad = tagged.filter(F.col("error_type").isNotNull())
+    trace = F.lit(None).cast("string")
+    for n, (_, name, _) in reversed(list(enumerate(checks, 1))):
+        trace = F.when(F.col("error_type") == name, F.concat(F.lit(f"check {n} ({name}): "), F.col("error"))).otherwise(trace)
+    bad = tagged.filter(F.col("error_type").isNotNull()).select(
+        *tagged.columns, trace.alias("traceback"), F.to_json(F.struct(*names)).alias("event"))
     return good, bad
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import aggregates as A
+from tidewatch.operators import sketches as SK
 from tidewatch.plans import views as V
+from tidewatch.session import scratch_path
 from tidewatch.plans.catalog import register
 from tidewatch.plans.oracle_views import sql
 
@@ -95,6 +99,19 @@ def agg_distinct_approx(spark, sf_dir):
     return both.select("dst_ip", "sources", "flows", (near("_s", "sources") & near("_f", "flows")).alias("within_bound"))
 
 
+@register("agg_sketch_rollup", sql("""
+SELECT time_bucket(INTERVAL 1 DAY, event_time) AS window_start, dst_ip, count(*) AS n,
+       count(DISTINCT src_ip) AS src_ip_distinct, round(avg(bytes_sent), 4) AS bytes_sent_mean
+FROM v_flows GROUP BY ALL""", "v_flows"))
+def agg_sketch_rollup(spark, sf_dir):
+    """Hourly sketches, stored and rolled up to days: distinct sources and mean volume a destination.  The
+    sketch is exact for sets as small as a day's sources are here."""
+    path = scratch_path(spark, f"sketches/{uuid.uuid4().hex}")
+    SK.window_sketches(V.v_flows(spark, sf_dir), "event_time", "1 hour", ["dst_ip"], ["src_ip"], ["bytes_sent"]).write.parquet(path)
+    days = SK.estimates(SK.roll_up(spark.read.parquet(path), "1 day", ["dst_ip"]), percentiles=())
+    return days.select("window_start", "dst_ip", "n", "src_ip_distinct", F.round("bytes_sent_mean", 4).alias("bytes_sent_mean"))
+
+
 @register("agg_baseline", sql("""
 SELECT src_ip, count(*) AS n, round(avg(bytes_sent), 4) AS mean, round(stddev_pop(bytes_sent), 4) AS stddev,
        list_sort(list(bytes_sent))[greatest(CAST(ceil(0.5 * count(*)) AS BIGINT), 1)] AS p50,

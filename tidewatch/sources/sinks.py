@@ -23,6 +23,21 @@ def write_messages(df: DataFrame, path: str | None = None, kafka_bootstrap: str
         df.write.mode("append").parquet(path)
 
 
+def stream_messages(df: DataFrame, checkpoint: str, path: str | None = None, kafka_bootstrap: str | None = None,
+                    topic: str | None = None, key_col: str | None = None, **trigger):
+    """Streaming write of rows as keyed JSON messages to Kafka or to a parquet topic folder: the started
+    query.  ``key_col`` turns plain rows into messages first; ``trigger`` as in ``DataStreamWriter.trigger``."""
+    messages = to_messages(df, key_col, topic) if key_col else df
+    out = messages.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if trigger:
+        out = out.trigger(**trigger)
+    if kafka_bootstrap:
+        # a topic column of the messages decides; without one the option does
+        out = out.format("kafka").option("kafka.bootstrap.servers", kafka_bootstrap)
+        return (out if "topic" in messages.columns else out.option("topic", topic)).start()
+    return out.format("parquet").start(path)
+
+
 def write_batch_idempotent(df: DataFrame, path: str, batch_id: int, partition_cols=()) -> None:
     """Write one micro-batch as ``batch_id=<n>`` partition; a replay of the same
     batch overwrites only its own partition, so retries never duplicate rows."""
