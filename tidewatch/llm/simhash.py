@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.blobs import by_bucket, joined, mixed
 from tidewatch.llm.common import first_columns, fresh, python_ready, saved, shuffle_partitions, texts
 from tidewatch.llm.components import component_of
+from tidewatch.operators.joins import small_side
 
 #: Perfect codes per block, 64 bits together.  FINE has 2^36 anchors and about 165 replicas of a
 #: fingerprint at 2 bits; COARSE 2^26 anchors and about 70.  Both find every link.
@@ -280,6 +281,8 @@ def _forest_rows(threshold: int):
 
 #: Distinct fingerprints whose replicas (some 70 to 165 each) one bucket holds on average.
 _BUCKET_FINGERPRINTS = 40_000
+#: Ids up to which a counted list of them is broadcast.
+_BROADCAST_IDS = 1_000_000
 #: A fingerprint of more than this share of all rows is looked up by broadcast: there are fewer than
 #: 1 / share of them.
 _HOT_SHARE = 0.001
@@ -340,7 +343,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2,
     distinct fingerprint stays.  An empty table stays empty.
 
     Texts are fingerprinted once.  Rows whose id is theirs alone are settled by it: the ids that go are
-    subtracted, and no text is grouped or sorted.  Only rows without an id, or with a repeated one, are
+    subtracted, by broadcast up to a counted number of ids (texts are then not moved), else by a shuffled join.
+    Only rows without an id, or with a repeated one, are
     fingerprinted again and told apart by (id, fingerprint).
     """
     python_ready(docs.sparkSession)
@@ -353,10 +357,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2,
                    .where("_n > 1").select("doc_id"))
     gone = (settled.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select("doc_id").unionByName(shared))
-    single = docs.where(F.col(id_col).isNotNull()).join(gone.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_anti")
-
-    odd = docs.join(shared.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_semi").unionByName(
-        docs.where(F.col(id_col).isNull()))
+    gone, shared = (small_side(ids.withColumnRenamed("doc_id", key), _BROADCAST_IDS) for ids in (gone, shared))
+    single = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(key), "left_anti")
+    odd = docs.join(shared, F.col(id_col) == F.col(key), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     stays = (settled.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .select(named(F.col("doc_id")), F.col("fp").alias(fp)).distinct())
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
