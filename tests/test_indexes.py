@@ -172,3 +172,17 @@ def test_hybrid_with_an_index(spark):
     index = TI.build(kb, fresh_dir(spark, "ti"))
     rows = lambda df: sorted((r.qid, r.id, r.rrf_score) for r in df.collect())
     assert rows(S.hybrid(kb, q, 5, index=index)) == rows(S.hybrid(kb, q, 5))
+
+
+def test_terms_are_counted_in_their_own_row(spark):
+    """Only rows whose id repeats are aggregated; the counts are those of one aggregation over all."""
+    from tidewatch.functions.text import tokens
+    kb = texts(spark)
+    assert "hashpartitioning" not in TI.term_counts(kb)._jdf.queryExecution().executedPlan().toString()
+    odd = kb.unionByName(spark.createDataFrame(
+        [(1, "a b a"), (1, "a c c"), (2, "x"), (None, "n n"), (None, "n m"), (None, None)], "id long, content string"))
+    for df in (kb, odd):
+        want = (df.select("id", tokens("content").alias("t")).select("id", F.size("t").cast("long").alias("n_tokens"), F.explode("t").alias("token"))
+                .groupBy("token", "id", "n_tokens").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "n_tokens"))
+        got = TI.term_counts(df)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

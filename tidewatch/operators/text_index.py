@@ -24,13 +24,32 @@ _TOKENS = "token string, doc_freq bigint, coll_freq bigint, segment int, bucket
 
 def term_counts(corpus: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(token, id, tf, n_tokens): a document's lexemes with their frequency and its length.  Null
-    and blank texts have none."""
-    docs = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("_t"))
-    # explode_outer + null filter: a plain explode makes Spark infer size(_t) > 0 below the
-    # generator, tokenizing every text a second time
-    each = docs.select("id", F.size("_t").cast("long").alias("n_tokens"), F.explode_outer("_t").alias("token"))
-    return (each.where(F.col("token").isNotNull()).groupBy("token", "id", "n_tokens")
-            .agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "n_tokens"))
+    and blank texts have none.
+
+    A text's lexemes are counted in its own row, as the runs of their sorted array, so nothing is
+    shuffled.  Only rows whose id repeats are merged by an aggregation (same id, same length)."""
+    docs = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    repeated = materialized(docs.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")))
+    if repeated.isEmpty():
+        return _row_counts(docs)
+    known = small_side(repeated)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    merged = _row_counts(docs.join(known, same, "left_semi")).groupBy("token", "id", "n_tokens").agg(F.sum("tf").alias("tf"))
+    return _row_counts(docs.join(known, same, "left_anti")).unionByName(merged)
+
+
+def _row_counts(docs: DataFrame) -> DataFrame:
+    """Counts of each row of (id, _text) by itself."""
+    # no filter on the array and the outer form of inline: else Spark tokenizes every text a second time
+    toks = docs.select("id", F.sort_array(tokens("_text")).alias("_t"))
+    first = F.filter(F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1)),
+                     lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    runs = toks.select("id", "_t", first.alias("_first"))
+    each = F.transform("_first", lambda i, n: F.struct(
+        F.get("_t", i).alias("token"),
+        (F.coalesce(F.get("_first", n + 1), F.size("_t")) - i).cast("long").alias("tf")))
+    return runs.select("id", F.size("_t").cast("long").alias("n_tokens"), F.inline_outer(each)).where(
+        F.col("token").isNotNull()).select("token", "id", "tf", "n_tokens")
 
 
 class TextIndex:
