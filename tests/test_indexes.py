@@ -186,3 +186,16 @@ def test_terms_are_counted_in_their_own_row(spark):
                 .groupBy("token", "id", "n_tokens").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "n_tokens"))
         got = TI.term_counts(df)
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_large_lookups_shuffle_only_wanted_postings(spark, monkeypatch):
+    kb, q = texts(spark), spark.createDataFrame(QUESTIONS, "qid long, query_text string")
+    index = TI.build(kb, fresh_dir(spark, "ti"), buckets=4)
+    posts = index.postings().select("bucket", "token", "id", "tf")
+    wanted = posts.where("id in (3, 4, 900) and token <> 'the'").select("bucket", "token", "id").withColumn("qid", F.lit(1))
+    plan = index._look_up(wanted, posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2, plan
+    want = hits(index.search(q, 10))
+    for most in ("BROADCAST_IDS", "BROADCAST_ROWS"):           # sets too large to broadcast: the same rows
+        monkeypatch.setattr(TI, most, 0)
+        assert hits(index.search(q, 10)) == want

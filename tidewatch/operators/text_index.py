@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import tokens
-from tidewatch.operators.joins import small_side
+from tidewatch.operators.joins import BROADCAST_ROWS, small_side
 from tidewatch.operators.windows import top_per_group
 from tidewatch.session import materialized
 
 BUCKETS = 32
+#: Ids up to which a set of documents is broadcast (a long each).
+BROADCAST_IDS = 1_000_000
 
 _POSTINGS = "token string, id bigint, tf bigint, n_tokens bigint, segment int, bucket int"
 _TOKENS = "token string, doc_freq bigint, coll_freq bigint, segment int, bucket int"
@@ -79,11 +81,24 @@ class TextIndex:
     def postings(self) -> DataFrame:
         return self._read("postings", _POSTINGS)
 
-    def token_stats(self) -> DataFrame:
-        """(bucket, token, doc_freq, coll_freq) over all segments."""
-        return self._read("tokens", _TOKENS).groupBy("bucket", "token").agg(
+    def token_stats(self, asked: DataFrame | None = None) -> DataFrame:
+        """(bucket, token, doc_freq, coll_freq) over all segments, of all tokens or of those in ``asked``."""
+        stats = self._read("tokens", _TOKENS)
+        if asked is not None:
+            stats = stats.join(asked, ["bucket", "token"], "left_semi")
+        return stats.groupBy("bucket", "token").agg(
             F.sum("doc_freq").alias("doc_freq"), F.sum("coll_freq").alias("coll_freq"))
 
+    def _look_up(self, wanted: DataFrame, posts: DataFrame) -> DataFrame:
+        """``wanted`` (bucket, token, id, ...) joined with its postings.  In their scan the postings are first cut
+        to the wanted documents and tokens, as far as these can be broadcast: only the rest is shuffled."""
+        wanted = materialized(wanted)
+        for keys, most in ((["id"], BROADCAST_IDS), (["bucket", "token"], BROADCAST_ROWS)):
+            asked = materialized(wanted.select(*keys).distinct())
+            if asked.count() <= most:
+                posts = posts.join(F.broadcast(asked), keys, "left_semi")
+        return wanted.join(posts, ["bucket", "token", "id"])
+
     def matches(self, queries: DataFrame, qid: str = "qid", qtext: str = "query_text") -> DataFrame:
         """(qid, id, score): documents that hold every lexeme of the query; score = their occurrences
         / the document's tokens.  Null and blank queries match nothing."""
@@ -91,7 +106,8 @@ class TextIndex:
                  .select(qid, F.size("_terms").alias("_need"), F.explode_outer("_terms").alias("token"))
                  .where(F.col("token").isNotNull()).withColumn("bucket", self._bucket()))
         # a query with a lexeme that no document has drops out when its known lexemes are counted
-        found = small_side(terms).join(self.token_stats(), ["bucket", "token"])
+        terms = small_side(terms)
+        found = terms.join(self.token_stats(terms.select("bucket", "token")), ["bucket", "token"])
         known = found.groupBy(qid, "_need").agg(
             F.min(F.struct("doc_freq", "token", "bucket")).alias("_rare"),
             F.collect_list(F.struct("token", "bucket")).alias("_terms")).where(F.size("_terms") == F.col("_need"))
@@ -104,7 +120,7 @@ class TextIndex:
         alone = rare.where(F.col("_need") == 1).select(qid, "id", "n_tokens", "_tf")
         others = rare.where(F.col("_need") > 1).select(qid, "id", "n_tokens", "_need", "_tf",
                                                        F.inline("_others").alias("token", "bucket"))
-        rest = (small_side(others).join(posts.select("bucket", "token", "id", "tf"), ["bucket", "token", "id"])
+        rest = (self._look_up(others, posts.select("bucket", "token", "id", "tf"))
                 .groupBy(qid, "id", "n_tokens", "_need", "_tf")
                 .agg(F.sum("tf").alias("_more"), F.count(F.lit(1)).alias("_met"))
                 .where(F.col("_met") == F.col("_need") - 1)
