@@ -102,3 +102,16 @@ def test_expensive_expressions_evaluated_once(spark, name):
         for fn in EXPENSIVE:
             calls = [c for c in _calls(sec, fn) if "query_text" not in c]   # the query batch is small
             assert len(calls) == len(set(calls)), f"{head}: {fn} evaluated {len(calls)}x"
+
+
+@pytest.mark.parametrize("name", ["join_fuse_full", "kb_hybrid_rrf", "kb_rerank", "kb_relevance_gate", "kb_search_pipeline"])
+def test_hybrid_search_joins_vectors_without_texts(spark, name):
+    """The join of documents and embeddings moves ids and vectors only."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    shuffles = [x for x in plan.split("\n(") if "hashpartitioning(doc_id" in x]
+    assert not any("text#" in x for x in shuffles), shuffles

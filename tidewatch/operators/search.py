@@ -118,25 +118,30 @@ def fuse_ranked(vector: DataFrame, fts: DataFrame, corpus: DataFrame, qid: str =
 
 
 def fused_lists(corpus: DataFrame, queries: DataFrame | QueryBlock, n: int, keyword_col: str | None = None,
-                qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None) -> DataFrame:
+                qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None,
+                texts: DataFrame | None = None) -> DataFrame:
     """Both sides' best ``n`` per query, merged (``fuse_ranked``).  The full-text side uses
-    ``keyword_col`` of the query table where it is set, else the query text."""
+    ``keyword_col`` of the query table where it is set, else the query text.  ``texts`` are the
+    corpus's ids, contents and ``extra`` columns where they can be read without its vectors: if the
+    vectors come by a join, that join then moves no text."""
     def search(block: QueryBlock) -> DataFrame:
         words = block
         if keyword_col is not None:
             words = QueryBlock(block.rows, block.frame.select(
                 qid, F.coalesce(keyword_col, "query_text").alias("query_text")))
-        return fuse_ranked(semantic_topk(corpus, block, n, id_col=id_col), fts_topk(corpus, words, n, id_col, index=index), corpus,
-                           qid, id_col, extra)
+        contents = corpus if texts is None else texts
+        return fuse_ranked(semantic_topk(corpus, block, n, id_col=id_col), fts_topk(contents, words, n, id_col, index=index),
+                           contents, qid, id_col, extra)
 
     return in_blocks(queries, qid, search)
 
 
 def hybrid(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int, keyword_col: str | None = None,
-           qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None) -> DataFrame:
+           qid: str = "qid", id_col: str = "id", extra=(), index: TextIndex | None = None,
+           texts: DataFrame | None = None) -> DataFrame:
     """Hybrid search: max(4k, 20) candidates from each side, fused with
     reciprocal-rank fusion, best k per query (ties: lower id)."""
-    fused = fused_lists(corpus, queries, candidates(k), keyword_col, qid, id_col, extra, index)
+    fused = fused_lists(corpus, queries, candidates(k), keyword_col, qid, id_col, extra, index, texts)
     return _top(fused.select("*", rrf(["vector_rank", "fts_rank"]).alias("rrf_score")), qid, "rrf_score", id_col, k)
 
 
@@ -174,12 +179,12 @@ def dedupe_recent(cands: DataFrame, qid: str | None = "qid", created: str = "cre
 
 
 def search_pipeline(corpus: DataFrame, queries: DataFrame | QueryBlock, k: int = 5, qid: str = "qid",
-                    id_col: str = "id", scorer=None, keyword_col: str | None = None, index: TextIndex | None = None
-                    ) -> DataFrame:
+                    id_col: str = "id", scorer=None, keyword_col: str | None = None, index: TextIndex | None = None,
+                    texts: DataFrame | None = None) -> DataFrame:
     """Hybrid retrieval at max(4k, 20) (full-text side by ``keyword_col`` if given), dedupe by content
     prefix, re-rank, cut to k."""
     def search(block: QueryBlock) -> DataFrame:
-        fused = hybrid(corpus, block, candidates(k), keyword_col, qid, id_col, ("created_at",), index)
+        fused = hybrid(corpus, block, candidates(k), keyword_col, qid, id_col, ("created_at",), index, texts)
         return rerank(dedupe_recent(fused, qid), block, k, qid, id_col, scorer, order_col="key_order")
 
     return in_blocks(queries, qid, search)

@@ -92,6 +92,12 @@ def text_index(spark, sf_dir):
     return TI.TextIndex(spark, path)
 
 
+def _stored(spark, sf_dir):
+    """What the hybrid searches read besides the vectors: the postings, and the texts without the join that
+    gives the vectors."""
+    return {"index": text_index(spark, sf_dir), "texts": _kb(spark, sf_dir, vectors=False)}
+
+
 @register("kb_semantic_search", sql("SELECT qid, id, round(similarity, 6) AS similarity, rank FROM sem",
                                     "v_knowledge", "v_queries", ctes=(("sem", sem_sql(5)),)))
 def kb_semantic_search(spark, sf_dir):
@@ -117,7 +123,7 @@ def kb_inverted_index(spark, sf_dir):
 SELECT qid, id, vector_rank, fts_rank, round(similarity, 6) AS similarity FROM fused""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(5)[:3]))
 def join_fuse_full(spark, sf_dir):
-    fused = S.fused_lists(_kb(spark, sf_dir), _q(spark, sf_dir), S.candidates(5), index=text_index(spark, sf_dir))
+    fused = S.fused_lists(_kb(spark, sf_dir), _q(spark, sf_dir), S.candidates(5), **_stored(spark, sf_dir))
     return fused.select("qid", "id", "vector_rank", "fts_rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -125,7 +131,7 @@ def join_fuse_full(spark, sf_dir):
 SELECT qid, id, round(rrf_score, 10) AS rrf_score, round(similarity, 6) AS similarity, rank FROM hybrid""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(5)))
 def kb_hybrid_rrf(spark, sf_dir):
-    h = S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 5, index=text_index(spark, sf_dir))
+    h = S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 5, **_stored(spark, sf_dir))
     return h.select("qid", "id", F.round("rrf_score", 10).alias("rrf_score"),
                     F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -143,7 +149,7 @@ SELECT qid, id, round(relevance_score, 6) AS relevance_score, rerank FROM (
     "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
 def kb_rerank(spark, sf_dir):
     kb, q = _kb(spark, sf_dir), _q(spark, sf_dir)
-    cands = S.hybrid(kb, q, 20, index=text_index(spark, sf_dir))
+    cands = S.hybrid(kb, q, 20, **_stored(spark, sf_dir))
     r = S.rerank(cands, q, 5)
     return r.select("qid", "id", F.round("relevance_score", 6).alias("relevance_score"), "rerank")
 
@@ -161,7 +167,7 @@ SELECT qid, id, round(relevance_score, 4) AS relevance_score, rerank FROM (
   JOIN v_queries q ON q.qid = h.qid) WHERE rerank < 5""",
     "v_knowledge", "v_queries", ctes=hybrid_ctes(20)))
 def kb_search_pipeline(spark, sf_dir):
-    r = S.search_pipeline(_kb(spark, sf_dir), _q(spark, sf_dir), 5, index=text_index(spark, sf_dir))
+    r = S.search_pipeline(_kb(spark, sf_dir), _q(spark, sf_dir), 5, **_stored(spark, sf_dir))
     return r.select("qid", "id", F.round("relevance_score", 4).alias("relevance_score"), "rerank")
 
 
@@ -169,7 +175,7 @@ def kb_search_pipeline(spark, sf_dir):
 SELECT qid, id, round(similarity, 6) AS similarity, round(rrf_score, 10) AS rrf_score FROM hybrid
 WHERE coalesce(similarity, 0.0) > 0.25 OR rrf_score > 0.015""", "v_knowledge", "v_queries", ctes=hybrid_ctes(3)))
 def kb_relevance_gate(spark, sf_dir):
-    h = S.relevance_gate(S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 3, index=text_index(spark, sf_dir)))
+    h = S.relevance_gate(S.hybrid(_kb(spark, sf_dir), _q(spark, sf_dir), 3, **_stored(spark, sf_dir)))
     return h.select("qid", "id", F.round("similarity", 6).alias("similarity"),
                     F.round("rrf_score", 10).alias("rrf_score"))
 
